@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pactline.functions.names import detail_title, event_key, is_id_like, sanitize_name, split_identity
+from pactline.session import cut
 from pactline.sources.contracts_io import ENVELOPE
 
 REF_PREFIX = "#/components/schemas/"
@@ -18,64 +19,52 @@ UNGRADABLE_KEYWORDS = (
 )
 UNGRADABLE_FORMATS = ("regex",)
 
-_SPEC = (
-    "named_struct("
-    "'types', {types}, 'typed', {typed}, 'nullable', {nullable},"
-    "'enum_json', {enum}, 'const_json', to_json(try_variant_get({s}, '$.const', 'variant')),"
-    "'format', try_variant_get({s}, '$.format', 'string'), 'pattern', try_variant_get({s}, '$.pattern', 'string'),"
-    "'min_len', try_variant_get({s}, '$.minLength', 'bigint'), 'max_len', try_variant_get({s}, '$.maxLength', 'bigint'),"
-    "'minimum', try_variant_get({s}, '$.minimum', 'double'), 'maximum', try_variant_get({s}, '$.maximum', 'double'),"
-    "'above', {above}, 'below', {below},"
-    "'multiple_of', try_variant_get({s}, '$.multipleOf', 'double'),"
-    "'min_items', try_variant_get({s}, '$.minItems', 'bigint'), 'max_items', try_variant_get({s}, '$.maxItems', 'bigint'),"
-    "'unique_items', coalesce(try_variant_get({s}, '$.uniqueItems', 'boolean'), false),"
-    "'closed', coalesce({bool_extra} AND NOT try_variant_get({s}, '$.additionalProperties', 'boolean'), false),"
-    "'required_names', coalesce(try_variant_get({s}, '$.required', 'array<string>'), cast(array() AS array<string>)),"
-    "'declared_names', coalesce(map_keys(try_variant_get({s}, '$.properties', 'map<string,variant>')), cast(array() AS array<string>)),"
-    "'ungradable', {ungradable})"
-)
-
-
 def _kind(v: str, path: str) -> str:
     return f"schema_of_variant(try_variant_get({v}, '{path}', 'variant'))"
 
 
-def _number(v: str, path: str) -> str:
-    return f"CASE WHEN {_kind(v, path)} RLIKE '^(BIGINT|DEC|DOUBLE|FLOAT)' THEN try_variant_get({v}, '{path}', 'double') END"
-
-
-def _spec_sql(s: str) -> str:
-    nullable = f"coalesce(try_variant_get({s}, '$.nullable', 'boolean'), false)"
-    declared = (
-        f"CASE WHEN {_kind(s, '$.type')} = 'STRING' THEN array(try_variant_get({s}, '$.type', 'string'))"
-        f" WHEN {_kind(s, '$.type')} LIKE 'ARRAY%' THEN try_variant_get({s}, '$.type', 'array<string>')"
-        f" WHEN {_kind(s, '$.properties')} LIKE 'OBJECT%' THEN array('object')"
-        " ELSE cast(array() AS array<string>) END"
+def _bound(member: str) -> str:
+    return f"CASE WHEN {_kind('_s', '$.' + member)} RLIKE '^(BIGINT|DEC|DOUBLE|FLOAT)' THEN try_variant_get(_s, '$.{member}', 'double') END"
+
+
+def _keywords(nodes: DataFrame, keep: list[str]) -> DataFrame:
+    """Read the keywords of each node's schema `_s`, in two steps so nothing is read twice."""
+    none = "cast(array() AS array<string>)"
+    marks = [f"if(try_variant_get(_s, '$.{k}', 'variant') IS NULL, NULL, '{k}')" for k in UNGRADABLE_KEYWORDS]
+    marks.append(f"if({_kind('_s', '$.additionalProperties')} LIKE 'OBJECT%', 'additionalProperties', NULL)")
+    marks.append("if(try_variant_get(_s, '$.items.items', 'variant') IS NULL, NULL, 'items of items')")
+    marks += [f"if(try_variant_get(_s, '$.format', 'string') = '{f}', 'format {f}', NULL)" for f in UNGRADABLE_FORMATS]
+    read = nodes.selectExpr(
+        *keep,
+        f"CASE WHEN {_kind('_s', '$.type')} = 'STRING' THEN array(try_variant_get(_s, '$.type', 'string'))"
+        f" WHEN {_kind('_s', '$.type')} LIKE 'ARRAY%' THEN try_variant_get(_s, '$.type', 'array<string>')"
+        f" WHEN {_kind('_s', '$.properties')} LIKE 'OBJECT%' THEN array('object') ELSE {none} END AS _types",
+        "try_variant_get(_s, '$.type', 'variant') IS NOT NULL AS typed",
+        "coalesce(try_variant_get(_s, '$.nullable', 'boolean'), false) AS nullable",
+        "transform(try_variant_get(_s, '$.enum', 'array<variant>'), x -> to_json(x)) AS _enum",
+        "to_json(try_variant_get(_s, '$.const', 'variant')) AS const_json",
+        "try_variant_get(_s, '$.format', 'string') AS format",
+        "try_variant_get(_s, '$.pattern', 'string') AS pattern",
+        "try_variant_get(_s, '$.minLength', 'bigint') AS min_len",
+        "try_variant_get(_s, '$.maxLength', 'bigint') AS max_len",
+        "try_variant_get(_s, '$.minimum', 'double') AS minimum",
+        "try_variant_get(_s, '$.maximum', 'double') AS maximum",
+        f"{_bound('exclusiveMinimum')} AS above",
+        f"{_bound('exclusiveMaximum')} AS below",
+        "try_variant_get(_s, '$.multipleOf', 'double') AS multiple_of",
+        "try_variant_get(_s, '$.minItems', 'bigint') AS min_items",
+        "try_variant_get(_s, '$.maxItems', 'bigint') AS max_items",
+        "coalesce(try_variant_get(_s, '$.uniqueItems', 'boolean'), false) AS unique_items",
+        f"coalesce({_kind('_s', '$.additionalProperties')} = 'BOOLEAN'"
+        " AND NOT try_variant_get(_s, '$.additionalProperties', 'boolean'), false) AS closed",
+        f"coalesce(try_variant_get(_s, '$.required', 'array<string>'), {none}) AS required_names",
+        f"coalesce(map_keys(try_variant_get(_s, '$.properties', 'map<string,variant>')), {none}) AS declared_names",
+        f"filter(array({', '.join(marks)}), x -> x IS NOT NULL) AS ungradable",
     )
-    types = (
-        f"if({nullable} AND size({declared}) > 0 AND NOT array_contains({declared}, 'null'),"
-        f" array_append({declared}, 'null'), {declared})"
-    )
-    values = f"transform(try_variant_get({s}, '$.enum', 'array<variant>'), x -> to_json(x))"
-    enum = f"if({nullable} AND NOT array_contains({values}, 'null'), array_append({values}, 'null'), {values})"
-    marks = [
-        f"if(try_variant_get({s}, '$.{k}', 'variant') IS NULL, NULL, '{k}')" for k in UNGRADABLE_KEYWORDS
-    ]
-    marks.append(f"if({_kind(s, '$.additionalProperties')} LIKE 'OBJECT%', 'additionalProperties', NULL)")
-    marks.append(f"if(try_variant_get({s}, '$.items.items', 'variant') IS NULL, NULL, 'items of items')")
-    marks += [
-        f"if(try_variant_get({s}, '$.format', 'string') = '{f}', 'format {f}', NULL)" for f in UNGRADABLE_FORMATS
-    ]
-    return _SPEC.format(
-        s=s,
-        types=types,
-        typed=f"try_variant_get({s}, '$.type', 'variant') IS NOT NULL",
-        nullable=nullable,
-        enum=enum,
-        above=_number(s, "$.exclusiveMinimum"),
-        below=_number(s, "$.exclusiveMaximum"),
-        bool_extra=f"{_kind(s, '$.additionalProperties')} = 'BOOLEAN'",
-        ungradable=f"filter(array({', '.join(marks)}), x -> x IS NOT NULL)",
+    return read.selectExpr(
+        "* EXCEPT (_types, _enum)",
+        "if(nullable AND size(_types) > 0 AND NOT array_contains(_types, 'null'), array_append(_types, 'null'), _types) AS types",
+        "if(nullable AND NOT array_contains(_enum, 'null'), array_append(_enum, 'null'), _enum) AS enum_json",
     )
 
 
@@ -93,7 +82,11 @@ def _resolve(raw: str) -> tuple[str, str]:
     return f"if({target} IS NULL, NULL, {name})", f"coalesce({target}, {raw})"
 
 
+_PLACE = ("path", "parent_path", "leaf", "required", "ref_target", "via_ref", "owner_type", "depth", "cyclic")
+
+
 def _expand(contracts: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """Walk the schema tree, one generator step per level; a node leaves with its first child."""
     base = (
         contracts.withColumn("_type", payload_type())
         .withColumn("_schemas", F.try_variant_get("doc", "$.components.schemas", "map<string,variant>"))
@@ -102,74 +95,72 @@ def _expand(contracts: DataFrame, keys: list[str], levels: int) -> DataFrame:
     )
     node = (
         "named_struct('path', {path}, 'parent_path', {parent}, 'leaf', {leaf}, 'required', {required},"
-        " 'ref_target', {ref}, 'via_ref', {via}, 'owner_type', {owner}, 'depth', {depth},"
-        " 'cyclic', {cyclic}, 'spec', {spec})"
+        " 'ref_target', {ref}, 'via_ref', {via}, 'owner_type', {owner}, 'depth', {depth}, 'cyclic', {cyclic}, '_s', {s})"
     )
+    text = "cast(NULL AS string)"
     root = node.format(
-        path="''", parent="cast(NULL AS string)", leaf="''", required="false", ref="cast(NULL AS string)",
-        via="false", owner="_type", depth="0", cyclic="false", spec=_spec_sql("_s"),
+        path="''", parent=text, leaf="''", required="false", ref=text, via="false", owner="_type", depth="0",
+        cyclic="false", s="_s",
     )
     df = base.selectExpr(
-        *keys, "_schemas", "_s", "'prop' AS _kind", "array(_type) AS _stack", f"{root} AS _node", "false AS _done",
+        *keys, "_schemas", "'prop' AS _kind", "array(_type) AS _stack", f"{root} AS _node",
+        f"slice(array({root}), 1, 0) AS _pend", "false AS _done",
     )
-    df = df.withColumn("_pend", F.expr("slice(array(_node), 1, 0)"))
     for _ in range(levels):
-        props = "map_entries(try_variant_get(_s, '$.properties', 'map<string,variant>'))"
-        items = "try_variant_get(_s, '$.items', 'variant')"
-        kids = (
-            f"CASE WHEN _done OR _node.cyclic THEN NULL WHEN {_kind('_s', '$.properties')} LIKE 'OBJECT%' THEN {props}"
-            f" WHEN _kind = 'prop' AND _node.depth > 0 AND _node.ref_target IS NULL AND {items} IS NOT NULL"
-            f" THEN array(named_struct('key', '[]', 'value', {items})) END"
+        props = "try_variant_get(_node._s, '$.properties', 'map<string,variant>')"
+        items = "try_variant_get(_node._s, '$.items', 'variant')"
+        df = df.selectExpr("*", f"if(_done OR _node.cyclic, NULL, {props}) AS _props")
+        df = df.selectExpr(
+            "*",
+            "posexplode_outer(CASE WHEN _props IS NOT NULL THEN map_entries(_props)"
+            f" WHEN NOT (_done OR _node.cyclic) AND _kind = 'prop' AND _node.depth > 0 AND _node.ref_target IS NULL"
+            f" AND {items} IS NOT NULL THEN array(named_struct('key', '[]', 'value', {items})) END) AS (_pos, _kid)",
         )
-        df = df.withColumn("_kids", F.expr(kids)).selectExpr("*", "posexplode_outer(_kids) AS (_pos, _kid)")
         ref, schema = _resolve("_kid.value")
-        df = df.withColumn("_ref", F.expr(ref)).withColumn("_next", F.expr(schema))
+        df = df.selectExpr("*", "_props IS NULL AS _is_item", f"{ref} AS _ref", f"{schema} AS _next")
         child = node.format(
-            path="CASE WHEN _kid.key = '[]' AND _is_item THEN concat(_node.path, '[]')"
-            " WHEN _node.path = '' THEN _kid.key ELSE concat(_node.path, '.', _kid.key) END",
+            path="CASE WHEN _is_item THEN concat(_node.path, '[]') WHEN _node.path = '' THEN _kid.key"
+            " ELSE concat(_node.path, '.', _kid.key) END",
             parent="_node.path",
-            leaf="if(_is_item, '[]', _kid.key)",
-            required="NOT _is_item AND array_contains(_node.spec.required_names, _kid.key)",
+            leaf="_kid.key",
+            required="NOT _is_item AND coalesce(array_contains(try_variant_get(_node._s, '$.required', 'array<string>'),"
+            " _kid.key), false)",
             ref="_ref",
             via="_node.via_ref OR _node.ref_target IS NOT NULL",
             owner="coalesce(_node.ref_target, _node.owner_type)",
             depth="_node.depth + 1",
             cyclic="coalesce(array_contains(_stack, _ref), false)",
-            spec=_spec_sql("_next"),
+            s="_next",
         )
-        is_item = f"coalesce(NOT ({_kind('_s', '$.properties')} LIKE 'OBJECT%'), true)"
-        df = df.withColumn("_is_item", F.expr(is_item)).withColumn("_child", F.expr(child))
         df = df.selectExpr(
             *keys,
             "_schemas",
-            "if(_pos IS NULL, _s, _next) AS _s",
             "CASE WHEN _pos IS NULL THEN _kind WHEN _is_item THEN 'item' ELSE 'prop' END AS _kind",
             "if(_pos IS NULL OR _ref IS NULL, _stack, array_append(_stack, _ref)) AS _stack",
+            f"if(_pos IS NULL, _node, {child}) AS _node",
             "CASE WHEN _pos IS NULL THEN _pend WHEN _pos = 0 THEN array_append(_pend, _node)"
             " ELSE slice(_pend, 1, 0) END AS _pend",
-            "if(_pos IS NULL, _node, _child) AS _node",
             "_pos IS NULL AS _done",
         )
     return df
 
 
 def contract_fields(
-    contracts: DataFrame, keys: tuple[str, ...] = ("name", "version"), levels: int = 5, check_depth: bool = True
+    contracts: DataFrame, keys: tuple[str, ...] = ("name", "version"), levels: int = 4
 ) -> DataFrame:
     """Declared fields of every contract, one row per path; the payload type itself is path ''.
 
-    References are followed and cycles stop where they close. The walk is unrolled; with
-    `check_depth` one small job looks for documents nested deeper and unrolls further for them, so
-    depth is never cut.
+    References are followed and cycles stop where they close. The walk is unrolled; where a document
+    turns out to nest deeper it is unrolled further, so depth is never cut. The table is as large as
+    the registry and written once, since every check joins it.
     """
     keys = list(keys)
     while True:
-        walked = _expand(contracts, keys, levels)
-        if not check_depth or walked.where("NOT _done").limit(1).count() == 0:
-            break
+        walked = _expand(contracts, keys, levels).selectExpr(*keys, "_done", "inline(array_append(_pend, _node))")
+        table = cut(_keywords(walked, [*keys, *_PLACE, "_done"]))
+        if table.isStreaming or table.where("NOT _done").limit(1).count() == 0:
+            return table.drop("_done")
         levels *= 2
-    nodes = walked.selectExpr(*keys, "inline(array_append(_pend, _node))")
-    return nodes.selectExpr(*keys, "* EXCEPT (spec, " + ", ".join(keys) + ")", "spec.*")
 
 
 def declared_paths(fields: DataFrame, names: list[str] | None = None) -> DataFrame:

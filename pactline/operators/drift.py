@@ -150,6 +150,17 @@ def enum_values(hits: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     )
 
 
+def _listed(values: DataFrame, keys: list[str], listed: int) -> DataFrame:
+    """Number of distinct values per path and the first `listed` of them; one input row per value."""
+    number = values.groupBy(*keys, "path").agg(F.count("*").alias("distinct_unexpected"))
+    shown = (
+        top_n_per_group(values, [*keys, "path"], [F.asc("value_json")], listed, spread="value_json")
+        .groupBy(*keys, "path")
+        .agg(F.array_sort(F.collect_list("value_json")).alias("unexpected"))
+    )
+    return number.join(shown, [*keys, "path"])
+
+
 def enum_summary(hits: DataFrame, keys: tuple[str, ...] = KEY, listed: int = VALUE_CAP) -> DataFrame:
     """`drift_enum` over rows already known to be outside their enum."""
     keys = list(keys)
@@ -158,10 +169,13 @@ def enum_summary(hits: DataFrame, keys: tuple[str, ...] = KEY, listed: int = VAL
         F.sum(F.when(F.col("_event").isNull(), F.col("_n")).otherwise(1)).cast("bigint").alias("unexpected_in")
     )
     values = by_event.groupBy(*keys, "path", "value_json").agg(F.lit(1).alias("_one"))
-    number = values.groupBy(*keys, "path").agg(F.count("*").alias("distinct_unexpected"))
-    shown = (
-        top_n_per_group(values, [*keys, "path"], [F.asc("value_json")], listed, spread="value_json")
-        .groupBy(*keys, "path")
-        .agg(F.array_sort(F.collect_list("value_json")).alias("unexpected"))
-    )
-    return carried.join(number, [*keys, "path"]).join(shown, [*keys, "path"])
+    return carried.join(_listed(values, keys, listed), [*keys, "path"])
+
+
+def enum_from_causes(caused: DataFrame, keys: tuple[str, ...] = KEY, listed: int = VALUE_CAP) -> DataFrame:
+    """`drift_enum` out of `violations.causes`: a scalar outside its enum is a violation too."""
+    keys = list(keys)
+    rows = caused.where("value IS NOT NULL")
+    carried = rows.groupBy(*keys, "path").agg(F.sum("affected").alias("unexpected_in"))
+    values = rows.select(*keys, "path", F.col("value").alias("value_json"))
+    return carried.join(_listed(values, keys, listed), [*keys, "path"])

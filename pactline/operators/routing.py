@@ -29,7 +29,7 @@ def route(
         "pos", "pattern", F.trim("project").alias("project"), "issue_type", glob_regex_col(F.trim("pattern"), True).alias("_rx")
     )
     by_source = top_n_per_group(
-        src.join(broadcast_checked(usable), F.col("source").rlike(F.col("_rx"))),
+        src.join(broadcast_checked(usable), F.rlike(F.col("source"), F.col("_rx"))),
         ["source"], [specificity(F.col("pattern")).desc(), F.desc("pos")], 1,
     ).select("source", F.struct("pattern", "project", "issue_type").alias("_s"))
     owner_rules = owner_routes.where("trim(project) <> '' AND trim(pattern) <> ''").select(
@@ -38,7 +38,7 @@ def route(
     sets = findings.where("owners IS NOT NULL").select("owners").distinct()
     own = sets.select("owners", F.posexplode("owners").alias("_i", "owner"))
     by_owner = top_n_per_group(
-        own.join(broadcast_checked(owner_rules), F.col("owner").rlike(F.col("_rx"))), ["owners"], [F.asc("pos"), F.asc("_i")], 1
+        own.join(broadcast_checked(owner_rules), F.rlike(F.col("owner"), F.col("_rx"))), ["owners"], [F.asc("pos"), F.asc("_i")], 1
     ).select("owners", F.struct("owner", "pattern", "project", "issue_type").alias("_o"))
     s, o = F.col("_s"), F.col("_o")
     default = F.lit(default_project.strip() if default_project and default_project.strip() else None)

@@ -17,7 +17,9 @@ RETAINED_PER_TYPE = 200
 RETAINED_TYPES = 500
 SNAPSHOT_TTL_DAYS = 30
 
-NEWEST = [F.desc("ts"), F.asc("event_id")]
+def _newest():
+    return [F.desc("ts"), F.asc("event_id")]
+
 
 
 def stripe_ranges(windows: DataFrame, stripes: int = DEFAULT_STRIPES) -> DataFrame:
@@ -53,14 +55,14 @@ def striped_sample(
     cap = max(-(-max_events // stripes), 1)
     order = [F.asc("ts"), F.asc("event_id")]
     cut = top_n_per_group(_striped(df, start_ms, end_ms, stripes), ["stripe"], order, cap, spread="event_id")
-    return cut.orderBy(*NEWEST).limit(max_events)
+    return cut.orderBy(*_newest()).limit(max_events)
 
 
 def cap_per_type(df: DataFrame, n: int = GRADED_PER_TYPE) -> DataFrame:
     """Newest `n` events of every type, with `observed`, the volume before the cap."""
     keys = ["source", "event_type"]
     volume = df.groupBy(*keys).agg(F.count("*").alias("observed"))
-    kept = top_n_per_group(df, keys, NEWEST, n, spread="event_id")
+    kept = top_n_per_group(df, keys, _newest(), n, spread="event_id")
     return kept.join(broadcast_checked(volume), keys)
 
 
@@ -90,7 +92,7 @@ def merge_sample(old: DataFrame, new: DataFrame, n: int = RETAINED_PER_TYPE) ->
     keys = ["channel", "source", "event_type"]
     both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
     once = top_n_per_group(both, [*keys, "event_id"], [F.asc("_batch")], 1)
-    return top_n_per_group(once.drop("_batch"), keys, NEWEST, n, spread="event_id")
+    return top_n_per_group(once.drop("_batch"), keys, _newest(), n, spread="event_id")
 
 
 def coverage(fetches: DataFrame, keys: list[str]) -> DataFrame:

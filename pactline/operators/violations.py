@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pactline.functions.formats import format_ok
@@ -38,20 +39,25 @@ def _checks() -> list[Column]:
     c = F.col
     value, kind = c("value_json"), c("type")
     is_string, is_number = kind == "string", kind.isin("integer", "number")
+    is_container = kind.isin("object", "array")
     text = F.when(is_string, json_text(value))
     number = F.when(is_number, value.cast("double"))
-    shape = "array<struct<class:string,path:string,constraint:string,message:string>>"
+    shape = "array<struct<class:string,path:string,constraint:string,expected:string,message:string>>"
 
-    def row(cls: str, path: Column, constraint: Column, message: Column) -> Column:
+    def row(cls: str, path: Column, constraint: Column, expected: str, message: Column) -> Column:
         return F.struct(
-            F.lit(cls).alias("class"), path.alias("path"), constraint.alias("constraint"), message.alias("message")
+            F.lit(cls).alias("class"), path.alias("path"), constraint.alias("constraint"),
+            F.lit(expected).alias("expected"), message.alias("message"),
         )
 
     def one(cond: Column, cls: str, keyword: str, message: Column) -> Column:
         constraint = constraint_pointer(c("path"), keyword) if cls == "other" else F.lit(cls)
-        hit = F.array(row(cls, c("path"), constraint, message))
+        hit = F.array(row(cls, c("path"), constraint, keyword, message))
         return F.when(F.coalesce(cond, F.lit(False)), hit).otherwise(F.array().cast(shape))
 
+    # Containers are described, not quoted.
+    quoted = F.when(is_container, F.concat(F.lit("this "), kind)).otherwise(value)
+
     def says(*parts) -> Column:
         return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
@@ -69,14 +75,14 @@ def _checks() -> list[Column]:
     ratio = number / c("multiple_of")
     missing = F.transform(
         F.array_except(F.when(members.isNotNull(), c("required_names")), members),
-        lambda n: row("missingRequired", child(n), F.lit("missingRequired"), says('"', n, '" is a required property')),
+        lambda n: row("missingRequired", child(n), F.lit("missingRequired"), "required", says('"', n, '" is a required property')),
     )
     extra = F.when(
         c("closed"),
         F.transform(
             F.array_except(members, c("declared_names")),
             lambda n: row(
-                "undeclared", child(n), F.lit("undeclared"),
+                "undeclared", child(n), F.lit("undeclared"), "additionalProperties",
                 says("Additional properties are not allowed ('", n, "' was unexpected)"),
             ),
         ),
@@ -85,27 +91,27 @@ def _checks() -> list[Column]:
     return [
         one(
             c("typed") & ~admitted, "wrongType", "type",
-            says(value, " is not of type ", F.array_join("types", ", ")),
+            says(quoted, " is not of type ", F.array_join("types", ", ")),
         ),
         one(
             (c("enum_json").isNotNull() & ~F.array_contains("enum_json", value)), "outsideEnum", "enum",
-            says(value, " is not one of [", F.array_join("enum_json", ", "), "]"),
+            says(quoted, " is not one of [", F.array_join("enum_json", ", "), "]"),
         ),
         one(c("const_json").isNotNull() & (value != c("const_json")), "outsideEnum", "const", says(c("const_json"), " was expected")),
         F.coalesce(missing.cast(shape), empty),
         F.coalesce(extra.cast(shape), empty),
-        one(F.length(text) < c("min_len"), "other", "minLength", says(value, " is shorter than ", c("min_len").cast("string"), " characters")),
-        one(F.length(text) > c("max_len"), "other", "maxLength", says(value, " is longer than ", c("max_len").cast("string"), " characters")),
-        one(~text.rlike(c("pattern")), "other", "pattern", says(value, ' does not match "', c("pattern"), '"')),
-        one(~format_ok(c("format"), text), "other", "format", says(value, ' is not a "', c("format"), '"')),
-        one(number < c("minimum"), "other", "minimum", says(value, " is less than the minimum of ", c("minimum").cast("string"))),
-        one(number > c("maximum"), "other", "maximum", says(value, " is greater than the maximum of ", c("maximum").cast("string"))),
-        one(number <= c("above"), "other", "exclusiveMinimum", says(value, " is not above ", c("above").cast("string"))),
-        one(number >= c("below"), "other", "exclusiveMaximum", says(value, " is not below ", c("below").cast("string"))),
-        one(F.abs(ratio - F.round(ratio)) > 1e-9, "other", "multipleOf", says(value, " is not a multiple of ", c("multiple_of").cast("string"))),
-        one(length < c("min_items"), "other", "minItems", says(value, " has less than ", c("min_items").cast("string"), " items")),
-        one(length > c("max_items"), "other", "maxItems", says(value, " has more than ", c("max_items").cast("string"), " items")),
-        one(c("unique_items") & (F.size(items) != F.size(F.array_distinct(items))), "other", "uniqueItems", says(value, " has non-unique elements")),
+        one(F.length(text) < c("min_len"), "other", "minLength", says(quoted, " is shorter than ", c("min_len").cast("string"), " characters")),
+        one(F.length(text) > c("max_len"), "other", "maxLength", says(quoted, " is longer than ", c("max_len").cast("string"), " characters")),
+        one(~F.rlike(text, c("pattern")), "other", "pattern", says(quoted, ' does not match "', c("pattern"), '"')),
+        one(~format_ok(c("format"), text), "other", "format", says(quoted, ' is not a "', c("format"), '"')),
+        one(number < c("minimum"), "other", "minimum", says(quoted, " is less than the minimum of ", c("minimum").cast("string"))),
+        one(number > c("maximum"), "other", "maximum", says(quoted, " is greater than the maximum of ", c("maximum").cast("string"))),
+        one(number <= c("above"), "other", "exclusiveMinimum", says(quoted, " is not above ", c("above").cast("string"))),
+        one(number >= c("below"), "other", "exclusiveMaximum", says(quoted, " is not below ", c("below").cast("string"))),
+        one(F.abs(ratio - F.round(ratio)) > 1e-9, "other", "multipleOf", says(quoted, " is not a multiple of ", c("multiple_of").cast("string"))),
+        one(length < c("min_items"), "other", "minItems", says(quoted, " has less than ", c("min_items").cast("string"), " items")),
+        one(length > c("max_items"), "other", "maxItems", says(quoted, " has more than ", c("max_items").cast("string"), " items")),
+        one(c("unique_items") & (F.size(items) != F.size(F.array_distinct(items))), "other", "uniqueItems", says(quoted, " has non-unique elements")),
     ]
 
 
@@ -120,7 +126,10 @@ def violations(obs: DataFrame, fields: DataFrame, keys: tuple[str, ...] = ("name
     rules = broadcast_checked(constrained_fields(fields).select(*keys, "path", *_CONSTRAINED))
     joined = obs.join(rules, [*keys, "path"])
     carried = [c for c in obs.columns if c not in ("path", "parent_path", "is_blank")]
-    return joined.select(*carried, F.col("path").alias("at_path"), F.inline(F.concat(*_checks())))
+    # A container is not carried as evidence: it can be the whole payload.
+    evidence = F.when(~F.col("type").isin("object", "array"), F.col("value_json")).alias("value_json")
+    carried = [c for c in obs.columns if c not in ("path", "parent_path", "is_blank", "value_json")]
+    return joined.select(*carried, evidence, F.col("path").alias("at_path"), F.inline(F.concat(*_checks())))
 
 
 def format_violations(obs: DataFrame, fields: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
@@ -130,24 +139,48 @@ def format_violations(obs: DataFrame, fields: DataFrame, keys: tuple[str, ...] =
     return strings.where(~format_ok(F.col("format"), json_text(F.col("value_json"))))
 
 
-def group_failures(viol: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
-    """One row per cause: `affected` events, `occurrences`, and the first example with its message.
+def causes(viol: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
+    """Everything a report needs from the violations, in one shuffle of the rejected rows.
 
-    Only paths below an array can fail twice in one event; the others combine map-side.
-    `value_types` keeps the aggregate hash-based.
+    The rows meet once by event; flags mark the first row of each event, of each cause in it and of
+    each value in that, so all later counts are sums with map-side partials and no key is hot. One
+    row per (cause, unexpected enum value): `affected` events, `occurrences`, `rejected` (events
+    counted under this cause), `value_events`, and the first example.
     """
+    keys = list(keys)
     cause = [*keys, "class", "path", "constraint"]
-    event = F.when(F.col("at_path").contains("[]"), F.col("event_id"))
-    first = F.min_by(F.struct("value_json", "message"), F.struct("ts", "event_id"))
-    per_event = viol.groupBy(*cause, event.alias("_event")).agg(
-        F.count("*").alias("_n"),
+    scalar_enum = (F.col("class") == "outsideEnum") & (F.col("expected") != "const") & ~F.col("type").isin("object", "array", "null")
+    rows = viol.withColumn("value", F.when(scalar_enum, F.col("value_json")))
+
+    def first(*parts):
+        order = W.partitionBy(*keys, "event_id", *parts).orderBy("class", "path", "constraint", "value")
+        return (F.row_number().over(order) == 1)
+
+    marked = rows.withColumns(
+        {
+            "_event": first(),
+            "_cause": first("class", "path", "constraint"),
+            "_value": first("class", "path", "constraint", "value"),
+        }
+    )
+    return marked.groupBy(*cause, "value").agg(
+        F.count_if("_cause").alias("affected"),
+        F.count("*").alias("occurrences"),
+        F.count_if("_event").alias("rejected"),
+        F.count_if(F.col("_value") & F.col("value").isNotNull()).alias("value_events"),
         F.min(F.struct("ts", "event_id")).alias("_at"),
-        first.alias("_first"),
+        F.min_by(F.struct("value_json", "message"), F.struct("ts", "event_id")).alias("_first"),
+        # Also keeps the aggregate hash-based.
         F.collect_set("type").alias("_types"),
     )
-    out = per_event.groupBy(*cause).agg(
-        F.sum(F.when(F.col("_event").isNotNull(), 1).otherwise(F.col("_n"))).cast("bigint").alias("affected"),
-        F.sum("_n").alias("occurrences"),
+
+
+def group_failures(caused: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
+    """One row per cause: `affected` events, `occurrences`, and the first example with its message."""
+    cause = [*keys, "class", "path", "constraint"]
+    out = caused.groupBy(*cause).agg(
+        F.sum("affected").alias("affected"),
+        F.sum("occurrences").alias("occurrences"),
         F.min_by("_first", "_at").alias("_first"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("_types")))).alias("value_types"),
     )
@@ -157,15 +190,20 @@ def group_failures(viol: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFr
     )
 
 
-def failed_events(viol: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
-    """Rejected events per key. Shuffles rejected event ids only, on the id, so no key is hot."""
-    return viol.select(*keys, "event_id").distinct().groupBy(*keys).agg(F.count("*").alias("failed"))
+def failed_events(caused: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
+    """Rejected events per key."""
+    return caused.groupBy(*keys).agg(F.sum("rejected").alias("failed"))
+
+
+def enum_causes(caused: DataFrame) -> DataFrame:
+    """Events per unexpected enum value, from `causes`."""
+    return caused.where("value IS NOT NULL")
 
 
-def verdicts(sampled: DataFrame, viol: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
+def verdicts(sampled: DataFrame, caused: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
     """Sampled, passed and failed events; `sampled` holds the event count per key."""
     return (
-        sampled.join(failed_events(viol, keys), list(keys), "left")
+        sampled.join(failed_events(caused, keys), list(keys), "left")
         .fillna(0, ["failed"])
         .withColumn("passed", F.col("sampled") - F.col("failed"))
         .select(*keys, "sampled", "passed", "failed")

@@ -260,6 +260,6 @@ def watch_contracts(watches: DataFrame, contracts: DataFrame) -> DataFrame:
 
     rules = broadcast_checked(watches.select("watch_id", rx("source").alias("_src"), rx("event_type").alias("_typ")))
     names = contracts.select("name", "source", "event_type").distinct()
-    return names.join(rules, F.col("source").rlike(F.col("_src")) & F.col("event_type").rlike(F.col("_typ"))).select(
+    return names.join(rules, F.rlike(F.col("source"), F.col("_src")) & F.rlike(F.col("event_type"), F.col("_typ"))).select(
         "watch_id", "name"
     )

@@ -12,7 +12,7 @@ from pactline.operators import issues as i
 from pactline.operators import violations as v
 from pactline.operators.contracts import contract_fields, match_contracts, payload_type
 from pactline.operators.observe import event_paths, observe, profile_from_counts, type_set_counts
-from pactline.session import broadcast_checked
+from pactline.session import broadcast_checked, cut
 from pactline.sources.events import traffic_keys
 
 KEYS = ("name",)
@@ -24,7 +24,8 @@ class Check:
     `events` has `event_id, ts, source, event_type, detail`; `contracts` has `name, version, doc`,
     one version per name. Everything is graded, with no sample. The payloads are walked twice: once
     reduced to (event, path) for the profile, once per occurrence for the constraints. What is
-    shuffled is the profile's partial counts and the rows that break a constraint.
+    shuffled is the profile's partial counts and the rows that break a constraint. Both results are
+    contract-sized and written once; all tables below are derived from them.
     """
 
     def __init__(self, events: DataFrame, contracts: DataFrame, names: list[str] | None = None):
@@ -36,12 +37,12 @@ class Check:
     @cached_property
     def keys(self) -> DataFrame:
         """Event types on the bus with their volume."""
-        return traffic_keys(self.events)
+        return cut(traffic_keys(self.events))
 
     @cached_property
     def matches(self) -> DataFrame:
         """Contract to event key."""
-        return match_contracts(self.contracts, self.keys)
+        return cut(match_contracts(self.contracts, self.keys))
 
     @cached_property
     def readable(self) -> DataFrame:
@@ -61,7 +62,7 @@ class Check:
 
     @cached_property
     def profile(self) -> DataFrame:
-        counts = type_set_counts(event_paths(self.graded, KEYS), list(KEYS))
+        counts = cut(type_set_counts(event_paths(self.graded, KEYS), list(KEYS)))
         return profile_from_counts(counts, list(KEYS))
 
     @cached_property
@@ -77,33 +78,38 @@ class Check:
     def violations(self) -> DataFrame:
         return v.violations(self.occurrences, self.fields)
 
+    @cached_property
+    def causes(self) -> DataFrame:
+        return cut(v.causes(self.violations))
+
     @cached_property
     def failures(self) -> DataFrame:
-        return v.group_failures(self.violations)
+        return v.group_failures(self.causes)
 
     @cached_property
     def verdicts(self) -> DataFrame:
-        return v.verdicts(self.sampled, self.violations)
+        return v.verdicts(self.sampled, self.causes)
 
     @cached_property
     def drift(self) -> dict[str, DataFrame]:
         fields, prof = self.fields, self.profile
-        # A scalar outside its enum is a violation too, so the enum drift needs no third walk.
-        hits = self.violations.where(
-            "class = 'outsideEnum' AND type NOT IN ('object', 'array', 'null') AND message LIKE '% is not one of [%'"
-        )
         return {
             "undeclared": d.drift_undeclared(prof, fields),
             "unused": d.drift_unused(prof, fields),
             "types": d.drift_types(prof, fields),
-            "enum": d.enum_summary(hits),
+            "enum": d.enum_from_causes(self.causes),
             "missing": d.drift_missing(prof, fields),
             "blank": d.drift_blank(prof, fields),
         }
 
     @cached_property
     def issues(self) -> DataFrame:
-        return i.issues(i.drift_rows(self.drift), self.failures, self.sampled)
+        return cut(i.issues(self.drift_rows, self.failures, self.sampled))
+
+    @cached_property
+    def drift_rows(self) -> DataFrame:
+        """The six kinds in one table."""
+        return cut(i.drift_rows(self.drift))
 
     @cached_property
     def ranked(self) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +37,29 @@ def broadcast_checked(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Da
         return df
     size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()["b"] or 0
     return F.broadcast(df) if size <= max_bytes else df
+
+
+def scratch_dir(spark: SparkSession) -> str | None:
+    """Shared folder for intermediate tables: `spark.checkpoint.dir`; on a local master a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="pactline-")
+    return None
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a contract-sized result once and go on from the written table.
+
+    What several later steps read is then computed once, survives the loss of executors, and has a
+    known size, so Spark chooses its joins by it. Without a shared folder the plan is kept as it is.
+    """
+    if df.isStreaming:
+        return df
+    base = scratch_dir(df.sparkSession)
+    if base is None:
+        return df
+    path = f"{base}/pactline/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
