@@ -195,11 +195,6 @@ def failed_events(caused: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataF
     return caused.groupBy(*keys).agg(F.sum("rejected").alias("failed"))
 
 
-def enum_causes(caused: DataFrame) -> DataFrame:
-    """Events per unexpected enum value, from `causes`."""
-    return caused.where("value IS NOT NULL")
-
-
 def verdicts(sampled: DataFrame, caused: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
     """Sampled, passed and failed events; `sampled` holds the event count per key."""
     return (
