@@ -31,7 +31,7 @@ def _subtree_sql(v: str, path: str, type_name: str, container_json: bool) -> str
     """
     frontier = "array<struct<path:string,parent_path:string,v:variant,type:string>>"
     text = f"to_json({v})"
-    brackets = f"2 + length({text}) - length(translate({text}, '{{[', ''))"
+    brackets = f"1 + size(split({text}, '[{{\\\\[]'))"
     members = (
         "transform(map_entries(try_variant_get(n.v, '$', 'map<string,variant>')), e -> named_struct("
         "'path', if(n.path = '', e.key, concat(n.path, '.', e.key)), 'parent_path', n.path,"

@@ -10,7 +10,7 @@ from pactline.functions.formats import format_ok
 from pactline.functions.json_types import json_text
 from pactline.session import broadcast_checked
 
-_CONSTRAINED = (
+CONSTRAINED = (
     "typed", "types", "enum_json", "const_json", "format", "pattern", "min_len", "max_len", "minimum", "maximum",
     "above", "below", "multiple_of", "min_items", "max_items", "unique_items", "closed", "required_names",
     "declared_names",
@@ -34,8 +34,11 @@ def constraint_pointer(path: Column, keyword: Column | str) -> Column:
     return F.concat(head, F.lit("/"), F.lit(keyword) if isinstance(keyword, str) else keyword)
 
 
-def _checks() -> list[Column]:
-    """One array of violation structs per check; empty where the value passes."""
+def value_checks(members_too: bool = True) -> list[Column]:
+    """One array of violation structs per check; empty where the value passes.
+
+    `members_too` adds absent required members; per-event grading decides on those itself.
+    """
     c = F.col
     value, kind = c("value_json"), c("type")
     is_string, is_number = kind == "string", kind.isin("integer", "number")
@@ -98,7 +101,7 @@ def _checks() -> list[Column]:
             says(quoted, " is not one of [", F.array_join("enum_json", ", "), "]"),
         ),
         one(c("const_json").isNotNull() & (value != c("const_json")), "outsideEnum", "const", says(c("const_json"), " was expected")),
-        F.coalesce(missing.cast(shape), empty),
+        *([F.coalesce(missing.cast(shape), empty)] if members_too else []),
         F.coalesce(extra.cast(shape), empty),
         one(F.length(text) < c("min_len"), "other", "minLength", says(quoted, " is shorter than ", c("min_len").cast("string"), " characters")),
         one(F.length(text) > c("max_len"), "other", "maxLength", says(quoted, " is longer than ", c("max_len").cast("string"), " characters")),
@@ -123,13 +126,13 @@ def violations(obs: DataFrame, fields: DataFrame, keys: tuple[str, ...] = ("name
     cannot carry are listed in `ungradable` of the field table and reported, not passed silently.
     """
     keys = list(keys)
-    rules = broadcast_checked(constrained_fields(fields).select(*keys, "path", *_CONSTRAINED))
+    rules = broadcast_checked(constrained_fields(fields).select(*keys, "path", *CONSTRAINED))
     joined = obs.join(rules, [*keys, "path"])
     carried = [c for c in obs.columns if c not in ("path", "parent_path", "is_blank")]
     # A container is not carried as evidence: it can be the whole payload.
     evidence = F.when(~F.col("type").isin("object", "array"), F.col("value_json")).alias("value_json")
     carried = [c for c in obs.columns if c not in ("path", "parent_path", "is_blank", "value_json")]
-    return joined.select(*carried, evidence, F.col("path").alias("at_path"), F.inline(F.concat(*_checks())))
+    return joined.select(*carried, evidence, F.col("path").alias("at_path"), F.inline(F.concat(*value_checks())))
 
 
 def format_violations(obs: DataFrame, fields: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:

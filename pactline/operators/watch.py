@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pactline.functions.conditions import Watch, lookup, watch_expr
 from pactline.functions.globs import glob_regex_col
 from pactline.functions.names import event_key
-from pactline.operators.intervals import join_points
+from pactline.operators.intervals import DAY_MS, join_points
 from pactline.operators.ranking import top_n_per_group
 from pactline.session import broadcast_checked
 
@@ -95,9 +95,7 @@ def grade_hits(hits: DataFrame, contracts: DataFrame) -> DataFrame:
     from pactline.functions.names import detail_title, sanitize_name
     from pactline.operators.contracts import contract_fields, payload_type
     from pactline.operators.issues import kind_rank
-    from pactline.operators.observe import observe
-    from pactline.operators.violations import violations
-    from pactline.plans.check import event_issues, rejected_issues
+    from pactline.plans.check import event_issues
 
     exact = event_key(F.col("source"), F.col("event_type"))
     title = F.concat("source", F.lit("@"), detail_title(F.col("event_type")))
@@ -112,16 +110,10 @@ def grade_hits(hits: DataFrame, contracts: DataFrame) -> DataFrame:
     graded = named.where("_able").select("name", "event_id", "ts", "detail").dropDuplicates(["name", "event_id"])
     fields = contract_fields(contracts.where(payload_type().isNotNull()), ("name",))
     found = event_issues(graded, fields)
-    viol = violations(
-        observe(graded, ("name", "event_id", "ts"), container_json=True, include_root=True), fields
-    ).select("name", "event_id", "ts", "class", "path", "constraint")
-    rejecting = viol.select("name", "event_id", F.col("class").alias("kind"), "path", F.lit(True).alias("_rejects")).distinct()
-    each = found.join(rejecting, ["name", "event_id", "kind", "path"], "left").unionByName(
-        rejected_issues(viol, found).withColumn("_rejects", F.lit(True))
+    order = F.struct((~F.col("rejects")).alias("a"), F.col("path").alias("b"), kind_rank().alias("c"), F.col("key").alias("k"))
+    verdict = found.groupBy("name", "event_id").agg(
+        F.bool_or("rejects").alias("_failed"), F.min(order)["k"].alias("headline_key")
     )
-    rejects = F.coalesce("_rejects", F.lit(False))
-    order = F.struct((~rejects).alias("a"), F.col("path").alias("b"), kind_rank().alias("c"), F.col("key").alias("k"))
-    verdict = each.groupBy("name", "event_id").agg(F.max(rejects).alias("_failed"), F.min(order)["k"].alias("headline_key"))
     grade = (
         F.when(F.col("name").isNull(), "missing")
         .when(~F.col("_able"), "unknown")
@@ -168,17 +160,39 @@ def hit_digest(batch: DataFrame, watches: list[Watch]) -> DataFrame:
 
 
 def _spans(marks: DataFrame, end) -> DataFrame:
-    """Starts with the mark that ends them. Marks are a bounded log per environment."""
-    order = W.partitionBy("env").orderBy("at", "mark_id")
-    later = order.rowsBetween(1, W.unboundedFollowing)
-    nxt = marks.withColumns(
+    """Starts with the next mark and the next stop, looked up day by day.
+
+    Inside a day a window finds them; past its last mark the first ones of a later day do, so an
+    environment of many marks is spread over its days.
+    """
+    day = F.floor(F.col("at") / DAY_MS)
+    stop = F.when(F.col("kind") == "stop", F.col("at"))
+    rows = marks.withColumn("_day", day)
+    mark = F.struct("at", "mark_id", "kind")
+    days = rows.groupBy("env", "_day").agg(F.min(mark).alias("_first"), F.min(stop).alias("_stop"))
+    ahead = W.partitionBy("env").orderBy("_day").rowsBetween(1, W.unboundedFollowing)
+    days = days.select(
+        "env", "_day", F.first("_first").over(ahead).alias("_later"), F.min("_stop").over(ahead).alias("_later_stop")
+    )
+    order = W.partitionBy("env", "_day").orderBy("at", "mark_id")
+    inside = rows.withColumns(
         {
-            "next_at": F.lead("at").over(order),
-            "next_kind": F.lead("kind").over(order),
-            "stop_at": F.min(F.when(F.col("kind") == "stop", F.col("at"))).over(later),
+            "_next": F.lead(mark).over(order),
+            "_next_stop": F.min(stop).over(order.rowsBetween(1, W.unboundedFollowing)),
         }
     ).where("kind = 'start'")
-    return nxt.withColumn("start_ms", F.col("at")).withColumn("end_ms", end)
+    nxt = F.coalesce("_next", "_later")
+    return (
+        inside.join(days, ["env", "_day"])
+        .withColumns(
+            {
+                "next_at": nxt["at"], "next_kind": nxt["kind"], "stop_at": F.coalesce("_next_stop", "_later_stop"),
+                "start_ms": F.col("at"),
+            }
+        )
+        .withColumn("end_ms", end)
+        .drop("_day", "_next", "_later", "_next_stop", "_later_stop")
+    )
 
 
 def _last_hit(hits: DataFrame) -> DataFrame:

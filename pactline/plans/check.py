@@ -139,97 +139,99 @@ def check_contract(events: DataFrame, name: str, document: str, start=None, end=
 
 
 def event_issues(graded: DataFrame, fields: DataFrame) -> DataFrame:
-    """Issue keys of every event graded on its own: `name, event_id, ts, kind, path, key`.
+    """Issues of every event graded on its own: `name, event_id, ts, kind, path, key, rejects`.
 
-    One walk and a join to the broadcast field table. An issue key found on a set of events is found
-    again on the single events behind it. Notes about fields never seen are left out.
+    One walk, one join to the broadcast field table, one fold of the findings by event. A key found
+    on a set of events is found again on the single events behind it. Notes about fields never seen
+    are left out. `rejects` says whether a constraint broke.
     """
     rules = broadcast_checked(
-        fields.select(
-            "name", "path", "depth", "types", "required", "enum_json", "required_names", F.lit(True).alias("_declared")
-        )
+        fields.select("name", "path", "required", F.lit(True).alias("_declared"), *v.CONSTRAINED)
     )
     occ = observe(graded, ("name", "event_id", "ts"), container_json=True, include_root=True)
     j = occ.join(rules, ["name", "path"], "left")
-    wrong = (F.size("types") > 0) & (F.size(d.unexpected_types(F.array("type"), F.col("types"))) > 0) & (F.col("path") != "")
+    inside = F.col("path") != ""
+    wrong = (F.size("types") > 0) & (F.size(d.unexpected_types(F.array("type"), F.col("types"))) > 0)
     outside = (
         F.col("enum_json").isNotNull() & ~F.array_contains("enum_json", F.col("value_json"))
         & ~F.col("type").isin("object", "array", "null")
     )
     members = F.when(F.col("type") == "object", F.json_object_keys("value_json"))
-    child = F.when(F.col("path") == "", F.lit("")).otherwise(F.concat("path", F.lit(".")))
-    shape = "array<struct<kind:string,path:string,absent:boolean>>"
-
-    def one(kind: str, cond):
-        hit = F.array(F.struct(F.lit(kind).alias("kind"), F.col("path").alias("path"), F.lit(True).alias("absent")))
-        return F.when(F.coalesce(cond, F.lit(False)), hit.cast(shape)).otherwise(F.array().cast(shape))
-
-    # An absent member counts for the event only when no occurrence of its object has it.
-    missing = F.transform(
-        F.when(members.isNotNull(), F.col("required_names")),
-        lambda n: F.struct(
-            F.lit("missingRequired").alias("kind"), F.concat(child, n).alias("path"),
-            (~F.array_contains(members, n)).alias("absent"),
+    child = F.when(inside, F.concat("path", F.lit("."))).otherwise("")
+    shape = "array<struct<class:string,path:string,constraint:string,drift:boolean,rejects:boolean>>"
+    nothing = F.array().cast(shape)
+
+    def row(cls: str, path, drift, rejects):
+        return F.struct(
+            F.lit(cls).alias("class"), path.alias("path"), F.lit(cls).alias("constraint"),
+            drift.alias("drift"), rejects.alias("rejects"),
+        )
+
+    def found(kind: str, cond):
+        hit = F.array(row(kind, F.col("path"), F.lit(True), F.lit(False))).cast(shape)
+        return F.when(F.coalesce(cond, F.lit(False)), hit).otherwise(nothing)
+
+    # Below an array a member is missing from the event only when no occurrence has it, so there the
+    # occurrences that do are reported too.
+    absent = F.filter(
+        F.transform(
+            F.when(members.isNotNull(), F.col("required_names")),
+            lambda n: row(
+                "missingRequired", F.concat(child, n), ~F.array_contains(members, n), ~F.array_contains(members, n)
+            ),
+        ),
+        lambda r: r["drift"] | r["path"].contains("[]"),
+    )
+    broken = F.transform(
+        F.concat(*v.value_checks(members_too=False)),
+        lambda b: F.struct(
+            b["class"].alias("class"), b["path"].alias("path"), b["constraint"].alias("constraint"),
+            F.lit(False).alias("drift"), F.lit(True).alias("rejects"),
         ),
     )
     rows = j.select(
         "name", "event_id", "ts",
         F.inline(
             F.concat(
-                one("undeclared", F.col("_declared").isNull() & (F.col("path") != "")),
-                one("wrongType", wrong),
-                one("outsideEnum", outside),
-                one("emptyRequired", F.col("required") & F.col("is_blank")),
-                F.coalesce(missing.cast(shape), F.array().cast(shape)),
+                found("undeclared", F.col("_declared").isNull() & inside),
+                found("wrongType", wrong & inside),
+                found("outsideEnum", outside),
+                found("emptyRequired", F.col("required") & F.col("is_blank")),
+                F.coalesce(absent.cast(shape), nothing),
+                broken.cast(shape),
             )
         ),
-    ).where("absent OR path LIKE '%[]%'")
-    once = rows.where("path NOT LIKE '%[]%'")
-    folded = (
-        rows.where("path LIKE '%[]%'")
-        .groupBy("name", "event_id", "ts", "kind", "path")
-        .agg(F.bool_and("absent").alias("absent"))
-        .where("absent")
     )
-    return once.unionByName(folded).select(
-        "name", "event_id", "ts", "kind", "path", F.concat_ws(":", "kind", "path").alias("key")
+    drift = F.when(F.col("class") == "missingRequired", F.bool_and("drift")).otherwise(F.bool_or("drift"))
+    folded = rows.groupBy("name", "event_id", "ts", "class", "path", "constraint").agg(
+        drift.alias("drift"), F.bool_or("rejects").alias("rejects")
     )
-
-
-def rejected_issues(viol: DataFrame, found: DataFrame) -> DataFrame:
-    """Per event, the rejections no drift issue of the same event explains."""
-    v_rows = viol.select(
-        "name", "event_id", "ts", F.col("class"), "path", "constraint"
-    ).distinct()
-    left = v_rows.join(
-        found.select("name", "event_id", F.col("kind").alias("class"), "path").distinct(),
-        ["name", "event_id", "class", "path"], "left_anti",
-    )
-    return left.select(
-        "name", "event_id", "ts", F.lit("rejected").alias("kind"), "path",
-        F.concat_ws(":", F.lit("rejected"), "path", "constraint").alias("key"),
+    kind = F.when(F.col("drift"), F.col("class")).otherwise("rejected")
+    return folded.where("drift OR rejects").select(
+        "name", "event_id", "ts", kind.alias("kind"), "path",
+        F.when(F.col("drift"), F.concat_ws(":", "class", "path"))
+        .otherwise(F.concat_ws(":", F.lit("rejected"), "path", "constraint"))
+        .alias("key"),
+        "rejects",
     )
 
 
 def check_each(events: DataFrame, contracts: DataFrame) -> DataFrame:
     """Issue keys of each event on its own; an event type without a contract is its single finding."""
     c = Check(events, contracts)
-    found = event_issues(c.graded, c.fields)
-    rest = rejected_issues(c.violations, found)
+    found = event_issues(c.graded, c.fields).drop("rejects")
     claimed = broadcast_checked(c.matches.select("source", "event_type").distinct())
     loose = events.join(claimed, ["source", "event_type"], "left_anti").select(
         F.concat("source", F.lit("@"), "event_type").alias("name"), "event_id", "ts",
         F.lit("unregistered").alias("kind"), F.lit("").alias("path"), F.lit("unregistered").alias("key"),
     )
-    return found.unionByName(rest).unionByName(loose)
+    return found.unionByName(loose)
 
 
 def events_for_issue(events: DataFrame, contracts: DataFrame, name: str, key: str, n: int = i.EVENTS_PER_ISSUE) -> DataFrame:
     """Newest events that show one issue, at most 200."""
     c = Check(events, contracts, [name])
     found = event_issues(c.graded, c.fields)
-    if key.startswith("rejected:"):
-        found = rejected_issues(c.violations, found)
     ids = found.where(F.col("key") == key).select("event_id").distinct()
     limit = max(1, min(n, i.EVENTS_PER_ISSUE_MAX))
     shown = c.graded.join(ids, "event_id", "left_semi")

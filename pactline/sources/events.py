@@ -19,16 +19,22 @@ def parse_events(df: DataFrame, message_col: str = "message") -> tuple[DataFrame
     """Split raw messages into events and the rows that are not events.
 
     Keeps every input column; adds `envelope`, `source`, `event_type`, `detail`. Works on streams.
+    The test sits in a generator, not in a filter: a filter would be pushed below the projection and
+    parse every message once per condition.
     """
     env = F.col("envelope")
-    parsed = df.withColumn("envelope", F.try_parse_json(message_col)).select(
-        "*",
+    parsed = df.withColumn("envelope", F.try_parse_json(message_col))
+    row = F.struct(
         _string_member(env, '$["source"]').alias("source"),
         _string_member(env, '$["detail-type"]').alias("event_type"),
         F.try_variant_get(env, "$.detail", "variant").alias("detail"),
     )
-    ok = F.col("source").isNotNull() & F.col("event_type").isNotNull() & F.col("detail").isNotNull()
-    return parsed.where(ok), parsed.where(~ok).drop("envelope", "source", "event_type", "detail")
+    good = F.filter(
+        F.array(row), lambda r: r["source"].isNotNull() & r["event_type"].isNotNull() & r["detail"].isNotNull()
+    )
+    events = parsed.select("*", F.inline(good))
+    rejected = parsed.select(*df.columns, F.explode(F.when(F.size(good) == 0, F.array(F.lit(0)))).alias("_")).drop("_")
+    return events, rejected
 
 
 def _string_member(env: Column, path: str) -> Column:

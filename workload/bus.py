@@ -281,7 +281,7 @@ _PART_DOC = """concat('{', if(p_partkey % 29 = 0, '', '"openapi":"3.0.0",'), '"c
 
 def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registry out of `part`: one contract per part, one to three versions, as text in `content`."""
-    versions = table(spark, sf_dir, "part").selectExpr("*", "explode(sequence(1, cast(1 + p_partkey % 3 AS int))) AS version")
+    versions = spread(table(spark, sf_dir, "part")).selectExpr("*", "explode(sequence(1, cast(1 + p_partkey % 3 AS int))) AS version")
     return versions.selectExpr(
         "p_partkey AS part",
         "concat('svc-', cast(p_partkey % 7 AS string), '@type-', cast(p_partkey AS string)) AS name",
@@ -299,7 +299,7 @@ def part_registry(spark: SparkSession, sf_dir: str, latest: bool = True) -> Data
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files out of `documents`: a little code by rule, and the whole text in a comment."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return spread(table(spark, sf_dir, "documents")).selectExpr(
         "doc_id",
         "concat('repo-', source) AS repo",
         "concat(CASE doc_id % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'src/test/' WHEN 2 THEN 'infra/' WHEN 3 THEN 'docs/'"
