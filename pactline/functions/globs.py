@@ -13,7 +13,7 @@ _META = r"([\\.\[\]{}()+?^$|])"
 def glob_regex(pattern: str) -> str:
     """Anchored Java regex for a literal pattern in which `*` matches any run."""
     body = ".*".join(re.sub(_META, r"\\\1", part) for part in pattern.split("*"))
-    return f"(?s)^{body}$"
+    return rf"(?s)^{body}\z"
 
 
 def glob(col: Column, pattern: str) -> Column:
@@ -29,7 +29,7 @@ def glob_regex_col(pattern: Column, ignore_case: bool = False) -> Column:
     """`glob_regex` for a column of patterns (rule tables)."""
     escaped = F.regexp_replace(pattern, _META, r"\\$1")
     flags = "(?is)^" if ignore_case else "(?s)^"
-    return F.concat(F.lit(flags), F.regexp_replace(escaped, r"\*", ".*"), F.lit("$"))
+    return F.concat(F.lit(flags), F.regexp_replace(escaped, r"\*", ".*"), F.lit(r"\z"))
 
 
 def specificity(pattern: Column) -> Column:
@@ -53,4 +53,4 @@ def path_glob_regex_col(pattern: Column) -> Column:
     rx = F.regexp_replace(rx, "\u0001/", "(?:.*/)?")
     rx = F.regexp_replace(rx, "\u0001", ".*")
     head = F.when(anchored, F.lit("^")).otherwise(F.lit("^(?:.*/)?"))
-    return F.when(pattern == "*", F.lit("^.*$")).otherwise(F.concat(head, rx, F.lit("(?:/.*)?$")))
+    return F.when(pattern == "*", F.lit("^.*$")).otherwise(F.concat(head, rx, F.lit(r"(?:/.*)?\z")))

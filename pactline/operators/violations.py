@@ -105,7 +105,7 @@ def value_checks(members_too: bool = True) -> list[Column]:
         F.coalesce(extra.cast(shape), empty),
         one(F.length(text) < c("min_len"), "other", "minLength", says(quoted, " is shorter than ", c("min_len").cast("string"), " characters")),
         one(F.length(text) > c("max_len"), "other", "maxLength", says(quoted, " is longer than ", c("max_len").cast("string"), " characters")),
-        one(~F.rlike(text, c("pattern")), "other", "pattern", says(quoted, ' does not match "', c("pattern"), '"')),
+        one(~F.rlike(text, F.regexp_replace("pattern", r"(?<!\\)\$$", r"\\z")), "other", "pattern", says(quoted, ' does not match "', c("pattern"), '"')),
         one(~format_ok(c("format"), text), "other", "format", says(quoted, ' is not a "', c("format"), '"')),
         one(number < c("minimum"), "other", "minimum", says(quoted, " is less than the minimum of ", c("minimum").cast("string"))),
         one(number > c("maximum"), "other", "maximum", says(quoted, " is greater than the maximum of ", c("maximum").cast("string"))),
