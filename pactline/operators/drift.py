@@ -120,6 +120,48 @@ def drift_blank(prof: DataFrame, fields: DataFrame, keys: tuple[str, ...] = KEY)
     return rows.select(*keys, "path", "seen_in", F.col("blank_in").alias("empty_in"))
 
 
+def drift_all(prof: DataFrame, fields: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """All drift of a profile but the enum kind, in one table: `kind, path` and the columns of each.
+
+    One full outer join of profile and contract and one lookup of the carriers answer every kind, so
+    a registry report plans two joins instead of one or two per kind.
+    """
+    keys = list(keys)
+    graded = prof.where("path = ''").select(*keys).distinct()
+    seen = prof.where("path <> ''").drop("parent_path").withColumn("_seen", F.lit(True))
+    held = _declared(fields, keys).join(graded, keys, "left_semi").withColumn("_held", F.lit(True))
+    both = seen.join(held, [*keys, "path"], "full_outer").join(_carriers(prof, keys), [*keys, "parent_path"], "left")
+    c, declared = F.col, F.col("declared_types")
+    is_seen, is_held = c("_seen").isNotNull(), c("_held").isNotNull()
+    extra = F.when(F.size(declared) > 0, unexpected_types(c("types"), declared))
+    absent = c("required") & (F.coalesce("seen_in", F.lit(0)) < F.coalesce("carriers", F.lit(0)))
+    wrong_in = F.aggregate(
+        F.filter("type_sets", lambda t: F.size(unexpected_types(t["types"], declared)) > 0),
+        F.lit(0).cast("bigint"),
+        lambda acc, t: acc + t["n"],
+    )
+    still = F.filter(
+        declared,
+        lambda t: F.array_contains(c("types"), t) | ((t == "number") & F.array_contains(c("types"), "integer")),
+    )
+    kinds = F.array_compact(
+        F.array(
+            F.when(is_seen & ~is_held, "undeclared"),
+            F.when(is_seen & is_held & (F.size(extra) > 0), "wrongType"),
+            F.when(is_held & absent, "missingRequired"),
+            F.when(is_held & is_seen & c("required") & (c("blank_in") > 0), "emptyRequired"),
+            F.when(is_held & ~is_seen & ~absent, "neverSeen"),
+        )
+    )
+    return both.select(
+        *keys, "path", F.explode(kinds).alias("kind"), "types", F.coalesce("seen_in", F.lit(0)).alias("seen_in"),
+        F.col("required"), F.array_join(declared, " | ").alias("declared"), extra.alias("observed"),
+        F.when(F.size(extra) > 0, wrong_in).alias("mismatched_in"), F.concat(still, extra).alias("suggested"),
+        (F.coalesce("carriers", F.lit(0)) - F.coalesce("seen_in", F.lit(0))).alias("absent_in"),
+        c("blank_in").alias("empty_in"),
+    )
+
+
 def enum_hits(obs: DataFrame, fields: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     """Occurrences of scalar values outside a declared enum. Whole JSON values; null never drifts."""
     declared = broadcast_checked(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pactline.functions.json_types import JSON_TYPES, json_text
 from pactline.functions.names import is_id_like
+from pactline.session import cut
 
 # What an inferred format looks like, in the order they are tried.
 FORMAT_PATTERNS = (
@@ -59,13 +60,14 @@ def infer_contract(obs: DataFrame, keys: tuple[str, ...] = ("source", "event_typ
         F.when(F.size(seen) == 1, F.get(seen, 0)).when(seen == numeric, F.lit("number"))
     )
     leaf = F.regexp_extract("path", r"([^.]*)$", 1)
-    nodes = counts.select(
+    # Contract-sized and read four times below.
+    nodes = cut(counts.select(
         *keys, "path", "parent_path", "occurrences", typed.alias("type"),
         (typed.isNotNull() & (F.col("n_null") > 0)).alias("nullable"),
         F.col("n_object").alias("objects"),
         F.when(typed == "string", _format_case()).alias("format"),
         leaf.alias("leaf"),
-    )
+    ))
     # A path survives only below objects and arrays: drop what hangs under an untyped node.
     untyped = nodes.where("type IS NULL AND path <> ''").select(*keys, F.col("path").alias("_cut"))
     ancestors = nodes.select(*keys, "path", F.explode(_ancestors(F.col("path"))).alias("_cut"))

@@ -67,10 +67,9 @@ def drift_rows(drift: dict[str, DataFrame], keys: tuple[str, ...] = ("name",)) -
     types, enum, missing = drift["types"], drift["enum"], drift["missing"]
     seen = F.concat(F.lit("present in "), c("seen_in").cast("string"))
     required = F.when(c("required"), "required").otherwise("optional")
-    values = F.array_join(F.transform("unexpected", lambda v: F.concat(F.lit("`"), v, F.lit("`"))), ", ")
     parts = [
         _shape(types, keys, "wrongType", "mismatched_in", c("declared"), F.array_join("observed", " | "), none, _fix("widenType", c("suggested"))),
-        _shape(enum, keys, "outsideEnum", "unexpected_in", none, values, none, _fix("extendEnum", values=c("unexpected"))),
+        _enum_rows(enum, keys),
         _shape(missing, keys, "missingRequired", "absent_in", F.lit("required"), seen, none, _fix("dropRequired")),
         _shape(drift["blank"], keys, "emptyRequired", "empty_in", F.lit("required"), F.concat(F.lit("blank in "), c("empty_in").cast("string")), none, _fix("requireNonEmpty")),
         _shape(drift["undeclared"], keys, "undeclared", "seen_in", none, F.array_join("types", " | "), none, _fix("declareField", c("types"))),
@@ -82,6 +81,47 @@ def drift_rows(drift: dict[str, DataFrame], keys: tuple[str, ...] = ("name",)) -
     return out
 
 
+def drift_rows_from(table: DataFrame, enum: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
+    """`drift_rows` out of `drift.drift_all` and the enum drift."""
+    keys, c, none = list(keys), F.col, F.lit(None)
+    kind = c("kind")
+
+    def by_kind(**cases):
+        out = F
+        for name, value in cases.items():
+            out = out.when(kind == name, value)
+        return out
+
+    num = F.lit(0).cast("bigint")
+    text = F.concat(F.lit("blank in "), c("empty_in").cast("string"))
+    rows = table.select(
+        *keys, "kind", "path",
+        F.coalesce(
+            by_kind(wrongType=c("mismatched_in"), missingRequired=c("absent_in"), emptyRequired=c("empty_in"), undeclared=c("seen_in")), num
+        ).cast("bigint").alias("stat"),
+        by_kind(
+            wrongType=c("declared"), missingRequired=F.lit("required"), emptyRequired=F.lit("required"),
+            neverSeen=F.when(c("required"), "required").otherwise("optional"),
+        ).cast("string").alias("declared"),
+        by_kind(
+            wrongType=F.array_join("observed", " | "), missingRequired=F.concat(F.lit("present in "), c("seen_in").cast("string")),
+            emptyRequired=text, undeclared=F.array_join("types", " | "),
+        ).cast("string").alias("observed"),
+        none.cast("string").alias("detail"),
+        by_kind(
+            wrongType=_fix("widenType", c("suggested")), missingRequired=_fix("dropRequired"),
+            emptyRequired=_fix("requireNonEmpty"), undeclared=_fix("declareField", c("types")),
+        ).cast(FIX_TYPE).alias("fix"),
+    )
+    return rows.unionByName(_enum_rows(enum, keys))
+
+
+def _enum_rows(enum: DataFrame, keys: list[str]) -> DataFrame:
+    values = F.array_join(F.transform("unexpected", lambda v: F.concat(F.lit("`"), v, F.lit("`"))), ", ")
+    none = F.lit(None)
+    return _shape(enum, keys, "outsideEnum", "unexpected_in", none, values, none, _fix("extendEnum", values=F.col("unexpected")))
+
+
 def issues(
     drift: DataFrame, failures: DataFrame, sampled: DataFrame, keys: tuple[str, ...] = ("name",)
 ) -> DataFrame:

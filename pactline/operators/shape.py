@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pactline.session import cut
+
 # How long a pattern may get, and what counts as a run.
 MAX_TOKENS = 12
 RUN = "[A-Za-z0-9]+"
@@ -29,7 +31,8 @@ def common_pattern(df: DataFrame, keys: list[str], col: str) -> DataFrame:
         shape.alias("_shape"),
         F.posexplode_outer(F.when(shape != "", runs)).alias("_pos", "_run"),
     )
-    per_run = stats.groupBy(*keys, "_shape", "_pos").agg(
+    # Two steps follow on this reduced table; the values are read once.
+    per_run = cut(stats.groupBy(*keys, "_shape", "_pos").agg(
         F.min(F.length("_run")).alias("lo"),
         F.max(F.length("_run")).alias("hi"),
         F.max(F.col("_run").rlike("[0-9]")).alias("digit"),
@@ -38,7 +41,7 @@ def common_pattern(df: DataFrame, keys: list[str], col: str) -> DataFrame:
         F.min(F.col("_run").rlike("^[0-9a-f]+$")).alias("hex"),
         F.min("_v").alias("_lo_v"),
         F.max("_v").alias("_hi_v"),
-    )
+    ))
     # Structures are at most a few per conforming group; a group of many has no pattern, and
     # min = max tells that without collecting them.
     one = per_run.groupBy(*keys).agg(

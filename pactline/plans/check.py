@@ -109,7 +109,7 @@ class Check:
     @cached_property
     def drift_rows(self) -> DataFrame:
         """The six kinds in one table."""
-        return cut(i.drift_rows(self.drift))
+        return cut(i.drift_rows_from(d.drift_all(self.profile, self.fields), d.enum_from_causes(self.causes)))
 
     @cached_property
     def ranked(self) -> DataFrame:

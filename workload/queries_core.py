@@ -601,7 +601,7 @@ def suggest_repairs(spark, sf):
 @query(
     "repaired_fields",
     sql("issues", """SELECT name, path, CASE path WHEN 'amount' THEN 'number,null,string' WHEN 'metadata' THEN 'object,null' WHEN 'clientId' THEN 'string,integer' ELSE array_to_string(types, ',') END AS types,
-    FALSE AS required, CASE WHEN path = 'status' THEN '"queued","done","retry"' END AS enum, CASE WHEN path = 'clientId' THEN CAST(1 AS BIGINT) END AS min_len
+    path = 'amount' AS required, CASE WHEN path = 'status' THEN '"queued","done","retry"' END AS enum, CASE WHEN path = 'clientId' THEN CAST(1 AS BIGINT) END AS min_len
     FROM declared WHERE name = 'clientPortal-web@view'
     UNION ALL SELECT 'clientPortal-web@view', x.path, x.types, FALSE, NULL, NULL FROM (VALUES ('beta', 'boolean'), ('k', 'integer')) x(path, types)"""),
 )
