@@ -28,16 +28,19 @@ class Check:
     contract-sized and written once; all tables below are derived from them.
     """
 
-    def __init__(self, events: DataFrame, contracts: DataFrame, names: list[str] | None = None):
+    def __init__(
+        self, events: DataFrame, contracts: DataFrame, names: list[str] | None = None, keys: DataFrame | None = None
+    ):
         if names is not None:
             contracts = contracts.where(F.col("name").isin(*names))
         self.events = events
         self.contracts = contracts
+        self._keys = keys
 
     @cached_property
     def keys(self) -> DataFrame:
         """Event types on the bus with their volume."""
-        return cut(traffic_keys(self.events))
+        return cut(traffic_keys(self.events)) if self._keys is None else self._keys
 
     @cached_property
     def matches(self) -> DataFrame:

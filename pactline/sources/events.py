@@ -132,13 +132,18 @@ def is_redacted(channel: Column) -> Column:
     return channel.contains(REDACTED_MARK)
 
 
-def split_channels(df: DataFrame, redacted: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Full copies for grading, and the keys seen only as redacted copies with their counts."""
+def channel_counts(df: DataFrame, redacted: Column | None = None) -> DataFrame:
+    """Volume per event type, `full` and `redacted` copies apart: one row per type."""
     redacted = is_redacted(F.col("channel")) if redacted is None else redacted
-    counts = df.groupBy("source", "event_type").agg(
+    return df.groupBy("source", "event_type").agg(
         F.count_if(redacted).alias("redacted"), F.count_if(~redacted).alias("full")
     )
-    only = counts.where("full = 0").select("source", "event_type", F.col("redacted").alias("seen"))
+
+
+def split_channels(df: DataFrame, redacted: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Full copies for grading, and the keys seen only as redacted copies with their counts."""
+    redacted = is_redacted(F.col("channel")) if redacted is None else redacted
+    only = channel_counts(df, redacted).where("full = 0").select("source", "event_type", F.col("redacted").alias("seen"))
     return df.where(~redacted), only
 
 
