@@ -37,27 +37,56 @@ LEAST_WEIGHT = 64
 WORD_ENTRIES = 600_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others from 256 up."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokens:
-    """Packed ids of texts."""
+    """Packed ids of texts, by the runs between ASCII white space.
+
+    A run of small Latin letters, with ASCII punctuation behind it or not, falls into words that the normalizer leaves as
+    they are, so it goes to the tokenizer's BPE model at once; any other run goes through the whole tokenizer.
+    """
+
+    _TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        split = [x.encode("utf-8", "surrogatepass").split() if x else [] for x in texts]
-        if len(self.known) >= WORD_ENTRIES:
-            self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(part, found, strict=True))
-        end, get = struct.pack("<I", end_id), self.known.__getitem__
-        return [b"".join([*map(get, words), end]) for words in split]
+    def _run(self, raw: bytes) -> bytes:
+        found = self.known.get(raw)
+        if found is None:
+            text = raw.decode()
+            word = text.rstrip(self._TAIL)
+            if word and word.isalpha() and word.islower() and word.lower() == word and max(word) < "\u0250":
+                letters = raw if word.isascii() and len(word) == len(text) else word.encode()
+                found = self._packed([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, letters)))])
+                if len(word) < len(text):
+                    found += self._run(text[len(word) :].encode())
+            else:
+                found = self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            if len(self.known) >= WORD_ENTRIES:
+                self.known.clear()
+            self.known[raw] = found
+        return found
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, text: str | None, end_id: int) -> bytes:
+        # the vocabulary is of lower case, so ASCII capitals may fall at once
+        known, run = self.known.get, self._run
+        runs = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        return b"".join([*[known(x) or run(x) for x in runs], struct.pack("<I", end_id)])
 
 
 @lru_cache(maxsize=2)
@@ -69,13 +98,8 @@ def token_ids(text: Column, path: str, end_id: int) -> Column:
     """Ids of a text and the end token, as little-endian unsigned 32-bit integers."""
 
     def run(series: pd.Series) -> pd.Series:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        found: list[bytes] = []
-        for at in range(0, len(series), 200):
-            found += load(path).encode([x if isinstance(x, str) else None for x in series.iloc[at : at + 200]], end_id)
-        return pd.Series(found, dtype=object)
+        tokens = load(path)
+        return pd.Series([tokens.encode(x if isinstance(x, str) else None, end_id) for x in series], dtype=object)
 
     return F.pandas_udf(run, "binary", F.PandasUDFType.SCALAR)(text)
 
