@@ -122,7 +122,7 @@ def fit(rows: DataFrame) -> dict:
     for order in range(ORDER, 0, -1):
         counts = level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"))
         context = F.shiftrightunsigned("gram", 16)
-        held = level.withColumn("context", context).join(counts, "lang")
+        held = level.withColumn("context", context).join(F.broadcast(counts), "lang")  # one row a language
         discount = (F.col("one") + 1) / (F.col("one") + 2 * F.col("two") + 2)
         sums = held.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.first(discount).alias("discount"))
         value = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")
