@@ -33,6 +33,8 @@ from pactline.llm.common import discard, new_path, stored, tune
 BITS = 64
 #: Fingerprints that share two fields are compared in parts of at most this many.
 PART_ROWS = 16_384
+#: Groups up to this size are compared many at once; a larger one block by block.
+SMALL_GROUP, QUERY_ROWS = 64, 64
 #: A fingerprint that over one in this many rows carries is joined by broadcast; there can't be more of them than this.
 HOT_SHARE = 1000
 
@@ -74,36 +76,41 @@ def _field_masks(radius: int) -> list[int]:
     return [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-class BitSlices:
-    """Fingerprints stored vertically: for each bit position, one bit of each."""
+def slices(fps: np.ndarray) -> np.ndarray:
+    """Fingerprints stored vertically: for each bit position a row of 64-bit words, with one bit of each fingerprint."""
+    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    packed = np.packbits(np.pad(bits, ((0, -len(fps) % 64), (0, 0))).T, axis=1, bitorder="little")
+    return np.ascontiguousarray(packed).view(np.uint64)
 
-    def __init__(self, fps: np.ndarray):
-        self.bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T  # position x fingerprint
 
-    def planes(self, rows: np.ndarray) -> np.ndarray:
-        packed = np.packbits(self.bits[:, rows], axis=1, bitorder="little")
-        return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+def close(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """Bit set where two fingerprints differ in at most `radius` bits (up to 7).
 
+    Each of `left` and `right` has the bit positions first and the words last; what lies between broadcasts.
+    """
+    shape = np.broadcast_shapes(left.shape[1:], right.shape[1:])
+    words = np.arange(shape[-1])
+    one, two, four, more = (np.zeros(shape, np.uint64) for _ in range(4))
+
+    def part(x: np.ndarray, b: int) -> np.ndarray:
+        return x[b] if x.shape[-1] == 1 else x[b][..., words]
 
-def close(left: np.ndarray, right: np.ndarray, n: int, radius: int) -> np.ndarray:
-    """Which of the `n` comparisons, plane against plane, differ in at most `radius` bits (up to 7)."""
-    words = np.arange(left.shape[1])
-    one, two, four, more = (np.zeros(len(words), np.uint64) for _ in range(4))
     for k in range(0, BITS, 8):
         for b in range(k, k + 8):
-            carry = left[b, words] ^ right[b, words]
+            carry = part(left, b) ^ part(right, b)
             carry, one = one & carry, one ^ carry
             carry, two = two & carry, two ^ carry
             carry, four = four & carry, four ^ carry
             more |= carry
-        beyond = more | _over(one, two, four, radius)
-        if len(open_ := np.flatnonzero(~beyond)) < len(words):  # every comparison of the other words is decided
-            words, one, two, four, more = words[open_], one[open_], two[open_], four[open_], more[open_]
+        within = ~(more | _over(one, two, four, radius))
+        open_ = np.flatnonzero(within.reshape(-1, within.shape[-1]).any(axis=0))
+        if len(open_) < len(words):  # all comparisons in the other words are beyond the radius
+            words, one, two, four, more = words[open_], one[..., open_], two[..., open_], four[..., open_], more[..., open_]
         if not len(words):
             break
-    out = np.zeros(left.shape[1], np.uint64)
-    out[words] = ~(more | _over(one, two, four, radius))
-    return np.flatnonzero(np.unpackbits(out.view(np.uint8), bitorder="little")[:n])
+    out = np.zeros(shape, np.uint64)
+    out[..., words] = ~(more | _over(one, two, four, radius))
+    return out
 
 
 def _over(one: np.ndarray, two: np.ndarray, four: np.ndarray, radius: int) -> np.ndarray:
@@ -114,13 +121,32 @@ def _over(one: np.ndarray, two: np.ndarray, four: np.ndarray, radius: int) -> np
     return over
 
 
-def linked(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside groups: each fingerprint in a link, and the smallest it is joined to.
+def _set_bits(words: np.ndarray, n: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little")[:n])
+
+
+def _forest_of_large(fps: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
+    """The smallest row that each row of one group is joined to: blocks of fingerprints against all words of the group."""
+    left = np.flatnonzero(side != 2)
+    right = np.flatnonzero(side != 1)
+    labels, planes = np.arange(len(fps)), slices(fps[right])
+    positions = np.arange(BITS, dtype=np.uint64)[:, None, None]
+    for at in range(0, len(left), QUERY_ROWS):
+        rows = left[at : at + QUERY_ROWS]
+        mask = np.uint64(0) - ((fps[rows][None, :, None] >> positions) & np.uint64(1))
+        near = close(mask, planes[:, None, :], radius)
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            joined = np.append(right[_set_bits(near[k], len(right))], rows[k])
+            found = labels[joined]
+            if (found != found[0]).any():
+                kinds = np.unique(found)
+                labels[np.isin(labels, kinds)] = kinds[0]
+    return labels
 
-    `group` ascends. `side` is 0 where a whole group is compared; a piece of work between two parts holds 1 and 2, and only
-    pairs of different sides are taken.
-    """
-    slices, parent = BitSlices(fps), np.arange(len(fps))
+
+def _forest_of_small(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
+    """The same over many small groups at once: each fingerprint with the one `shift` places on, for every shift."""
+    parent = np.arange(len(fps))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -136,12 +162,31 @@ def linked(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) ->
             break
         pairs = rows[(side[rows] == 0) | (side[rows] != side[rows + shift])]
         if len(pairs):
-            for i in pairs[close(slices.planes(pairs), slices.planes(pairs + shift), len(pairs), radius)].tolist():
+            near = close(slices(fps[pairs]), slices(fps[pairs + shift]), radius)
+            for i in pairs[_set_bits(near, len(pairs))].tolist():
                 a, b = root(i), root(i + shift)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
         shift += 1
-    roots = np.array([root(i) for i in range(len(fps))], np.int64) if len(fps) else parent
+    return np.array([root(i) for i in range(len(fps))], np.int64)
+
+
+def linked(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside groups: each fingerprint in a link, and one it is joined to.
+
+    `group` ascends. `side` is 0 where a whole group is compared; a piece of work between two parts holds 1 and 2, and only
+    pairs of different sides are taken.
+    """
+    if not len(fps):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    sizes = np.diff(np.append(starts, len(fps)))
+    roots = np.arange(len(fps))
+    small = np.flatnonzero(np.repeat(sizes <= SMALL_GROUP, sizes))
+    if len(small):
+        roots[small] = small[_forest_of_small(fps[small], group[small], side[small], radius)]
+    for a, n in zip(starts[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist(), strict=True):
+        roots[a : a + n] = a + _forest_of_large(fps[a : a + n], side[a : a + n], radius)
     inner = np.flatnonzero(roots != np.arange(len(fps)))
     return fps[inner].view(np.int64), fps[roots[inner]].view(np.int64)
 
