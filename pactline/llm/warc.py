@@ -11,9 +11,10 @@ payloads may hold that line too, so what it finds are candidates only. The steps
 2. Pointer jumping between blocks (one written table of links a round, doubling their reach) finds where the chain from
    the start of each file enters each block.
 3. From its entry each block marks the reachable candidates. All others were magic inside payloads.
-4. Segments go to the record they lie in; the few records of several segments are put together again.
+4. Segments go to the record they lie in, and those of one record are put together again.
 
-Only offsets go through steps 1 to 3; payloads move once, in step 4.
+Only offsets and headers go through steps 1 to 3; payloads move once, in step 4, by archive. An archive is what a task
+writes, so its size follows the partition sizes that the session asks for.
 
 Defined results: a null payload is empty; a null id is written without one and is always a response, as are repeated rows of
 the largest id; URLs lose control characters (percent-encoded) and null ones are `urn:none`; a table without rows gives an
@@ -34,7 +35,6 @@ from pactline.llm.common import discard, new_path, stored
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
-ARCHIVE_BYTES = 64 << 20
 LEAST_SHARED = 1000
 #: A group of equal payloads is spread over this many keys.
 SALTS = 16
@@ -54,8 +54,7 @@ def write_archives(
     shared = shared.where("n > 1").select("digest", "size", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(shared, ["digest", "size", "salt"], "left")
     rows = rows.withColumn("refers", F.when(F.col("id") < F.col("first"), F.col("first")))
-    total = pages.agg(F.sum(F.octet_length(payload))).first()[0] or 0
-    rows.select(_record(date)).repartition(max(1, -(-total // ARCHIVE_BYTES))).write.option("lineSep", END).text(path)
+    rows.select(_record(date)).write.option("lineSep", END).text(path)
     return path
 
 
@@ -223,21 +222,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     slim = chained.select("file", "block", "seq", "offset", "head", "content", "entry")
     marked = slim.groupBy("file", "block").applyInPandas(mark, "file string, block long, seq long, offset long, reached boolean")
     owner = F.last(F.when(F.col("reached"), F.col("offset")), True).over(W.partitionBy("file").orderBy("offset"))
-    marked = stored(marked.withColumn("owner", owner).where("owner IS NOT NULL"), "owners")
-    counts = marked.groupBy("file", "owner").agg(F.count("*").alias("segments"))
-    marked = marked.join(counts, ["file", "owner"])
-    values = scan.mapInPandas(_numbered, "file string, block long, value binary, seq long")
-    segments = values.join(marked, ["file", "block", "seq"])
-    single = segments.where("segments = 1").select("file", "owner", "value")
+    marked = marked.withColumn("owner", owner).where("owner IS NOT NULL").drop("offset").join(found, ["file", "block", "seq"])
+    fields = ["head", "content", "payload_length", *_HEAD.values()]
+    own = F.when(F.col("reached"), F.struct(*fields)).alias("fields")
+    marked = stored(marked.select("file", "block", "seq", "offset", "owner", own), "owners")
+    # a file's rows stay together from here on: payloads move once
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    values = scan.mapInPandas(_numbered, "file string, block long, value binary, seq long").repartition("file")
+    segments = values.join(marked.repartition("file"), ["file", "block", "seq"])
     piece = F.struct("offset", F.when(F.col("offset") == F.col("owner"), F.col("value")).otherwise(F.concat(F.lit(MAGIC).cast("binary"), F.col("value"))).alias("value"))
-    several = segments.where("segments > 1").groupBy("file", "owner").agg(F.array_sort(F.collect_list(piece)).alias("p"))
-    joined = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["value"])), ""))
-    raw = single.unionByName(several.select("file", "owner", joined.alias("value"))).withColumnRenamed("owner", "offset")
-    heads = found.drop("block", "seq", "size", "leaves")
-    whole = raw.join(heads, ["file", "offset"]).where(F.octet_length("value") >= F.col("head") + F.col("content"))
-    own = F.coalesce("payload_length", "content")
-    start = F.col("head") + F.col("content") - own + 1
-    payload = F.when(F.col("record_type") == "response", F.substring("value", start.cast("int"), own.cast("int")))
+    whole = segments.groupBy("file", F.col("owner").alias("offset")).agg(F.array_sort(F.collect_list(piece)).alias("p"), F.max("fields").alias("fields"))
+    several = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["value"])), ""))
+    value = F.when(F.size("p") == 1, F.element_at("p", 1)["value"]).otherwise(several)
+    whole = whole.select("file", "offset", "fields.*", value.alias("value")).where(F.octet_length("value") >= F.col("head") + F.col("content"))
+    length = F.coalesce("payload_length", "content")
+    start = F.col("head") + F.col("content") - length + 1
+    payload = F.when(F.col("record_type") == "response", F.substring("value", start.cast("int"), length.cast("int")))
     return whole.select("file", "offset", "record_type", "record_id", "target_uri", "refers_to", F.regexp_extract("digest", "sha1:(.*)", 1).alias("digest"), "payload_length", payload.alias("payload"))
 
 
