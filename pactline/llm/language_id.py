@@ -225,9 +225,10 @@ def identify(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: s
         (F.mean("cross_entropy") + REJECT_SD * F.coalesce(F.stddev("cross_entropy"), F.lit(0.0))).alias("limit")
     )
     found = found.join(F.broadcast(usual), "lang_pred", "left")  # one row a language
-    score = F.coalesce(F.element_at(chances, _bin(F.col("strength")) + 1), F.lit(0.0))
-    beyond = F.col("lang_pred").isNull() | F.col("limit").isNull() | (F.col("cross_entropy") > F.col("limit")) | (score < 0.5)
+    known = F.col("lang_pred").isNotNull()
+    score = F.when(known, F.element_at(chances, _bin(F.col("strength")) + 1)).otherwise(0.0)
+    beyond = ~known | F.col("limit").isNull() | (F.col("cross_entropy") > F.col("limit")) | (score < 0.5)
     return found.select(
         *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.coalesce("lang_pred", F.lit(UNDECIDED)).alias("lang_pred"),
-        score.alias("score"), "cross_entropy", beyond.alias("rejected"),
+        score.alias("score"), F.when(known, F.col("cross_entropy")).alias("cross_entropy"), beyond.alias("rejected"),
     )

@@ -284,14 +284,17 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def near_duplicates(rows: DataFrame, radius: int = 4) -> DataFrame:
-    """`rows` of `fingerprinted` with `component_id`, the smallest id that can be reached over links."""
+    """`rows` of `fingerprinted` with `component_id`, the smallest id that can be reached over links.
+
+    `label`, a fingerprint of the component, names it where ids are null or repeat.
+    """
     if not 0 <= radius <= 7:
         raise ValueError("the bit-sliced counter holds radii from 0 to 7")
     nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
     labels = components(links(nodes.select("fp"), radius))
     member = nodes.join(labels, nodes["fp"] == labels["node"], "left").select(nodes["fp"], "least", "n", F.coalesce("label", "fp").alias("label"))
     lowest = member.groupBy("label").agg(F.min("least").alias("component_id"))
-    member = stored(member.join(lowest, "label").select("fp", "n", "component_id"), "members")
+    member = stored(member.join(lowest, "label").select("fp", "n", "label", "component_id"), "members")
     total = rows.count()
     hot = member.where(F.col("n") * HOT_SHARE > F.lit(total)).drop("n")  # fewer than HOT_SHARE rows, whatever the input
     rest = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(member.drop("n"), "fp")
@@ -306,10 +309,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
     found = near_duplicates(fingerprinted(docs, id_col, text_col, n_words), radius)
     missing = F.lit(-(1 << 63))
     rank = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", missing).alias("key"), F.col("text_hash").alias("hash"))
-    # groups without any id are told apart by their texts' component only where one exists
-    group = F.when(F.col("component_id").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("component_id").alias("of")))
-    group = group.otherwise(F.struct(F.lit(1).alias("kind"), F.col("fp").alias("of")))
-    stay = found.groupBy(group.alias("g")).agg(F.min(rank).alias("r")).select(F.col("r.key").alias("_key"), F.col("r.hash").alias("_hash"))
+    stay = found.groupBy("label").agg(F.min(rank).alias("r")).select(F.col("r.key").alias("_key"), F.col("r.hash").alias("_hash"))
     stay = stay.distinct()
     names = docs.columns
     marked = docs.withColumns({"_key": F.coalesce(F.col(id_col).cast("long"), missing), "_hash": F.xxhash64(text_col)})
