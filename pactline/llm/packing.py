@@ -201,4 +201,5 @@ def packed(
     ids = ids.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
     pieces = stored(plan(ids, capacity, item_tokens, group_windows), "plan")
     cut = F.substring("ids", (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
-    return ids.join(pieces, ["_file", "_at"]).select("id", "start", "length", cut.alias("ids"), "doc_tokens", "sequence_id", "offset")
+    # merged at every size: where the plan is small, a broadcast would only make small runs differ from large ones
+    return ids.join(pieces.hint("merge"), ["_file", "_at"]).select("id", "start", "length", cut.alias("ids"), "doc_tokens", "sequence_id", "offset")
