@@ -19,7 +19,6 @@ KINDS = (
 SEVERITIES = ("error", "warning", "info")
 MAX_EXAMPLES = 10
 EVENTS_PER_ISSUE = 25
-EVENTS_PER_ISSUE_MAX = 200
 
 FIX_TYPE = "struct<kind:string,types:array<string>,values:array<string>,pattern:string>"
 
@@ -174,25 +173,24 @@ def issue_text(df: DataFrame) -> DataFrame:
     c, lit = F.col, F.lit
     field = field_label(c("path"))
     share_stat, share = percent(c("stat"), c("sampled")), percent(c("affected"), c("sampled"))
-    # The wording of every kind.
     summary = (
-        F.when(c("kind") == "wrongType", F.concat(field, lit(" is declared "), c("declared"), lit(" but "), share_stat, lit(" of events send "), c("observed")))
-        .when(c("kind") == "outsideEnum", F.concat(field, lit(" carries "), c("observed"), lit(" the declared values do not allow")))
-        .when(c("kind") == "missingRequired", F.concat(field, lit(" is required but absent from "), share, lit(" of events")))
-        .when(c("kind") == "emptyRequired", F.concat(field, lit(" is required but blank in "), share, lit(" of events")))
-        .when(c("kind") == "undeclared", F.concat(share, lit(" of events send "), field, lit(", which the schema does not describe")))
-        .when(c("kind") == "neverSeen", F.concat(field, lit(" never appeared in this sample")))
-        .otherwise(F.concat(field, lit(" rejects "), share, lit(" of events: "), clip(c("message"))))
+        F.when(c("kind") == "wrongType", F.concat(lit("type of "), field, lit(": contract "), c("declared"), lit(", traffic "), c("observed"), lit(" in "), share_stat))
+        .when(c("kind") == "outsideEnum", F.concat(lit("values of "), field, lit(" beyond its list: "), c("observed")))
+        .when(c("kind") == "missingRequired", F.concat(lit("mandatory "), field, lit(" left out: "), share))
+        .when(c("kind") == "emptyRequired", F.concat(lit("mandatory "), field, lit(" empty: "), share))
+        .when(c("kind") == "undeclared", F.concat(lit("unknown field "), field, lit(": "), share))
+        .when(c("kind") == "neverSeen", F.concat(lit("no traffic for "), field))
+        .otherwise(F.concat(lit("constraint on "), field, lit(" broken: "), share, lit(" ("), clip(c("message")), lit(")")))
     )
     action = (
-        F.when(c("kind") == "wrongType", F.concat(lit("Fix the producer, or redeclare "), field, lit(" as "), c("observed"), lit(".")))
-        .when(c("kind") == "outsideEnum", F.concat(lit("Allow "), c("observed"), lit(", or fix the producer.")))
-        .when(c("kind") == "missingRequired", F.concat(lit("Make "), field, lit(" optional, or fix the producers that omit it.")))
-        .when(c("kind") == "emptyRequired", F.concat(lit("Require a character in "), field, lit(", or fix the producers that send it blank.")))
-        .when((c("kind") == "undeclared") & c("rejects"), F.concat(lit("The contract forbids extra fields, so these events are rejected. Declare "), field, lit(".")))
-        .when(c("kind") == "undeclared", F.concat(lit("Declare "), field, lit(" as "), c("observed"), lit("; nothing checks it today.")))
-        .when(c("kind") == "neverSeen", lit("Dead or rare: widen the window before removing it."))
-        .otherwise(lit("Relax the constraint the events break, or fix the producer."))
+        F.when(c("kind") == "wrongType", F.concat(lit("Agree on one type: "), c("declared"), lit(" in the producer, or "), c("observed"), lit(" in the contract.")))
+        .when(c("kind") == "outsideEnum", lit("Extend the list, or stop sending these values."))
+        .when(c("kind") == "missingRequired", F.concat(lit("Send "), field, lit(" always, or drop it from the mandatory fields.")))
+        .when(c("kind") == "emptyRequired", F.concat(lit("Fill "), field, lit(" at the source, or set a least length.")))
+        .when((c("kind") == "undeclared") & c("rejects"), F.concat(lit("Closed object: add "), field, lit(" to it, or its events stay invalid.")))
+        .when(c("kind") == "undeclared", F.concat(lit("Describe "), field, lit(" ("), c("observed"), lit(") so that it is checked.")))
+        .when(c("kind") == "neverSeen", lit("Look at a longer span; then retire the field."))
+        .otherwise(lit("Loosen the constraint, or correct the source."))
     )
     return df.withColumns({"summary": summary, "action": action})
 
@@ -257,7 +255,7 @@ def unregistered(keys: DataFrame, matches: DataFrame) -> DataFrame:
 
 def with_example(events: DataFrame, types: DataFrame) -> DataFrame:
     """Newest payload per event type, for the types in `types`."""
-    wanted = events.join(F.broadcast(types.select("source", "event_type")), ["source", "event_type"], "left_semi")
+    wanted = events.join(types.select("source", "event_type"), ["source", "event_type"], "left_semi")
     newest = top_n_per_group(
         wanted.select("source", "event_type", "ts", "event_id", "detail"), ["source", "event_type"],
         [F.desc("ts"), F.asc("event_id")], 1, spread="event_id",

@@ -222,7 +222,7 @@ def field_sample(obs: DataFrame, path: str, cap: int = VALUE_CAP) -> DataFrame:
         "value_json",
         "occurrences",
         "distinct_values",
-        (F.col("distinct_values") >= cap).alias("capped"),
+        (F.col("distinct_values") > cap).alias("capped"),
     )
 
 

@@ -100,15 +100,15 @@ def diff_counts(diff: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame
     )
 
 
-def change_ledger(fields: DataFrame, versions: int = HISTORY_VERSIONS) -> DataFrame:
-    """Changes of every field between consecutive versions, over the newest `versions` of a contract.
+def change_ledger(fields: DataFrame, versions: int | None = HISTORY_VERSIONS) -> DataFrame:
+    """Changes of every field between consecutive versions, over the newest `versions` of a contract (None: all).
 
     Versions are paired by rank, so one join compares all pairs at once.
     """
     ranked = fields.select("name", "version").distinct().withColumn(
         "_rank", F.row_number().over(W.partitionBy("name").orderBy(F.desc("version")))
     )
-    recent = ranked.where(F.col("_rank") <= versions)
+    recent = ranked if versions is None else ranked.where(F.col("_rank") <= versions)
     rows = fields.where("depth > 0").join(recent, ["name", "version"])
     newer = recent.select("name", F.col("_rank"), "version")
     has_older = recent.select("name", (F.col("_rank") - 1).alias("_rank")).where("_rank > 0")

@@ -61,7 +61,6 @@ def resume_window(events: DataFrame, cursor, now, catch_up: str = CATCH_UP, over
 
 def probe(events: DataFrame, watch: Watch, now, hours: int = 24) -> DataFrame:
     """How often a watch would have fired per event type in the last hours, and when last."""
-    hours = max(1, min(hours, 24 * 7))
     since = F.lit(now) - F.make_interval(hours=F.lit(hours))
     window = events.where((F.col("ts") >= since) & (F.col("ts") < F.lit(now)))
     hits = window.where(watch_expr(watch))
@@ -254,7 +253,7 @@ def watch_activity(hits: DataFrame, seen: DataFrame) -> DataFrame:
 
 def retain_hits(hits: DataFrame, n: int = HITS_PER_ENV) -> DataFrame:
     """Newest `n` hits per environment."""
-    return top_n_per_group(hits, ["env"], [F.desc("at"), F.asc("event_id")], n, spread="event_id")
+    return top_n_per_group(hits, ["env"], [F.desc("at"), F.asc("event_id"), F.asc("watch_id")], n, spread="event_id")
 
 
 def retain_marks(marks: DataFrame, n: int = MARKS_PER_ENV) -> DataFrame:

@@ -232,10 +232,9 @@ def check_each(events: DataFrame, contracts: DataFrame) -> DataFrame:
 
 
 def events_for_issue(events: DataFrame, contracts: DataFrame, name: str, key: str, n: int = i.EVENTS_PER_ISSUE) -> DataFrame:
-    """Newest events that show one issue, at most 200."""
+    """Newest `n` events that show one issue."""
     c = Check(events, contracts, [name])
     found = event_issues(c.graded, c.fields)
     ids = found.where(F.col("key") == key).select("event_id").distinct()
-    limit = max(1, min(n, i.EVENTS_PER_ISSUE_MAX))
     shown = c.graded.join(ids, "event_id", "left_semi")
-    return shown.orderBy(F.desc("ts"), "event_id").limit(limit)
+    return shown.orderBy(F.desc("ts"), "event_id").limit(n)

@@ -363,7 +363,7 @@ def field_values(spark, sf):
 
 @query(
     "field_sample",
-    sql("occ", """SELECT row_number() OVER (ORDER BY f, v) AS pos, v AS value_json, occurrences, n AS distinct_values, n >= 32 AS capped FROM (
+    sql("occ", """SELECT row_number() OVER (ORDER BY f, v) AS pos, v AS value_json, occurrences, n AS distinct_values, n > 32 AS capped FROM (
     SELECT v, min((ts, e)) AS f, count(*) AS occurrences, count(*) OVER () AS n FROM occ WHERE path = 'k' AND src = 'clientPortal-web' GROUP BY v) ORDER BY f, v LIMIT 32"""),
 )
 def field_sample(spark, sf):
@@ -545,10 +545,10 @@ _SHARE = "CASE WHEN {n} = 0 OR sampled = 0 THEN '0%' ELSE CAST(greatest(CAST(rou
 
 @query(
     "issue_text",
-    sql("issues", f"""SELECT name, key, CASE kind WHEN 'undeclared' THEN {_SHARE.format(n='stat')} || ' of events send `' || path || '`, which the schema does not describe'
-    WHEN 'missingRequired' THEN '`' || path || '` is required but absent from ' || {_SHARE.format(n='affected')} || ' of events'
-    WHEN 'emptyRequired' THEN '`' || path || '` is required but blank in ' || {_SHARE.format(n='stat')} || ' of events'
-    WHEN 'neverSeen' THEN '`' || path || '` never appeared in this sample' END AS summary
+    sql("issues", f"""SELECT name, key, CASE kind WHEN 'undeclared' THEN 'unknown field `' || path || '`: ' || {_SHARE.format(n='stat')}
+    WHEN 'missingRequired' THEN 'mandatory `' || path || '` left out: ' || {_SHARE.format(n='affected')}
+    WHEN 'emptyRequired' THEN 'mandatory `' || path || '` empty: ' || {_SHARE.format(n='stat')}
+    WHEN 'neverSeen' THEN 'no traffic for `' || path || '`' END AS summary
     FROM issues WHERE kind IN ('undeclared', 'missingRequired', 'emptyRequired', 'neverSeen')"""),
 )
 def issue_text(spark, sf):
