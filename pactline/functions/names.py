@@ -46,6 +46,35 @@ def split_identity(col: Column) -> tuple[Column, Column]:
     return F.when(event_type.isNotNull(), source), event_type
 
 
+# Fixed value: the longest label a tracker takes.
+LABEL_CHARS = 255
+# Characters that have a meaning in a path, and how a member name spells them.
+_IN_NAMES = (("%", "%25"), (".", "%2E"), ("[", "%5B"), ("\u0001", "%01"))
+
+
 def label(col: Column) -> Column:
-    """A ticket label: no `[]`, white space to `-`, at most 255 characters."""
-    return F.left(F.regexp_replace(F.replace(F.trim(col), F.lit("[]"), F.lit("")), r"\s", "-"), F.lit(255))
+    """A ticket label: no `[]`, white space to `-`; a longer one is cut and ends in a hash of all of it."""
+    text = F.regexp_replace(F.replace(F.trim(col), F.lit("[]"), F.lit("")), r"\s", "-")
+    short = F.concat(F.left(text, F.lit(LABEL_CHARS - 13)), F.lit("-"), F.left(F.sha1(text.cast("binary")), F.lit(12)))
+    return F.when(F.length(text) <= LABEL_CHARS, text).otherwise(short)
+
+
+def path_step(name: Column) -> Column:
+    """A member name as a step of a path: a dot or bracket of its own is spelled `%2E`, `%5B`, so paths stay distinct."""
+    for char, code in _IN_NAMES:
+        name = F.replace(name, F.lit(char), F.lit(code))
+    return name
+
+
+def path_step_sql(name: str) -> str:
+    """`path_step` as SQL text."""
+    for char, code in _IN_NAMES:
+        name = f"replace({name}, '{char}', '{code}')"
+    return name
+
+
+def member_name(step: Column) -> Column:
+    """The member name that a step of a path stands for."""
+    for char, code in reversed(_IN_NAMES):
+        step = F.replace(step, F.lit(code), F.lit(char))
+    return step

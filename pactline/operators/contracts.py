@@ -6,23 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pactline.functions.names import detail_title, event_key, is_id_like, sanitize_name, split_identity
+from pactline.functions.names import detail_title, event_key, is_id_like, path_step_sql, sanitize_name, split_identity
 from pactline.session import cut
 from pactline.sources.contracts_io import ENVELOPE
 
 REF_PREFIX = "#/components/schemas/"
 
 # Keywords whose meaning a path table cannot carry.
-UNGRADABLE_KEYWORDS = (
-    "allOf", "anyOf", "oneOf", "not", "if", "dependencies", "patternProperties", "propertyNames",
-    "contains", "minProperties", "maxProperties",
-)
+UNGRADABLE_KEYWORDS = ("allOf", "not", "if", "dependencies", "patternProperties", "propertyNames", "contains")
 UNGRADABLE_FORMATS = ("regex",)
+# Alternatives are graded where each is no more than a type; these members besides say nothing about a value.
+ALTERNATIVES = ("anyOf", "oneOf")
+_PLAIN_BRANCH = "array('type', 'nullable', 'title', 'description')"
+
 
 def _kind(v: str, path: str) -> str:
     return f"schema_of_variant(try_variant_get({v}, '{path}', 'variant'))"
 
 
+def _branches(keyword: str) -> str:
+    """Types admitted by the branches of `anyOf` or `oneOf`; NULL where a branch holds more than types.
+
+    `oneOf` wants exactly one branch to match, so its types must not overlap.
+    """
+    of = f"try_variant_get(_s, '$.{keyword}', 'array<variant>')"
+    plain = (
+        f"forall({of}, b -> {_kind('b', '$.type')} RLIKE '^(STRING|ARRAY<STRING>)$'"
+        f" AND size(array_except(map_keys(try_variant_get(b, '$', 'map<string,variant>')), {_PLAIN_BRANCH})) = 0)"
+    )
+    types = (
+        f"flatten(transform({of}, b -> concat("
+        f"if({_kind('b', '$.type')} = 'STRING', array(try_variant_get(b, '$.type', 'string')), try_variant_get(b, '$.type', 'array<string>')),"
+        " if(coalesce(try_variant_get(b, '$.nullable', 'boolean'), false), array('null'), cast(array() AS array<string>)))))"
+    )
+    apart = "true"
+    if keyword == "oneOf":
+        apart = f"size({types}) = size(array_distinct({types})) AND NOT (array_contains({types}, 'number') AND array_contains({types}, 'integer'))"
+    return f"CASE WHEN size({of}) > 0 AND {plain} AND ({apart}) THEN array_distinct({types}) END"
+
+
 def _bound(member: str) -> str:
     return f"CASE WHEN {_kind('_s', '$.' + member)} RLIKE '^(BIGINT|DEC|DOUBLE|FLOAT)' THEN try_variant_get(_s, '$.{member}', 'double') END"
 
@@ -30,7 +52,9 @@ def _bound(member: str) -> str:
 def _keywords(nodes: DataFrame, keep: list[str]) -> DataFrame:
     """Read the keywords of each node's schema `_s`, in two steps so nothing is read twice."""
     none = "cast(array() AS array<string>)"
+    nodes = nodes.selectExpr("*", *[f"{_branches(k)} AS _{k}" for k in ALTERNATIVES])
     marks = [f"if(try_variant_get(_s, '$.{k}', 'variant') IS NULL, NULL, '{k}')" for k in UNGRADABLE_KEYWORDS]
+    marks += [f"if(try_variant_get(_s, '$.{k}', 'variant') IS NULL OR _{k} IS NOT NULL, NULL, '{k}')" for k in ALTERNATIVES]
     marks.append(f"if({_kind('_s', '$.additionalProperties')} LIKE 'OBJECT%', 'additionalProperties', NULL)")
     marks.append("if(try_variant_get(_s, '$.items.items', 'variant') IS NULL, NULL, 'items of items')")
     marks += [f"if(try_variant_get(_s, '$.format', 'string') = '{f}', 'format {f}', NULL)" for f in UNGRADABLE_FORMATS]
@@ -55,6 +79,10 @@ def _keywords(nodes: DataFrame, keep: list[str]) -> DataFrame:
         "try_variant_get(_s, '$.minItems', 'bigint') AS min_items",
         "try_variant_get(_s, '$.maxItems', 'bigint') AS max_items",
         "coalesce(try_variant_get(_s, '$.uniqueItems', 'boolean'), false) AS unique_items",
+        "try_variant_get(_s, '$.minProperties', 'bigint') AS min_props",
+        "try_variant_get(_s, '$.maxProperties', 'bigint') AS max_props",
+        "_anyOf AS any_of",
+        "_oneOf AS one_of",
         f"coalesce({_kind('_s', '$.additionalProperties')} = 'BOOLEAN'"
         " AND NOT try_variant_get(_s, '$.additionalProperties', 'boolean'), false) AS closed",
         f"coalesce(try_variant_get(_s, '$.required', 'array<string>'), {none}) AS required_names",
@@ -119,8 +147,8 @@ def _expand(contracts: DataFrame, keys: list[str], levels: int) -> DataFrame:
         ref, schema = _resolve("_kid.value")
         df = df.selectExpr("*", "_props IS NULL AS _is_item", f"{ref} AS _ref", f"{schema} AS _next")
         child = node.format(
-            path="CASE WHEN _is_item THEN concat(_node.path, '[]') WHEN _node.path = '' THEN _kid.key"
-            " ELSE concat(_node.path, '.', _kid.key) END",
+            path="CASE WHEN _is_item THEN concat(_node.path, '[]')"
+            f" ELSE concat(if(_node.path = '', '', concat(_node.path, '.')), {path_step_sql('_kid.key')}) END",
             parent="_node.path",
             leaf="_kid.key",
             required="NOT _is_item AND coalesce(array_contains(try_variant_get(_node._s, '$.required', 'array<string>'),"

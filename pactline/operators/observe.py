@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pactline.functions.json_types import JSON_TYPES, blank_sql, type_sql
+from pactline.functions.names import path_step_sql
 
 # Fixed value: distinct values listed for a field.
 VALUE_CAP = 32
@@ -34,7 +35,7 @@ def _subtree_sql(v: str, path: str, type_name: str, container_json: bool) -> str
     brackets = f"1 + size(split({text}, '[{{\\\\[]'))"
     members = (
         "transform(map_entries(try_variant_get(n.v, '$', 'map<string,variant>')), e -> named_struct("
-        "'path', if(n.path = '', e.key, concat(n.path, '.', e.key)), 'parent_path', n.path,"
+        f"'path', concat(if(n.path = '', '', concat(n.path, '.')), {path_step_sql('e.key')}), 'parent_path', n.path,"
         f" 'v', e.value, 'type', {type_sql('e.value')}))"
     )
     elements = (
@@ -73,7 +74,7 @@ def _walk(events: DataFrame, keys: list[str], levels: int, expand: str, containe
             *keys,
             "if(_pos IS NULL, _v, _val) AS _v",
             "CASE WHEN _pos IS NULL THEN _path WHEN _key IS NULL THEN concat(_path, '[]')"
-            " WHEN _path = '' THEN _key ELSE concat(_path, '.', _key) END AS _path",
+            f" ELSE concat(if(_path = '', '', concat(_path, '.')), {path_step_sql('_key')}) END AS _path",
             "if(_pos IS NULL, _parent, _path) AS _parent",
             f"if(_pos IS NULL, _type, {type_sql('_val')}) AS _type",
             f"CASE WHEN _pos IS NULL THEN _pend WHEN _pos = 0 THEN array_append(_pend, {self_node})"
@@ -91,6 +92,8 @@ def observe(
 ) -> DataFrame:
     """One row per occurrence of every path in `detail`; array steps collapse to `[]`.
 
+    A dot inside a member name is spelled `%2E` (`names.path_step`), so it is no step.
+
     No shuffle and no depth limit: payloads nested deeper than `levels` finish inside a row-local
     expression. Works on streams. `value_json` is canonical text, for scalars unless
     `container_json`; the payload itself (path '') only with `include_root`.
@@ -125,27 +128,35 @@ def event_paths(
         f"if(_type IN ('object', 'array'), {_subtree_sql('_v', '_path', '_type', False)},"
         f" cast(array() AS array<{_NODE}>)) AS _sub",
     )
-    # Strings, so that array_distinct hashes instead of comparing all pairs.
+    # Strings, so that array_distinct hashes instead of comparing all pairs. Sorted, the marks of one path lie side by
+    # side, and one pass over the places where the path changes folds them.
     sep = "\\u0001"
+    mark = "concat_ws('{0}', n.path, n.parent_path, n.type, cast(n.is_blank AS string))".format(sep)
     marked = below.selectExpr(
         *keys,
         "concat(_pend, array(_self)) AS _once",
-        f"array_distinct(transform(_sub, n -> concat(n.path, '{sep}', n.parent_path))) AS _paths",
-        f"array_distinct(transform(_sub, n -> concat(n.path, '{sep}', n.type, '{sep}', cast(n.is_blank AS string))))"
-        " AS _marks",
+        f"array_sort(array_distinct(transform(_sub, n -> {mark}))) AS _marks",
+    )
+    path_of = "substring_index({0}, '{1}', 1)"
+    changes = f"{path_of.format('get(_marks, i - 1)', sep)} <> {path_of.format('get(_marks, i - 2)', sep)}"
+    starts = marked.selectExpr(
+        *keys,
+        "_once",
+        "_marks",
+        f"if(size(_marks) = 0, cast(array() AS array<int>), filter(sequence(1, size(_marks)), i -> i = 1 OR {changes})) AS _starts",
     )
     single = (
         "transform(_once, n -> named_struct('path', n.path, 'parent_path', n.parent_path,"
         " 'types', n.type, 'is_blank', n.is_blank))"
     )
+    part = "split({0}, '" + sep + "')[{1}]"
     folded = (
-        f"transform(_paths, p -> named_struct('path', split(p, '{sep}')[0], 'parent_path', split(p, '{sep}')[1],"
-        f" 'types', array_join(array_sort(array_distinct(transform(filter(_marks,"
-        f" m -> split(m, '{sep}')[0] = split(p, '{sep}')[0]), m -> split(m, '{sep}')[1]))), ','),"
-        f" 'is_blank', exists(_marks, m -> split(m, '{sep}')[0] = split(p, '{sep}')[0]"
-        f" AND split(m, '{sep}')[2] = 'true')))"
+        "transform(transform(_starts, (s, j) -> slice(_marks, s, coalesce(get(_starts, j + 1), size(_marks) + 1) - s)),"
+        f" g -> named_struct('path', {part.format('g[0]', 0)}, 'parent_path', {part.format('g[0]', 1)},"
+        f" 'types', array_join(array_sort(array_distinct(transform(g, m -> {part.format('m', 2)}))), ','),"
+        f" 'is_blank', exists(g, m -> endswith(m, '{sep}true'))))"
     )
-    return marked.selectExpr(*keys, f"inline(concat({single}, {folded}))")
+    return starts.selectExpr(*keys, f"inline(concat({single}, {folded}))")
 
 
 def type_set_counts(paths: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pactline.functions.names import member_name
+
 
 def apply_repairs(
-    fields: DataFrame, repairs: DataFrame, keys: tuple[str, ...] = ("name",)
+    fields: DataFrame, repairs: DataFrame, keys: tuple[str, ...] = ("name",), enum_values: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Edited fields, and the repairs refused with the reason.
 
     `repairs` has one `(path, fix)` per key and field and kind. Refused: an array element, a path the
-    contract cannot place, a field that is already optional. Editing below a shared reference edits
-    the shared type, so every path that reaches it through that type changes with it.
+    contract cannot place, a field that is already optional, a field declared by a reference (its type is shared and
+    is to be changed itself). Editing a member of a shared type edits every path that reaches it; what several paths
+    ask of one member is joined. `enum_values` (`path, value_json`, one row per value) stands in for the values an
+    `extendEnum` lists, which are cut for display.
     """
     keys = list(keys)
     asked = repairs.where("fix IS NOT NULL")
-    owners = fields.select(*keys, "path", "owner_type", "leaf", "required", F.lit(True).alias("_declared"))
+    owners = fields.select(*keys, "path", "owner_type", "leaf", "required", "ref_target", F.lit(True).alias("_declared"))
+    if enum_values is not None:
+        seen = enum_values.groupBy(*keys, "path").agg(F.array_sort(F.collect_set("value_json")).alias("_all"))
+        asked = asked.join(seen, [*keys, "path"], "left").withColumn(
+            "fix", F.when(F.col("fix.kind") == "extendEnum", F.col("fix").withField("values", F.coalesce("_all", "fix.values"))).otherwise(F.col("fix"))
+        ).drop("_all")
     placed = asked.join(owners, [*keys, "path"], "left")
     parents = fields.select(
         *keys, F.col("path").alias("_parent"), F.coalesce("ref_target", "owner_type").alias("_parent_type"),
@@ -32,6 +41,7 @@ def apply_repairs(
         .when((kind == "declareField") & F.col("_declared"), "already declared")
         .when((kind != "declareField") & F.col("_declared").isNull(), "not declared")
         .when((kind == "dropRequired") & ~F.col("required"), "already optional")
+        .when(~kind.isin("dropRequired", "declareField") & F.col("ref_target").isNotNull(), "declared by a reference")
     )
     judged = placed.withColumn("reason", reason)
     refused = judged.where("reason IS NOT NULL").select(*keys, "path", kind.alias("kind"), "reason")
@@ -43,10 +53,23 @@ def apply_repairs(
         .agg(
             F.bool_or(kind == "dropRequired").alias("_optional"),
             F.bool_or(kind == "requireNonEmpty").alias("_nonempty"),
-            F.max(F.when(kind == "widenType", F.col("fix.types"))).alias("_types"),
-            F.max(F.when(kind == "extendEnum", F.col("fix.values"))).alias("_values"),
-            F.max(F.when(kind == "constrainPattern", F.col("fix.pattern"))).alias("_pattern"),
+            # The declared order stays in front; types beyond it follow by name.
+            F.max(F.when(kind == "widenType", F.struct(F.size("fix.types").alias("n"), F.col("fix.types").alias("t")))).getField("t").alias("_first"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(kind == "widenType", F.col("fix.types")))))).alias("_more"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(kind == "extendEnum", F.col("fix.values")))))).alias("_listed"),
+            F.array_sort(F.collect_set(F.when(kind == "constrainPattern", F.col("fix.pattern")))).alias("_patterns"),
+        )
+        .withColumns(
+            {
+                "_types": F.array_union("_first", "_more"),
+                "_values": F.when(F.size("_listed") > 0, F.col("_listed")),
+                # Shapes of several paths: any of them.
+                "_pattern": F.when(F.size("_patterns") == 1, F.get("_patterns", F.lit(0))).when(
+                    F.size("_patterns") > 1, F.concat(F.lit("(?:"), F.array_join("_patterns", ")|(?:"), F.lit(")"))
+                ),
+            }
         )
+        .drop("_first", "_more", "_listed", "_patterns")
     )
     c = F.col
     no_object = c("_types").isNotNull() & ~F.array_contains("_types", "object")
@@ -85,7 +108,7 @@ def apply_repairs(
         F.collect_set("leaf").alias("_dropped")
     )
     added = ok.where(kind == "declareField").groupBy(*keys, F.col("_parent_type").alias("_owner")).agg(
-        F.collect_set(F.regexp_extract("path", r"([^.]*)$", 1)).alias("_added")
+        F.collect_set(member_name(F.regexp_extract("path", r"([^.]*)$", 1))).alias("_added")
     )
     edited = edited.withColumn("_owner", F.coalesce("ref_target", F.when(c("depth") == 0, c("owner_type"))))
     edited = edited.withColumn(
@@ -107,7 +130,7 @@ def apply_repairs(
         *keys,
         "path",
         c("_parent").alias("parent_path"),
-        F.regexp_extract("path", r"([^.]*)$", 1).alias("leaf"),
+        member_name(F.regexp_extract("path", r"([^.]*)$", 1)).alias("leaf"),
         c("_parent_type").alias("owner_type"),
         (c("_parent_depth") + 1).alias("depth"),
         c("fix.types").alias("types"),
@@ -116,7 +139,7 @@ def apply_repairs(
     )
     for name, dtype in fields.dtypes:
         if name not in new.columns:
-            value = F.array() if dtype.startswith("array") and name != "enum_json" else F.lit(False if dtype == "boolean" else None)
+            value = F.array() if dtype.startswith("array") and name not in ("enum_json", "any_of", "one_of") else F.lit(False if dtype == "boolean" else None)
             new = new.withColumn(name, value.cast(dtype))
     version = [k for k in fields.columns if k == "version" and k not in keys]
     if version:

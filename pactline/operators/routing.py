@@ -22,8 +22,13 @@ def route(
     """Add `project, issue_type, rule, reason`: best source rule, else owner rule, else the default.
 
     Rules have `pos, pattern, project, issue_type`. Only distinct sources and owners meet the rules;
-    findings then join the decisions on equal keys. A finding may list `owners`.
+    findings then join the decisions on equal keys. A finding may list `owners`, and name its `repo`, which an owner
+    rule can match too, after them.
     """
+    columns = findings.columns
+    repo = F.when(F.col("repo").isNotNull(), F.array("repo")) if "repo" in columns else F.lit(None)
+    none = F.array().cast("array<string>")
+    findings = findings.withColumn("_who", F.concat(F.coalesce("owners", none), F.coalesce(repo.cast("array<string>"), none)))
     src = findings.select("source").distinct()
     usable = routes.where("trim(project) <> '' AND trim(pattern) <> ''").select(
         "pos", "pattern", F.trim("project").alias("project"), "issue_type", glob_regex_col(F.trim("pattern"), True).alias("_rx")
@@ -35,27 +40,26 @@ def route(
     owner_rules = owner_routes.where("trim(project) <> '' AND trim(pattern) <> ''").select(
         "pos", "pattern", F.trim("project").alias("project"), "issue_type", glob_regex_col(F.trim("pattern"), True).alias("_rx")
     )
-    sets = findings.where("owners IS NOT NULL").select("owners").distinct()
-    own = sets.select("owners", F.posexplode("owners").alias("_i", "owner"))
+    own = findings.select("_who").distinct().select("_who", F.posexplode("_who").alias("_i", "owner"))
     by_owner = top_n_per_group(
-        own.join(broadcast_checked(owner_rules), F.rlike(F.col("owner"), F.col("_rx"))), ["owners"], [F.asc("pos"), F.asc("_i")], 1
-    ).select("owners", F.struct("owner", "pattern", "project", "issue_type").alias("_o"))
+        own.join(broadcast_checked(owner_rules), F.rlike(F.col("owner"), F.col("_rx"))), ["_who"], [F.asc("pos"), F.asc("_i")], 1
+    ).select("_who", F.struct("owner", "pattern", "project", "issue_type").alias("_o"))
     s, o = F.col("_s"), F.col("_o")
     default = F.lit(default_project.strip() if default_project and default_project.strip() else None)
     reason = (
-        F.when(s.isNotNull(), F.concat(F.lit("`"), "source", F.lit("` matches the rule "), s["pattern"]))
+        F.when(s.isNotNull(), F.concat(F.lit("source rule "), s["pattern"]))
         .when(
             o.isNotNull(),
-            F.concat(F.lit("no source rule matches `"), "source", F.lit("`; its publisher `"), o["owner"], F.lit("` matches the owner rule "), o["pattern"]),
+            F.concat(F.lit("owner rule "), o["pattern"], F.lit(", by "), o["owner"]),
         )
-        .when(default.isNotNull(), F.concat(F.lit("no rule matches `"), "source", F.lit("`, so the default project is used")))
+        .when(default.isNotNull(), F.lit("default project"))
     )
     named = F.coalesce(F.when(s.isNotNull(), s["issue_type"]), F.when(s.isNull(), o["issue_type"]))
     return (
         findings.join(by_source, "source", "left")
-        .join(by_owner, "owners", "left")
+        .join(by_owner, "_who", "left")
         .select(
-            *findings.columns,
+            *columns,
             F.coalesce(s["project"], o["project"], default).alias("project"),
             F.when(reason.isNotNull(), F.coalesce(F.when(F.trim(named) != "", named), F.lit(default_type))).alias("issue_type"),
             F.coalesce(s["pattern"], o["pattern"]).alias("rule"),
@@ -186,14 +190,14 @@ def rollup(findings: DataFrame, window: str = "the window") -> DataFrame:
         F.count("*").alias("findings"), F.count_if("rejects").alias("rejecting")
     ).join(worst, keys)
     n, r = F.col("findings"), F.col("rejecting")
-    tail = F.when(r == 0, "").when(r == 1, " (1 causes rejections)").otherwise(F.concat(F.lit(" ("), r.cast("string"), F.lit(" cause rejections)")))
+    tail = F.when(r == 0, "").otherwise(F.concat(F.lit(", rejecting: "), r.cast("string")))
     about = F.when(F.col("event_type") == "", F.col("name")).otherwise(F.col("event_type"))
     title = F.concat(
         F.lit("["), "source", F.lit("] "),
-        F.when(n == 1, plain(F.col("_summary"))).otherwise(F.concat(n.cast("string"), F.lit(" schema findings on "), about, tail)),
+        F.when(n == 1, plain(F.col("_summary"))).otherwise(F.concat(about, F.lit(", contract findings: "), n.cast("string"), tail)),
     )
-    numbers = F.concat(F.col("_affected").cast("string"), F.lit(" of "), F.col("_sampled").cast("string"), F.lit(" sampled events"))
-    again = F.when(n == 1, F.concat(F.lit("Still happening: "), numbers, F.lit(f" over {window}."))).otherwise(
-        F.concat(F.lit("Still happening: "), n.cast("string"), F.lit(f" findings on this event type over {window}. The largest affects "), numbers, F.lit("."))
+    numbers = F.concat(F.col("_affected").cast("string"), F.lit(" in "), F.col("_sampled").cast("string"), F.lit(" events"))
+    again = F.concat(
+        F.lit(f"Seen again in {window}: "), F.when(n == 1, numbers).otherwise(F.concat(n.cast("string"), F.lit(" findings, at most "), numbers))
     )
     return rows.select(*keys, "findings", "rejecting", title.alias("title"), again.alias("recurrence"))

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from pactline.functions.formats import format_ok
 from pactline.functions.json_types import json_text
+from pactline.functions.names import path_step
 from pactline.session import broadcast_checked
 
 CONSTRAINED = (
     "typed", "types", "enum_json", "const_json", "format", "pattern", "min_len", "max_len", "minimum", "maximum",
     "above", "below", "multiple_of", "min_items", "max_items", "unique_items", "closed", "required_names",
-    "declared_names",
+    "declared_names", "min_props", "max_props", "any_of", "one_of", "ungradable", "cyclic",
 )
+# Class of the rows that mark a value under a constraint nobody graded.
+UNGRADED = "ungraded"
 
 
 def constrained_fields(fields: DataFrame) -> DataFrame:
@@ -24,6 +27,8 @@ def constrained_fields(fields: DataFrame) -> DataFrame:
         " OR min_len IS NOT NULL OR max_len IS NOT NULL OR minimum IS NOT NULL OR maximum IS NOT NULL"
         " OR above IS NOT NULL OR below IS NOT NULL OR multiple_of IS NOT NULL OR min_items IS NOT NULL"
         " OR max_items IS NOT NULL OR unique_items OR closed OR size(required_names) > 0"
+        " OR min_props IS NOT NULL OR max_props IS NOT NULL OR any_of IS NOT NULL OR one_of IS NOT NULL"
+        " OR size(ungradable) > 0 OR cyclic"
     )
 
 
@@ -65,13 +70,21 @@ def value_checks(members_too: bool = True) -> list[Column]:
         return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
     def child(name: Column) -> Column:
-        return F.when(c("path") == "", name).otherwise(F.concat(c("path"), F.lit("."), name))
+        return F.when(c("path") == "", path_step(name)).otherwise(F.concat(c("path"), F.lit("."), path_step(name)))
+
+    def admitted(types: str) -> Column:
+        return (
+            F.array_contains(types, kind)
+            | ((kind == "integer") & F.array_contains(types, "number"))
+            | ((kind == "number") & F.array_contains(types, "integer") & (number == F.floor(number)))
+        )
+
+    def alternatives(types: str, keyword: str) -> Column:
+        return one(
+            c(types).isNotNull() & ~admitted(types), "other", keyword,
+            says(quoted, " is none of ", F.array_join(types, ", ")),
+        )
 
-    admitted = (
-        F.array_contains("types", kind)
-        | ((kind == "integer") & F.array_contains("types", "number"))
-        | ((kind == "number") & F.array_contains("types", "integer") & (number == F.floor(number)))
-    )
     members = F.when(kind == "object", F.json_object_keys(value))
     length = F.json_array_length(F.when(kind == "array", value))
     items = F.expr("transform(try_variant_get(try_parse_json(if(type = 'array', value_json, NULL)), '$', 'array<variant>'), x -> to_json(x))")
@@ -93,7 +106,7 @@ def value_checks(members_too: bool = True) -> list[Column]:
     empty = F.array().cast(shape)
     return [
         one(
-            c("typed") & ~admitted, "wrongType", "type",
+            c("typed") & ~admitted("types"), "wrongType", "type",
             says(quoted, " is not of type ", F.array_join("types", ", ")),
         ),
         one(
@@ -114,25 +127,42 @@ def value_checks(members_too: bool = True) -> list[Column]:
         one(F.abs(ratio - F.round(ratio)) > 1e-9, "other", "multipleOf", says(quoted, " is not a multiple of ", c("multiple_of").cast("string"))),
         one(length < c("min_items"), "other", "minItems", says(quoted, " has less than ", c("min_items").cast("string"), " items")),
         one(length > c("max_items"), "other", "maxItems", says(quoted, " has more than ", c("max_items").cast("string"), " items")),
+        one(F.size(members) < c("min_props"), "other", "minProperties", says(quoted, " has less than ", c("min_props").cast("string"), " members")),
+        one(F.size(members) > c("max_props"), "other", "maxProperties", says(quoted, " has more than ", c("max_props").cast("string"), " members")),
+        alternatives("any_of", "anyOf"),
+        alternatives("one_of", "oneOf"),
         one(c("unique_items") & (F.size(items) != F.size(F.array_distinct(items))), "other", "uniqueItems", says(quoted, " has non-unique elements")),
     ]
 
 
-def violations(obs: DataFrame, fields: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
-    """One row per broken constraint and occurrence.
+def _ungraded_mark() -> Column:
+    """A row for a value whose declaration holds a constraint that is not graded, or stops at a cycle."""
+    held = (F.size("ungradable") > 0) | (F.col("cyclic") & (F.col("type") == "object"))
+    mark = F.struct(
+        F.lit(UNGRADED).alias("class"), F.col("path").alias("path"), F.lit(UNGRADED).alias("constraint"),
+        F.lit(UNGRADED).alias("expected"), F.lit("not graded").alias("message"),
+    )
+    return F.when(held, F.array(mark)).otherwise(F.array())
+
+
+def violations(
+    obs: DataFrame, fields: DataFrame, keys: tuple[str, ...] = ("name",), mark_ungraded: bool = False
+) -> DataFrame:
+    """One row per broken constraint and occurrence; with `mark_ungraded` also one per value nobody could grade.
 
     `obs` comes from `observe(..., container_json=True, include_root=True)`. The contract side is
     broadcast after a size check; the observations are never shuffled. Keywords that a path table
-    cannot carry are listed in `ungradable` of the field table and reported, not passed silently.
+    cannot carry are listed in `ungradable` of the field table and reported, not passed silently: the marks make the
+    events that hold such a value `undecided` in `verdicts`.
     """
     keys = list(keys)
     rules = broadcast_checked(constrained_fields(fields).select(*keys, "path", *CONSTRAINED))
     joined = obs.join(rules, [*keys, "path"])
-    carried = [c for c in obs.columns if c not in ("path", "parent_path", "is_blank")]
     # A container is not carried as evidence: it can be the whole payload.
     evidence = F.when(~F.col("type").isin("object", "array"), F.col("value_json")).alias("value_json")
     carried = [c for c in obs.columns if c not in ("path", "parent_path", "is_blank", "value_json")]
-    return joined.select(*carried, evidence, F.col("path").alias("at_path"), F.inline(F.concat(*value_checks())))
+    checks = value_checks() + ([_ungraded_mark()] if mark_ungraded else [])
+    return joined.select(*carried, evidence, F.col("path").alias("at_path"), F.inline(F.concat(*checks)))
 
 
 def format_violations(obs: DataFrame, fields: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
@@ -148,7 +178,8 @@ def causes(viol: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
     The rows meet once by event; flags mark the first row of each event, of each cause in it and of
     each value in that, so all later counts are sums with map-side partials and no key is hot. One
     row per (cause, unexpected enum value): `affected` events, `occurrences`, `rejected` (events
-    counted under this cause), `value_events`, and the first example.
+    counted under this cause), `value_events`, and the first example. Marks of class `ungraded` count an event only
+    where nothing in it broke, so their `rejected` is the number of undecided events.
     """
     keys = list(keys)
     cause = [*keys, "class", "path", "constraint"]
@@ -156,7 +187,7 @@ def causes(viol: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
     rows = viol.withColumn("value", F.when(scalar_enum, F.col("value_json")))
 
     def first(*parts):
-        order = W.partitionBy(*keys, "event_id", *parts).orderBy("class", "path", "constraint", "value")
+        order = W.partitionBy(*keys, "event_id", *parts).orderBy(F.col("class") == UNGRADED, "class", "path", "constraint", "value")
         return (F.row_number().over(order) == 1)
 
     marked = rows.withColumns(
@@ -181,7 +212,7 @@ def causes(viol: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
 def group_failures(caused: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
     """One row per cause: `affected` events, `occurrences`, and the first example with its message."""
     cause = [*keys, "class", "path", "constraint"]
-    out = caused.groupBy(*cause).agg(
+    out = caused.where(F.col("class") != UNGRADED).groupBy(*cause).agg(
         F.sum("affected").alias("affected"),
         F.sum("occurrences").alias("occurrences"),
         F.min_by("_first", "_at").alias("_first"),
@@ -194,15 +225,19 @@ def group_failures(caused: DataFrame, keys: tuple[str, ...] = ("name",)) -> Data
 
 
 def failed_events(caused: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
-    """Rejected events per key."""
-    return caused.groupBy(*keys).agg(F.sum("rejected").alias("failed"))
+    """Rejected events per key, and those that hold an ungraded value but break nothing."""
+    mark = F.col("class") == UNGRADED
+    return caused.groupBy(*keys).agg(
+        F.sum(F.when(mark, 0).otherwise(F.col("rejected"))).cast("bigint").alias("failed"),
+        F.sum(F.when(mark, F.col("rejected")).otherwise(0)).cast("bigint").alias("undecided"),
+    )
 
 
 def verdicts(sampled: DataFrame, caused: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
-    """Sampled, passed and failed events; `sampled` holds the event count per key."""
+    """Sampled, passed, failed and undecided events; `sampled` holds the event count per key."""
     return (
         sampled.join(failed_events(caused, keys), list(keys), "left")
-        .fillna(0, ["failed"])
-        .withColumn("passed", F.col("sampled") - F.col("failed"))
-        .select(*keys, "sampled", "passed", "failed")
+        .fillna(0, ["failed", "undecided"])
+        .withColumn("passed", F.col("sampled") - F.col("failed") - F.col("undecided"))
+        .select(*keys, "sampled", "passed", "failed", "undecided")
     )

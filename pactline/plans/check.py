@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pactline.functions.names import path_step
 from pactline.operators import drift as d
 from pactline.operators import issues as i
 from pactline.operators import violations as v
@@ -83,7 +84,12 @@ class Check:
 
     @cached_property
     def causes(self) -> DataFrame:
-        return cut(v.causes(self.violations))
+        return cut(v.causes(v.violations(self.occurrences, self.fields, mark_ungraded=True)))
+
+    @cached_property
+    def enum_values(self) -> DataFrame:
+        """Every value outside its enum, one row each: what `apply_repairs` adds to the enum."""
+        return self.causes.where("value IS NOT NULL").select("name", "path", F.col("value").alias("value_json")).distinct()
 
     @cached_property
     def failures(self) -> DataFrame:
@@ -180,10 +186,12 @@ def event_issues(graded: DataFrame, fields: DataFrame) -> DataFrame:
         F.transform(
             F.when(members.isNotNull(), F.col("required_names")),
             lambda n: row(
-                "missingRequired", F.concat(child, n), ~F.array_contains(members, n), ~F.array_contains(members, n)
+                "missingRequired", F.concat(child, path_step(n)),
+                # A name required but not declared is a broken constraint, no drift of a field.
+                ~F.array_contains(members, n) & F.array_contains("declared_names", n), ~F.array_contains(members, n),
             ),
         ),
-        lambda r: r["drift"] | r["path"].contains("[]"),
+        lambda r: r["drift"] | r["rejects"] | r["path"].contains("[]"),
     )
     broken = F.transform(
         F.concat(*v.value_checks(members_too=False)),

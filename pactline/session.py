@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,27 +41,35 @@ def broadcast_checked(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Da
     return F.broadcast(df) if size <= max_bytes else df
 
 
-def scratch_dir(spark: SparkSession) -> str | None:
-    """Shared folder for intermediate tables: `spark.checkpoint.dir`; on a local master a temporary one."""
+_OWN: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables: `spark.checkpoint.dir`.
+
+    A session of one process that lacks the setting, as in tests, gets one temporary folder, deleted when Python ends; a
+    cluster without it is refused, so that the same call never does the work in two ways.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="pactline-")
-    return None
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="pactline-")
+        atexit.register(shutil.rmtree, _OWN[context.applicationId], ignore_errors=True)
+    return _OWN[context.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write a contract-sized result once and go on from the written table.
 
     What several later steps read is then computed once, survives the loss of executors, and has a
-    known size, so Spark chooses its joins by it. Without a shared folder the plan is kept as it is.
+    known size, so Spark chooses its joins by it.
     """
     if df.isStreaming:
         return df
-    base = scratch_dir(df.sparkSession)
-    if base is None:
-        return df
-    path = f"{base}/pactline/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/pactline/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

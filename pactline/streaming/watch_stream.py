@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +32,12 @@ def checkpoint_dir(spark: SparkSession, name: str, fallback: str | None = None)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """What earlier batches wrote; None before the first one. Any other failure to read is one."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -43,43 +48,50 @@ def start_watch(
     out: str,
     checkpoint: str,
     started_at=None,
-    max_backlog: str = CATCH_UP,
+    max_backlog: str | None = CATCH_UP,
     now=None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write hits to `out/hits` and messages to `out/messages`.
 
-    Ids are held for the overlap by the watermark; the batch step drops what is already stored and
-    writes one folder per batch id, so a replayed batch overwrites itself. State survives in the
-    checkpoint. Events older than the backlog limit are skipped and counted in `out/skipped`.
+    Every batch drops what earlier batches stored, among the hits of its own span of time, and writes one folder per
+    batch id, so a replayed batch overwrites itself. No event is late: rows may arrive in any order. Events older than
+    `max_backlog` before `now` (the start of the query if not given) are skipped and counted in `out/skipped`, one by
+    one and not per watch; None skips nothing.
     """
-    if now is not None:
-        floor = F.lit(now) - F.expr(f"INTERVAL {max_backlog}")
-        events = events.withColumn("_skipped", F.col("ts") < floor)
-    else:
-        events = events.withColumn("_skipped", F.lit(False))
-    hits = dedup_hits(match_watches(events, watches))
+    old = F.lit(False)
+    if max_backlog is not None:
+        at = now if now is not None else dt.datetime.now(dt.timezone.utc)
+        old = F.col("ts") < F.lit(at) - F.expr(f"INTERVAL {max_backlog}")
+    events = events.withColumn("_skipped", F.coalesce(old, F.lit(False)))
+    hits = match_watches(events.where("NOT _skipped"), watches)
+    if max_backlog is not None:
+        hits = hits.unionByName(events.where("_skipped").withColumn("watch_id", F.lit("")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         folder = f"batch_id={batch_id}"
-        skipped = batch.where("_skipped").agg(
-            F.count("*").alias("events"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts")
-        )
-        skipped.where("events > 0").write.mode("overwrite").parquet(f"{out}/skipped/{folder}")
-        stored = _stored(spark, f"{out}/hits")
-        if stored is not None and "batch_id" in stored.columns:
-            stored = stored.where(F.col("batch_id") < batch_id)
-        fresh = dedup_hits(batch.where("NOT _skipped").drop("_skipped"), stored)
-        if started_at is not None:
-            fresh = fresh.withColumn("backfill", F.col("ts") < F.lit(started_at))
-        else:
-            fresh = fresh.withColumn("backfill", F.lit(False))
-        graded = grade_hits(fresh, contracts)
-        kept = graded.withColumn("message_json", F.to_json("envelope")).drop("envelope", "detail")
-        kept.write.mode("overwrite").parquet(f"{out}/hits/{folder}")
-        written = spark.read.parquet(f"{out}/hits/{folder}").withColumn("envelope", F.parse_json("message_json"))
-        hit_digest(written, watches).write.mode("overwrite").parquet(f"{out}/messages/{folder}")
+        # Read by several writes; the stream's source is read once.
+        batch = batch.persist()
+        try:
+            skipped = batch.where("_skipped").select("event_id", "ts").dropDuplicates(["event_id"]).agg(
+                F.count("*").alias("events"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts")
+            )
+            skipped.where("events > 0").write.mode("overwrite").parquet(f"{out}/skipped/{folder}")
+            found = batch.where("NOT _skipped").drop("_skipped")
+            stored = _stored(spark, f"{out}/hits")
+            if stored is not None and "batch_id" in stored.columns:
+                span = found.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+                stored = stored.where((F.col("batch_id") < batch_id) & F.col("ts").between(F.lit(span["a"]), F.lit(span["b"])))
+            fresh = dedup_hits(found, stored)
+            looked_back = F.col("ts") < F.lit(started_at) if started_at is not None else F.lit(False)
+            graded = grade_hits(fresh.withColumn("backfill", looked_back), contracts)
+            kept = graded.withColumn("message_json", F.to_json("envelope")).drop("envelope", "detail")
+            kept.write.mode("overwrite").parquet(f"{out}/hits/{folder}")
+            written = spark.read.parquet(f"{out}/hits/{folder}").withColumn("envelope", F.parse_json("message_json"))
+            hit_digest(written, watches).write.mode("overwrite").parquet(f"{out}/messages/{folder}")
+        finally:
+            batch.unpersist()
 
     writer = hits.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "15 seconds"})).start()

@@ -19,7 +19,7 @@ FORMAT_CASES = {
     "iso-date-time": (["2024-01-01T12:00:00"], ["2024-01-01TT12:00:00"]),
     "duration": (["P1D", "PT5M", "P2W"], ["P", "PT", "1D"]),
     "uri": (["http://a.b/c?d#e", "urn:x:y", "http://[::1]:80/"], ["//a/b", "abc", "http://a b"]),
-    "uri-reference": (["/a/b", "a", "", "//h/p", "#f"], ["a b", "\\x"]),
+    "uri-reference": (["/a/b", "a", "", "//h/p", "#f", '/a"b', "http://[v1.a]/"], ["a b", "\\x"]),
     "uri-template": (["http://a/{b}", "{+x}/{y*}"], ["{", "a b"]),
     "url": (["http://example.com/x", "https://a.co:8080"], ["http://10.0.0.1", "ftp//x", "http://localhost"]),
     "email": (["a@b.co", "A.b+c@x-y.org"], ["a@b", "a b@c.de", "@x.de"]),

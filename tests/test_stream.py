@@ -49,13 +49,13 @@ def test_stream_equals_batch_and_dedups(spark, tmp_path, contracts):
     bus, out = str(tmp_path / "bus"), str(tmp_path / "out")
     first = messages(spark, range(40), lambda i: 59 - i)
     first.coalesce(1).write.parquet(f"{bus}/a")
-    run(spark, f"{bus}/*", out, contracts, started_at=NOW - dt.timedelta(minutes=30))
+    run(spark, f"{bus}/*", out, contracts, started_at=NOW - dt.timedelta(minutes=30), max_backlog=None)
     # The same rows again under another name, some new, one that is not an event.
     again = messages(spark, range(20, 45), lambda i: 59 - i).unionByName(
         spark.createDataFrame([(99, NOW, "not json")], SCHEMA)
     )
     again.coalesce(1).write.parquet(f"{bus}/b")
-    run(spark, f"{bus}/*", out, contracts, started_at=NOW - dt.timedelta(minutes=30))
+    run(spark, f"{bus}/*", out, contracts, started_at=NOW - dt.timedelta(minutes=30), max_backlog=None)
 
     got = {(r["watch_id"], r["event_id"], r["grade"], r["backfill"]) for r in spark.read.parquet(f"{out}/hits").collect()}
     assert spark.read.parquet(f"{out}/hits").count() == len(got)
@@ -79,8 +79,27 @@ def test_backlog_is_bounded_and_reported(spark, tmp_path, contracts):
     hits = spark.read.parquet(f"{out}/hits")
     assert hits.agg(F.min("ts")).first()[0] >= NOW - dt.timedelta(hours=1)
     skipped = spark.read.parquet(f"{out}/skipped").first()
-    # Minutes 70, 80 and 90, each met by the watches that take it.
-    assert skipped["events"] >= 3 and skipped["to_ts"] < NOW - dt.timedelta(hours=1)
+    # Minutes 70, 80 and 90: events, not hits.
+    assert skipped["events"] == 3 and skipped["to_ts"] < NOW - dt.timedelta(hours=1)
+
+
+def test_backlog_counts_from_the_start_by_default(spark, tmp_path, contracts):
+    bus, out = str(tmp_path / "bus"), str(tmp_path / "out")
+    messages(spark, range(5), lambda i: i).coalesce(1).write.parquet(f"{bus}/a")
+    run(spark, f"{bus}/*", out, contracts)
+    assert spark.read.parquet(f"{out}/hits").count() == 0
+    assert spark.read.parquet(f"{out}/skipped").first()["events"] == 5
+
+
+def test_files_out_of_order_lose_no_hit(spark, tmp_path, contracts):
+    bus, out = str(tmp_path / "bus"), str(tmp_path / "out")
+    for name, ids in (("a", range(30, 40)), ("b", range(0, 10)), ("c", range(10, 30))):
+        messages(spark, ids, lambda i: 59 - i).coalesce(1).write.parquet(f"{bus}/{name}")
+        run(spark, f"{bus}/*", out, contracts, max_backlog=None)
+    events, _ = parse_events(messages(spark, range(40), lambda i: 59 - i))
+    want = {(r["watch_id"], r["event_id"]) for r in match_watches(events, WATCHES).collect()}
+    got = [(r["watch_id"], r["event_id"]) for r in spark.read.parquet(f"{out}/hits").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_digest_wording(spark):

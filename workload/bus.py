@@ -17,8 +17,8 @@ from pactline.sources.contracts_io import parse_contracts
 from pactline.sources.events import parse_events, split_channels
 
 SOURCE_SQL = (
-    "CASE user_id % 4 WHEN 0 THEN 'clientPortal-web' WHEN 1 THEN 'billing-invoices'"
-    " WHEN 2 THEN 'billing-ledger' ELSE 'Atomic Forms' END"
+    "CASE user_id % 4 WHEN 0 THEN 'harbour-desk' WHEN 1 THEN 'billing-invoices'"
+    " WHEN 2 THEN 'billing-ledger' ELSE 'Tide Tables' END"
 )
 # One producer spells one type in title case.
 TYPE_SQL = "if(user_id % 4 = 2 AND event_type = 'purchase', 'Purchase', event_type)"
@@ -26,18 +26,18 @@ TYPE_SQL = "if(user_id % 4 = 2 AND event_type = 'purchase', 'Purchase', event_ty
 EXTERNAL_ONLY_SQL = "user_id % 4 = 2 AND event_type = 'signup'"
 
 _DETAIL = """concat('{', concat_ws(',',
-  CASE WHEN event_id % 20 = 0 THEN NULL WHEN event_id % 33 = 0 THEN '"clientId":""'
-    WHEN event_id % 41 = 0 THEN concat('"clientId":', cast(user_id AS string))
-    ELSE concat('"clientId":"c-', cast(user_id AS string), '"') END,
+  CASE WHEN event_id % 20 = 0 THEN NULL WHEN event_id % 33 = 0 THEN '"shipperId":""'
+    WHEN event_id % 41 = 0 THEN concat('"shipperId":', cast(user_id AS string))
+    ELSE concat('"shipperId":"c-', cast(user_id AS string), '"') END,
   CASE WHEN event_id % 13 = 0 THEN '"amount":null'
     WHEN event_id % 25 = 0 THEN concat('"amount":"', cast(value AS string), '"')
     ELSE concat('"amount":', cast(value AS string)) END,
-  CASE WHEN event_id % 17 = 0 THEN '"status":"retry"' WHEN event_id % 2 = 0 THEN '"status":"queued"'
-    ELSE '"status":"done"' END,
+  CASE WHEN event_id % 17 = 0 THEN '"status":"held"' WHEN event_id % 2 = 0 THEN '"status":"loaded"'
+    ELSE '"status":"sailed"' END,
   concat('"k":', regexp_extract(props, '([0-9]+)', 1)),
-  CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN '"metadata":null'
-    WHEN event_id % 19 = 0 THEN '"metadata":{}'
-    ELSE concat('"metadata":{"trackingId":"', cast(1000000 + event_id AS string), '-',
+  CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN '"cargo":null'
+    WHEN event_id % 19 = 0 THEN '"cargo":{}'
+    ELSE concat('"cargo":{"manifestId":"', cast(1000000 + event_id AS string), '-',
       left(md5(cast(event_id AS string)), 16), '"}') END,
   CASE WHEN event_id % 50 = 1 THEN '"beta":true' END,
   concat('"items":[', array_join(transform(
@@ -60,9 +60,9 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spread(table(spark, sf_dir, "events")).withColumns(
         {"ts": F.col("ts").cast("timestamp"), "_src": F.expr(SOURCE_SQL), "_typ": F.expr(TYPE_SQL), "_ext": F.expr(EXTERNAL_ONLY_SQL)}
     )
-    client = "get_json_object(_full, '$.clientId')"
+    client = "get_json_object(_full, '$.shipperId')"
     ev = ev.withColumn("_full", F.expr(_DETAIL))
-    cut = f"if({client} IS NULL, '{{}}', concat('{{\"clientId\":\"', {client}, '\"}}'))"
+    cut = f"if({client} IS NULL, '{{}}', concat('{{\"shipperId\":\"', {client}, '\"}}'))"
     copies = ev.selectExpr(
         "*",
         "explode(filter(array(if(_ext, NULL, '/bus/main'), if(_ext OR event_id % 10 = 0, '/bus/external-events', NULL)),"
@@ -110,24 +110,24 @@ _ANY = {}
 
 def bus_documents() -> dict[str, str]:
     """Contracts over the bus; each stands for one situation a registry report has to tell apart."""
-    tracking = _object({"trackingId": _STRING}, nullable=True)
+    tracking = _object({"manifestId": _STRING}, nullable=True)
     return {
-        "clientPortal-web@view": document(
-            "clientPortal-web", "view",
+        "harbour-desk@view": document(
+            "harbour-desk", "view",
             {
                 "Payload": _object(
                     {
-                        "clientId": _STRING,
+                        "shipperId": _STRING,
                         "amount": {"type": "number"},
-                        "status": {"type": "string", "enum": ["queued", "done"]},
-                        "metadata": {"$ref": "#/components/schemas/Meta"},
+                        "status": {"type": "string", "enum": ["loaded", "sailed"]},
+                        "cargo": {"$ref": "#/components/schemas/Meta"},
                         "legacy": _STRING,
                         "sessionId": _STRING,
                         "items": _ITEMS,
                     },
-                    required=["clientId", "amount", "sessionId"],
+                    required=["shipperId", "amount", "sessionId"],
                 ),
-                "Meta": _object({"trackingId": _STRING, "retired": _STRING}, required=["trackingId"]),
+                "Meta": _object({"manifestId": _STRING, "retired": _STRING}, required=["manifestId"]),
             },
         ),
         "billing-invoices@purchase": document(
@@ -135,27 +135,27 @@ def bus_documents() -> dict[str, str]:
             {
                 "Payload": _object(
                     {
-                        "clientId": {"type": "string", "nullable": True},
+                        "shipperId": {"type": "string", "nullable": True},
                         "amount": {"type": "number", "nullable": True},
                         "status": _STRING,
                         "k": _INT,
-                        "metadata": {"type": "object", "nullable": True},
+                        "cargo": {"type": "object", "nullable": True},
                         "items": {"type": "array", "items": {"type": "object"}},
                     },
                     additionalProperties=False,
                 )
             },
         ),
-        "Atomic-Forms@click": document(
-            "Atomic Forms", "click",
+        "Tide-Tables@click": document(
+            "Tide Tables", "click",
             {
                 "Payload": _object(
                     {
-                        "clientId": {"type": "string", "minLength": 1},
+                        "shipperId": {"type": "string", "minLength": 1},
                         "amount": _ANY,
-                        "status": {"type": "string", "enum": ["queued", "done", "retry"]},
+                        "status": {"type": "string", "enum": ["loaded", "sailed", "held"]},
                         "k": {"type": "integer", "maximum": 50},
-                        "metadata": _object({"trackingId": {"type": "string", "format": "uuid"}}, nullable=True),
+                        "cargo": _object({"manifestId": {"type": "string", "format": "uuid"}}, nullable=True, minProperties=1),
                         "beta": {"type": "boolean"},
                         "items": {**_ITEMS, "maxItems": 1},
                     }
@@ -167,7 +167,7 @@ def bus_documents() -> dict[str, str]:
             {
                 "Payload": _object(
                     {
-                        "clientId": _ANY, "amount": _ANY, "status": _STRING, "k": _INT, "metadata": tracking,
+                        "shipperId": _ANY, "amount": _ANY, "status": _STRING, "k": _INT, "cargo": tracking,
                         "beta": {"type": "boolean"}, "items": _ITEMS,
                     }
                 )
@@ -176,14 +176,14 @@ def bus_documents() -> dict[str, str]:
         "orders-api@nothing": document("orders-api", "nothing", {"Payload": _object({"id": _STRING}, required=["id"])}),
         "billing-ledger@view": document(
             "billing-ledger", "view",
-            {"Payload": _object({"clientId": _ANY, "child": {"$ref": "#/components/schemas/Payload"}})},
+            {"Payload": _object({"shipperId": _ANY, "child": {"$ref": "#/components/schemas/Payload"}})},
         ),
         "billing-ledger@click": document(
             "billing-ledger", "click",
-            {"Payload": _object({"clientId": _ANY, "amount": {"anyOf": [{"type": "number"}, _STRING]}, "items": _ITEMS})},
+            {"Payload": _object({"shipperId": _ANY, "amount": {"anyOf": [{"type": "number"}, _STRING]}, "items": _ITEMS})},
         ),
-        "billing-ledger@purchase": document("billing-ledger", "purchase", {"Payload": _object({"clientId": _ANY})}),
-        "billing-ledger@signup": document("billing-ledger", "signup", {"Payload": _object({"clientId": _ANY})}),
+        "billing-ledger@purchase": document("billing-ledger", "purchase", {"Payload": _object({"shipperId": {"not": _INT}})}),
+        "billing-ledger@signup": document("billing-ledger", "signup", {"Payload": _object({"shipperId": _ANY})}),
         "billing-invoices@error": json.dumps(
             {"openapi": "3.0.0", "components": {"schemas": {"AWSEvent": {"type": "object", "properties": {"detail": {"type": "object"}}}}}}
         ),
@@ -198,65 +198,65 @@ def bus_contracts(spark: SparkSession) -> DataFrame:
 # Declared fields of the bus contracts for the SQL checks, written out by hand, not derived from the
 # documents: (contract, path, parent, types, required, enum).
 DECLARED = [
-    ("clientPortal-web@view", "clientId", "", "string", True, ""),
-    ("clientPortal-web@view", "amount", "", "number", True, ""),
-    ("clientPortal-web@view", "status", "", "string", False, "queued,done"),
-    ("clientPortal-web@view", "metadata", "", "object", False, ""),
-    ("clientPortal-web@view", "metadata.trackingId", "metadata", "string", True, ""),
-    ("clientPortal-web@view", "metadata.retired", "metadata", "string", False, ""),
-    ("clientPortal-web@view", "legacy", "", "string", False, ""),
-    ("clientPortal-web@view", "sessionId", "", "string", True, ""),
-    ("clientPortal-web@view", "items", "", "array", False, ""),
-    ("clientPortal-web@view", "items[]", "items", "object", False, ""),
-    ("clientPortal-web@view", "items[].sku", "items[]", "string", False, ""),
-    ("clientPortal-web@view", "items[].qty", "items[]", "integer", False, ""),
-    ("billing-invoices@purchase", "clientId", "", "string,null", False, ""),
+    ("harbour-desk@view", "shipperId", "", "string", True, ""),
+    ("harbour-desk@view", "amount", "", "number", True, ""),
+    ("harbour-desk@view", "status", "", "string", False, "loaded,sailed"),
+    ("harbour-desk@view", "cargo", "", "object", False, ""),
+    ("harbour-desk@view", "cargo.manifestId", "cargo", "string", True, ""),
+    ("harbour-desk@view", "cargo.retired", "cargo", "string", False, ""),
+    ("harbour-desk@view", "legacy", "", "string", False, ""),
+    ("harbour-desk@view", "sessionId", "", "string", True, ""),
+    ("harbour-desk@view", "items", "", "array", False, ""),
+    ("harbour-desk@view", "items[]", "items", "object", False, ""),
+    ("harbour-desk@view", "items[].sku", "items[]", "string", False, ""),
+    ("harbour-desk@view", "items[].qty", "items[]", "integer", False, ""),
+    ("billing-invoices@purchase", "shipperId", "", "string,null", False, ""),
     ("billing-invoices@purchase", "amount", "", "number,null", False, ""),
     ("billing-invoices@purchase", "status", "", "string", False, ""),
     ("billing-invoices@purchase", "k", "", "integer", False, ""),
-    ("billing-invoices@purchase", "metadata", "", "object,null", False, ""),
+    ("billing-invoices@purchase", "cargo", "", "object,null", False, ""),
     ("billing-invoices@purchase", "items", "", "array", False, ""),
     ("billing-invoices@purchase", "items[]", "items", "object", False, ""),
-    ("Atomic-Forms@click", "clientId", "", "string", False, ""),
-    ("Atomic-Forms@click", "amount", "", "", False, ""),
-    ("Atomic-Forms@click", "status", "", "string", False, "queued,done,retry"),
-    ("Atomic-Forms@click", "k", "", "integer", False, ""),
-    ("Atomic-Forms@click", "metadata", "", "object,null", False, ""),
-    ("Atomic-Forms@click", "metadata.trackingId", "metadata", "string", False, ""),
-    ("Atomic-Forms@click", "beta", "", "boolean", False, ""),
-    ("Atomic-Forms@click", "items", "", "array", False, ""),
-    ("Atomic-Forms@click", "items[]", "items", "object", False, ""),
-    ("Atomic-Forms@click", "items[].sku", "items[]", "string", False, ""),
-    ("Atomic-Forms@click", "items[].qty", "items[]", "integer", False, ""),
-    ("billing-ledger@error", "clientId", "", "", False, ""),
+    ("Tide-Tables@click", "shipperId", "", "string", False, ""),
+    ("Tide-Tables@click", "amount", "", "", False, ""),
+    ("Tide-Tables@click", "status", "", "string", False, "loaded,sailed,held"),
+    ("Tide-Tables@click", "k", "", "integer", False, ""),
+    ("Tide-Tables@click", "cargo", "", "object,null", False, ""),
+    ("Tide-Tables@click", "cargo.manifestId", "cargo", "string", False, ""),
+    ("Tide-Tables@click", "beta", "", "boolean", False, ""),
+    ("Tide-Tables@click", "items", "", "array", False, ""),
+    ("Tide-Tables@click", "items[]", "items", "object", False, ""),
+    ("Tide-Tables@click", "items[].sku", "items[]", "string", False, ""),
+    ("Tide-Tables@click", "items[].qty", "items[]", "integer", False, ""),
+    ("billing-ledger@error", "shipperId", "", "", False, ""),
     ("billing-ledger@error", "amount", "", "", False, ""),
     ("billing-ledger@error", "status", "", "string", False, ""),
     ("billing-ledger@error", "k", "", "integer", False, ""),
-    ("billing-ledger@error", "metadata", "", "object,null", False, ""),
-    ("billing-ledger@error", "metadata.trackingId", "metadata", "string", False, ""),
+    ("billing-ledger@error", "cargo", "", "object,null", False, ""),
+    ("billing-ledger@error", "cargo.manifestId", "cargo", "string", False, ""),
     ("billing-ledger@error", "beta", "", "boolean", False, ""),
     ("billing-ledger@error", "items", "", "array", False, ""),
     ("billing-ledger@error", "items[]", "items", "object", False, ""),
     ("billing-ledger@error", "items[].sku", "items[]", "string", False, ""),
     ("billing-ledger@error", "items[].qty", "items[]", "integer", False, ""),
     ("orders-api@nothing", "id", "", "string", True, ""),
-    ("billing-ledger@view", "clientId", "", "", False, ""),
+    ("billing-ledger@view", "shipperId", "", "", False, ""),
     ("billing-ledger@view", "child", "", "object", False, ""),
-    ("billing-ledger@click", "clientId", "", "", False, ""),
+    ("billing-ledger@click", "shipperId", "", "", False, ""),
     ("billing-ledger@click", "amount", "", "", False, ""),
     ("billing-ledger@click", "items", "", "array", False, ""),
     ("billing-ledger@click", "items[]", "items", "object", False, ""),
     ("billing-ledger@click", "items[].sku", "items[]", "string", False, ""),
     ("billing-ledger@click", "items[].qty", "items[]", "integer", False, ""),
-    ("billing-ledger@purchase", "clientId", "", "", False, ""),
-    ("billing-ledger@signup", "clientId", "", "", False, ""),
+    ("billing-ledger@purchase", "shipperId", "", "", False, ""),
+    ("billing-ledger@signup", "shipperId", "", "", False, ""),
 ]
 
 # Contract, its event key, and the wire identity a report shows when the two differ.
 MATCHED = [
-    ("clientPortal-web@view", "clientPortal-web", "view"),
+    ("harbour-desk@view", "harbour-desk", "view"),
     ("billing-invoices@purchase", "billing-invoices", "purchase"),
-    ("Atomic-Forms@click", "Atomic Forms", "click"),
+    ("Tide-Tables@click", "Tide Tables", "click"),
     ("billing-ledger@view", "billing-ledger", "view"),
     ("billing-ledger@click", "billing-ledger", "click"),
     ("billing-ledger@error", "billing-ledger", "error"),
@@ -308,8 +308,8 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN doc_id % 4 = 3 THEN concat(source, '-events') ELSE 'billing-ledger' END AS source",
         "concat('type-', cast(doc_id % 10 AS string)) AS event_type",
         "concat("
-        "if(doc_id % 2 = 0, 'use(event.detail.clientId);\n', ''),"
-        "if(doc_id % 3 = 0, 'use(e?.detail?.metadata?.trackingId.length);\n', ''),"
+        "if(doc_id % 2 = 0, 'use(event.detail.shipperId);\n', ''),"
+        "if(doc_id % 3 = 0, 'use(e?.detail?.cargo?.manifestId.length);\n', ''),"
         "if(doc_id % 5 = 0, 'x = detail[\"amount\"]; y = detail.items[0].sku; // detail.secret\n', ''),"
         "if(doc_id % 7 = 0, 'client.PutEvents(detail.k)\n', ''),"
         "if(doc_id % 11 = 0, 'const eventPattern = 1\n', ''),"

@@ -7,11 +7,11 @@ from workload.bus import DECLARED, MATCHED
 _B = """b AS (
   SELECT event_id AS e, ts, epoch_us(ts) // 1000 AS ms, user_id AS u, CASE WHEN user_id % 4 = 2 AND event_type = 'purchase' THEN 'Purchase' ELSE event_type END AS t, value AS val,
     CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k,
-    CASE user_id % 4 WHEN 0 THEN 'clientPortal-web' WHEN 1 THEN 'billing-invoices' WHEN 2 THEN 'billing-ledger' ELSE 'Atomic Forms' END AS src,
+    CASE user_id % 4 WHEN 0 THEN 'harbour-desk' WHEN 1 THEN 'billing-invoices' WHEN 2 THEN 'billing-ledger' ELSE 'Tide Tables' END AS src,
     (user_id % 4 = 2 AND event_type = 'signup') AS ext,
     CASE WHEN event_id % 20 = 0 THEN 'absent' WHEN event_id % 33 = 0 THEN 'blank' WHEN event_id % 41 = 0 THEN 'integer' ELSE 'string' END AS client,
     CASE WHEN event_id % 13 = 0 THEN 'null' WHEN event_id % 25 = 0 THEN 'string' ELSE 'number' END AS amount,
-    CASE WHEN event_id % 17 = 0 THEN 'retry' WHEN event_id % 2 = 0 THEN 'queued' ELSE 'done' END AS status,
+    CASE WHEN event_id % 17 = 0 THEN 'held' WHEN event_id % 2 = 0 THEN 'loaded' ELSE 'sailed' END AS status,
     CASE WHEN event_id % 7 = 0 THEN 'absent' WHEN event_id % 11 = 0 THEN 'null' WHEN event_id % 19 = 0 THEN 'empty' ELSE 'full' END AS meta,
     event_id % 50 = 1 AS beta, event_id % 3 AS n,
     CAST(1000000 + event_id AS VARCHAR) || '-' || left(md5(CAST(event_id AS VARCHAR)), 16) AS tracking
@@ -20,13 +20,13 @@ bus AS (SELECT * FROM b WHERE NOT ext)"""
 
 _OCC = """occ AS (
   SELECT e, ts, ms, src, t, '' AS path, CAST(NULL AS VARCHAR) AS parent, 'object' AS type, CAST(NULL AS VARCHAR) AS v FROM bus
-  UNION ALL SELECT e, ts, ms, src, t, 'clientId', '', CASE client WHEN 'integer' THEN 'integer' ELSE 'string' END,
+  UNION ALL SELECT e, ts, ms, src, t, 'shipperId', '', CASE client WHEN 'integer' THEN 'integer' ELSE 'string' END,
     CASE client WHEN 'integer' THEN CAST(u AS VARCHAR) WHEN 'blank' THEN '""' ELSE '"c-' || u || '"' END FROM bus WHERE client <> 'absent'
   UNION ALL SELECT e, ts, ms, src, t, 'amount', '', amount, CASE amount WHEN 'null' THEN 'null' WHEN 'string' THEN '"' || val || '"' ELSE CAST(val AS VARCHAR) END FROM bus
   UNION ALL SELECT e, ts, ms, src, t, 'status', '', 'string', '"' || status || '"' FROM bus
   UNION ALL SELECT e, ts, ms, src, t, 'k', '', 'integer', CAST(k AS VARCHAR) FROM bus
-  UNION ALL SELECT e, ts, ms, src, t, 'metadata', '', CASE meta WHEN 'null' THEN 'null' ELSE 'object' END, CASE meta WHEN 'null' THEN 'null' END FROM bus WHERE meta <> 'absent'
-  UNION ALL SELECT e, ts, ms, src, t, 'metadata.trackingId', 'metadata', 'string', '"' || tracking || '"' FROM bus WHERE meta = 'full'
+  UNION ALL SELECT e, ts, ms, src, t, 'cargo', '', CASE meta WHEN 'null' THEN 'null' ELSE 'object' END, CASE meta WHEN 'null' THEN 'null' END FROM bus WHERE meta <> 'absent'
+  UNION ALL SELECT e, ts, ms, src, t, 'cargo.manifestId', 'cargo', 'string', '"' || tracking || '"' FROM bus WHERE meta = 'full'
   UNION ALL SELECT e, ts, ms, src, t, 'beta', '', 'boolean', 'true' FROM bus WHERE beta
   UNION ALL SELECT e, ts, ms, src, t, 'items', '', 'array', NULL FROM bus
   UNION ALL SELECT e, ts, ms, src, t, 'items[]', 'items', 'object', NULL FROM bus, range(1, 3) r(i) WHERE i <= n
@@ -66,14 +66,17 @@ blank AS (SELECT p.name, p.path, p.seen_in, p.blank_in FROM prof p JOIN declared
 _VIOL = """viol AS (
   SELECT name, e, ms, 'wrongType' AS class, path, 'wrongType' AS constraint_at FROM wrong
   UNION ALL SELECT name, e, ms, 'outsideEnum', path, 'outsideEnum' FROM outside
-  UNION ALL SELECT m.name, e, ms, 'missingRequired', 'clientId', 'missingRequired' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'clientPortal-web@view' AND client = 'absent'
-  UNION ALL SELECT m.name, e, ms, 'missingRequired', 'sessionId', 'missingRequired' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'clientPortal-web@view'
-  UNION ALL SELECT m.name, e, ms, 'missingRequired', 'metadata.trackingId', 'missingRequired' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'clientPortal-web@view' AND meta = 'empty'
+  UNION ALL SELECT m.name, e, ms, 'missingRequired', 'shipperId', 'missingRequired' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'harbour-desk@view' AND client = 'absent'
+  UNION ALL SELECT m.name, e, ms, 'missingRequired', 'sessionId', 'missingRequired' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'harbour-desk@view'
+  UNION ALL SELECT m.name, e, ms, 'missingRequired', 'cargo.manifestId', 'missingRequired' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'harbour-desk@view' AND meta = 'empty'
   UNION ALL SELECT m.name, e, ms, 'undeclared', 'beta', 'undeclared' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'billing-invoices@purchase' AND beta
-  UNION ALL SELECT m.name, e, ms, 'other', 'clientId', '/properties/clientId/minLength' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'Atomic-Forms@click' AND client = 'blank'
-  UNION ALL SELECT m.name, e, ms, 'other', 'k', '/properties/k/maximum' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'Atomic-Forms@click' AND k > 50
-  UNION ALL SELECT m.name, e, ms, 'other', 'metadata.trackingId', '/properties/metadata/properties/trackingId/format' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'Atomic-Forms@click' AND meta = 'full'
-  UNION ALL SELECT m.name, e, ms, 'other', 'items', '/properties/items/maxItems' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'Atomic-Forms@click' AND n = 2),
+  UNION ALL SELECT m.name, e, ms, 'other', 'shipperId', '/properties/shipperId/minLength' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'Tide-Tables@click' AND client = 'blank'
+  UNION ALL SELECT m.name, e, ms, 'other', 'k', '/properties/k/maximum' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'Tide-Tables@click' AND k > 50
+  UNION ALL SELECT m.name, e, ms, 'other', 'cargo.manifestId', '/properties/cargo/properties/manifestId/format' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'Tide-Tables@click' AND meta = 'full'
+  UNION ALL SELECT m.name, e, ms, 'other', 'items', '/properties/items/maxItems' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'Tide-Tables@click' AND n = 2
+  UNION ALL SELECT m.name, e, ms, 'other', 'cargo', '/properties/cargo/minProperties' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'Tide-Tables@click' AND meta = 'empty'
+  UNION ALL SELECT m.name, e, ms, 'other', 'amount', '/properties/amount/anyOf' FROM bus JOIN matched m USING (src, t) WHERE m.name = 'billing-ledger@click' AND amount = 'null'),
+open_ AS (SELECT m.name, count(*) AS undecided FROM bus JOIN matched m USING (src, t) WHERE m.name = 'billing-ledger@purchase' AND client <> 'absent' GROUP BY ALL),
 fail AS (SELECT name, class, path, constraint_at, count(DISTINCT e) AS affected, count(*) AS occurrences FROM viol GROUP BY ALL)"""
 
 _ISS = """drift AS (

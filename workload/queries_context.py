@@ -52,7 +52,7 @@ def code_roles(spark, sf):
 @query(
     "code_reads",
     f"""WITH {_C}, x AS (SELECT * FROM roles WHERE role <> 'publisher' AND NOT incidental) SELECT repo, path, read FROM (
-    SELECT repo, path, 'clientId' AS read FROM x WHERE d % 2 = 0 UNION ALL SELECT repo, path, 'metadata.trackingId' FROM x WHERE d % 3 = 0
+    SELECT repo, path, 'shipperId' AS read FROM x WHERE d % 2 = 0 UNION ALL SELECT repo, path, 'cargo.manifestId' FROM x WHERE d % 3 = 0
     UNION ALL SELECT repo, path, 'amount' FROM x WHERE d % 5 = 0 UNION ALL SELECT repo, path, 'items[].sku' FROM x WHERE d % 5 = 0
     UNION ALL SELECT repo, path, 'k' FROM x WHERE d % 7 = 0 UNION ALL SELECT repo, path, 'payload.note' FROM x WHERE d % 13 = 0)""",
 )
@@ -130,7 +130,7 @@ _ROUTES = [
     (0, "*", "", "Bug"), (1, "src1*", "ONE", "Task"), (2, "SRC12", "TWELVE", None), (3, "src*9", "NINE", "Bug"), (4, "src1?", "NEVER", "Bug"),
     (5, "src1*", "LATER", "Story"),
 ]
-_OWNERS = [(0, "@team-2*", "TEAM2", "Bug"), (1, "@team-*", "TEAMS", "")]
+_OWNERS = [(0, "@team-2*", "TEAM2", "Bug"), (1, "@team-*", "TEAMS", ""), (2, "svc/*", "REPO", None)]
 
 
 def _findings(spark, sf):
@@ -139,6 +139,7 @@ def _findings(spark, sf):
         F.col("doc_id"),
         F.concat("source", F.lit("@"), "lang").alias("name"), "source", F.col("lang").alias("event_type"),
         F.when(F.col("doc_id") % 4 != 0, F.array(F.concat(F.lit("@team-"), (F.col("doc_id") % 30).cast("string")))).alias("owners"),
+        F.when(F.col("doc_id") % 8 == 0, "svc/ledger").otherwise("other").alias("repo"),
         F.concat(F.lit("neverSeen:f"), (F.col("doc_id") % 9).cast("string"), F.lit("[].id x")).alias("key"),
         F.concat(F.lit("f"), (F.col("doc_id") % 9).cast("string"), F.lit("[].id x")).alias("path"),
         F.concat(F.lit("`f` is odd in "), "lang").alias("summary"),
@@ -153,13 +154,13 @@ def _routed(spark, sf):
 
 
 _ROUTE = """fr AS (SELECT doc_id AS d, source AS src, lang, n_chars, CASE WHEN source = 'src12' THEN 'TWELVE' WHEN source LIKE 'src%9' THEN CASE WHEN source LIKE 'src1%' THEN 'LATER' ELSE 'NINE' END WHEN source LIKE 'src1%' THEN 'LATER'
-  WHEN doc_id % 4 = 0 THEN 'DEF' WHEN CAST(doc_id % 30 AS VARCHAR) LIKE '2%' THEN 'TEAM2' ELSE 'TEAMS' END AS project FROM documents)"""
+  WHEN doc_id % 8 = 0 THEN 'REPO' WHEN doc_id % 4 = 0 THEN 'DEF' WHEN CAST(doc_id % 30 AS VARCHAR) LIKE '2%' THEN 'TEAM2' ELSE 'TEAMS' END AS project FROM documents)"""
 
 
 @query(
     "route_findings",
     f"""WITH {_ROUTE} SELECT d AS doc_id, project, CASE project WHEN 'LATER' THEN 'Story' ELSE 'Bug' END AS issue_type,
-    CASE project WHEN 'TWELVE' THEN 'SRC12' WHEN 'LATER' THEN 'src1*' WHEN 'NINE' THEN 'src*9' WHEN 'TEAM2' THEN '@team-2*' WHEN 'TEAMS' THEN '@team-*' END AS rule FROM fr""",
+    CASE project WHEN 'TWELVE' THEN 'SRC12' WHEN 'LATER' THEN 'src1*' WHEN 'NINE' THEN 'src*9' WHEN 'TEAM2' THEN '@team-2*' WHEN 'TEAMS' THEN '@team-*' WHEN 'REPO' THEN 'svc/*' END AS rule FROM fr""",
 )
 def route_findings(spark, sf):
     return _routed(spark, sf).select("doc_id", "project", "issue_type", "rule")
@@ -254,8 +255,8 @@ def ticket_by_path(spark, sf):
 @query(
     "finding_rollup",
     """SELECT source || '@' || lang AS name, source, lang AS event_type, count(*) AS findings, count_if(doc_id % 5 = 0) AS rejecting,
-    '[' || source || '] ' || CASE WHEN count(*) = 1 THEN 'f is odd in ' || lang ELSE count(*) || ' schema findings on ' || lang || CASE count_if(doc_id % 5 = 0) WHEN 0 THEN '' WHEN 1 THEN ' (1 causes rejections)' ELSE ' (' || count_if(doc_id % 5 = 0) || ' cause rejections)' END END AS title,
-    CASE WHEN count(*) = 1 THEN 'Still happening: ' || max(n_chars) || ' of ' || max(n_chars) + 10 || ' sampled events over a day.' ELSE 'Still happening: ' || count(*) || ' findings on this event type over a day. The largest affects ' || max(n_chars) || ' of ' || max(n_chars) + 10 || ' sampled events.' END AS recurrence
+    '[' || source || '] ' || CASE WHEN count(*) = 1 THEN 'f is odd in ' || lang ELSE lang || ', contract findings: ' || count(*) || CASE count_if(doc_id % 5 = 0) WHEN 0 THEN '' ELSE ', rejecting: ' || count_if(doc_id % 5 = 0) END END AS title,
+    'Seen again in a day: ' || CASE WHEN count(*) = 1 THEN '' ELSE count(*) || ' findings, at most ' END || max(n_chars) || ' in ' || max(n_chars) + 10 || ' events' AS recurrence
     FROM documents GROUP BY source, lang""",
 )
 def finding_rollup(spark, sf):
@@ -359,18 +360,18 @@ def log_tail(spark, sf):
 # --- watches ------------------------------------------------------------------------------------
 
 WATCHES = [
-    Watch("all-retries", conditions=(Condition("status", "retry"),), label="Retries"),
-    Watch("portal", source="client*", event_type="view", conditions=(Condition("clientId", "c-1*7"), Condition("amount", "null", "ne"))),
+    Watch("all-retries", conditions=(Condition("status", "held"),), label="Retries"),
+    Watch("portal", source="client*", event_type="view", conditions=(Condition("shipperId", "c-1*7"), Condition("amount", "null", "ne"))),
     Watch("numbers", conditions=(Condition("k", "42"), Condition("$.account", '"1001"'))),
     Watch("second-item", conditions=(Condition("items[1].sku", "s2"), Condition("detail.beta", "true")), notify=False),
-    Watch("nulls", source="billing-invoices", conditions=(Condition("metadata", "null"),)),
+    Watch("nulls", source="billing-invoices", conditions=(Condition("cargo", "null"),)),
     Watch("everything-click", event_type="click"),
     Watch("off", enabled=False),
 ]
 
 _HITS = """hits AS (
-  SELECT 'all-retries' AS watch_id, * FROM bus WHERE status = 'retry'
-  UNION ALL SELECT 'portal', * FROM bus WHERE src = 'clientPortal-web' AND t = 'view' AND client = 'string' AND CAST(u AS VARCHAR) LIKE '1%7' AND amount <> 'null'
+  SELECT 'all-retries' AS watch_id, * FROM bus WHERE status = 'held'
+  UNION ALL SELECT 'portal', * FROM bus WHERE src = 'harbour-desk' AND t = 'view' AND client = 'string' AND CAST(u AS VARCHAR) LIKE '1%7' AND amount <> 'null'
   UNION ALL SELECT 'numbers', * FROM bus WHERE k = 42 AND u % 3 = 1
   UNION ALL SELECT 'second-item', * FROM bus WHERE n = 2 AND beta
   UNION ALL SELECT 'nulls', * FROM bus WHERE src = 'billing-invoices' AND meta = 'null'
@@ -406,7 +407,7 @@ def watch_resume(spark, sf):
 
 @query(
     "watch_probe",
-    sql("bus", f"SELECT src || '@' || t AS event_key, count(*) AS hits, max(ms) AS last_at FROM bus WHERE status = 'retry' AND ms >= {START_MS + 18 * DAY} AND ms < {START_MS + 20 * DAY} GROUP BY ALL"),
+    sql("bus", f"SELECT src || '@' || t AS event_key, count(*) AS hits, max(ms) AS last_at FROM bus WHERE status = 'held' AND ms >= {START_MS + 18 * DAY} AND ms < {START_MS + 20 * DAY} GROUP BY ALL"),
 )
 def watch_probe(spark, sf):
     found = wa.probe(w.bus(spark, sf), WATCHES[0], at(20 * DAY), 48)
@@ -425,7 +426,7 @@ def watch_dedup(spark, sf):
 
 @query(
     "watch_grades",
-    sql("viol", """, gr AS (SELECT DISTINCT src, t, e FROM bus WHERE status = 'retry' OR k = 42),
+    sql("viol", """, gr AS (SELECT DISTINCT src, t, e FROM bus WHERE status = 'held' OR k = 42),
     bad_ AS (SELECT DISTINCT name, e FROM viol), odd AS (SELECT DISTINCT name, e FROM g WHERE path <> '' AND NOT EXISTS (SELECT 1 FROM declared d WHERE d.name = g.name AND d.path = g.path)
       UNION SELECT DISTINCT g.name, e FROM g JOIN declared d ON d.name = g.name AND d.path = g.path WHERE d.required AND g.v = '""' UNION SELECT name, e FROM wrong UNION SELECT name, e FROM outside)
     SELECT e AS event_id, CASE WHEN src = 'billing-invoices' AND t = 'error' THEN 'unknown' WHEN src = 'billing-ledger' AND t = 'Purchase' THEN 'missing' WHEN m.name IS NULL THEN 'missing' WHEN b.e IS NOT NULL THEN 'failing' WHEN o.e IS NOT NULL THEN 'drifting' ELSE 'ok' END AS grade
@@ -433,14 +434,14 @@ def watch_dedup(spark, sf):
 )
 def watch_grades(spark, sf):
     hits = wa.match_watches(
-        w.bus(spark, sf), [Watch("r", conditions=(Condition("status", "retry"),)), Watch("k", conditions=(Condition("k", "42"),))]
+        w.bus(spark, sf), [Watch("r", conditions=(Condition("status", "held"),)), Watch("k", conditions=(Condition("k", "42"),))]
     )
     return wa.grade_hits(hits, w.bus_contracts(spark)).select("event_id", "grade").distinct()
 
 
 @query(
     "watch_digest",
-    sql("bus", f"""SELECT watch_id, CAST(pos AS INTEGER) AS pos, hits, CASE WHEN hits > 3 THEN hits || ' events matched · latest: ' ELSE '' END || src || ' · ' || t || CASE watch_id WHEN 'all-retries' THEN ' · status=retry' WHEN 'nulls' THEN ' · metadata=null' ELSE '' END AS body FROM (
+    sql("bus", f"""SELECT watch_id, CAST(pos AS INTEGER) AS pos, hits, CASE WHEN hits > 3 THEN hits || ' events matched · latest: ' ELSE '' END || src || ' · ' || t || CASE watch_id WHEN 'all-retries' THEN ' · status=retry' WHEN 'nulls' THEN ' · cargo=null' ELSE '' END AS body FROM (
     SELECT *, count(*) OVER (PARTITION BY watch_id) AS hits, row_number() OVER (PARTITION BY watch_id ORDER BY ts DESC, e) AS pos FROM hits WHERE watch_id IN ('all-retries', 'nulls', 'everything-click') AND ms >= {START_MS + 5 * DAY} AND ms < {START_MS + 5 * DAY + 7200000})
     WHERE pos = 1 OR (hits <= 3 AND pos <= 3)""", _HITS),
 )

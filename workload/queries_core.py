@@ -16,6 +16,7 @@ from pactline.operators import violations as vi
 from pactline.plans import check as ck
 from pactline.plans import health as he
 from pactline.sources import events as ev
+from pactline.sources.contracts_io import parse_contracts
 from workload import bus as w
 from workload.oracle import sql
 
@@ -95,14 +96,14 @@ def event_scan_around(spark, sf):
     return ev.scan_events(bus(spark, sf), around=at(5 * DAY)).select("event_id", ms().alias("at"))
 
 
-_TOPN = """hits AS (SELECT e, ts, ms FROM bus WHERE src = 'clientPortal-web' AND status = 'retry' {more}),
+_TOPN = """hits AS (SELECT e, ts, ms FROM bus WHERE src = 'harbour-desk' AND status = 'held' {more}),
 page AS (SELECT * FROM hits ORDER BY ts DESC, e LIMIT 20)"""
 _TOPN_BODY = """SELECT e AS event_id, ms AS at, (SELECT count(*) FROM hits) <= 20 AS complete,
 CASE WHEN (SELECT count(*) FROM hits) > 20 THEN (SELECT min(ms) FROM page) END AS searched_from FROM page"""
 
 
 def _retry():
-    return (F.col("source") == "clientPortal-web") & (F.try_variant_get("detail", "$.status", "string") == "retry")
+    return (F.col("source") == "harbour-desk") & (F.try_variant_get("detail", "$.status", "string") == "held")
 
 
 @query("event_search", sql("bus", _TOPN_BODY, _TOPN.format(more="")))
@@ -156,7 +157,7 @@ def slice_counts(spark, sf):
 
 @query(
     "channel_split",
-    """WITH b AS (SELECT CASE user_id % 4 WHEN 0 THEN 'clientPortal-web' WHEN 1 THEN 'billing-invoices' WHEN 2 THEN 'billing-ledger' ELSE 'Atomic Forms' END AS source,
+    """WITH b AS (SELECT CASE user_id % 4 WHEN 0 THEN 'harbour-desk' WHEN 1 THEN 'billing-invoices' WHEN 2 THEN 'billing-ledger' ELSE 'Tide Tables' END AS source,
     event_type, user_id % 4 = 2 AND event_type = 'signup' AS ext FROM events)
     SELECT source, event_type, count(*) AS seen FROM b WHERE ext GROUP BY ALL""",
 )
@@ -327,6 +328,40 @@ def observe_paths(spark, sf):
     )
 
 
+@query(
+    "wide_array_paths",
+    """WITH x AS (SELECT o_orderkey // 4000 AS e, o_orderkey % 700 AS m, CASE WHEN o_custkey % 3 = 0 THEN 'null' WHEN o_custkey % 3 = 1 THEN 'integer' ELSE 'string' END AS type FROM orders),
+    f AS (SELECT e, m, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM x GROUP BY ALL)
+    SELECT 'rows[].m' || m AS path, types, count(*) AS events FROM f GROUP BY ALL""",
+)
+def wide_array_paths(spark, sf):
+    """Arrays whose elements all have members of their own: the fold is linear in the elements."""
+    member = F.concat(
+        F.lit('{"m'), (F.col("o_orderkey") % 700).cast("string"), F.lit('":'),
+        F.when(F.col("o_custkey") % 3 == 0, "null").when(F.col("o_custkey") % 3 == 1, "7").otherwise('"x"'), F.lit("}"),
+    )
+    wide = w.table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 4000).alias("event_id")).agg(
+        F.parse_json(F.concat(F.lit('{"rows":['), F.array_join(F.collect_list(member), ","), F.lit("]}"))).alias("detail")
+    )
+    paths = ob.event_paths(wide, ("event_id",)).where("path LIKE 'rows[].%'")
+    return paths.groupBy("path", "types").agg(F.count("*").alias("events"))
+
+
+@query(
+    "dotted_names",
+    """SELECT path, count(*) AS seen_in FROM (SELECT unnest(list_filter(['', 'a', 'a.b', CASE WHEN c_custkey % 3 > 0 THEN 'a%2Eb' END, CASE WHEN c_custkey % 5 = 0 THEN 'a.b%5B]' END],
+    lambda p: p IS NOT NULL)) AS path FROM customer) GROUP BY ALL""",
+)
+def dotted_names(spark, sf):
+    """A dot or bracket in a member name is no step: one row per event and path."""
+    text = F.concat(
+        F.lit("{"), F.when(F.col("c_custkey") % 3 > 0, '"a.b":1,').otherwise(""), F.lit('"a":{"b":"x"'),
+        F.when(F.col("c_custkey") % 5 == 0, ',"b[]":2').otherwise(""), F.lit("}}"),
+    )
+    named = w.table(spark, sf, "customer").select(F.col("c_custkey").alias("event_id"), F.lit("c").alias("name"), F.parse_json(text).alias("detail"))
+    return ob.profile(named, ("name",)).select("path", "seen_in")
+
+
 @query(
     "field_profile",
     sql("occ", """SELECT src AS source, t AS event_type, path, count(DISTINCT e) AS seen_in, count(DISTINCT CASE WHEN v = '""' THEN e END) AS blank_in,
@@ -364,10 +399,10 @@ def field_values(spark, sf):
 @query(
     "field_sample",
     sql("occ", """SELECT row_number() OVER (ORDER BY f, v) AS pos, v AS value_json, occurrences, n AS distinct_values, n > 32 AS capped FROM (
-    SELECT v, min((ts, e)) AS f, count(*) AS occurrences, count(*) OVER () AS n FROM occ WHERE path = 'k' AND src = 'clientPortal-web' GROUP BY v) ORDER BY f, v LIMIT 32"""),
+    SELECT v, min((ts, e)) AS f, count(*) AS occurrences, count(*) OVER () AS n FROM occ WHERE path = 'k' AND src = 'harbour-desk' GROUP BY v) ORDER BY f, v LIMIT 32"""),
 )
 def field_sample(spark, sf):
-    events = ev.scan_events(bus(spark, sf), source="clientPortal-web")
+    events = ev.scan_events(bus(spark, sf), source="harbour-desk")
     obs = ob.observe(events, ("event_id", "ts"))
     return ob.field_sample(obs, "k").withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -433,7 +468,7 @@ def common_pattern(spark, sf):
     s = w.table(spark, sf, "supplier").select(F.lit("supplier").alias("tbl"), F.col("s_name").alias("v"))
     b = w.table(spark, sf, "part").select(F.lit("brand").alias("tbl"), F.col("p_brand").alias("v"))
     p = w.table(spark, sf, "pages").select(F.lit("url").alias("tbl"), F.col("url").alias("v"))
-    t = bus(spark, sf).select(F.lit("tracking").alias("tbl"), F.try_variant_get("detail", "$.metadata.trackingId", "string").alias("v"))
+    t = bus(spark, sf).select(F.lit("tracking").alias("tbl"), F.try_variant_get("detail", "$.cargo.manifestId", "string").alias("v"))
     return shape.common_pattern(c.unionByName(s).unionByName(b).unionByName(p).unionByName(t), ["tbl"], "v")
 
 
@@ -508,7 +543,7 @@ def violations(spark, sf):
 
 @query(
     "format_violations",
-    sql("prof", "SELECT e AS event_id, '\"' || tracking || '\"' AS value_json FROM bus WHERE src = 'Atomic Forms' AND t = 'click' AND meta = 'full'"),
+    sql("prof", "SELECT e AS event_id, '\"' || tracking || '\"' AS value_json FROM bus WHERE src = 'Tide Tables' AND t = 'click' AND meta = 'full'"),
 )
 def format_violations(spark, sf):
     c = run(spark, sf)
@@ -523,8 +558,8 @@ def failure_groups(spark, sf):
 
 @query(
     "verdicts",
-    sql("viol", """SELECT name, sampled, sampled - coalesce(failed, 0) AS passed, coalesce(failed, 0) AS failed FROM sampled
-    LEFT JOIN (SELECT name, count(DISTINCT e) AS failed FROM viol GROUP BY ALL) USING (name)"""),
+    sql("viol", """SELECT name, sampled, sampled - coalesce(failed, 0) - coalesce(undecided, 0) AS passed, coalesce(failed, 0) AS failed, coalesce(undecided, 0) AS undecided FROM sampled
+    LEFT JOIN (SELECT name, count(DISTINCT e) AS failed FROM viol GROUP BY ALL) USING (name) LEFT JOIN open_ USING (name)"""),
 )
 def verdicts(spark, sf):
     return run(spark, sf).verdicts
@@ -556,8 +591,8 @@ def issue_text(spark, sf):
     return run(spark, sf).issues.where(F.col("kind").isin(*kinds)).select("name", "key", "summary")
 
 
-_READS = """r AS (SELECT * FROM (VALUES ('clientPortal-web@view','a.ts','metadata.trackingId.part'),('clientPortal-web@view','a.ts','status'),('clientPortal-web@view','b.ts','metadata'),
-('clientPortal-web@view','b.ts','items[].sku'),('billing-invoices@purchase','c.ts','amount')) x(name, file, path)),
+_READS = """r AS (SELECT * FROM (VALUES ('harbour-desk@view','a.ts','cargo.manifestId.part'),('harbour-desk@view','a.ts','status'),('harbour-desk@view','b.ts','cargo'),
+('harbour-desk@view','b.ts','items[].sku'),('billing-invoices@purchase','c.ts','amount')) x(name, file, path)),
 rel AS (SELECT i.name, i.path, r.file, max(CASE WHEN r.p = i.p OR starts_with(r.p, i.p || '.') THEN 1 ELSE 0 END) AS reads
   FROM (SELECT DISTINCT name, path, replace(path, '[]', '') AS p FROM issues WHERE path <> '') i JOIN (SELECT *, replace(path, '[]', '') AS p FROM r) r
   ON r.name = i.name AND (r.p = i.p OR starts_with(r.p, i.p || '.') OR starts_with(i.p, r.p || '.')) GROUP BY ALL),
@@ -568,8 +603,8 @@ graded AS (SELECT i.*, h.handlers, coalesce(w.readers, 0) AS readers, coalesce(w
 
 def _bus_reads(spark):
     rows = [
-        ("clientPortal-web@view", "a.ts", "metadata.trackingId.part"), ("clientPortal-web@view", "a.ts", "status"),
-        ("clientPortal-web@view", "b.ts", "metadata"), ("clientPortal-web@view", "b.ts", "items[].sku"),
+        ("harbour-desk@view", "a.ts", "cargo.manifestId.part"), ("harbour-desk@view", "a.ts", "status"),
+        ("harbour-desk@view", "b.ts", "cargo"), ("harbour-desk@view", "b.ts", "items[].sku"),
         ("billing-invoices@purchase", "c.ts", "amount"),
     ]
     return spark.createDataFrame(rows, "name string, file string, path string")
@@ -600,26 +635,55 @@ def suggest_repairs(spark, sf):
 
 @query(
     "repaired_fields",
-    sql("issues", """SELECT name, path, CASE path WHEN 'amount' THEN 'number,null,string' WHEN 'metadata' THEN 'object,null' WHEN 'clientId' THEN 'string,integer' ELSE array_to_string(types, ',') END AS types,
-    path = 'amount' AS required, CASE WHEN path = 'status' THEN '"queued","done","retry"' END AS enum, CASE WHEN path = 'clientId' THEN CAST(1 AS BIGINT) END AS min_len
-    FROM declared WHERE name = 'clientPortal-web@view'
-    UNION ALL SELECT 'clientPortal-web@view', x.path, x.types, FALSE, NULL, NULL FROM (VALUES ('beta', 'boolean'), ('k', 'integer')) x(path, types)"""),
+    sql("issues", """SELECT name, path, CASE path WHEN 'amount' THEN 'number,null,string' WHEN 'shipperId' THEN 'string,integer' ELSE array_to_string(types, ',') END AS types,
+    path = 'amount' AS required, CASE WHEN path = 'status' THEN '"loaded","sailed","held"' END AS enum, CASE WHEN path = 'shipperId' THEN CAST(1 AS BIGINT) END AS min_len
+    FROM declared WHERE name = 'harbour-desk@view'
+    UNION ALL SELECT 'harbour-desk@view', x.path, x.types, FALSE, NULL, NULL FROM (VALUES ('beta', 'boolean'), ('k', 'integer')) x(path, types)"""),
 )
 def repaired_fields(spark, sf):
-    c = ck.Check(w.bus(spark, sf), w.bus_contracts(spark), ["clientPortal-web@view"])
-    edited, _ = repairs.apply_repairs(c.fields, c.issues.select("name", "path", "fix"))
+    c = ck.Check(w.bus(spark, sf), w.bus_contracts(spark), ["harbour-desk@view"])
+    edited, _ = repairs.apply_repairs(c.fields, c.issues.select("name", "path", "fix"), enum_values=c.enum_values)
     return edited.where("depth > 0").select(
         "name", "path", F.array_join("types", ",").alias("types"), "required",
         F.when(F.col("enum_json").isNotNull(), F.array_join("enum_json", ",")).alias("enum"), "min_len",
     )
 
 
+@query(
+    "refused_repairs",
+    sql("drift", "SELECT DISTINCT name, path, 'widenType' AS kind, 'declared by a reference' AS reason FROM wrong WHERE name = 'harbour-desk@view' AND path = 'cargo'"),
+)
+def refused_repairs(spark, sf):
+    c = ck.Check(w.bus(spark, sf), w.bus_contracts(spark), ["harbour-desk@view"])
+    return repairs.apply_repairs(c.fields, c.issues.select("name", "path", "fix"), enum_values=c.enum_values)[1]
+
+
+@query(
+    "repaired_enum",
+    """SELECT path, count(*) AS allowed, min(v) AS lowest, max(v) AS highest FROM (SELECT 'day' AS path, '"' || strftime(o_orderdate, '%Y-%m-%d') || '"' AS v FROM orders UNION SELECT 'day', '"never"') GROUP BY path""",
+)
+def repaired_enum(spark, sf):
+    """More values outside the enum than an issue lists: the repair takes them all."""
+    days = w.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("orders").alias("source"),
+        F.lit("placed").alias("event_type"),
+        F.to_variant_object(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))).alias("detail"),
+    )
+    listed = w.document("orders", "placed", {"Payload": {"type": "object", "properties": {"day": {"type": "string", "enum": ["never"]}}}})
+    contract = parse_contracts(spark.createDataFrame([("orders@placed", 1, listed)], "name string, version int, content string"))[0]
+    c = ck.Check(days, contract)
+    edited, _ = repairs.apply_repairs(c.fields, c.issues.select("name", "path", "fix"), enum_values=c.enum_values)
+    return edited.where("path = 'day'").select(
+        "path", F.size("enum_json").cast("bigint").alias("allowed"), F.array_min("enum_json").alias("lowest"), F.array_max("enum_json").alias("highest")
+    )
+
+
 @query(
     "events_for_issue",
-    sql("bus", "SELECT e AS event_id FROM bus WHERE src = 'clientPortal-web' AND t = 'view' AND amount IN ('null', 'string') ORDER BY ts DESC, e LIMIT 25"),
+    sql("bus", "SELECT e AS event_id FROM bus WHERE src = 'harbour-desk' AND t = 'view' AND amount IN ('null', 'string') ORDER BY ts DESC, e LIMIT 25"),
 )
 def events_for_issue(spark, sf):
-    return ck.events_for_issue(w.bus(spark, sf), w.bus_contracts(spark), "clientPortal-web@view", "wrongType:amount").select("event_id")
+    return ck.events_for_issue(w.bus(spark, sf), w.bus_contracts(spark), "harbour-desk@view", "wrongType:amount").select("event_id")
 
 
 _UNREG = """left_over AS (SELECT src, t, count(*) AS n FROM bus WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.src = bus.src AND m.t = bus.t)
@@ -725,17 +789,17 @@ def contract_matching(spark, sf):
 
 _HEALTH = """cnt AS (SELECT name, count_if(kind = 'undeclared') AS undeclared, count_if(kind = 'wrongType') AS type_mismatches, count_if(kind = 'outsideEnum') AS enum_drift,
   count_if(kind = 'missingRequired') AS missing_required, count_if(kind = 'emptyRequired') AS empty_required FROM drift GROUP BY ALL),
-vd AS (SELECT name, sampled, coalesce(failed, 0) AS failed FROM sampled LEFT JOIN (SELECT name, count(DISTINCT e) AS failed FROM viol GROUP BY ALL) USING (name)),
+vd AS (SELECT name, sampled, coalesce(failed, 0) AS failed, coalesce(undecided, 0) AS undecided FROM sampled LEFT JOIN (SELECT name, count(DISTINCT e) AS failed FROM viol GROUP BY ALL) USING (name) LEFT JOIN open_ USING (name)),
 names AS (SELECT DISTINCT name FROM declared UNION SELECT 'billing-invoices@error'),
 h0 AS (SELECT n.name, m.src IS NOT NULL OR n.name = 'billing-invoices@error' AS live, n.name = 'billing-invoices@error' AS broken,
   CASE WHEN n.name = 'billing-ledger@signup' THEN (SELECT count(*) FROM b WHERE ext) WHEN n.name = 'billing-invoices@error' THEN (SELECT count(*) FROM bus WHERE src = 'billing-invoices' AND t = 'error') ELSE coalesce(v.sampled, 0) END AS observed,
-  coalesce(v.sampled, 0) AS sampled, coalesce(v.failed, 0) AS failed, coalesce(undeclared, 0) AS undeclared, coalesce(type_mismatches, 0) AS type_mismatches, coalesce(enum_drift, 0) AS enum_drift,
+  coalesce(v.sampled, 0) AS sampled, coalesce(v.failed, 0) AS failed, coalesce(v.undecided, 0) AS undecided, coalesce(undeclared, 0) AS undeclared, coalesce(type_mismatches, 0) AS type_mismatches, coalesce(enum_drift, 0) AS enum_drift,
   coalesce(missing_required, 0) AS missing_required, coalesce(empty_required, 0) AS empty_required,
   CASE WHEN m.src || '@' || m.t <> n.name THEN m.src || '@' || m.t END AS wire_identity
   FROM names n LEFT JOIN matched m USING (name) LEFT JOIN vd v USING (name) LEFT JOIN cnt USING (name)),
 health AS (SELECT *, CASE WHEN NOT live THEN 'noTraffic' WHEN failed > 0 THEN 'failing' WHEN broken THEN 'error'
-  WHEN undeclared + type_mismatches + enum_drift + empty_required > 0 THEN 'drifting' ELSE 'ok' END AS status FROM h0)"""
-_NUM = "observed, sampled, sampled - failed AS passed, failed, undeclared, type_mismatches, enum_drift, missing_required, empty_required"
+  WHEN undeclared + type_mismatches + enum_drift + empty_required > 0 THEN 'drifting' WHEN undecided > 0 THEN 'undecided' ELSE 'ok' END AS status FROM h0)"""
+_NUM = "observed, sampled, sampled - failed - undecided AS passed, failed, undecided, undeclared, type_mismatches, enum_drift, missing_required, empty_required"
 
 
 def _report(spark, sf):
@@ -744,7 +808,7 @@ def _report(spark, sf):
 
 @query("health_report", sql("issues", f"SELECT name, status, {_NUM}, wire_identity FROM health", _HEALTH))
 def health_report(spark, sf):
-    numbers = ["observed", "sampled", "passed", "failed", *he.DRIFT_KINDS]
+    numbers = ["observed", "sampled", "passed", "failed", "undecided", *he.DRIFT_KINDS]
     return _report(spark, sf).select("name", "status", *numbers, "wire_identity")
 
 
@@ -782,7 +846,7 @@ def unregistered_types(spark, sf):
 
 @query(
     "status_counts",
-    sql("issues", """SELECT s.status, count(r.name) AS rows, round(count(r.name) / (SELECT count(*) FROM rows_), 6) AS share FROM (VALUES ('missing'), ('failing'), ('error'), ('drifting'), ('ok'), ('noTraffic')) s(status)
+    sql("issues", """SELECT s.status, count(r.name) AS rows, round(count(r.name) / (SELECT count(*) FROM rows_), 6) AS share FROM (VALUES ('missing'), ('failing'), ('error'), ('drifting'), ('undecided'), ('ok'), ('noTraffic')) s(status)
     LEFT JOIN rows_ r USING (status) GROUP BY ALL""", _MISS),
 )
 def status_counts(spark, sf):
@@ -820,7 +884,7 @@ def report_sorted(spark, sf):
     return ordered.select("name", "drift_n", F.row_number().over(order).cast("bigint").alias("pos"))
 
 
-_ADDR = _MISS + """, addr AS (SELECT name, status, CASE WHEN name = 'billing-ledger@view' THEN 'marked' WHEN status = 'missing' AND name LIKE 'Atomic%' THEN 'registered' WHEN name = 'clientPortal-web@view' THEN 'saved' END AS addressed FROM rows_)"""
+_ADDR = _MISS + """, addr AS (SELECT name, status, CASE WHEN name = 'billing-ledger@view' THEN 'marked' WHEN status = 'missing' AND name LIKE 'Atomic%' THEN 'registered' WHEN name = 'harbour-desk@view' THEN 'saved' END AS addressed FROM rows_)"""
 
 
 def _addressed(spark, sf):
@@ -857,11 +921,11 @@ def identity_mismatches(spark, sf):
 
 @query(
     "issues_for_contracts",
-    sql("issues", """SELECT name, key, affected, CAST(NULL AS VARCHAR) AS note FROM ranked WHERE name IN ('clientPortal-web@view')
+    sql("issues", """SELECT name, key, affected, CAST(NULL AS VARCHAR) AS note FROM ranked WHERE name IN ('harbour-desk@view')
     UNION ALL SELECT 'orders-api@nothing', NULL, NULL, 'no events were sampled'"""),
 )
 def issues_for_contracts(spark, sf):
-    found = he.issues_for(w.bus(spark, sf), w.bus_contracts(spark), ["clientPortal-web@view", "orders-api@nothing"])
+    found = he.issues_for(w.bus(spark, sf), w.bus_contracts(spark), ["harbour-desk@view", "orders-api@nothing"])
     return found.select("name", "key", "affected", "note")
 
 
@@ -883,16 +947,16 @@ def check_each_event(spark, sf):
 @query(
     "check_draft",
     sql("bus", f"""SELECT key, count(*) AS affected, any_value((SELECT count(*) FROM x)) AS sampled FROM (
-    SELECT 'wrongType:clientId' AS key FROM x WHERE client = 'integer' UNION ALL SELECT 'rejected:k:/properties/k/minimum' FROM x WHERE k < 10
-    UNION ALL SELECT 'undeclared:' || p FROM x, (VALUES ('amount'), ('status'), ('items')) v(p) UNION ALL SELECT 'undeclared:metadata' FROM x WHERE meta <> 'absent'
-    UNION ALL SELECT 'undeclared:metadata.trackingId' FROM x WHERE meta = 'full' UNION ALL SELECT 'undeclared:beta' FROM x WHERE beta
+    SELECT 'wrongType:shipperId' AS key FROM x WHERE client = 'integer' UNION ALL SELECT 'rejected:k:/properties/k/minimum' FROM x WHERE k < 10
+    UNION ALL SELECT 'undeclared:' || p FROM x, (VALUES ('amount'), ('status'), ('items')) v(p) UNION ALL SELECT 'undeclared:cargo' FROM x WHERE meta <> 'absent'
+    UNION ALL SELECT 'undeclared:cargo.manifestId' FROM x WHERE meta = 'full' UNION ALL SELECT 'undeclared:beta' FROM x WHERE beta
     UNION ALL SELECT 'undeclared:' || p FROM x, (VALUES ('items[]'), ('items[].sku'), ('items[].qty')) v(p) WHERE n > 0) GROUP BY ALL""",
-    f"x AS (SELECT * FROM bus WHERE src = 'clientPortal-web' AND t = 'purchase' AND ms >= {START_MS + DAY} AND ms < {START_MS + 20 * DAY})"),
+    f"x AS (SELECT * FROM bus WHERE src = 'harbour-desk' AND t = 'purchase' AND ms >= {START_MS + DAY} AND ms < {START_MS + 20 * DAY})"),
 )
 def check_draft(spark, sf):
     draft = w.document(
-        "clientPortal-web", "purchase",
-        {"Payload": {"type": "object", "properties": {"clientId": {"type": "string"}, "k": {"type": "integer", "minimum": 10}}}},
+        "harbour-desk", "purchase",
+        {"Payload": {"type": "object", "properties": {"shipperId": {"type": "string"}, "k": {"type": "integer", "minimum": 10}}}},
     )
-    c = ck.check_contract(w.bus(spark, sf), "clientPortal-web@purchase", draft, at(DAY), at(20 * DAY))
+    c = ck.check_contract(w.bus(spark, sf), "harbour-desk@purchase", draft, at(DAY), at(20 * DAY))
     return c.issues.select("key", "affected", "sampled")
