@@ -116,11 +116,11 @@ def test_path_patterns(spark):
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("Atomic  Forms@a#b",), ("a@b@c",), ("@x",), ("nope",), ("x@",)], "n string")
+    df = spark.createDataFrame([("Tide  Tables@a#b",), ("a@b@c",), ("@x",), ("nope",), ("x@",)], "n string")
     source, kind = split_identity(F.col("n"))
     rows = df.select(sanitize_name(F.col("n")).alias("s"), F.array_join(invalid_chars(F.col("n")), "").alias("i"), source.alias("a"), kind.alias("b")).collect()
-    assert rows[0]["s"] == "Atomic-Forms@a-b" and rows[0]["i"] == " #"
-    assert [(r["a"], r["b"]) for r in rows] == [("Atomic  Forms", "a#b"), ("a", "b@c"), (None, None), (None, None), (None, None)]
+    assert rows[0]["s"] == "Tide-Tables@a-b" and rows[0]["i"] == " #"
+    assert [(r["a"], r["b"]) for r in rows] == [("Tide  Tables", "a#b"), ("a", "b@c"), (None, None), (None, None), (None, None)]
     t = spark.range(1).select(detail_title(F.lit("order_placed-now.x y")).alias("t"), label(F.lit(" items[].sku a\tb ")).alias("l")).first()
     assert (t["t"], t["l"]) == ("OrderPlacedNowXY", "items.sku-a-b")
 

@@ -151,7 +151,7 @@ def test_lint(spark):
         {
             "components": {
                 "schemas": {
-                    "AWSEvent": {"type": "object", "x-amazon-events-source": "Atomic Forms", "x-amazon-events-detail-type": "a-b", "properties": {"detail": {"$ref": "#/components/schemas/P"}}},
+                    "AWSEvent": {"type": "object", "x-amazon-events-source": "Tide Tables", "x-amazon-events-detail-type": "a-b", "properties": {"detail": {"$ref": "#/components/schemas/P"}}},
                     "P": {
                         "type": "object",
                         "properties": {
@@ -167,15 +167,15 @@ def test_lint(spark):
             }
         }
     )
-    docs, _ = parse_contracts(spark.createDataFrame([("Atomic-Forms@a-b", 1, bad), ("x@y", 1, "{}")], "name string, version int, content string"))
+    docs, _ = parse_contracts(spark.createDataFrame([("Tide-Tables@a-b", 1, bad), ("x@y", 1, "{}")], "name string, version int, content string"))
     rows = {(r["name"], r["code"]): r for r in lint(docs).collect()}
-    codes = {c for n, c in rows if n.startswith("Atomic")}
+    codes = {c for n, c in rows if n.startswith("Tide")}
     assert {
         "missing-openapi", "envelope-required", "envelope-properties", "identity-sanitized", "type-list", "type-null", "tuple-items", "untyped-nullable",
         "ref-siblings", "numeric-format", "numeric-exclusive", "boolean-exclusive", "not-openapi const", "post-draft-07 prefixItems", "foreign-dialect", "unknown-format",
     } <= codes
-    assert "not-openapi $schema" not in codes and rows["Atomic-Forms@a-b", "type-null"]["sites"] == 2
-    assert rows["Atomic-Forms@a-b", "untyped-nullable"]["shown"] == ["/components/schemas/P/properties/d"]
+    assert "not-openapi $schema" not in codes and rows["Tide-Tables@a-b", "type-null"]["sites"] == 2
+    assert rows["Tide-Tables@a-b", "untyped-nullable"]["shown"] == ["/components/schemas/P/properties/d"]
     assert {c for n, c in rows if n == "x@y"} == {"missing-openapi", "no-schemas"}
 
 

@@ -884,13 +884,13 @@ def report_sorted(spark, sf):
     return ordered.select("name", "drift_n", F.row_number().over(order).cast("bigint").alias("pos"))
 
 
-_ADDR = _MISS + """, addr AS (SELECT name, status, CASE WHEN name = 'billing-ledger@view' THEN 'marked' WHEN status = 'missing' AND name LIKE 'Atomic%' THEN 'registered' WHEN name = 'harbour-desk@view' THEN 'saved' END AS addressed FROM rows_)"""
+_ADDR = _MISS + """, addr AS (SELECT name, status, CASE WHEN name = 'billing-ledger@view' THEN 'marked' WHEN status = 'missing' AND name LIKE 'Tide%' THEN 'registered' WHEN name = 'harbour-desk@view' THEN 'saved' END AS addressed FROM rows_)"""
 
 
 def _addressed(spark, sf):
     rows = _rows(spark, sf).withColumn("last_modified", F.lit("v1"))
-    live = rows.where("name LIKE 'Atomic%' OR name LIKE 'clientPortal%@view'").select(
-        "name", F.when(F.col("name").startswith("clientPortal"), "v2").otherwise("v1").alias("last_modified")
+    live = rows.where("name LIKE 'Tide%' OR name LIKE 'harbour%@view'").select(
+        "name", F.when(F.col("name").startswith("harbour"), "v2").otherwise("v1").alias("last_modified")
     )
     marks = rows.where("name = 'billing-ledger@view'").select("name")
     return he.addressed(rows, live, marks, T0, T0 + dt.timedelta(hours=25), 1440)
