@@ -35,7 +35,7 @@ BITS = 64
 PART_ROWS = 16_384
 #: Groups up to this size are compared many at once; a larger one block by block.
 SMALL_GROUP, QUERY_ROWS = 64, 64
-#: A fingerprint that over one in this many rows carries is joined by broadcast; there can't be more of them than this.
+#: A key that over one in this many rows carries is joined by broadcast; there can't be more of them than about this.
 HOT_SHARE = 1000
 
 
@@ -245,26 +245,42 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _joined(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` joined with `facts`: one row for each `key`, and in `carried` how many of `rows` have it.
+
+    Keys that over one in `HOT_SHARE` of `total` rows carry are joined by broadcast, where the rows lie; there are about
+    `HOT_SHARE` of them at most, whatever the input.
+    """
+    hot = facts.where(F.col("carried") * HOT_SHARE > F.lit(total)).drop("carried")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.drop("carried"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """`node, label`: the smallest node that each node of an edge can reach.
 
     Stars: every node points its larger neighbours to its smallest one, then its smaller ones, until nothing moves. Each
-    round is two aggregates with map-side partials, and is written to the shared folder.
+    round is two aggregates with map-side partials, and is written to the shared folder. The centre of a large star never
+    gathers its neighbours in a task.
     """
     spark = edges.sparkSession
     path = new_path(spark, "links")
     edges.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").where("a > b").distinct().write.parquet(path)
+    smallest = F.min("b").alias("m"), F.count("*").alias("carried")
     while True:
         stars = spark.read.schema("a long, b long").parquet(path)
+        total = stars.count()
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        small = small.select("e.*").where("a > b").distinct()
+        least = both.groupBy("a").agg(*smallest).withColumn("m", F.least("a", "m"))
+        large = _joined(both.where("b > a"), least, "a", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        middle = new_path(spark, "links")
+        large.where("a > b").distinct().write.parquet(middle)
+        large = spark.read.schema("a long, b long").parquet(middle)
+        small = _joined(large, large.groupBy("a").agg(*smallest), "a", total)
+        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = new_path(spark, "links")
-        small.write.parquet(after)
+        small.select("e.*").where("a > b").distinct().write.parquet(after)
+        discard(spark, middle)
         new = spark.read.schema("a long, b long").parquet(after)
         moved = new.join(stars, ["a", "b"], "left_anti").limit(1).count() + stars.join(new, ["a", "b"], "left_anti").limit(1).count()
         discard(spark, path)
@@ -293,12 +309,10 @@ def near_duplicates(rows: DataFrame, radius: int = 4) -> DataFrame:
     nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
     labels = components(links(nodes.select("fp"), radius))
     member = nodes.join(labels, nodes["fp"] == labels["node"], "left").select(nodes["fp"], "least", "n", F.coalesce("label", "fp").alias("label"))
-    lowest = member.groupBy("label").agg(F.min("least").alias("component_id"))
-    member = stored(member.join(lowest, "label").select("fp", "n", "label", "component_id"), "members")
-    total = rows.count()
-    hot = member.where(F.col("n") * HOT_SHARE > F.lit(total)).drop("n")  # fewer than HOT_SHARE rows, whatever the input
-    rest = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(member.drop("n"), "fp")
-    return rows.join(F.broadcast(hot), "fp").unionByName(rest)
+    lowest = member.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("carried"))
+    member = _joined(member.drop("least"), lowest, "label", nodes.count())
+    member = stored(member.select("fp", "label", "component_id", F.col("n").alias("carried")), "members")
+    return _joined(rows, member, "fp", rows.count())
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 4, radius: int = 4) -> DataFrame:
