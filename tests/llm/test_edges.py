@@ -278,3 +278,12 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, docs, none, tmp_path):
             assert out.columns == frame.columns
             out.count()
         corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).count()
+
+
+def test_components_of_a_large_star_and_chains(spark):
+    star = [(7, 1000 + i) for i in range(4000)]
+    chain = [(20_000 + i, 20_001 + i) for i in range(40)]
+    pair = [(-9, 5), (-9, -9)]
+    found = simhash.components(spark.createDataFrame(star + chain + pair, "a long, b long"))
+    want = {b: 7 for _, b in star} | {b: 20_000 for _, b in chain} | {5: -9}
+    assert {r["node"]: r["label"] for r in found.collect() if r["node"] != r["label"]} == want
