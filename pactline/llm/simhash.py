@@ -307,7 +307,17 @@ def near_duplicates(rows: DataFrame, radius: int = 4) -> DataFrame:
     if not 0 <= radius <= 7:
         raise ValueError("the bit-sliced counter holds radii from 0 to 7")
     nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
-    labels = components(links(nodes.select("fp"), radius))
+    return _with_labels(rows, nodes, links(nodes.select("fp"), radius))
+
+
+def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """`rows` of `id, fp, text_hash` with the `label` and `component_id` that the links `a, b` between values of `fp` give."""
+    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
+    return _with_labels(rows, nodes, edges)
+
+
+def _with_labels(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    labels = components(edges)
     member = nodes.join(labels, nodes["fp"] == labels["node"], "left").select(nodes["fp"], "least", "n", F.coalesce("label", "fp").alias("label"))
     lowest = member.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("carried"))
     member = _joined(member.drop("least"), lowest, "label", nodes.count())
@@ -320,7 +330,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
 
     Rows that share an id but not a text are told apart by their texts.
     """
-    found = near_duplicates(fingerprinted(docs, id_col, text_col, n_words), radius)
+    return one_of_each(docs, near_duplicates(fingerprinted(docs, id_col, text_col, n_words), radius), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each `label` of `found` (`id, text_hash, label`), the row of `docs` with the smallest id."""
     missing = F.lit(-(1 << 63))
     rank = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", missing).alias("key"), F.col("text_hash").alias("hash"))
     stay = found.groupBy("label").agg(F.min(rank).alias("r")).select(F.col("r.key").alias("_key"), F.col("r.hash").alias("_hash"))

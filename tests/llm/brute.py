@@ -58,6 +58,25 @@ def simhash(rows):
     return {i: (f"{f:016x}", least[label[f]]) for i, f in fps}
 
 
+def similar(rows):
+    """doc_id -> smallest id that links of Jaccard similarity 0.8 or more between sets of five-word shingles reach."""
+    sets = []
+    for _, text in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = WORDS.findall(low)
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    label = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                old, new = label[i], label[j]
+                label = [new if k == old else k for k in label]
+    least = {}
+    for (i, _), k in zip(rows, label, strict=True):
+        least[k] = min(i, least.get(k, i))
+    return {i: least[k] for (i, _), k in zip(rows, label, strict=True)}
+
+
 def rules(text):
     words = WORDS.findall(text or "")
     n = len(words)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pactline.llm import byte_bpe, chat, gam, language_id, packing, repetition, sharding, simhash, topk, warc
+from pactline.llm import byte_bpe, chat, gam, language_id, packing, repetition, sharding, shingles, simhash, topk, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard_ int, fp string, id string, value string"
 LONG = " ".join(f"w{i * i % 997} x{i}" for i in range(30_000))
@@ -287,3 +287,57 @@ def test_components_of_a_large_star_and_chains(spark):
     found = simhash.components(spark.createDataFrame(star + chain + pair, "a long, b long"))
     want = {b: 7 for _, b in star} | {b: 20_000 for _, b in chain} | {5: -9}
     assert {r["node"]: r["label"] for r in found.collect() if r["node"] != r["label"]} == want
+
+
+def near_copies():
+    """Texts that share a passage, chains of near copies about the threshold, pairs right at it, and odd rows."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    common = [word() for _ in range(30)]
+    texts = ["", None, "One", "one", "a b c d", "a b c d e", " ".join(common), "\n"]
+    for n in (20, 60, 150, 400):
+        for _ in range(6):
+            base = [word() for _ in range(n)] + common[: rng.randint(0, 30)]
+            for _ in range(5):
+                texts.append(" ".join(base))
+                base = list(base)
+                for _ in range(rng.randint(0, 1 + n // 60)):
+                    base[rng.randrange(len(base))] = word()
+    # 84 words are 80 shingles: another 20 are a similarity of 0.8, another 21 are less
+    for more in (20, 21):
+        base = [word() for _ in range(84)]
+        texts += [" ".join(base), " ".join(base + [word() for _ in range(more)])]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("batch", [10, 50_000])
+def test_near_dedup_keeps_one_of_each_group_of_similar_texts(spark, tmp_path, monkeypatch, batch):
+    monkeypatch.setattr(shingles, "BATCH_ROWS", batch)
+    monkeypatch.setattr(shingles, "SAMPLE", 2)
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = set(brute.similar(rows).values())
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()} == want
+    by_fingerprint = {c for _, c in brute.simhash(rows).values()}
+    assert len(by_fingerprint) > len(want)
+
+
+def test_near_dedup_of_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = brute.similar([tuple(r) for r in docs.orderBy("doc_id").collect()])
+    assert sorted(r["doc_id"] for r in shingles.keep_one(docs).collect()) == sorted(set(want.values()))
+
+
+def test_bit_maps_exclude_no_similar_sets():
+    rng = np.random.default_rng(4)
+    excluded = 0
+    for n in (1, 5, 9, 100, 1000, 5000):
+        for _ in range(30):
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.random() * 0.5 + 0.5], rng.integers(0, 2**63, n // 9).astype(np.uint64)]))
+            common = len(np.intersect1d(x, y))
+            possible = shingles.may_be_similar(len(x), shingles.bit_map(x), len(y), shingles.bit_map(y))
+            assert possible or 5 * common < 4 * len(np.union1d(x, y))
+            excluded += not possible
+    assert excluded > 50
