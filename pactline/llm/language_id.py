@@ -4,9 +4,9 @@ Learning. Letters are lower-cased, everything else is one space, and each text c
 into 64 bits. Tasks add up their own counts before the shuffle; the lower orders come from the distinct grams of the order
 above (in how many contexts a gram continues), as Kneser-Ney wants it. All counts cover all training rows.
 
-Model. For each language and order a sorted array of gram hashes with their discounted probabilities, and one of context
-hashes with the weight of the lower order. Hashes are cut to `HASH_BITS`, so a table has at most 2**HASH_BITS entries
-whatever the input: that bounds what is collected and broadcast, at 12 bytes an entry.
+Model. For each language and order a sorted array of grams with their discounted probabilities, and one of contexts with the
+weight of the lower order. Grams are whole 64-bit keys, so none is taken for another. The model grows with the distinct grams
+of a language, at 12 bytes an entry; it is collected and broadcast, so it must fit the driver and each Python worker.
 
 Scoring. Each batch looks up its distinct 4-grams once. The language of the lowest cross-entropy a character wins. The
 score is the probability that the winner is right, calibrated on the training rows by the margin to the second; texts
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pactline.llm.common import chunks, stored, tune
 
 ORDER = 4
-HASH_BITS = 20
 UNIFORM = 1.0 / 4096
 #: Margins are binned on a logarithmic scale into this many bins for calibration.
 BINS = 64
@@ -81,23 +80,6 @@ def _suffix(gram: str, order: int) -> Column:
     return F.col(gram).bitwiseAND(F.lit((1 << (16 * order)) - 1)) if order < 4 else F.col(gram)
 
 
-def _slot(col: Column) -> Column:
-    """A gram's hash, as `_hash` has it: shifts and exclusive ors, which Spark and numpy do alike."""
-    for _ in range(2):
-        col = col.bitwiseXOR(F.shiftleft(col, 13))
-        col = col.bitwiseXOR(F.shiftrightunsigned(col, 7))
-        col = col.bitwiseXOR(F.shiftleft(col, 17))
-    return F.shiftrightunsigned(col, 64 - HASH_BITS).cast("int")
-
-
-def _hash(packed: np.ndarray) -> np.ndarray:
-    for _ in range(2):
-        packed = packed ^ (packed << np.uint64(13))
-        packed = packed ^ (packed >> np.uint64(7))
-        packed = packed ^ (packed << np.uint64(17))
-    return packed >> np.uint64(64 - HASH_BITS)
-
-
 def gram_counts(rows: DataFrame) -> DataFrame:
     """`lang, gram, n` over all rows of `lang, text`."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,13 +108,14 @@ def fit(rows: DataFrame) -> dict:
         discount = (F.col("one") + 1) / (F.col("one") + 2 * F.col("two") + 2)
         sums = held.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.first(discount).alias("discount"))
         value = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")
-        of_grams = held.join(sums, ["lang", "context"]).select("lang", F.lit(0).alias("kind"), _slot(F.col("gram")).alias("h"), value.alias("p"))
+        of_grams = held.join(sums, ["lang", "context"]).select("lang", F.lit(0).alias("kind"), F.col("gram").alias("h"), value.alias("p"))
         weight = F.col("discount") * F.col("kinds") / F.col("total")
-        of_contexts = sums.select("lang", F.lit(1).alias("kind"), _slot(F.col("context")).alias("h"), weight.alias("p"))
-        # at most 2**HASH_BITS rows for each language and kind
-        table = of_grams.unionByName(of_contexts).groupBy("lang", "kind", "h").agg(F.max("p").cast("float").alias("p")).toPandas()
-        for (lang, kind), part in table.sort_values("h").groupby(["lang", "kind"]):
-            model.setdefault(lang, {})[order, kind] = part["h"].to_numpy(np.uint64), part["p"].to_numpy(np.float32)
+        of_contexts = sums.select("lang", F.lit(1).alias("kind"), F.col("context").alias("h"), weight.alias("p"))
+        table = of_grams.unionByName(of_contexts).withColumn("p", F.col("p").cast("float")).toPandas()
+        for (lang, kind), part in table.groupby(["lang", "kind"]):
+            h = part["h"].to_numpy(np.int64).view(np.uint64)
+            at = np.argsort(h)
+            model.setdefault(lang, {})[order, kind] = h[at], part["p"].to_numpy(np.float32)[at]
         if order > 1:
             lower = level.select("lang", _suffix("gram", order - 1).alias("gram"))
             level = stored(lower.groupBy("lang", "gram").agg(F.count("*").alias("n")), "grams")
@@ -142,9 +125,9 @@ def fit(rows: DataFrame) -> dict:
 def _lookup(table: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray, missing: float) -> np.ndarray:
     if table is None or not len(table[0]):
         return np.full(len(keys), missing)
-    hashes, values = table
-    at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-    return np.where(hashes[at] == keys, values[at], missing)
+    known, values = table
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], missing)
 
 
 def information(model: dict, lang: str, gram: np.ndarray) -> np.ndarray:
@@ -152,8 +135,8 @@ def information(model: dict, lang: str, gram: np.ndarray) -> np.ndarray:
     tables, p = model[lang], np.full(len(gram), UNIFORM)
     for order in range(1, ORDER + 1):
         own = gram & np.uint64((1 << (16 * order)) - 1)
-        weight = _lookup(tables.get((order, 1)), _hash(own >> np.uint64(16)), 1.0)
-        p = np.minimum(_lookup(tables.get((order, 0)), _hash(own), 0.0) + weight * p, 1.0)
+        weight = _lookup(tables.get((order, 1)), own >> np.uint64(16), 1.0)
+        p = np.minimum(_lookup(tables.get((order, 0)), own, 0.0) + weight * p, 1.0)
     return -np.log2(np.maximum(p, 1e-12))
 
 

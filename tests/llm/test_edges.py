@@ -47,6 +47,19 @@ def test_probabilities_add_up(spark):
     assert np.exp2(-language_id.information(model, "en", following)).sum() == pytest.approx(1, abs=0.02)
 
 
+def test_every_gram_has_its_own_entry(spark):
+    """Many distinct grams: none is lost or answers for another."""
+    rng = random.Random(2)
+    texts = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400)) for _ in range(1000)]
+    model = language_id.fit(spark.createDataFrame([("zz", t) for t in texts], "lang string, text string"))
+    gram = np.unique(language_id.grams(texts)[0])
+    assert len(gram) > 300_000 and (model["zz"][4, 0][0] == gram).all()
+    other = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400)) for _ in range(100)]
+    unseen = np.setdiff1d(language_id.grams(other)[0], gram)
+    assert len(unseen) > 30_000 and not np.isin(unseen, model["zz"][4, 0][0]).any()
+    assert (language_id._lookup(model["zz"][4, 0], unseen, 0.0) == 0).all()
+
+
 def test_simhash(docs, none):
     rows = simhash.near_duplicates(simhash.fingerprinted(docs)).collect()
     assert len(rows) == docs.count()
