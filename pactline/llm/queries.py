@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm import byte_bpe, chat, gam, language_id, packing, repetition, sharding, simhash, topk, warc
+from pactline.llm import byte_bpe, chat, gam, language_id, merkle, packing, repetition, sharding, simhash, topk, warc, whitening, word_table
 from pactline.llm.common import crc_part, tune
 
 N_SHARDS = 24
@@ -133,10 +133,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text")
+    leaf = merkle.leaf_hash([F.col(c) for c in docs.columns])
+    without_breaks = F.when(crc_part("doc_id", 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    tampered = merkle.leaf_hash([*(F.col(c) for c in docs.columns[:-1]), without_breaks])
+    return merkle.manifest(docs, leaf, tampered).withColumnRenamed("id", "doc_id")
+
+
+def op13_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = word_table.encode(_table(spark, sf_dir, "documents"), path).withColumn("decoded", word_table.decode(F.col("ids"), path))
+    return found.select(
+        F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_simhash, op3_chat, op4_rendezvous, op5_packing, op6_gam, op7_top_k, op8_byte_bpe, op9_quality_rules, op10_warc,
+        op11_whitening, op12_merkle, op13_word_table,
     )
 }
 ORACLE: dict[str, str] = {"op3_chat": OP3_SQL}

@@ -104,6 +104,17 @@ def bpe(texts):
         yield len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def byte_words(texts):
+    """Count, digest of the ids and digest of the decoded text, by the library itself."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    for text in texts:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        back = tokenizer.decode(ids, skip_special_tokens=False)
+        yield len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+
+
 def word_ids(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     return [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
@@ -167,3 +178,70 @@ def pages(rows):
             revisit = len(raw) >= 1000 and i is not None and i != first
             out[i] = (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", first if revisit else None)
     return out
+
+
+def whitening(rows, k=8):
+    """(id, component) -> n, deviation, |whitened|, explained; `rows` are (id, vector)."""
+    good = [(i, v) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    dims = max((len(v) for _, v in good), default=0)
+    x = np.array([[*v, *[0.0] * (dims - len(v))] for _, v in good], np.float64).reshape(len(good), dims)
+    x = np.floor(1024 * x).astype(np.int64) + 100_000
+    n, total = len(x), x.sum(axis=0)
+    centred = x - total / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    out = []
+    for (i, _), row, c in zip(good, x, centred, strict=True):
+        deviation = sum((n * int(a) - int(s)) ** 2 for a, s in zip(row, total, strict=True))
+        for j in range(min(k, dims)):
+            if values[j] > 1e-11 * values[0] > 0:
+                out.append((i, j + 1, n, deviation, abs(c @ vectors[:, j]) / np.sqrt(values[j]), values[j] / values.sum()))
+    return out
+
+
+def _h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _leaf(fields):
+    return _h(*("-" if x is None else f"{len(str(x).encode())}:{x}" for x in fields))
+
+
+def _levels(digests):
+    """Each leaf's siblings (left, right) up the tree, and the top."""
+    ways, members, nodes = [[] for _ in digests], [[i] for i in range(len(digests))], list(digests)
+    while len(nodes) > 1:
+        upper, above = [], []
+        for a in range(0, len(nodes), 3):
+            run = nodes[a : a + 3]
+            for k in range(len(run)):
+                for i in members[a + k]:
+                    ways[i].append(("".join(run[:k]), "".join(run[k + 1 :])))
+            upper.append(_h(*run))
+            above.append([i for m in members[a : a + 3] for i in m])
+        nodes, members = upper, above
+    return ways, nodes[0] if nodes else None
+
+
+def merkle(rows):
+    """Sorted rows of the manifest; `rows` are (doc_id, source, lang, n_chars, text)."""
+    groups = defaultdict(list)
+    for r in rows:
+        tampered = r
+        if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0 and r[4] is not None:
+            tampered = (*r[:4], r[4].replace("\n", ""))
+        groups[r[1]].append(((r[0] is not None, r[0] or 0, _leaf(r)), r[0], _leaf(r), _leaf(tampered)))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in order:
+        groups[s].sort()
+        trees[s] = _levels([x[2] for x in groups[s]])
+    above, root = _levels([trees[s][1] for s in order])
+    out = []
+    for s, way in zip(order, above, strict=True):
+        for (_, i, leaf, tampered), own in zip(groups[s], trees[s][0], strict=True):
+            steps, d = own + way, tampered
+            for left, right in steps:
+                d = _h(left, d, right)
+            out.append((i, leaf, trees[s][1], root, _h(*(x for step in steps for x in step)), d, d == root))
+    return out

@@ -94,6 +94,30 @@ def test_warc(spark):
     assert {i: tuple(r[c] for c in ("payload_bytes", "payload_digest", "record_type", "refers_to")) for i, r in rows.items()} == want
 
 
+def test_whitening(spark):
+    rows = queries.op11_whitening(spark, SF).collect()
+    found = sorted((r["vec_id"], r["component"], r["n"], r["deviation"], abs(r["whitened"]), r["explained"]) for r in rows)
+    want = sorted(brute.whitening(table("embeddings", "vec_id, embedding")))
+    assert [r[:4] for r in found] == [r[:4] for r in want]
+    assert np.allclose([r[4:] for r in found], [r[4:] for r in want], rtol=1e-6, atol=1e-9)
+    assert len({r["identity_error"] for r in rows}) == 1 and rows[0]["identity_error"] < 1e-9
+
+
+def test_merkle(spark):
+    columns = "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    rows = queries.op12_merkle(spark, SF).select(*columns).collect()
+    want = brute.merkle(table("documents", "doc_id, source, lang, n_chars, text"))
+    assert sorted(map(tuple, rows)) == sorted(want)
+    assert {r["verified"] for r in rows} == {True, False}
+
+
+def test_word_table(spark, docs):
+    rows = by_id(queries.op13_word_table(spark, SF))
+    assert len(rows) == len(docs)
+    for (i, _), want in zip(docs, brute.byte_words([t for _, t in docs]), strict=True):
+        assert tuple(rows[i][c] for c in ("n_tokens", "ids_sha256", "decoded_sha256")) == want
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as p
 
