@@ -1,10 +1,12 @@
 """BPE encoding and decoding through a table of distinct words (operator 13).
 
-Encoding. Merges never cross the tokenizer's words, so a word's ids are the same wherever it stands.
-1. Tasks split texts into words, in slices of some thousand documents; a slice numbers its distinct words, and each document
-   keeps the numbers of its words, in order.
-2. The words of all slices meet by word, sorted. The stream of a word starts with its one encoding: the table of distinct
-   words. A frequent word has one row a slice, not one an occurrence, so none is hot.
+Encoding. Words are runs of text between single spaces, each with the space before it. Merges never cross them, so a word's ids
+are the same wherever it stands.
+1. Tasks split texts into words, in slices of some thousand documents. A slice has a list of its distinct words, and each of
+   its documents the places of its words there, in order.
+2. The lists are cut into buckets by a hash of the word, and the buckets of all slices meet: the table of distinct words, a
+   part of it in each task, where a word is encoded once. A frequent word comes once a slice, not once an occurrence, so none
+   is hot. Lists are compressed: as one row a word they took three times the input in shuffles.
 3. The ids go back to their slices and join its documents by position.
 
 Decoding joins ids with the table of pieces, which the vocabulary bounds (50,257 rows), by id: that table is on every worker,
@@ -22,14 +24,18 @@ library; an empty table gives no rows. Other columns are not read. Ids outside t
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,15 +43,18 @@ from pyspark.sql import functions as F
 from pactline.llm.common import tune
 
 #: A slice ends behind the document that brings it to so many distinct words, characters or documents.
-SLICE_WORDS, SLICE_CHARS, SLICE_DOCS = 40_000, 4_000_000, 4_000
-#: Fixed by the published vocabulary: the words of the byte-level tokenizer.
-WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SLICE = 56_000, 8_000_000, 8_000
+#: A task forgets a bucket's table beyond so many words, and encodes again what it meets later.
+TABLE_WORDS = 2_000_000
+SEPARATOR = b"\xff"
+#: Fixed by the published vocabulary: the pieces of the byte-level tokenizer.
+PIECE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Below this code point the library and the regular expression agree on what is a letter; above, the library is asked.
 AGREED = "\u0558"
 
 
 class Words:
-    """A byte-level BPE file: its words, their ids, and the bytes of each id."""
+    """A byte-level BPE file: the words of a text, their ids, and the bytes of each id."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,7 +64,8 @@ class Words:
             spec = json.load(file)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
-        self.pattern = regex.compile(WORD)
+        self.pattern = regex.compile(PIECE)
+        self.loose = re.compile(r"\s | \s|^ | $")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
         self.letters = [letters[b] for b in range(256)]
@@ -64,25 +74,37 @@ class Words:
         pieces |= {i: s.encode() for s, i in self.special.items()}
         self.pieces = pa.array([pieces.get(i) for i in range(max(pieces) + 1)], pa.large_binary())
 
-    def _plain(self, text: str) -> list[str]:
+    def pieces_of(self, text: str) -> list[str]:
+        """What the tokenizer splits a text without special strings into."""
         if text.isascii() or max(text, default="") < AGREED:
             return self.pattern.findall(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
+    def _words(self, text: str) -> list[str]:
+        """Runs that no merge crosses. A space that stands alone between two other characters begins what follows it; where
+        all spaces do, the text falls apart at them, and else into the tokenizer's pieces."""
+        if self.loose.search(text):
+            return self.pieces_of(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]]
+
     def split(self, text: str | None) -> list[str]:
         """The words of a text, special strings among them."""
         if not text:
             return []
         if not self.special or "<" not in text and all("<" in s for s in self.special):
-            return self._plain(text)
-        return [w for k, part in enumerate(self.marks.split(text)) for w in ([part] if k % 2 else self._plain(part))]
+            return self._words(text)
+        parts = enumerate(self.marks.split(text))
+        return [w for k, part in parts if part for w in ([part] if k % 2 else self._words(part))]
 
     def ids(self, word: str) -> np.ndarray:
         """Of one word, by the merges of the file."""
         if word in self.special:
             return np.array([self.special[word]], "<u4")
-        spelled = "".join(map(self.letters.__getitem__, word.encode()))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4")
+        found: list[int] = []
+        for piece in self.pieces_of(word):
+            found += [t.id for t in self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
+        return np.array(found, "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -91,109 +113,154 @@ def load(path: str) -> Words:
     return Words(path)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, list[pa.Array], list[list[int]], dict[str, int]]]:
-    """Number, ids, word numbers and numbered words of each slice of a task."""
+@dataclass
+class Slice:
+    """A run of documents: their ids, the words of each as places in `words`, and its distinct words by bucket."""
+
+    number: int
+    keys: list[pa.Array]
+    docs: list[list[int]]
+    words: list[bytes]
+    counts: np.ndarray  # words of each bucket
+    place: np.ndarray  # of the words as the documents number them
+
+    @property
+    def checksum(self) -> int:
+        return zlib.crc32(SEPARATOR.join(self.words))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], path: str, buckets: int, most: tuple[int, int, int]) -> Iterator[Slice]:
+    """The slices of a task. Their words are sorted by bucket, which is a hash of the word, and then as they first come."""
     words, number = load(path), TaskContext.get().partitionId() << 32
     keys: list[pa.Array] = []
     docs: list[list[int]] = []
     known: dict[str, int] = {}
     chars = 0
+
+    def closed() -> Slice:
+        spelled = [w.encode() for w in known]
+        bucket = np.fromiter((zlib.crc32(w) for w in spelled), np.int64, len(spelled)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return Slice(number, keys, docs, [spelled[i] for i in order.tolist()], np.bincount(bucket, minlength=buckets), place)
+
     for batch in batches:
         key, start = batch.column("id"), 0
-        for i, text in enumerate(batch.column("text")):
-            text = text.as_py()
+        for i, text in enumerate(batch.column("text").to_pylist()):
             docs.append([known.setdefault(w, len(known)) for w in words.split(text)])
             chars += len(text or "")
-            if len(known) >= SLICE_WORDS or chars >= SLICE_CHARS or len(docs) >= SLICE_DOCS:
-                yield number, [*keys, key.slice(start, i + 1 - start)], docs, known
+            if len(known) >= most[0] or chars >= most[1] or len(docs) >= most[2]:
+                keys.append(key.slice(start, i + 1 - start))
+                yield closed()
                 keys, docs, known, chars, start, number = [], [], {}, 0, i + 1, number + 1
         keys.append(key.slice(start))
     if docs:
-        yield number, keys, docs, known
+        yield closed()
 
 
-def _checksum(known: dict[str, int]) -> int:
-    return zlib.crc32("\0".join(known).encode())
+def _packed(data: bytes) -> bytes:
+    return zstandard.compress(data, 3)
 
 
-def _parts(total: int, step: int = 20_000) -> Iterator[slice]:
-    return (slice(i, i + step) for i in range(0, total, step))
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.decompress(data)
 
 
-def _distinct(path: str) -> Callable:
+def _distinct(path: str, buckets: int, most: tuple[int, int, int]) -> Callable:
+    """A row for each slice and bucket: the words, which a byte separates that no UTF-8 text holds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, _, known in _slices(batches, path):
-            held, check = list(known), _checksum(known)
-            for part in _parts(len(held)):
-                word = pa.array(held[part], pa.string())
-                k = pa.array(range(part.start, part.start + len(word)), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * len(word), pa.int64()), k, word, pa.array([check] * len(word), pa.int64())],
-                    names=["slice", "k", "word", "checksum"],
-                )
+        for s in _slices(batches, path, buckets, most):
+            full = np.flatnonzero(s.counts)
+            ends = np.cumsum(s.counts)
+            blobs = [_packed(SEPARATOR.join(s.words[ends[b] - s.counts[b] : ends[b]])) for b in full.tolist()]
+            n = len(full)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s.number] * n, pa.int64()), pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), pa.array([s.checksum] * n, pa.int64())],
+                names=["slice", "bucket", "words", "checksum"],
+            )
 
     return run
 
 
-def _numbered(path: str) -> Callable:
+def _numbered(path: str, buckets: int, most: tuple[int, int, int]) -> Callable:
+    """A row for each slice: the ids of its documents, how many words each has, and the words' places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, keys, docs, known in _slices(batches, path):
-            kind, check = "<u2" if len(known) <= 1 << 16 else "<u4", _checksum(known)
-            at = pa.array([np.array(d, kind).tobytes() for d in docs], pa.binary())
-            n = len(docs)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * n, pa.int64()), pa.concat_arrays(keys), at, pa.array([int(kind[2])] * n, pa.int32()), pa.array([check] * n, pa.int64())],
-                names=["slice", "id", "at", "bytes", "checksum"],
-            )
+        for s in _slices(batches, path, buckets, most):
+            kind = "<u2" if len(s.words) <= 1 << 16 else "<u4"
+            counts = np.array([len(d) for d in s.docs], np.int32)
+            at = s.place[np.fromiter(chain.from_iterable(s.docs), np.int64, int(counts.sum()))].astype(kind)
+            keys = pa.concat_arrays(s.keys)
+            columns = [
+                pa.array([s.number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
+                pa.array([counts.tolist()], pa.list_(pa.int32())), pa.array([_packed(at.tobytes())], pa.binary()),
+                pa.array([int(kind[2])], pa.int32()), pa.array([s.checksum], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["slice", "ids", "counts", "at", "bytes", "checksum"])
 
     return run
 
 
 def _encoded(path: str) -> Callable:
+    """The ids of each row's words. Rows come by bucket, and a bucket's distinct words are encoded once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, ids = load(path), None, b""
+        words, last = load(path), None
+        table: dict[bytes, bytes] = {}
         for batch in batches:
-            found = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, words.ids(word).tobytes()
-                found.append(ids)
+            sizes, found = [], []
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if bucket != last or len(table) > TABLE_WORDS:
+                    last, table = bucket, {}
+                ids = []
+                for word in _unpacked(blob).split(SEPARATOR):
+                    known = table.get(word)
+                    if known is None:
+                        known = table[word] = words.ids(word.decode()).tobytes()
+                    ids.append(known)
+                sizes.append(_packed(np.array([len(x) // 4 for x in ids], "<u4").tobytes()))
+                found.append(_packed(b"".join(ids)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("slice"), batch.column("k"), pa.array(found, pa.binary()), batch.column("checksum")], names=["slice", "k", "ids", "checksum"]
+                [batch.column("slice"), batch.column("bucket"), pa.array(sizes, pa.binary()), pa.array(found, pa.binary()), batch.column("checksum")],
+                names=["slice", "bucket", "sizes", "ids", "checksum"],
             )
 
     return run
 
 
 def _by_position(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """The ids of a slice's documents, from the numbers of their words and the ids of each number."""
-    sizes, held = np.zeros(words.num_rows, np.int64), np.zeros(0, "<u4")
-    if words.num_rows:
-        words = words.sort_by("k")
-        if words["k"][-1].as_py() != words.num_rows - 1 or words["checksum"][0].as_py() != docs["checksum"][0].as_py():
-            raise RuntimeError("the documents were not read alike twice: encode a table of files")
-        ids = words["ids"].to_pylist()
-        sizes, held = np.array([len(x) // 4 for x in ids]), np.frombuffer(b"".join(ids), "<u4")
-    starts = np.cumsum(sizes) - sizes
+    """The ids of a slice's documents, from the places of their words and the ids of each word."""
+    words = words.sort_by("bucket")
+    if set(words["checksum"].to_pylist()) - set(docs["checksum"].to_pylist()):
+        raise RuntimeError("the documents were not read alike twice: encode a table of files")
+    size = np.frombuffer(b"".join(map(_unpacked, words["sizes"].to_pylist())), "<u4").astype(np.int64)
+    held = np.frombuffer(b"".join(map(_unpacked, words["ids"].to_pylist())), "<u4")
+    at = np.frombuffer(_unpacked(docs["at"][0].as_py()), f"<u{docs['bytes'][0].as_py()}")
+    first, ends = np.cumsum(size) - size, np.append(0, np.cumsum(docs["counts"].combine_chunks().values.to_numpy()))
     out = []
-    for raw, width in zip(docs["at"].to_pylist(), docs["bytes"].to_pylist(), strict=True):
-        at = np.frombuffer(raw, f"<u{width}")
-        size = sizes[at]
-        ends = np.cumsum(size)
-        place = np.repeat(starts[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    for a, b in zip(ends, ends[1:], strict=False):
+        part = at[a:b]
+        n = size[part]
+        till = np.cumsum(n)
+        place = np.repeat(first[part] - till + n, n) + np.arange(int(till[-1]) if len(till) else 0)
         out.append(held[place].tobytes())
-    return pa.table({"id": docs["id"], "ids": pa.array(out, pa.binary())})
+    return pa.table({"id": docs["ids"].combine_chunks().values, "ids": pa.array(out, pa.binary())})
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id, ids`: the ids of every text, packed as little-endian unsigned 32-bit integers."""
+def encode(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: tuple[int, int, int] = SLICE
+) -> DataFrame:
+    """`id, ids`: the ids of every text, packed as little-endian unsigned 32-bit integers. `most` bounds a slice."""
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    words = rows.mapInArrow(_distinct(path), "slice long, k int, word string, checksum long")
-    table = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path), "slice long, k int, ids binary, checksum long")
-    numbers = rows.mapInArrow(_numbered(path), f"slice long, id {kind}, at binary, bytes int, checksum long")
-    # a slice without words has no side to join
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = rows.mapInArrow(_distinct(path, buckets, most), "slice long, bucket int, words binary, checksum long")
+    table = words.repartition("bucket").sortWithinPartitions("bucket")
+    table = table.mapInArrow(_encoded(path), "slice long, bucket int, sizes binary, ids binary, checksum long")
+    numbers = rows.mapInArrow(_numbered(path, buckets, most), f"slice long, ids array<{kind}>, counts array<int>, at binary, bytes int, checksum long")
     joined = numbers.groupBy("slice").cogroup(table.groupBy("slice"))
     return joined.applyInArrow(_by_position, f"id {kind}, ids binary")
 
