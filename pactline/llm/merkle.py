@@ -32,7 +32,8 @@ from pactline.llm.common import stored
 
 FAN = 3
 BLOCK_LEVELS = 5
-BLOCK = FAN**BLOCK_LEVELS
+#: Rows of a task and of a written file: they are digests, of some hundred bytes.
+TASK_ROWS = 100_000
 
 Step = tuple[str, str]
 
@@ -59,7 +60,7 @@ def last_leaf(total: int, level: int, at: int) -> int:
     return min(total, (at + 1) * FAN**level) - 1
 
 
-def forward(first: int, digests: Sequence[str], total: int) -> tuple[str, dict[tuple[int, int], list[str]]]:
+def forward(first: int, digests: Sequence[str], total: int, levels: int = BLOCK_LEVELS) -> tuple[str, dict[tuple[int, int], list[str]]]:
     """The topmost digest of a block, and the digests that each of its inner nodes, by level and place, received."""
     received: dict[tuple[int, int], list[str]] = {}
     queue: list[tuple[int, int, int, int, str]] = []  # label of the receiver, its place, the sender's place, digest
@@ -67,7 +68,7 @@ def forward(first: int, digests: Sequence[str], total: int) -> tuple[str, dict[t
 
     def deliver(level: int, at: int, digest: str) -> None:
         nonlocal top
-        if level == BLOCK_LEVELS or width(total, level) == 1:
+        if level == levels or width(total, level) == 1:
             top = digest
         else:
             heapq.heappush(queue, (last_leaf(total, level + 1, at // FAN), level + 1, at // FAN, at, digest))
@@ -84,10 +85,12 @@ def forward(first: int, digests: Sequence[str], total: int) -> tuple[str, dict[t
     return top, received
 
 
-def backward(first: int, count: int, total: int, received: dict[tuple[int, int], list[str]], steps: tuple[Step, ...]) -> list[tuple[Step, ...]]:
+def backward(
+    first: int, count: int, total: int, received: dict[tuple[int, int], list[str]], steps: tuple[Step, ...], levels: int = BLOCK_LEVELS
+) -> list[tuple[Step, ...]]:
     """The ways up of a block's leaves, given that of its topmost node."""
     found: list[tuple[Step, ...]] = [()] * count
-    level = next(k for k in range(BLOCK_LEVELS + 1) if k == BLOCK_LEVELS or width(total, k) == 1)
+    level = next(k for k in range(levels + 1) if k == levels or width(total, k) == 1)
     at = first // FAN**level
     queue = [(-last_leaf(total, level, at), -level, at, steps)]
     while queue:
@@ -138,8 +141,9 @@ def _by_block(nodes: DataFrame) -> DataFrame:
     return nodes.repartition("tree", "block").sortWithinPartitions("tree", "block", "at")
 
 
-def placed(nodes: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Nodes (`tree`, the columns of the order and others) with their place `at` in their tree and its size `total`."""
+def placed(nodes: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
+    """Nodes (`tree`, the columns of the order and others) with their place `at` in their tree and its size `total`, written;
+    and how many tasks they are for."""
     keys = ["tree", *order, "tie"]
     ranged = nodes.withColumn("tie", F.monotonically_increasing_id())
     ranged = stored(ranged.repartitionByRange(*keys).sortWithinPartitions(*keys), "leaves")
@@ -151,38 +155,49 @@ def placed(nodes: DataFrame, order: Sequence[str]) -> DataFrame:
     earlier = F.sum("n").over(tree.orderBy("lead").rowsBetween(W.unboundedPreceding, -1))
     parts = parts.select("tree", "file", "first_row", F.coalesce(earlier, F.lit(0)).alias("before"), F.sum("n").over(tree).alias("total"))
     found = ranged.join(parts, ["tree", "file"]).withColumn("at", F.col("before") + F.col("row") - F.col("first_row"))
-    return found.drop("file", "row", "first_row", "before", "tie")
+    tasks = max(1, -(-ranged.count() // TASK_ROWS))
+    return stored(found.drop("file", "row", "first_row", "before", "tie").coalesce(tasks), "placed"), tasks
 
 
-def _rise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table, ranges in _whole_blocks(batches):
-        tree, at, total, digest = (table[c].to_pylist() for c in ("tree", "at", "total", "digest"))
-        rows = [(tree[i], at[i] // BLOCK, width(total[i], BLOCK_LEVELS), forward(at[i], digest[i:j], total[i])[0]) for i, j in ranges]
-        trees, places, totals, tops = (list(x) for x in zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(trees, pa.string()), pa.array(places, pa.int64()), pa.array(totals, pa.int64()), pa.array(tops, pa.string())],
-            names=["tree", "at", "total", "digest"],
-        )
+def _rise(levels: int) -> Callable:
+    """The topmost digest of each block, as a node of the next round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ranges in _whole_blocks(batches):
+            tree, at, total, digest = (table[c].to_pylist() for c in ("tree", "at", "total", "digest"))
+            tops = [forward(at[i], digest[i:j], total[i], levels)[0] for i, j in ranges]
+            starts = [i for i, _ in ranges]
+            columns = [
+                pa.array([tree[i] for i in starts], pa.string()), pa.array([at[i] // FAN**levels for i in starts], pa.int64()),
+                pa.array([width(total[i], levels) for i in starts], pa.int64()), pa.array(tops, pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["tree", "at", "total", "digest"])
+
+    return run
+
+
+def _blocked(nodes: DataFrame, levels: int) -> DataFrame:
+    return nodes.withColumn("block", F.floor(F.col("at") / FAN**levels))
 
 
-def rise(leaves: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def rise(leaves: DataFrame, tasks: int, levels: int = BLOCK_LEVELS) -> tuple[list[DataFrame], DataFrame]:
     """The nodes of each round, from the leaves up, and the topmost digest of every tree with the round that found it."""
-    rounds, tops = [leaves.withColumn("block", F.floor(F.col("at") / BLOCK))], []
+    rounds, tops = [_blocked(leaves, levels)], []
     while True:
         sent = _by_block(rounds[-1].select("tree", "block", "at", "total", "digest"))
-        sent = stored(sent.mapInArrow(_rise, "tree string, at long, total long, digest string"), "nodes")
+        sent = stored(sent.mapInArrow(_rise(levels), "tree string, at long, total long, digest string").coalesce(tasks), "nodes")
         tops.append(sent.where("total = 1").select("tree", "digest", F.lit(len(rounds) - 1).alias("round")))
         rest = sent.where("total > 1")
         if rest.isEmpty():
             break
-        rounds.append(rest.withColumn("block", F.floor(F.col("at") / BLOCK)))
+        rounds.append(_blocked(rest, levels))
     found = tops[0]
     for more in tops[1:]:
         found = found.unionByName(more)
     return rounds, found
 
 
-def _descend(add: Callable[[list[tuple[Step, ...]], pa.Table], list[pa.Array]], names: Sequence[str]) -> Callable:
+def _descend(add: Callable[[list[tuple[Step, ...]], pa.Table], list[pa.Array]], names: Sequence[str], levels: int) -> Callable:
     """The reversed sweep over blocks, each led by the row (`at` -1) that its topmost node received; `add` gives the columns
     `names` of the leaves from their ways up."""
 
@@ -193,8 +208,8 @@ def _descend(add: Callable[[list[tuple[Step, ...]], pa.Table], list[pa.Array]],
             for i, j in ranges:
                 if at[i] != -1 or j == i + 1:
                     raise RuntimeError("a block without the message of its parent")
-                _, received = forward(at[i + 1], digest[i + 1 : j], total[i + 1])
-                ways += backward(at[i + 1], j - i - 1, total[i + 1], received, _steps(packed[i]))
+                _, received = forward(at[i + 1], digest[i + 1 : j], total[i + 1], levels)
+                ways += backward(at[i + 1], j - i - 1, total[i + 1], received, _steps(packed[i]), levels)
                 rows += range(i + 1, j)
                 heads += [i] * (j - i - 1)
             # the leaves' own columns, with what their blocks received
@@ -219,46 +234,50 @@ def _proofs(ways: list[tuple[Step, ...]], leaves: pa.Table) -> list[pa.Array]:
     return [pa.array(proof, pa.string()), pa.array(roots, pa.string())]
 
 
-def _swept(nodes: DataFrame, heads: DataFrame, add: Callable, names: Sequence[str]) -> DataFrame:
+def _swept(nodes: DataFrame, heads: DataFrame, add: Callable, names: Sequence[str], tasks: int, levels: int) -> DataFrame:
     """Nodes of a round, led by the rows `heads` (`tree, block, steps, subroot, root`), after the reversed sweep."""
     lead = heads.withColumn("at", F.lit(-1).cast("long"))
     both = nodes.unionByName(lead, allowMissingColumns=True)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name != "steps"]
-    return _by_block(both).mapInArrow(_descend(add, names), ", ".join([*kept, *(f"`{n}` string" for n in names)]))
+    found = _by_block(both).mapInArrow(_descend(add, names, levels), ", ".join([*kept, *(f"`{n}` string" for n in names)]))
+    return found.coalesce(tasks)
 
 
-def descend(rounds: list[DataFrame], tops: DataFrame, add: Callable, names: Sequence[str]) -> DataFrame:
+def descend(
+    rounds: list[DataFrame], tops: DataFrame, add: Callable, names: Sequence[str], tasks: int, levels: int = BLOCK_LEVELS
+) -> DataFrame:
     """The leaves with the columns that `add` makes of their ways up; `tops` holds `tree, round, steps, subroot, root`."""
     heads = None
     for k in range(len(rounds) - 1, -1, -1):
         own = tops.where(F.col("round") == k).select("tree", F.lit(0).cast("long").alias("block"), "steps", "subroot", "root")
         heads = own if heads is None else own.unionByName(heads)
         if k:
-            down = _swept(rounds[k], heads, _ways, ["steps"])
+            down = _swept(rounds[k], heads, _ways, ["steps"], tasks, levels)
             heads = stored(down.select("tree", F.col("at").alias("block"), "steps", "subroot", "root"), "ways")
-    return _swept(rounds[0], heads, add, names)
+    return _swept(rounds[0], heads, add, names, tasks, levels)
 
 
-def manifest(docs: DataFrame, leaf: Column, presented: Column | None = None, id_col: str = "doc_id", group_col: str = "source") -> DataFrame:
+def manifest(
+    docs: DataFrame, leaf: Column, presented: Column | None = None, id_col: str = "doc_id", group_col: str = "source", levels: int = BLOCK_LEVELS
+) -> DataFrame:
     """`id, leaf, subroot, root, proof_sha256, folded_root, verified` of every row.
 
     `leaf` is the digest that the manifest is built of, `presented` the one that is put to the proof (the same if not given).
+    A task sweeps blocks of `levels` levels.
     """
     group = F.col(group_col).cast("string")
-    leaves = stored(
-        docs.select(
-            F.coalesce(F.concat(F.lit("1"), group), F.lit("0")).alias("tree"), F.col(id_col).alias("id"), leaf.alias("digest"),
-            (leaf if presented is None else presented).alias("presented"),
-        ),
-        "digests",
+    leaves = docs.select(
+        F.coalesce(F.concat(F.lit("1"), group), F.lit("0")).alias("tree"), F.col(id_col).alias("id"), leaf.alias("digest"),
+        (leaf if presented is None else presented).alias("presented"),
     )
-    rounds, subroots = rise(stored(placed(leaves, ["id", "digest"]), "placed"))
-    upper = subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest", F.col("round").alias("rounds"))
-    upper_rounds, root = rise(stored(placed(stored(upper, "subroots"), ["name"]), "placed"))
+    lower, tasks = placed(leaves, ["id", "digest"])
+    rounds, subroots = rise(lower, tasks, levels)
+    upper, few = placed(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest", F.col("round").alias("rounds")), ["name"])
+    upper_rounds, root = rise(upper, few, levels)
     root = root.select("tree", "round", F.lit("").alias("steps"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
-    ways = descend(upper_rounds, root, _ways, ["steps"])
+    ways = descend(upper_rounds, root, _ways, ["steps"], few, levels)
     tops = stored(ways.select(F.col("name").alias("tree"), F.col("rounds").alias("round"), "steps", F.col("digest").alias("subroot"), "root"), "tops")
-    found = descend(rounds, tops, _proofs, ["proof_sha256", "folded_root"])
+    found = descend(rounds, tops, _proofs, ["proof_sha256", "folded_root"], tasks, levels)
     return found.select(
         "id", F.col("digest").alias("leaf"), "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
     )
