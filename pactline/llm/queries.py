@@ -1,5 +1,5 @@
-"""The registered queries of the operators: thin digests over whole tables. None is expressible in SQL but operator 3 and 9's
-base counts, so they are tested against brute force, round trips and held-out accuracy in `tests/llm`."""
+"""The registered queries of the operators: thin digests over whole tables. None is expressible in SQL but operators 3 and
+12, so the others are tested against brute force, round trips and held-out accuracy in `tests/llm`."""
 
 from __future__ import annotations
 
@@ -145,6 +145,54 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, leaf, tampered).withColumnRenamed("id", "doc_id")
 
 
+#: The tree level by level; crc32 from its bits, as the engine has none.
+OP12_SQL = """
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+marked AS (
+  SELECT doc_id, source, lang, n_chars, text, coalesce(xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 2 = 0, FALSE) AS even FROM documents, tab),
+said AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS tree, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
+    || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text,
+    CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS shown FROM marked),
+leaves AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(shown) || ':' || shown, '-')) AS shown FROM said),
+lv AS (
+  SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+up AS (
+  SELECT tree, 0 AS lvl, pos, leaf AS h, n FROM lv
+  UNION ALL SELECT tree, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY tree, lvl, pos // 3, n),
+sib AS (
+  SELECT a.tree, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM up a JOIN up b ON a.tree = b.tree AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+su AS (SELECT tree AS own, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+up2 AS (
+  SELECT 0 AS lvl, pos, subroot AS h, n FROM su
+  UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM up2 WHERE n > 1 GROUP BY lvl, pos // 3, n),
+sib2 AS (
+  SELECT a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM up2 a JOIN up2 b ON a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+walk AS (
+  SELECT rid, tree, 0 AS lvl, pos, n, shown AS d, '' AS p FROM lv
+  UNION ALL SELECT rid, w.tree, w.lvl + 1, w.pos // 3, (w.n + 2) // 3, sha256(l || d || r), p || l || r
+  FROM walk w JOIN sib s ON s.tree = w.tree AND s.lvl = w.lvl AND s.pos = w.pos WHERE w.n > 1),
+walk2 AS (
+  SELECT rid, 0 AS lvl, su.pos, su.n, d, p FROM walk w JOIN su ON su.own = w.tree WHERE w.n = 1
+  UNION ALL SELECT rid, w.lvl + 1, w.pos // 3, (w.n + 2) // 3, sha256(l || d || r), p || l || r
+  FROM walk2 w JOIN sib2 s ON s.lvl = w.lvl AND s.pos = w.pos WHERE w.n > 1)
+SELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, d AS folded_root, d = h AS verified
+FROM lv JOIN su ON su.own = lv.tree JOIN walk2 USING (rid), (SELECT h FROM up2 WHERE n = 1) top WHERE walk2.n = 1
+"""
+
+
 def op13_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     found = word_table.encode(_table(spark, sf_dir, "documents"), path).withColumn("decoded", word_table.decode(F.col("ids"), path))
@@ -161,4 +209,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op11_whitening, op12_merkle, op13_word_table,
     )
 }
-ORACLE: dict[str, str] = {"op3_chat": OP3_SQL}
+ORACLE: dict[str, str] = {"op3_chat": OP3_SQL, "op12_merkle": OP12_SQL}

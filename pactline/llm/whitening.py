@@ -127,7 +127,7 @@ def covariance(vectors: DataFrame, middle: Centre) -> np.ndarray:
                 total += (z.T @ z).astype(np.int64)
             else:
                 z = y.astype(object)
-                total += z.T @ z
+                total = total + z.T @ z
             held += most
         yield sent()
 
