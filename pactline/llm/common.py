@@ -51,6 +51,14 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_part(key: str | Column, parts: int) -> Column:
     """crc32 of a key as text, modulo `parts`; null for a null key."""
     key = F.col(key) if isinstance(key, str) else key

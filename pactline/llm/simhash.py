@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactline.llm.common import discard, new_path, stored, tune
+from pactline.llm.common import discard, new_path, stored, tune, unused
 
 BITS = 64
 #: Fingerprints that share two fields are compared in parts of at most this many.
@@ -337,8 +337,9 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -
     """Of each `label` of `found` (`id, text_hash, label`), the row of `docs` with the smallest id."""
     missing = F.lit(-(1 << 63))
     rank = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", missing).alias("key"), F.col("text_hash").alias("hash"))
-    stay = found.groupBy("label").agg(F.min(rank).alias("r")).select(F.col("r.key").alias("_key"), F.col("r.hash").alias("_hash"))
+    key, text = unused(docs, "_key"), unused(docs, "_hash")
+    stay = found.groupBy("label").agg(F.min(rank).alias("r")).select(F.col("r.key").alias(key), F.col("r.hash").alias(text))
     stay = stay.distinct()
     names = docs.columns
-    marked = docs.withColumns({"_key": F.coalesce(F.col(id_col).cast("long"), missing), "_hash": F.xxhash64(text_col)})
-    return marked.join(stay, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(*names)
+    marked = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), missing), text: F.xxhash64(text_col)})
+    return marked.join(stay, [key, text], "left_semi").dropDuplicates([key, text]).select(*[f"`{c}`" for c in names])

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
+import hashlib
 import random
 
 import brute
@@ -9,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pactline.llm import byte_bpe, chat, gam, language_id, packing, repetition, sharding, shingles, simhash, topk, warc
+from pactline.llm import (
+    byte_bpe, chat, gam, language_id, merkle, packing, repetition, sharding, shingles, simhash, topk, warc, whitening, word_table,
+)
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard_ int, fp string, id string, value string"
 LONG = " ".join(f"w{i * i % 997} x{i}" for i in range(30_000))
@@ -233,8 +236,6 @@ def test_byte_bpe(docs):
     parts = ["a", "aa", " ", "  ", "\n", "é", "ñ", "!", "1", "日本", "́", "'s", "the", "ß", "\U0001f600", "\t", "\x85", "\xa0", ""]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 80))) for _ in range(500)] + ["a" * 3000, "ab" * 2000, "日" * 900, " " * 999, None]
     for text, (n, ids, raw) in zip(texts, brute.bpe(texts), strict=True):
-        import hashlib
-
         packed = bpe.encode(text)
         assert (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(packed)).hexdigest()) == (n, ids, raw)
     found = docs.select(byte_bpe.encode(F.col("text"), *rank_file).alias("i")).select(byte_bpe.decode(F.col("i"), *rank_file).alias("d")).collect()
@@ -354,3 +355,176 @@ def test_bit_maps_exclude_no_similar_sets():
             assert possible or 5 * common < 4 * len(np.union1d(x, y))
             excluded += not possible
     assert excluded > 50
+
+
+def test_near_dedup_compares_parts_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "PART_ROWS", 3)
+    df = spark.createDataFrame([(i, t, "k", "h") for i, t in near_copies()], "doc_id long, text string, _key string, _hash string")
+    kept = shingles.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r)[::2] for r in kept.collect()) == sorted((i, "k") for i in set(brute.similar(near_copies()).values()))
+
+
+def vectors():
+    """Dimensions of very different spread, two of equal spread, one constant."""
+    rng = np.random.default_rng(3)
+    made = (rng.standard_normal((400, 12)) * [3, 3, 1, 0.5, 0.5, 0.2, 0.1, 0.05, 0.01, 0.01, 0.001, 0] + 0.3).tolist()
+    return [(i, v) for i, v in enumerate(made)]
+
+
+KINDS = "vec_id long, embedding array<double>, deviation string, k int, id string"
+
+
+def test_whitening(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = [(None, vectors()[0][1]), (7, vectors()[0][1]), (8, None), (9, [1.0, None]), (10, [nan]), (11, [-inf]), (12, []), (13, [2.0, -1.0])]
+    rows = vectors() + odd
+    df = spark.createDataFrame([(*r, "d", 1, "i") for r in rows], KINDS).repartition(5)
+    found = whitening.whiten(df).collect()
+    got = sorted((-1 if r["id"] is None else r["id"], r["component"], r["n"], r["deviation"], r["explained"]) for r in found)
+    want = sorted((-1 if i is None else i, *r[:3], r[4]) for i, *r in brute.whitening(rows))
+    assert [g[:4] for g in got] == [w[:4] for w in want] and len({r["n"] for r in found}) == 1
+    assert np.allclose([g[4] for g in got], [w[4] for w in want], rtol=1e-9)
+    z = np.array([r["whitened"] for r in sorted(found, key=lambda r: (r["id"] is None, r["id"], r["component"], r["whitened"])) if r["id"] not in (None, 7)])
+    assert abs(z).max() < 50 and found[0]["identity_error"] < 1e-9
+
+
+def test_whitening_of_little(spark):
+    def run(rows):
+        return whitening.whiten(spark.createDataFrame([(*r, "d", 1, "i") for r in rows], KINDS))
+
+    empty = run([])
+    assert empty.count() == 0 and empty.columns == ["id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    assert run([(1, None), (2, [])]).count() == run([(1, [0.5, 1.0])] * 5).count() == 0
+    one = sorted(tuple(r) for r in run([(1, [0.0]), (2, [1.0])]).collect())
+    assert [(r[0], r[1], r[2], r[3], abs(r[4]), r[5]) for r in one] == [(1, 1, 2, 1 << 20, 1, 1), (2, 1, 2, 1 << 20, 1, 1)]
+    big = run([(i, [float(i % 3) * 1e4, float(i % 5)]) for i in range(30)]).collect()
+    assert len(big) == 60 and big[0]["identity_error"] < 1e-6
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        run([(1, [1e300]), (2, [0.0])]).collect()
+
+
+def test_sums_of_products_stay_whole(spark):
+    """Entries whose products a double doesn't hold."""
+    rng = np.random.default_rng(4)
+    values = rng.integers(-(1 << 40), 1 << 40, (60, 3))
+    df = spark.createDataFrame([(v.tolist(),) for v in values / 1024], "vector array<double>").repartition(3)
+    got = whitening.covariance(df, whitening.centre(df))
+    n, sums = len(values), [sum(int(x) for x in c) for c in values.T]
+    for i in range(3):
+        for j in range(3):
+            exact = sum((n * int(a) - sums[i]) * (n * int(b) - sums[j]) for a, b in zip(values[:, i], values[:, j], strict=True)) / n**3
+            assert got[i, j] == exact
+
+
+@pytest.mark.parametrize("case", ["random", "equal", "blocks", "diagonal", "rank", "zero", "one", "graded"])
+def test_eigenvectors(case):
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((40, 40))
+    q, _ = np.linalg.qr(a)
+    spread = {
+        "random": a @ a.T, "equal": q @ np.diag([5.0] * 6 + [1.0] * 34) @ q.T, "blocks": np.kron(np.eye(10), np.array([[2, 1, 0, 0], [1, 2, 0, 0], [0, 0, 3, 1], [0, 0, 1, 3]])),
+        "diagonal": np.diag(np.arange(40.0)), "rank": a[:, :3] @ a[:, :3].T, "zero": np.zeros((4, 4)), "one": np.array([[7.0]]),
+        "graded": q @ np.diag(10.0 ** -np.arange(40)) @ q.T,
+    }[case]
+    values, found = whitening.components(spread, 8)
+    want = np.linalg.eigvalsh((spread + spread.T) / 2)[::-1][:8]
+    size = max(abs(want).max(), 1e-300)
+    assert np.allclose(values, want, rtol=0, atol=1e-13 * size)
+    assert np.abs(found @ found.T - np.eye(len(found))).max() < 1e-12
+    assert np.abs(spread @ found.T - found.T * values).max() <= 1e-12 * size
+
+
+LEAVES = "doc_id long, text string, lang string, source string, n_chars long, tree string, at int, digest string"
+
+
+def manifest_rows():
+    rng = random.Random(8)
+    rows = [(i, f"t{i}\n{'x' * (i % 9)}" if i % 7 else None, rng.choice(["en", None, ""]), "hot" if i % 3 else f"s{i % 40}", i) for i in range(1500)]
+    rows += [(None, "a\nb", "en", "hot", None), (5, "another of that id\n", "en", "hot", 1), (5, "another of that id\n", "en", "hot", 1)]
+    rows += [(2000, "lone", "en", "alone", 1), (2001, "no source\n", None, None, 2), (2003, "", "", "", 0), (2004, "€\n", "é", "😀", 3), (2005, LONG, "en", "￿", 4)]
+    return rows
+
+
+def manifest(df, **more):
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.manifest(df, merkle.leaf_hash([*fields, F.col("text")]), merkle.leaf_hash([*fields, tampered]), **more)
+    return sorted(((r["id"] is not None, r["id"] or 0), *r) for r in found.collect())
+
+
+@pytest.mark.parametrize("levels", [1, 2, 5])
+def test_manifest(spark, levels):
+    """Blocks of one level are many rounds, those of five two."""
+    rows = manifest_rows() if levels > 1 else manifest_rows()[-120:]
+    df = spark.createDataFrame([(i, t, lang, s, n, "t", 1, "d") for i, t, lang, s, n in rows], LEAVES).repartition(6)
+    want = brute.merkle([(i, s, lang, n, t) for i, t, lang, s, n in rows])
+    assert manifest(df, levels=levels) == sorted(((r[0] is not None, r[0] or 0), *r) for r in want)
+
+
+def test_manifest_of_little(spark):
+    def run(rows):
+        return manifest(spark.createDataFrame([(*r, "t", 1, "d") for r in rows], LEAVES))
+
+    assert run([]) == []
+    ((_, i, leaf, subroot, root, proof, back, good),) = run([(1, "x", None, None, None)])
+    assert i == 1 and leaf == subroot == root == back and good and proof == hashlib.sha256(b"").hexdigest()
+    same = run([(4, "x", "en", "s", 1)] * 10)
+    assert len(same) == 10 and len({r[2] for r in same}) == 1 and all(r[-1] for r in same)
+
+
+def test_sweeps_equal_the_tree():
+    rng = random.Random(9)
+    for total in [1, 2, 3, 4, 9, 10, 28, 81, 100, 243]:
+        digests = [merkle.digest_of([str(rng.random())]) for _ in range(total)]
+        ways, top = brute._levels(digests)
+        found, received = merkle.forward(0, digests, total)
+        assert found == top
+        assert [list(w) for w in merkle.backward(0, total, total, received, ())] == ways
+
+
+BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def word_texts():
+    rng = random.Random(6)
+    parts = ["a", "aa", " ", "  ", "\n", "é", "ñ", "!", "1", "日本", "́", "'s", "'S", "the", "ß", "😀", "\t", "\x85", "\xa0", " ", "\x1c", "<|endoftext|>", "<|", "՘", "𲎰", "\x00"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(1500)]
+    return texts + ["a" * 30_000, "日" * 9000, " " * 5000, "<|endoftext|>" * 3, LONG, LONG, "", None, " \n\t"]
+
+
+@pytest.mark.parametrize("limits", [(40_000, 4_000_000, 4000), (5, 50, 2)])
+def test_word_table(spark, tmp_path, limits):
+    texts = word_texts() if limits[0] > 5 else word_texts()[:300]
+    rows = [(i, t, 1, "w", b"") for i, t in enumerate(texts)] + [(None, "no id", 1, "w", b""), (0, texts[0], 1, "w", b"")]
+    spark.createDataFrame(rows, "doc_id long, text string, k int, word string, ids binary").repartition(3).write.parquet(f"{tmp_path}/docs")
+    found = word_table.encode(spark.read.parquet(f"{tmp_path}/docs"), BPE_50K, most=limits)
+    found = found.withColumn("text", word_table.decode(F.col("ids"), BPE_50K)).collect()
+    assert len(found) == len(rows)
+    want = list(brute.byte_words(texts))
+    for r in found:
+        if r["id"] is not None:
+            got = len(r["ids"]) // 4, hashlib.sha256(bytes(r["ids"])).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest()
+            assert got == want[r["id"]] and r["text"] == (texts[r["id"]] or "")
+    assert word_table.encode(spark.read.parquet(f"{tmp_path}/docs").limit(0), BPE_50K).count() == 0
+
+
+def test_pieces_are_the_library_s():
+    """Every plane's code points, among letters, numbers, spaces and marks."""
+    words = word_table.load(BPE_50K)
+    rng = random.Random(7)
+    for cp in [*range(0x600), *rng.sample(range(0x600, 0xD800), 6000), *rng.sample(range(0xE000, 0x110000), 3000)]:
+        text = f"a{chr(cp)}a1{chr(cp)}1 {chr(cp)}{chr(cp)} {chr(cp)}!"
+        assert words.pieces_of(text) == [text[a:b] for _, (a, b) in words.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+
+def test_decoding_of_single_ids(spark):
+    def packed(*ids):
+        return np.array(ids, "<u4").tobytes()
+
+    rows = [(packed(50256, 0),), (packed(),), (None,), (packed(220, 220),), (packed(*range(188, 200)),)]
+    got = [r[0] for r in spark.createDataFrame(rows, "ids binary").coalesce(1).select(word_table.decode(F.col("ids"), BPE_50K)).collect()]
+    library = word_table.load(BPE_50K).tokenizer
+    assert got == ["<|endoftext|>!", "", "", "  ", library.decode(list(range(188, 200)), skip_special_tokens=False)]
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        spark.createDataFrame([(packed(50257),)], "ids binary").select(word_table.decode(F.col("ids"), BPE_50K)).collect()
