@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactline.functions.globs import glob_regex_col, specificity
+from pactline.functions.globs import specificity
 from pactline.functions.names import label, split_identity
 from pactline.functions.text import plain
+from pactline.operators.containment import contained_in
+from pactline.operators.glob_join import join_globs
 from pactline.operators.ranking import top_n_per_group
-from pactline.session import broadcast_checked
 
 # The label every ticket of ours carries, and the key all roll-ups share.
 TICKET_LABEL = "contract-drift"
@@ -30,20 +31,23 @@ def route(
     none = F.array().cast("array<string>")
     findings = findings.withColumn("_who", F.concat(F.coalesce("owners", none), F.coalesce(repo.cast("array<string>"), none)))
     src = findings.select("source").distinct()
-    usable = routes.where("trim(project) <> '' AND trim(pattern) <> ''").select(
-        "pos", "pattern", F.trim("project").alias("project"), "issue_type", glob_regex_col(F.trim("pattern"), True).alias("_rx")
-    )
+
+    def usable(rules: DataFrame) -> DataFrame:
+        return rules.where("trim(project) <> '' AND trim(pattern) <> ''").select(
+            "pos", F.trim("pattern").alias("_glob"), "pattern", F.trim("project").alias("project"), "issue_type"
+        )
+
     by_source = top_n_per_group(
-        src.join(broadcast_checked(usable), F.rlike(F.col("source"), F.col("_rx"))),
+        join_globs(src, "source", usable(routes), "_glob", ignore_case=True),
         ["source"], [specificity(F.col("pattern")).desc(), F.desc("pos")], 1,
     ).select("source", F.struct("pattern", "project", "issue_type").alias("_s"))
-    owner_rules = owner_routes.where("trim(project) <> '' AND trim(pattern) <> ''").select(
-        "pos", "pattern", F.trim("project").alias("project"), "issue_type", glob_regex_col(F.trim("pattern"), True).alias("_rx")
-    )
+    # Few names own much: each name meets the rules once.
     own = findings.select("_who").distinct().select("_who", F.posexplode("_who").alias("_i", "owner"))
-    by_owner = top_n_per_group(
-        own.join(broadcast_checked(owner_rules), F.rlike(F.col("owner"), F.col("_rx"))), ["_who"], [F.asc("pos"), F.asc("_i")], 1
-    ).select("_who", F.struct("owner", "pattern", "project", "issue_type").alias("_o"))
+    ruled = join_globs(own.select("owner").distinct(), "owner", usable(owner_routes), "_glob", ignore_case=True)
+    ruled = top_n_per_group(ruled, ["owner"], [F.asc("pos")], 1)
+    by_owner = top_n_per_group(own.join(ruled, "owner"), ["_who"], [F.asc("pos"), F.asc("_i")], 1).select(
+        "_who", F.struct("owner", "pattern", "project", "issue_type").alias("_o")
+    )
     s, o = F.col("_s"), F.col("_o")
     default = F.lit(default_project.strip() if default_project and default_project.strip() else None)
     reason = (
@@ -109,29 +113,18 @@ def identify(findings: DataFrame, env: str) -> DataFrame:
 def match_tickets(findings: DataFrame, tickets: DataFrame) -> DataFrame:
     """Newest open ticket per finding: it carries all identity labels, or the fingerprint.
 
-    Source label and last label, the most telling two, find the candidates by an equi join; the rest
-    of the set is then checked on them. A ticket lists every ordered pair of its few labels for it.
+    Identities meet the tickets by containment. Of the tickets of an identity, or of a fingerprint, only the newest goes on,
+    folded with map-side partials, so a finding meets one row of each.
     """
     open_ = tickets.where(~F.col("done")).select("ticket", "created", F.array_distinct("labels").alias("labels"))
-    pairs = F.flatten(
-        F.transform("labels", lambda a: F.transform("labels", lambda b: F.struct(a.alias("_a"), b.alias("_b"))))
-    )
-    paired = open_.select("ticket", "created", "labels", F.inline(pairs))
-    listed = open_.select("ticket", "created", F.explode("labels").alias("fingerprint"))
-    f = findings.select("fingerprint", "identity").distinct()
-    sets = f.select("identity").distinct().select(
-        "identity", F.try_element_at("identity", F.lit(3)).alias("_a"), F.element_at("identity", -1).alias("_b")
-    )
-    full = (
-        sets.join(paired, ["_a", "_b"])
-        .where(F.size(F.array_except("identity", "labels")) == 0)
-        .select("identity", "ticket", "created")
-    )
-    by_labels = f.join(full, "identity").select("fingerprint", "identity", "ticket", "created")
-    by_print = f.join(listed, "fingerprint").select("fingerprint", "identity", "ticket", "created")
-    found = by_labels.unionByName(by_print)
-    best = top_n_per_group(found, ["fingerprint", "identity"], [F.desc("created"), F.asc("ticket")], 1, spread="ticket")
-    return findings.join(best.select("fingerprint", "identity", "ticket"), ["fingerprint", "identity"], "left")
+    newest = F.min(F.struct((-F.col("created")).alias("age"), "ticket"))
+    sets = findings.select(F.col("identity").alias("_identity")).distinct()
+    by_labels = contained_in(sets, "_identity", open_, "labels").groupBy("_identity").agg(newest.alias("_full"))
+    listed = open_.select("ticket", "created", F.explode("labels").alias("_print"))
+    prints = findings.select(F.col("fingerprint").alias("_print")).distinct()
+    by_print = listed.join(prints, "_print").groupBy("_print").agg(newest.alias("_named"))
+    rows = findings.join(by_labels, F.col("identity") == F.col("_identity"), "left").join(by_print, F.col("fingerprint") == F.col("_print"), "left")
+    return rows.select(*findings.columns, F.least("_full", "_named")["ticket"].alias("ticket"))
 
 
 def filing_plan(routed: DataFrame, comment_on: DataFrame | None = None) -> DataFrame:
@@ -158,10 +151,10 @@ def filing_plan(routed: DataFrame, comment_on: DataFrame | None = None) -> DataF
 def tickets_by_contract(tickets: DataFrame, contracts: DataFrame) -> DataFrame:
     """Tickets about each contract: labelled with its source and its event type."""
     source, event_type = split_identity(F.col("name"))
-    wanted = contracts.select("name").distinct().select("name", label(source).alias("_src"), label(event_type).alias("_typ"))
-    listed = tickets.select("ticket", "created", "done", "labels", F.explode(F.array_distinct("labels")).alias("_typ"))
-    joined = wanted.join(listed, "_typ").where(F.array_contains("labels", F.col("_src")))
-    return joined.select("name", "ticket", "created", "done", "labels")
+    wanted = contracts.select("name").distinct().select("name", F.array(label(source), label(event_type)).alias("_both"))
+    wanted = wanted.where(F.forall("_both", lambda x: x.isNotNull()))
+    rows = tickets.select("ticket", "created", "done", "labels")
+    return contained_in(wanted, "_both", rows, "labels").select("name", "ticket", "created", "done", "labels")
 
 
 def ticket_covers(tickets: DataFrame, paths: DataFrame) -> DataFrame:
