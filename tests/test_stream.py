@@ -1,6 +1,8 @@
 """The stream gives what the batch gives, each hit once, and reports what it skipped."""
 
 import datetime as dt
+import os
+import shutil
 import uuid
 
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pactline.functions.conditions import Condition, Watch
 from pactline.operators.watch import dedup_hits, grade_hits, hit_digest, match_watches
 from pactline.sources.events import parse_events
-from pactline.streaming.watch_stream import checkpoint_dir, read_bus, start_watch
+from pactline.streaming.watch_stream import checkpoint_dir, compact_hits, read_bus, read_hits, start_watch
 
 SCHEMA = "event_id long, ts timestamp, message string"
 NOW = dt.datetime(2024, 5, 1, 12, 0)
@@ -36,10 +38,9 @@ def contracts(make_contracts):
     )
 
 
-def run(spark, bus, out, contracts, **more):
-    query = start_watch(
-        read_bus(spark, bus, SCHEMA), WATCHES, contracts, out, checkpoint_dir(spark, f"watch-{uuid.uuid4().hex}", out), trigger={"availableNow": True}, **more
-    )
+def run(spark, bus, out, contracts, checkpoint=None, files=None, **more):
+    checkpoint = checkpoint or checkpoint_dir(spark, f"watch-{uuid.uuid4().hex}", out)
+    query = start_watch(read_bus(spark, bus, SCHEMA, files), WATCHES, contracts, out, checkpoint, trigger={"availableNow": True}, **more)
     query.awaitTermination(240)
     assert query.exception() is None
     assert not query.isActive
@@ -102,6 +103,42 @@ def test_files_out_of_order_lose_no_hit(spark, tmp_path, contracts):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_state_drops_what_comes_again_and_reads_no_stored_hits(spark, tmp_path, contracts):
+    """One checkpoint over several runs: deliveries overlap, and the stored hits are gone in between."""
+    bus, out, checkpoint = str(tmp_path / "bus"), str(tmp_path / "out"), str(tmp_path / "state")
+    got = []
+    for name, ids in (("a", range(0, 20)), ("b", range(10, 30)), ("c", range(0, 40))):
+        messages(spark, ids, lambda i: 59 - i).coalesce(1).write.parquet(f"{bus}/{name}")
+        run(spark, f"{bus}/*", out, contracts, checkpoint, max_backlog=None)
+        got += [(r["watch_id"], r["event_id"]) for r in read_hits(spark, out).collect()]
+        shutil.rmtree(f"{out}/hits")
+    events, _ = parse_events(messages(spark, range(40), lambda i: 59 - i))
+    want = {(r["watch_id"], r["event_id"]) for r in match_watches(events, WATCHES).collect()}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_compaction_bounds_the_folder_and_loses_no_recent_hit(spark, tmp_path, contracts):
+    bus, out, checkpoint = str(tmp_path / "bus"), str(tmp_path / "out"), str(tmp_path / "state")
+    assert read_hits(spark, out) is None and compact_hits(spark, out, 15) is None
+    for k in range(6):
+        messages(spark, range(8 * k, 8 * k + 8), lambda i: 59 - i).coalesce(1).write.parquet(f"{bus}/{k}")
+        run(spark, f"{bus}/*", out, contracts, checkpoint, max_backlog=None)
+        compact_hits(spark, out, 15)
+        folders = len(os.listdir(f"{out}/hits")) + len(os.listdir(f"{out}/hits_kept")) if k else 1
+        assert folders <= 3
+    events, _ = parse_events(messages(spark, range(48), lambda i: 59 - i))
+    want = [(r["ts"], r["event_id"], r["watch_id"]) for r in match_watches(events, WATCHES).collect()]
+    want.sort(key=lambda r: (-r[0].timestamp(), r[1], r[2]))
+    got = {(r["ts"], r["event_id"], r["watch_id"]) for r in read_hits(spark, out).collect()}
+    assert set(want[:15]) <= got <= set(want) and len(got) < 15 + 20
+    # A crash between the swap and the clean-up leaves old folders, which nobody counts twice.
+    again = read_hits(spark, out).where("batch_id IS NULL").drop("batch_id")
+    again.write.parquet(f"{out}/hits/batch_id=0")
+    assert {(r["ts"], r["event_id"], r["watch_id"]) for r in read_hits(spark, out).collect()} == got
+    compact_hits(spark, out, 15)
+    assert "batch_id=0" not in os.listdir(f"{out}/hits")
+
+
 def test_digest_wording(spark):
     events, _ = parse_events(messages(spark, [7, 17, 27, 37, 1], lambda i: 59 - i))
     hits = match_watches(events, WATCHES)
