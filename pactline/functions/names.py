@@ -49,7 +49,7 @@ def split_identity(col: Column) -> tuple[Column, Column]:
 # Fixed value: the longest label a tracker takes.
 LABEL_CHARS = 255
 # Characters that have a meaning in a path, and how a member name spells them.
-_IN_NAMES = (("%", "%25"), (".", "%2E"), ("[", "%5B"), ("\u0001", "%01"))
+_IN_NAMES = (("%", "%25"), (".", "%2E"), ("[", "%5B"), ("*", "%2A"), ("\u0001", "%01"))
 
 
 def label(col: Column) -> Column:
@@ -78,3 +78,8 @@ def member_name(step: Column) -> Column:
     for char, code in reversed(_IN_NAMES):
         step = F.replace(step, F.lit(code), F.lit(char))
     return step
+
+
+def repeats(path: Column) -> Column:
+    """Whether a path can occur more than once in one event: below an array, or a wildcard that stands for many members."""
+    return path.contains("[]") | path.rlike(r"(^|\.)\*($|\.|\[)")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactline.functions.names import repeats
 from pactline.operators.observe import VALUE_CAP
 from pactline.operators.ranking import top_n_per_group
 from pactline.session import broadcast_checked
@@ -22,6 +23,11 @@ def _declared(fields: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def is_wild(path: Column) -> Column:
+    """Paths through a wildcard: no contract names the members, so none can be missed."""
+    return path.rlike(r"(^|\.)\*($|\.|\[)")
+
+
 def _joined(prof: DataFrame, fields: DataFrame, keys: list[str]) -> DataFrame:
     return prof.where("path <> ''").join(_declared(fields, keys).drop("parent_path"), [*keys, "path"])
 
@@ -75,7 +81,7 @@ def drift_unused(prof: DataFrame, fields: DataFrame, keys: tuple[str, ...] = KEY
         .join(graded, keys, "left_semi")
         .join(prof.select(*keys, "path"), [*keys, "path"], "left_anti")
         .join(_carriers(prof, keys), [*keys, "parent_path"], "left")
-        .where(~(F.col("required") & (F.coalesce("carriers", F.lit(0)) > 0)))
+        .where(~(F.col("required") & (F.coalesce("carriers", F.lit(0)) > 0)) & ~is_wild(F.col("path")))
         .select(*keys, "path", "required")
     )
 
@@ -150,7 +156,7 @@ def drift_all(prof: DataFrame, fields: DataFrame, keys: tuple[str, ...] = KEY) -
             F.when(is_seen & is_held & (F.size(extra) > 0), "wrongType"),
             F.when(is_held & absent, "missingRequired"),
             F.when(is_held & is_seen & c("required") & (c("blank_in") > 0), "emptyRequired"),
-            F.when(is_held & ~is_seen & ~absent, "neverSeen"),
+            F.when(is_held & ~is_seen & ~absent & ~is_wild(c("path")), "neverSeen"),
         )
     )
     return both.select(
@@ -180,8 +186,8 @@ def drift_enum(obs: DataFrame, fields: DataFrame, keys: tuple[str, ...] = KEY, l
 
 
 def _by_event(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """(path, value) counts; only paths below an array can repeat in an event and keep it."""
-    event = F.when(F.col("path").contains("[]"), F.col("event_id"))
+    """(path, value) counts; only paths that can repeat in an event keep it."""
+    event = F.when(repeats(F.col("path")), F.col("event_id"))
     return hits.groupBy(*keys, "path", "value_json", event.alias("_event")).agg(F.count("*").alias("_n"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pactline.functions.json_types import JSON_TYPES, blank_sql, type_sql
-from pactline.functions.names import path_step_sql
+from pactline.functions.names import path_step_sql, repeats
 
 # Fixed value: distinct values listed for a field.
 VALUE_CAP = 32
@@ -24,7 +24,13 @@ def _node_sql(v: str, path: str, parent: str, type_name: str, container_json: bo
     )
 
 
-def _subtree_sql(v: str, path: str, type_name: str, container_json: bool) -> str:
+def _step_sql(name: str, parent: str, wild: str | None) -> str:
+    """A member's step; `*` for one that its parent, a wildcard by the map `wild`, does not declare by name."""
+    step = path_step_sql(name)
+    return step if wild is None else f"if(coalesce(NOT array_contains(element_at({wild}, {parent}), {name}), false), '*', {step})"
+
+
+def _subtree_sql(v: str, path: str, type_name: str, container_json: bool, wild: str | None = None) -> str:
     """Every node below a container, any depth, inside one expression.
 
     Each step turns the frontier into its children; the number of steps is bounded by the brackets
@@ -35,7 +41,7 @@ def _subtree_sql(v: str, path: str, type_name: str, container_json: bool) -> str
     brackets = f"1 + size(split({text}, '[{{\\\\[]'))"
     members = (
         "transform(map_entries(try_variant_get(n.v, '$', 'map<string,variant>')), e -> named_struct("
-        f"'path', concat(if(n.path = '', '', concat(n.path, '.')), {path_step_sql('e.key')}), 'parent_path', n.path,"
+        f"'path', concat(if(n.path = '', '', concat(n.path, '.')), {_step_sql('e.key', 'n.path', wild)}), 'parent_path', n.path,"
         f" 'v', e.value, 'type', {type_sql('e.value')}))"
     )
     elements = (
@@ -55,30 +61,37 @@ def _subtree_sql(v: str, path: str, type_name: str, container_json: bool) -> str
     )
 
 
-def _walk(events: DataFrame, keys: list[str], levels: int, expand: str, container_json: bool) -> DataFrame:
+def _walk(
+    events: DataFrame, keys: list[str], levels: int, expand: str, container_json: bool, wild: str | None = None, whole: bool = False
+) -> DataFrame:
     """One pass over the payloads: `levels` generator steps, one per nesting level.
 
     A container leaves its own node with its first child (`_pend`), so no level is read twice.
-    Afterwards each row holds one node in `_v` and the ancestors it still has to report.
+    Afterwards each row holds one node in `_v` and the ancestors it still has to report. With `whole`, a wildcard parent is
+    left unopened, as its members meet on one path.
     """
     spark = events.sparkSession
     empty = f"cast(array() AS array<{_NODE}>)"
     df = events.selectExpr(
-        *keys, "detail AS _v", "'' AS _path", "'' AS _parent", f"{type_sql('detail')} AS _type", f"{empty} AS _pend"
+        *keys, "detail AS _v", "'' AS _path", "'' AS _parent", f"{type_sql('detail')} AS _type", f"{empty} AS _pend",
+        *([f"{wild} AS _wild"] if wild else []),
     ).where("_v IS NOT NULL")
+    carried = ["_wild"] if wild else []
+    opened = f"_type IN ({expand})" + (" AND element_at(_wild, _path) IS NULL" if wild and whole else "")
     self_node = _node_sql("_v", "_path", "_parent", "_type", container_json)
     for _ in range(levels):
-        df = df.withColumn("_in", F.expr(f"if(_type IN ({expand}), _v, NULL)"))
+        df = df.withColumn("_in", F.expr(f"if({opened}, _v, NULL)"))
         df = df.lateralJoin(spark.tvf.variant_explode_outer(F.col("_in").outer()).toDF("_pos", "_key", "_val"))
         df = df.selectExpr(
             *keys,
             "if(_pos IS NULL, _v, _val) AS _v",
             "CASE WHEN _pos IS NULL THEN _path WHEN _key IS NULL THEN concat(_path, '[]')"
-            f" ELSE concat(if(_path = '', '', concat(_path, '.')), {path_step_sql('_key')}) END AS _path",
+            f" ELSE concat(if(_path = '', '', concat(_path, '.')), {_step_sql('_key', '_path', '_wild' if wild else None)}) END AS _path",
             "if(_pos IS NULL, _parent, _path) AS _parent",
             f"if(_pos IS NULL, _type, {type_sql('_val')}) AS _type",
             f"CASE WHEN _pos IS NULL THEN _pend WHEN _pos = 0 THEN array_append(_pend, {self_node})"
             f" ELSE {empty} END AS _pend",
+            *carried,
         )
     return df
 
@@ -89,18 +102,20 @@ def observe(
     levels: int = 4,
     container_json: bool = False,
     include_root: bool = False,
+    wild: str | None = None,
 ) -> DataFrame:
     """One row per occurrence of every path in `detail`; array steps collapse to `[]`.
 
-    A dot inside a member name is spelled `%2E` (`names.path_step`), so it is no step.
+    A dot inside a member name is spelled `%2E` (`names.path_step`), so it is no step. `wild` names a column that maps
+    paths of objects to the members they declare by name (`clauses.Clauses.wild`): any other member there is the step `*`.
 
     No shuffle and no depth limit: payloads nested deeper than `levels` finish inside a row-local
     expression. Works on streams. `value_json` is canonical text, for scalars unless
     `container_json`; the payload itself (path '') only with `include_root`.
     """
     keys = list(keys)
-    walked = _walk(events, keys, levels, "'object', 'array'", container_json)
-    rest = _subtree_sql("_v", "_path", "_type", container_json)
+    walked = _walk(events, keys, levels, "'object', 'array'", container_json, wild)
+    rest = _subtree_sql("_v", "_path", "_type", container_json, "_wild" if wild else None)
     node = _node_sql("_v", "_path", "_parent", "_type", container_json)
     out = walked.selectExpr(
         *keys,
@@ -111,21 +126,22 @@ def observe(
 
 
 def event_paths(
-    events: DataFrame, keys: tuple[str, ...] = ("event_id", "source", "event_type"), levels: int = 4
+    events: DataFrame, keys: tuple[str, ...] = ("event_id", "source", "event_type"), levels: int = 4, wild: str | None = None
 ) -> DataFrame:
     """One row per (event, path): the set of types it held there and whether one was blank.
 
-    Below an array a path can occur many times in one event. Arrays are therefore folded inside the
+    Below an array, or a wildcard (`wild`, as in `observe`), a path can occur many times in one event. Arrays are therefore folded inside the
     row, which makes every later per-event count a plain `count(*)` with map-side partials instead
     of a distinct count that would ship each observation. The payload itself is path ''.
     """
     keys = list(keys)
-    walked = _walk(events, keys, levels, "'object'", False)
+    walked = _walk(events, keys, levels, "'object'", False, wild, whole=True)
+    inner = "_wild" if wild else None
     below = walked.selectExpr(
         *keys,
         "_pend",
         f"{_node_sql('_v', '_path', '_parent', '_type', False)} AS _self",
-        f"if(_type IN ('object', 'array'), {_subtree_sql('_v', '_path', '_type', False)},"
+        f"if(_type IN ('object', 'array'), {_subtree_sql('_v', '_path', '_type', False, inner)},"
         f" cast(array() AS array<{_NODE}>)) AS _sub",
     )
     # Strings, so that array_distinct hashes instead of comparing all pairs. Sorted, the marks of one path lie side by
@@ -202,9 +218,9 @@ def field_examples(obs: DataFrame, keys: list[str]) -> DataFrame:
 def value_counts(obs: DataFrame, keys: list[str]) -> DataFrame:
     """Events per distinct scalar value of every path, exact and uncapped.
 
-    Only a path below an array can repeat in one event, so only those keep the event in the key.
+    Only a path below an array or a wildcard can repeat in one event, so only those keep the event in the key.
     """
-    repeated = F.col("path").contains("[]")
+    repeated = repeats(F.col("path"))
     once = (
         obs.where("type NOT IN ('object', 'array')")
         .groupBy(*keys, "path", "value_json", F.when(repeated, F.col("event_id")).alias("_event"))

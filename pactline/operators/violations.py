@@ -34,15 +34,21 @@ def constrained_fields(fields: DataFrame) -> DataFrame:
 
 def constraint_pointer(path: Column, keyword: Column | str) -> Column:
     """Where in the contract the failed check stands, such as `/properties/ssn/pattern`."""
-    steps = F.replace(F.replace(path, F.lit("[]"), F.lit("/items")), F.lit("."), F.lit("/properties/"))
-    head = F.when(path == "", F.lit("")).otherwise(F.concat(F.lit("/properties/"), steps))
+    # Steps of a wildcard first, behind a mark that no name holds.
+    steps = F.regexp_replace(F.replace(path, F.lit("[]"), F.lit("\u0001items")), r"(^|\.)\*", "\u0001additionalProperties")
+    head = F.replace(F.regexp_replace(steps, "(^|\\.)(?=[^\u0001])", "/properties/"), F.lit("\u0001"), F.lit("/"))
     return F.concat(head, F.lit("/"), F.lit(keyword) if isinstance(keyword, str) else keyword)
 
 
+def pointer_of(fields: DataFrame) -> Column:
+    """Where a rule stands in its contract, if the table says so; else its path tells."""
+    return F.col("pointer") if "pointer" in fields.columns else F.lit(None).cast("string").alias("pointer")
+
+
 def value_checks(members_too: bool = True) -> list[Column]:
     """One array of violation structs per check; empty where the value passes.
 
-    `members_too` adds absent required members; per-event grading decides on those itself.
+    Columns: those of an observation, `CONSTRAINED` and `pointer`. `members_too` adds absent required members; per-event grading decides on those itself.
     """
     c = F.col
     value, kind = c("value_json"), c("type")
@@ -59,7 +65,8 @@ def value_checks(members_too: bool = True) -> list[Column]:
         )
 
     def one(cond: Column, cls: str, keyword: str, message: Column) -> Column:
-        constraint = constraint_pointer(c("path"), keyword) if cls == "other" else F.lit(cls)
+        at = F.coalesce(F.concat(c("pointer"), F.lit(f"/{keyword}")), constraint_pointer(c("path"), keyword))
+        constraint = at if cls == "other" else F.lit(cls)
         hit = F.array(row(cls, c("path"), constraint, keyword, message))
         return F.when(F.coalesce(cond, F.lit(False)), hit).otherwise(F.array().cast(shape))
 
@@ -156,7 +163,7 @@ def violations(
     events that hold such a value `undecided` in `verdicts`.
     """
     keys = list(keys)
-    rules = broadcast_checked(constrained_fields(fields).select(*keys, "path", *CONSTRAINED))
+    rules = broadcast_checked(constrained_fields(fields).select(*keys, "path", pointer_of(fields), *CONSTRAINED))
     joined = obs.join(rules, [*keys, "path"])
     # A container is not carried as evidence: it can be the whole payload.
     evidence = F.when(~F.col("type").isin("object", "array"), F.col("value_json")).alias("value_json")

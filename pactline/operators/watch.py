@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pactline.functions.conditions import Watch, lookup, watch_expr
-from pactline.functions.globs import glob_regex_col
 from pactline.functions.names import event_key
+from pactline.operators.clauses import Clauses, with_wildcards
+from pactline.operators.glob_join import join_globs
 from pactline.operators.intervals import DAY_MS, join_points
 from pactline.operators.ranking import top_n_per_group
 from pactline.session import broadcast_checked
@@ -85,14 +86,22 @@ def dedup_hits(hits: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return once.join(stored.select("watch_id", "event_id").distinct(), ["watch_id", "event_id"], "left_anti")
 
 
-def grade_hits(hits: DataFrame, contracts: DataFrame) -> DataFrame:
+def rules_of(contracts: DataFrame) -> tuple[DataFrame, Clauses | None]:
+    """What `grade_hits` grades by, for a caller that grades often against the same contracts."""
+    from pactline.plans.check import Check
+
+    check = Check(contracts.sparkSession.createDataFrame([], "event_id long"), contracts)
+    return check.rules, check.clauses
+
+
+def grade_hits(hits: DataFrame, contracts: DataFrame, rules: tuple[DataFrame, Clauses | None] | None = None) -> DataFrame:
     """Add `grade` (ok, failing, drifting, missing, unknown) and `headline_key` to every hit.
 
-    Each payload is graded alone: any violation fails it, any issue above a note makes it drift. The
+    `rules` are the `rules_of` the contracts, made here if not given. Each payload is graded alone: any violation fails it, any issue above a note makes it drift. The
     contract is looked up as exact, sanitised, then title name.
     """
     from pactline.functions.names import detail_title, sanitize_name
-    from pactline.operators.contracts import contract_fields, payload_type
+    from pactline.operators.contracts import payload_type
     from pactline.operators.issues import kind_rank
     from pactline.plans.check import event_issues
 
@@ -107,8 +116,8 @@ def grade_hits(hits: DataFrame, contracts: DataFrame) -> DataFrame:
     held = broadcast_checked(held)
     named = hits.join(held, ["source", "event_type"], "left")
     graded = named.where("_able").select("name", "event_id", "ts", "detail").dropDuplicates(["name", "event_id"])
-    fields = contract_fields(contracts.where(payload_type().isNotNull()), ("name",))
-    found = event_issues(graded, fields)
+    fields, clauses = rules or rules_of(contracts)
+    found = event_issues(graded if clauses is None else with_wildcards(graded, clauses), fields, clauses)
     order = F.struct((~F.col("rejects")).alias("a"), F.col("path").alias("b"), kind_rank().alias("c"), F.col("key").alias("k"))
     verdict = found.groupBy("name", "event_id").agg(
         F.bool_or("rejects").alias("_failed"), F.min(order)["k"].alias("headline_key")
@@ -264,15 +273,14 @@ def retain_marks(marks: DataFrame, n: int = MARKS_PER_ENV) -> DataFrame:
 def watch_contracts(watches: DataFrame, contracts: DataFrame) -> DataFrame:
     """Contracts a watch can reach by its globs; an empty glob reaches all.
 
-    Watches are a small broadcast table; contracts are compared in place.
+    Source and type of a contract are one text, and the two patterns of a watch one rule over it.
     """
 
-    def rx(name: str):
+    def wanted(name: str):
         text = F.coalesce(F.trim(name), F.lit(""))
-        return F.when(text == "", "^.*$").otherwise(glob_regex_col(text))
+        return F.when(text == "", "*").otherwise(text)
 
-    rules = broadcast_checked(watches.select("watch_id", rx("source").alias("_src"), rx("event_type").alias("_typ")))
+    rules = watches.select("watch_id", F.concat(wanted("source"), F.lit("\u0001"), wanted("event_type")).alias("_pair"))
     names = contracts.select("name", "source", "event_type").distinct()
-    return names.join(rules, F.rlike(F.col("source"), F.col("_src")) & F.rlike(F.col("event_type"), F.col("_typ"))).select(
-        "watch_id", "name"
-    )
+    names = names.select("name", F.concat("source", F.lit("\u0001"), "event_type").alias("_text"))
+    return join_globs(names, "_text", rules, "_pair").select("watch_id", "name")

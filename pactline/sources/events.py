@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pactline.functions.names import event_key, sanitize_name
+from pactline.session import cut
 
 # Slice bounds of the look-back search and the marker of redacted channels.
 SLICE_MIN_MS = 5 * 60 * 1000
 SLICE_MAX_MS = 6 * 60 * 60 * 1000
 SLICES_PER_WINDOW = 16
+# Fixed value: slices that a search reads first; each later step reads twice as many as the one before.
+SLICES_AT_ONCE = 4
 REDACTED_MARK = "external-events"
 
 
@@ -72,29 +78,108 @@ def scan_events(
     return df.where(cond)
 
 
-def search_events(df: DataFrame, preds: Column, limit: int, before: tuple | None = None) -> DataFrame:
+def write_log(events: DataFrame, path: str) -> None:
+    """Write events as a log: a folder a day, and files that each hold one stretch of time.
+
+    The rows are dealt by ranges of their time, so a busy day is many files and a file's statistics exclude it from the
+    slices that it has no part in.
+    """
+    rows = events.withColumn("day", F.to_date("ts")).repartitionByRange("day", "ts")
+    rows.sortWithinPartitions("day", "ts").write.partitionBy("day").parquet(path)
+
+
+def within(df: DataFrame, start, end) -> DataFrame:
+    """Rows of `[start, end)`; a table with a column `day`, as `write_log` has it, is pruned to the days of the window."""
+    rows = df.where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))
+    if "day" in df.columns:
+        rows = rows.where((F.col("day") >= F.to_date(F.lit(start))) & (F.col("day") <= F.to_date(F.lit(end))))
+    return rows
+
+
+def search_events(
+    df: DataFrame, preds: Column, limit: int, before: tuple | None = None, start: dt.datetime | None = None, end: dt.datetime | None = None
+) -> DataFrame:
     """Newest `limit` matches; `before=(ts, event_id)` continues an older page.
 
     `complete` says whether the search reached the end of the data, `searched_from` how far back it
     looked: the oldest returned time when cut, else NULL. The page is a top-k, so it stays small.
+
+    With a window `[start, end)` the log is read newest first, a few slices at a time, and no further than the page needs;
+    without, in one pass.
     """
-    hits = df.where(preds)
+
+    def find(rows: DataFrame) -> DataFrame:
+        hits = rows.where(preds)
+        if before is not None:
+            ts, event_id = F.lit(before[0]), F.lit(before[1])
+            hits = hits.where((F.col("ts") < ts) | ((F.col("ts") == ts) & (F.col("event_id") > event_id)))
+        return hits
+
+    if start is None or end is None:
+        return _paged(find(df).orderBy(*_newest()).limit(limit + 1), df.columns, limit)
     if before is not None:
-        ts, event_id = F.lit(before[0]), F.lit(before[1])
-        hits = hits.where((F.col("ts") < ts) | ((F.col("ts") == ts) & (F.col("event_id") > event_id)))
-    order = [F.desc("ts"), F.asc("event_id")]
-    page = hits.orderBy(*order).limit(limit + 1)
+        edge = before[0].astimezone(end.tzinfo) if end.tzinfo else before[0]
+        end = max(start, min(end, edge + dt.timedelta(milliseconds=1)))
+    return newest_first(df, find, limit, start, end)
+
+
+def _newest() -> list[Column]:
+    return [F.desc("ts"), F.asc("event_id")]
+
+
+def _paged(page: DataFrame, columns: list[str], limit: int) -> DataFrame:
+    """The first `limit` of at most `limit + 1` rows, with `complete` and `searched_from`."""
     # One window over at most limit + 1 rows.
-    everything, newest = W.partitionBy(F.lit(0)), W.partitionBy(F.lit(0)).orderBy(*order)
+    everything, newest = W.partitionBy(F.lit(0)), W.partitionBy(F.lit(0)).orderBy(*_newest())
     kept = page.withColumns({"_n": F.count("*").over(everything), "_rn": F.row_number().over(newest)}).where(
         F.col("_rn") <= limit
     )
-    cut = F.col("_n") > limit
+    cut_short = F.col("_n") > limit
     return kept.select(
-        *df.columns, (~cut).alias("complete"), F.when(cut, F.min("ts").over(everything)).alias("searched_from")
+        *columns, (~cut_short).alias("complete"), F.when(cut_short, F.min("ts").over(everything)).alias("searched_from")
     )
 
 
+def steps_back(start: dt.datetime, end: dt.datetime) -> Iterator[tuple[dt.datetime, dt.datetime]]:
+    """The window's slices, as `time_slices` cuts them, in runs from the newest back: four, then eight, and so on."""
+    window = max((end - start) // dt.timedelta(milliseconds=1), 1)
+    width = dt.timedelta(milliseconds=max(min(window // SLICES_PER_WINDOW, SLICE_MAX_MS), SLICE_MIN_MS))
+    at_once, to = SLICES_AT_ONCE, end
+    while to > start:
+        since = max(to - at_once * width, start)
+        yield since, to
+        at_once, to = 2 * at_once, since
+
+
+def newest_first(
+    df: DataFrame, find: Callable[[DataFrame], DataFrame], limit: int, start: dt.datetime, end: dt.datetime,
+    reached: Callable[[dt.datetime, int], None] | None = None, columns: list[str] | None = None,
+) -> DataFrame:
+    """The newest `limit` rows that `find` keeps of the events of `[start, end)`, as one pass over all of it would give.
+
+    A loop on the driver over runs of slices: each is a pruned scan whose page is written, and the loop ends when the page
+    is full. Runs double, so a search that meets nothing takes a logarithm of the slices, and none reads much over twice
+    of what it needs. `reached` is told how far back each step has read and what it found.
+    """
+    pages, missing = [], limit + 1
+    for since, to in steps_back(start, end):
+        page = cut(find(within(df, since, to)).orderBy(*_newest()).limit(missing))
+        found = page.count()
+        if found or not pages:
+            pages.append(page)
+        missing -= found
+        if reached is not None:
+            reached(since, found)
+        if not missing:
+            break
+    if not pages:
+        pages = [find(df).limit(0)]
+    whole = pages[0]
+    for page in pages[1:]:
+        whole = whole.unionByName(page)
+    return _paged(whole, columns or df.columns, limit)
+
+
 def slice_width_ms(start_ms: Column, end_ms: Column) -> Column:
     """Width of one look-back slice."""
     window = F.greatest(end_ms - start_ms, F.lit(1))
