@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pactline.functions.conditions import Condition, Watch
 from pactline.operators import readers, routing, topology
 from pactline.operators import watch as wa
+from pactline.operators.glob_join import join_globs
 from pactline.sources import applog
 from pactline.sources.events import scan_events
 from workload import bus as w
@@ -94,6 +95,30 @@ def kept_files(spark, sf):
     return readers.apply_ignores(w.code_files(spark, sf), patterns)[0].select("doc_id")
 
 
+# One rule per part, of six kinds; files are named f<number>.
+_MANY = """CASE p_partkey % 6 WHEN 0 THEN concat('f', p_partkey, '.*') WHEN 1 THEN concat('/src/**/f', p_partkey, '.ts')
+  WHEN 2 THEN concat('f', p_partkey, '*') WHEN 3 THEN concat('*', p_partkey, '.yml') WHEN 4 THEN concat('lib/api/*/f', p_partkey, '.*')
+  ELSE concat('*f', p_partkey, '*') END"""
+
+
+@query(
+    "many_rules",
+    """WITH f AS (SELECT doc_id AS d, CAST(doc_id AS VARCHAR) AS s, CASE doc_id % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'src/test/' WHEN 4 THEN 'lib/api/' WHEN 5 THEN 'src/app/' ELSE '' END AS dir,
+      CASE doc_id % 5 WHEN 0 THEN '.yml' WHEN 1 THEN '.md' ELSE '.ts' END AS ext FROM documents),
+    k AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS s FROM part),
+    hit AS (
+      SELECT k, d FROM k JOIN f ON k = d WHERE k % 6 = 0 OR (k % 6 = 1 AND dir LIKE 'src/%' AND ext = '.ts') OR (k % 6 = 4 AND dir = 'lib/api/')
+      UNION ALL SELECT k, d FROM k JOIN f ON starts_with(f.s, k.s) WHERE k % 6 IN (2, 5)
+      UNION ALL SELECT k, d FROM k JOIN f ON ends_with(f.s, k.s) WHERE k % 6 = 3 AND ext = '.yml')
+    SELECT k AS rule_no, count(*) AS files, max(d) AS last_file FROM hit GROUP BY k""",
+)
+def many_rules(spark, sf):
+    """Files by rule, with as many rules as parts."""
+    rules = w.table(spark, sf, "part").selectExpr("p_partkey AS rule_no", f"{_MANY} AS pattern")
+    hits = join_globs(w.code_files(spark, sf).select("doc_id", "path"), "path", rules, over_paths=True)
+    return hits.groupBy("rule_no").agg(F.count("*").alias("files"), F.max("doc_id").alias("last_file"))
+
+
 @query(
     "first_mention",
     """WITH m AS (SELECT 'type-' || p_partkey % 40 AS event_type, l_orderkey, l_linenumber, l_shipdate, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey),
@@ -341,11 +366,10 @@ def log_counts(spark, sf):
 
 @query(
     "log_filter",
-    f"WITH {_LOG} SELECT e AS event_id FROM lg WHERE category IN ('view', 'error') AND level IN ('error', 'warn') AND contains(props, '7')",
+    f"""WITH {_LOG} SELECT e AS event_id FROM lg WHERE category IN ('view', 'error') AND level IN ('error', 'warn') AND contains(props, '": 7')""",
 )
 def log_filter(spark, sf):
-    lines = applog.parse_log(_log_lines(spark, sf)).withColumn("raw", F.col("message"))
-    return applog.filter_log(lines, ("view", "error"), "warn", "7").select("event_id")
+    return applog.filter_log(applog.parse_log(_log_lines(spark, sf)), ("view", "error"), "warn", '": 7').select("event_id")
 
 
 @query(
@@ -361,7 +385,7 @@ def log_tail(spark, sf):
 
 WATCHES = [
     Watch("all-retries", conditions=(Condition("status", "held"),), label="Retries"),
-    Watch("portal", source="client*", event_type="view", conditions=(Condition("shipperId", "c-1*7"), Condition("amount", "null", "ne"))),
+    Watch("portal", source="harbour*", event_type="view", conditions=(Condition("shipperId", "c-1*6"), Condition("amount", "null", "ne"))),
     Watch("numbers", conditions=(Condition("k", "42"), Condition("$.account", '"1001"'))),
     Watch("second-item", conditions=(Condition("items[1].sku", "s2"), Condition("detail.beta", "true")), notify=False),
     Watch("nulls", source="billing-invoices", conditions=(Condition("cargo", "null"),)),
@@ -371,7 +395,7 @@ WATCHES = [
 
 _HITS = """hits AS (
   SELECT 'all-retries' AS watch_id, * FROM bus WHERE status = 'held'
-  UNION ALL SELECT 'portal', * FROM bus WHERE src = 'harbour-desk' AND t = 'view' AND client = 'string' AND CAST(u AS VARCHAR) LIKE '1%7' AND amount <> 'null'
+  UNION ALL SELECT 'portal', * FROM bus WHERE src = 'harbour-desk' AND t = 'view' AND client = 'string' AND CAST(u AS VARCHAR) LIKE '1%6' AND amount <> 'null'
   UNION ALL SELECT 'numbers', * FROM bus WHERE k = 42 AND u % 3 = 1
   UNION ALL SELECT 'second-item', * FROM bus WHERE n = 2 AND beta
   UNION ALL SELECT 'nulls', * FROM bus WHERE src = 'billing-invoices' AND meta = 'null'
@@ -441,7 +465,7 @@ def watch_grades(spark, sf):
 
 @query(
     "watch_digest",
-    sql("bus", f"""SELECT watch_id, CAST(pos AS INTEGER) AS pos, hits, CASE WHEN hits > 3 THEN hits || ' events matched · latest: ' ELSE '' END || src || ' · ' || t || CASE watch_id WHEN 'all-retries' THEN ' · status=retry' WHEN 'nulls' THEN ' · cargo=null' ELSE '' END AS body FROM (
+    sql("bus", f"""SELECT watch_id, CAST(pos AS INTEGER) AS pos, hits, CASE WHEN hits > 3 THEN hits || ' events matched · latest: ' ELSE '' END || src || ' · ' || t || CASE watch_id WHEN 'all-retries' THEN ' · status=held' WHEN 'nulls' THEN ' · cargo=null' ELSE '' END AS body FROM (
     SELECT *, count(*) OVER (PARTITION BY watch_id) AS hits, row_number() OVER (PARTITION BY watch_id ORDER BY ts DESC, e) AS pos FROM hits WHERE watch_id IN ('all-retries', 'nulls', 'everything-click') AND ms >= {START_MS + 5 * DAY} AND ms < {START_MS + 5 * DAY + 7200000})
     WHERE pos = 1 OR (hits <= 3 AND pos <= 3)""", _HITS),
 )
@@ -510,10 +534,15 @@ def watch_activity(spark, sf):
     sql("bus", "SELECT env, e AS event_id, watch_id FROM (SELECT *, row_number() OVER (PARTITION BY env ORDER BY ats DESC, e, watch_id) AS rn FROM st) WHERE rn <= 300", _SESS),
 )
 def hit_retention(spark, sf):
-    from pactline.operators.ranking import top_n_per_group
+    return wa.retain_hits(_stored(spark, sf), 300).select("env", "event_id", "watch_id")
+
 
-    order = [F.desc("at"), F.asc("event_id"), F.asc("watch_id")]
-    return top_n_per_group(_stored(spark, sf), ["env"], order, 300, spread="event_id").select("env", "event_id", "watch_id")
+@query(
+    "mark_retention",
+    sql("bus", "SELECT env, mark_id FROM (SELECT *, row_number() OVER (PARTITION BY env ORDER BY ats DESC, mark_id) AS rn FROM mk) WHERE rn <= 200", _SESS),
+)
+def mark_retention(spark, sf):
+    return wa.retain_marks(_marks(spark, sf)).select("env", "mark_id")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from pactline.operators import observe as ob
 from pactline.operators import violations as vi
 from pactline.plans import check as ck
 from pactline.plans import health as he
+from pactline.session import scratch_dir
 from pactline.sources import events as ev
 from pactline.sources.contracts_io import parse_contracts
 from workload import bus as w
@@ -90,10 +92,16 @@ def event_scan(spark, sf):
 
 @query(
     "event_scan_around",
-    sql("bus", f"SELECT e AS event_id, ms AS at FROM bus WHERE ms BETWEEN {START_MS + 5 * DAY - 60000} AND {START_MS + 5 * DAY + 60000}"),
+    sql("bus", """SELECT e AS event_id, ms AS at FROM bus, (SELECT arg_min(ms, e) AS mid FROM bus) WHERE ms BETWEEN mid - 60000 AND mid + 20000
+    UNION ALL SELECT e, ms FROM bus, (SELECT arg_max(ms, e) AS mid FROM bus) WHERE ms BETWEEN mid - 60000 AND mid + 60000"""),
 )
 def event_scan_around(spark, sf):
-    return ev.scan_events(bus(spark, sf), around=at(5 * DAY)).select("event_id", ms().alias("at"))
+    """A minute each side of the first and the last event; of the first, up to a `now` 20 seconds later."""
+    events = bus(spark, sf).select("event_id", "ts")
+    mid = events.agg(F.min_by(ms(), "event_id").alias("first"), F.max_by(ms(), "event_id").alias("last")).first()
+    first, last = mid["first"] - START_MS, mid["last"] - START_MS
+    around = ev.scan_events(events, around=at(first), now=at(first + 20_000))
+    return around.unionByName(ev.scan_events(events, around=at(last))).select("event_id", ms().alias("at"))
 
 
 _TOPN = """hits AS (SELECT e, ts, ms FROM bus WHERE src = 'harbour-desk' AND status = 'held' {more}),
@@ -114,13 +122,43 @@ def event_search(spark, sf):
 
 @query(
     "event_search_continue",
-    sql("bus", _TOPN_BODY, _TOPN.format(more=f"AND ms < {START_MS + 15 * DAY}")),
+    sql("bus", """SELECT event_id, m AS at, complete, min(m) FILTER (NOT complete) OVER () AS searched_from FROM (
+      SELECT e AS event_id, ms AS m, rn, (SELECT count(*) FROM hits) <= 40 AS complete FROM hits WHERE rn BETWEEN 21 AND 40)""",
+        "hits AS (SELECT e, ms, row_number() OVER (ORDER BY ts DESC, e) AS rn FROM bus WHERE src = 'harbour-desk' AND status = 'held')"),
 )
 def event_search_continue(spark, sf):
-    page = ev.search_events(bus(spark, sf), _retry(), 20, before=(at(15 * DAY), -1))
-    return page.where(ms() < START_MS + 15 * DAY).select(
-        "event_id", ms().alias("at"), "complete", ms("searched_from").alias("searched_from")
-    )
+    events = bus(spark, sf)
+    last = ev.search_events(events, _retry(), 20).orderBy("ts", F.desc("event_id")).first()
+    page = ev.search_events(events, _retry(), 20, before=(last["ts"], last["event_id"]))
+    return page.select("event_id", ms().alias("at"), "complete", ms("searched_from").alias("searched_from"))
+
+
+def _log(spark, sf):
+    """The bus as a log of days."""
+    path = f"{scratch_dir(spark)}/pactline/{uuid.uuid4().hex}"
+    ev.write_log(bus(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+_WINDOW = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc), dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
+
+
+@query("event_search_newest", sql("bus", _TOPN_BODY, _TOPN.format(more=f"AND ms >= {START_MS} AND ms < {END_MS}")))
+def event_search_newest(spark, sf):
+    page = ev.search_events(_log(spark, sf), _retry(), 20, start=_WINDOW[0], end=_WINDOW[1])
+    return page.select("event_id", ms().alias("at"), "complete", ms("searched_from").alias("searched_from"))
+
+
+@query(
+    "event_search_sparse",
+    sql("bus", f"SELECT e AS event_id, TRUE AS complete FROM bus WHERE ms >= {START_MS} AND ms < {END_MS} AND t = 'signup' AND amount = 'string' AND src = 'billing-invoices'"),
+)
+def event_search_sparse(spark, sf):
+    """Matches that fill no page: the search reaches the start of the window."""
+    wanted = (F.col("source") == "billing-invoices") & (F.col("event_type") == "signup")
+    wanted &= F.schema_of_variant(F.try_variant_get("detail", "$.amount", "variant")) == "STRING"
+    page = ev.search_events(_log(spark, sf), wanted, 10_000, start=_WINDOW[0], end=_WINDOW[1])
+    return page.select("event_id", "complete")
 
 
 _WIN = """w AS (SELECT o_orderkey AS id, epoch_ms(o_orderdate) AS s, epoch_ms(o_orderdate) + (o_orderkey % 400) * 3600000 AS f FROM orders)"""
@@ -686,6 +724,15 @@ def events_for_issue(spark, sf):
     return ck.events_for_issue(w.bus(spark, sf), w.bus_contracts(spark), "harbour-desk@view", "wrongType:amount").select("event_id")
 
 
+@query(
+    "events_for_issue_newest",
+    sql("bus", f"SELECT e AS event_id FROM bus WHERE ms >= {START_MS} AND ms < {END_MS} AND src = 'Tide Tables' AND t = 'click' AND k > 50 ORDER BY ts DESC, e LIMIT 25"),
+)
+def events_for_issue_newest(spark, sf):
+    found = ck.events_for_issue(_log(spark, sf), w.bus_contracts(spark), "Tide-Tables@click", "rejected:k:/properties/k/maximum", start=_WINDOW[0], end=_WINDOW[1])
+    return found.select("event_id")
+
+
 _UNREG = """left_over AS (SELECT src, t, count(*) AS n FROM bus WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.src = bus.src AND m.t = bus.t)
   AND NOT (src = 'billing-invoices' AND t = 'error') GROUP BY ALL)"""
 
