@@ -28,7 +28,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -54,25 +54,42 @@ AGREED = "\u0558"
 
 
 class Words:
-    """A byte-level BPE file: the words of a text, their ids, and the bytes of each id."""
+    """A byte-level BPE file: the words of a text, their ids, and the bytes of each id. Read in parts, as a task needs them."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.path = path
+        self.special = {t["content"]: t["id"] for t in self._part("added_tokens")}
         self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.pattern = regex.compile(PIECE)
         self.loose = re.compile(r"\s | \s|^ | $")
+
+    def _part(self, member: str):
+        """One member of the file, without the others in memory."""
+        with open(self.path, encoding="utf-8") as file:
+            text = file.read()
+        start = re.search(rf'"{member}"\s*:\s*', text).end()
+        return json.JSONDecoder().raw_decode(text, start)[0]
+
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def letters(self) -> list[str]:
+        """The letter that stands for each byte in the vocabulary."""
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
-        self.letters = [letters[b] for b in range(256)]
-        byte_of = {c: b for b, c in letters.items()}
-        pieces = {i: bytes(byte_of[c] for c in piece) for piece, i in spec["model"]["vocab"].items()}
-        pieces |= {i: s.encode() for s, i in self.special.items()}
-        self.pieces = pa.array([pieces.get(i) for i in range(max(pieces) + 1)], pa.large_binary())
+        other = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        return [other.get(b, chr(b)) for b in range(256)]
+
+    @cached_property
+    def pieces(self) -> pa.Array:
+        """The bytes of each id: the table that decoding joins."""
+        byte_of = {c: b for b, c in enumerate(self.letters)}
+        found = {i: bytes(map(byte_of.__getitem__, piece)) for piece, i in self._part("vocab").items()}
+        found |= {i: s.encode() for s, i in self.special.items()}
+        return pa.array([found.get(i) for i in range(max(found) + 1)], pa.large_binary())
 
     def pieces_of(self, text: str) -> list[str]:
         """What the tokenizer splits a text without special strings into."""
@@ -167,6 +184,16 @@ def _unpacked(data: bytes) -> bytes:
     return zstandard.decompress(data)
 
 
+def _packed_numbers(numbers: np.ndarray) -> bytes:
+    """In as few bytes each as the largest takes: one, two or four, which a first byte says."""
+    width = next(w for w in (1, 2, 4) if int(numbers.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + _packed(numbers.astype(f"<u{width}").tobytes())
+
+
+def _unpacked_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(_unpacked(data[1:]), f"<u{data[0]}")
+
+
 def _distinct(path: str, buckets: int, most: tuple[int, int, int]) -> Callable:
     """A row for each slice and bucket: the words, which a byte separates that no UTF-8 text holds."""
 
@@ -189,16 +216,15 @@ def _numbered(path: str, buckets: int, most: tuple[int, int, int]) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _slices(batches, path, buckets, most):
-            kind = "<u2" if len(s.words) <= 1 << 16 else "<u4"
             counts = np.array([len(d) for d in s.docs], np.int32)
-            at = s.place[np.fromiter(chain.from_iterable(s.docs), np.int64, int(counts.sum()))].astype(kind)
+            at = s.place[np.fromiter(chain.from_iterable(s.docs), np.int64, int(counts.sum()))]
             keys = pa.concat_arrays(s.keys)
             columns = [
                 pa.array([s.number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-                pa.array([counts.tolist()], pa.list_(pa.int32())), pa.array([_packed(at.tobytes())], pa.binary()),
-                pa.array([int(kind[2])], pa.int32()), pa.array([s.checksum], pa.int64()),
+                pa.array([counts.tolist()], pa.list_(pa.int32())), pa.array([_packed_numbers(at)], pa.binary()),
+                pa.array([s.checksum], pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["slice", "ids", "counts", "at", "bytes", "checksum"])
+            yield pa.RecordBatch.from_arrays(columns, names=["slice", "ids", "counts", "at", "checksum"])
 
     return run
 
@@ -220,8 +246,8 @@ def _encoded(path: str) -> Callable:
                     if known is None:
                         known = table[word] = words.ids(word.decode()).tobytes()
                     ids.append(known)
-                sizes.append(_packed(np.array([len(x) // 4 for x in ids], "<u4").tobytes()))
-                found.append(_packed(b"".join(ids)))
+                sizes.append(_packed_numbers(np.array([len(x) // 4 for x in ids], "<u4")))
+                found.append(_packed_numbers(np.frombuffer(b"".join(ids), "<u4")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("slice"), batch.column("bucket"), pa.array(sizes, pa.binary()), pa.array(found, pa.binary()), batch.column("checksum")],
                 names=["slice", "bucket", "sizes", "ids", "checksum"],
@@ -235,9 +261,11 @@ def _by_position(docs: pa.Table, words: pa.Table) -> pa.Table:
     words = words.sort_by("bucket")
     if set(words["checksum"].to_pylist()) - set(docs["checksum"].to_pylist()):
         raise RuntimeError("the documents were not read alike twice: encode a table of files")
-    size = np.frombuffer(b"".join(map(_unpacked, words["sizes"].to_pylist())), "<u4").astype(np.int64)
-    held = np.frombuffer(b"".join(map(_unpacked, words["ids"].to_pylist())), "<u4")
-    at = np.frombuffer(_unpacked(docs["at"][0].as_py()), f"<u{docs['bytes'][0].as_py()}")
+    size, held = (
+        np.concatenate([np.zeros(0, kind), *(_unpacked_numbers(x).astype(kind) for x in words[c].to_pylist())])
+        for c, kind in (("sizes", np.int64), ("ids", "<u4"))
+    )
+    at = _unpacked_numbers(docs["at"][0].as_py())
     first, ends = np.cumsum(size) - size, np.append(0, np.cumsum(docs["counts"].combine_chunks().values.to_numpy()))
     out = []
     for a, b in zip(ends, ends[1:], strict=False):
@@ -260,7 +288,7 @@ def encode(
     words = rows.mapInArrow(_distinct(path, buckets, most), "slice long, bucket int, words binary, checksum long")
     table = words.repartition("bucket").sortWithinPartitions("bucket")
     table = table.mapInArrow(_encoded(path), "slice long, bucket int, sizes binary, ids binary, checksum long")
-    numbers = rows.mapInArrow(_numbered(path, buckets, most), f"slice long, ids array<{kind}>, counts array<int>, at binary, bytes int, checksum long")
+    numbers = rows.mapInArrow(_numbered(path, buckets, most), f"slice long, ids array<{kind}>, counts array<int>, at binary, checksum long")
     joined = numbers.groupBy("slice").cogroup(table.groupBy("slice"))
     return joined.applyInArrow(_by_position, f"id {kind}, ids binary")
 
