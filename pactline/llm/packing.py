@@ -18,6 +18,7 @@ packed too; a table without rows gives none; only the id and text columns are re
 from __future__ import annotations
 
 import heapq
+import re
 import struct
 from functools import lru_cache
 
@@ -57,7 +58,10 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Special strings are taken out first, in the spelling of the file; what a lower-cased text looks like is ordinary text.
+        self.special = {t.content: self._packed([i]) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known: dict[bytes, bytes] = {}
 
@@ -83,10 +87,17 @@ class WordTokens:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None, end_id: int) -> bytes:
+        end = struct.pack("<I", end_id)
+        if not text:
+            return end
+        if "<|" not in text or not self.marks.search(text):
+            return self._runs(text) + end
+        return b"".join([*[self.special.get(part) or self._runs(part) for part in self.marks.split(text)], end])
+
+    def _runs(self, text: str) -> bytes:
         # the vocabulary is of lower case, so ASCII capitals may fall at once
         known, run = self.known.get, self._run
-        runs = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        return b"".join([*[known(x) or run(x) for x in runs], struct.pack("<I", end_id)])
+        return b"".join([known(x) or run(x) for x in text.encode("utf-8", "surrogatepass").lower().split()])
 
 
 @lru_cache(maxsize=2)

@@ -181,6 +181,15 @@ def test_packing(docs, none):
     assert packing.packed(none, path).count() == 0
 
 
+def test_ids_are_the_library_s():
+    rng = random.Random(12)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "hello", "World", " ", "\n", "é", "'s", "3", "endoftext", "日本", "\xa0", "."]
+    texts = ["hello <|endoftext|> world", *["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]]
+    words = packing.load(public_tokenizers.path("word_bpe_49k.json"))
+    for text, want in zip(texts, brute.word_ids(texts), strict=True):
+        assert np.frombuffer(words.encode(text, 2), "<u4").tolist() == want, text
+
+
 @pytest.mark.parametrize("sizes", [[], [4096], [1] * 5000, [4095, 2, 4095, 2], [3000] * 7, list(range(1, 300))])
 def test_windows_hold_the_capacity(sizes):
     sizes = np.array(sizes, np.int64)
