@@ -26,13 +26,33 @@ def _merge(df: DataFrame, part: list[str], keep: list[str]) -> DataFrame:
 def union_intervals(df: DataFrame, keys: list[str], bucket_ms: int = DAY_MS) -> DataFrame:
     """Union of `[start_ms, end_ms]` per key.
 
-    Interval union is associative: merging inside time buckets first leaves only islands for the
-    per-key step, so a hot key is spread over its buckets.
+    Intervals merge inside time buckets first. How far the buckets before one reach, and how many islands they open, are
+    running values over one row a bucket; with these every bucket tells by itself which of its islands go on from an earlier
+    one and which number each has. So a key's islands are never in one task, however many they are.
     """
-    bucketed = df.select(*keys, "start_ms", "end_ms").withColumn(
-        "_bucket", F.floor(F.col("start_ms") / bucket_ms)
+    bucketed = df.select(*keys, "start_ms", "end_ms").withColumn("_bucket", F.floor(F.col("start_ms") / bucket_ms))
+    part = [*keys, "_bucket"]
+    local = _merge(bucketed, part, part)
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    reach = local.groupBy(*part).agg(F.max("end_ms").alias("_end")).select(*part, F.max("_end").over(before).alias("_reach"))
+    opened = _with_bucket(local, reach, part).withColumn("_new", F.when(F.col("_reach") >= F.col("start_ms"), 0).otherwise(1))
+    numbers = opened.groupBy(*part).agg(F.sum("_new").alias("_n")).select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = W.partitionBy(*part).orderBy("start_ms").rowsBetween(W.unboundedPreceding, 0)
+    numbered = _with_bucket(opened, numbers, part).withColumn("_island", F.col("_first") + F.sum("_new").over(inside))
+    return (
+        numbered.groupBy(*keys, "_island")
+        .agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+        .select(*keys, "start_ms", "end_ms")
     )
-    return _merge(_merge(bucketed, [*keys, "_bucket"], keys), keys, keys)
+
+
+def _with_bucket(rows: DataFrame, facts: DataFrame, part: list[str]) -> DataFrame:
+    """Rows with the facts of their bucket; a null key is a key."""
+    r, f = rows.alias("r"), facts.alias("f")
+    same = F.lit(True)
+    for k in part:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}"))
+    return r.join(f, same).select("r.*", *[f"f.{c}" for c in facts.columns if c not in part])
 
 
 def join_points(

@@ -17,6 +17,7 @@ KINDS = (
     "unregistered", "concern",
 )
 SEVERITIES = ("error", "warning", "info")
+LISTED_SIBLINGS = 32
 MAX_EXAMPLES = 10
 EVENTS_PER_ISSUE = 25
 
@@ -245,8 +246,8 @@ def unregistered(keys: DataFrame, matches: DataFrame) -> DataFrame:
         F.lit(False).alias("rejects"),
         F.col("observed").alias("affected"),
         F.col("observed").alias("sampled"),
-        F.concat(F.lit("`"), "source", F.lit("` publishes `"), "event_type", F.lit("` and the registry has no schema for it")).alias("summary"),
-        F.lit("no schema").alias("declared"),
+        F.concat(F.lit("no contract for "), "event_type", F.lit(" of "), "source").alias("summary"),
+        F.lit("nothing").alias("declared"),
         F.concat(
             F.col("observed").cast("string"), F.when(F.col("observed") == 1, " event on the bus").otherwise(" events on the bus")
         ).alias("observed"),
@@ -297,18 +298,23 @@ def outstanding_counts(iss: DataFrame, resolutions: DataFrame, keys: tuple[str,
     return left.join(done, keys, "full_outer").fillna(0, ["open", "drifting", "fixed", "filed"])
 
 
-def group_siblings(iss: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
-    """Undeclared fields of one parent as one row; everything else stays alone."""
+def group_siblings(iss: DataFrame, keys: tuple[str, ...] = ("name",), listed: int = LISTED_SIBLINGS) -> DataFrame:
+    """Undeclared fields of one parent as one row; everything else stays alone.
+
+    `fields` counts all of them; `paths` has the first `listed`, so an object with a field per id stays one small row.
+    """
     has_parent = (F.col("kind") == "undeclared") & F.col("path").contains(".")
     parent = F.when(has_parent, F.regexp_replace("path", r"\.[^.]*$", ""))
+    part = [*keys, "kind", "parent", "_alone"]
+    rows = iss.withColumns({"parent": parent, "_alone": F.when(~has_parent, F.col("key")), "_sev": severity_rank()})
+    shown = top_n_per_group(rows.select(*part, "path"), part, [F.asc("path")], listed, spread="path").select(*part, "path", F.lit(True).alias("_shown"))
+    counted = rows.groupBy(*part).agg(F.count("*").alias("fields"), F.min("_sev").alias("_sev"))
+    both = counted.unionByName(shown, allowMissingColumns=True)
     return (
-        iss.withColumn("parent", parent)
-        .withColumn("_alone", F.when(~has_parent, F.col("key")))
-        .groupBy(*keys, "kind", "parent", "_alone")
+        both.groupBy(*part)
         .agg(
-            F.count("*").alias("fields"),
-            F.array_sort(F.collect_list("path")).alias("paths"),
-            F.min(severity_rank()).alias("_sev"),
+            F.max("fields").alias("fields"), F.array_sort(F.collect_list(F.when(F.col("_shown"), F.col("path")))).alias("paths"),
+            F.min("_sev").alias("_sev"),
         )
         .withColumn("severity", F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("_sev") + 1))
         .drop("_sev", "_alone")

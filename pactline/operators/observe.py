@@ -207,9 +207,12 @@ def profile(
 
 
 def field_examples(obs: DataFrame, keys: list[str]) -> DataFrame:
-    """First value of every (key, path, type) in (ts, event_id) order; `obs` carries both columns."""
+    """First value of every (key, path, type) in (ts, event_id) order; `obs` carries both columns.
+
+    Of several in one event, the one whose text comes first.
+    """
     return obs.groupBy(*keys, "path", "type").agg(
-        F.min_by("value_json", F.struct("ts", "event_id")).alias("example"),
+        F.min_by("value_json", F.struct("ts", "event_id", "value_json")).alias("example"),
         # A sketch of the distinct values; it also keeps the aggregate hash-based.
         F.hll_sketch_estimate(F.hll_sketch_agg(F.coalesce("value_json", F.lit("")), 8)).alias("approx_values"),
     )

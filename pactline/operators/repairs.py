@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactline.functions.names import member_name
+from pactline.operators.observe import VALUE_CAP
 
 
 def apply_repairs(
@@ -16,8 +17,8 @@ def apply_repairs(
     `repairs` has one `(path, fix)` per key and field and kind. Refused: an array element, a path the
     contract cannot place, a field that is already optional, a field declared by a reference (its type is shared and
     is to be changed itself). Editing a member of a shared type edits every path that reaches it; what several paths
-    ask of one member is joined. `enum_values` (`path, value_json`, one row per value) stands in for the values an
-    `extendEnum` lists, which are cut for display.
+    ask of one member is joined. `enum_values` (`path, value_json`, one row per value) has the values of an `extendEnum`:
+    what a fix lists is cut for display, so a list that may be cut is refused without that table.
     """
     keys = list(keys)
     asked = repairs.where("fix IS NOT NULL")
@@ -42,6 +43,7 @@ def apply_repairs(
         .when((kind != "declareField") & F.col("_declared").isNull(), "not declared")
         .when((kind == "dropRequired") & ~F.col("required"), "already optional")
         .when(~kind.isin("dropRequired", "declareField") & F.col("ref_target").isNotNull(), "declared by a reference")
+        .when((kind == "extendEnum") & F.lit(enum_values is None) & (F.size("fix.values") >= VALUE_CAP), "values may be cut")
     )
     judged = placed.withColumn("reason", reason)
     refused = judged.where("reason IS NOT NULL").select(*keys, "path", kind.alias("kind"), "reason")
@@ -91,6 +93,10 @@ def apply_repairs(
             "min_items": F.when(~no_array | no_array.isNull(), c("min_items")),
             "max_items": F.when(~no_array | no_array.isNull(), c("max_items")),
             "unique_items": c("unique_items") & ~F.coalesce(no_array, F.lit(False)),
+            "min_props": F.when(~no_object | no_object.isNull(), c("min_props")),
+            "max_props": F.when(~no_object | no_object.isNull(), c("max_props")),
+            "any_of": F.when(c("_types").isNull(), c("any_of")),
+            "one_of": F.when(c("_types").isNull(), c("one_of")),
             # Types last: the conditions above read the old table.
             "typed": c("typed") | c("_types").isNotNull() | c("_pattern").isNotNull(),
             "types": F.coalesce(

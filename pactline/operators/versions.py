@@ -11,60 +11,33 @@ from pactline.operators.ranking import top_n_per_group
 # Fixed value: versions a ledger looks back over.
 HISTORY_VERSIONS = 25
 
-_COMPARED = (
-    "types", "required", "nullable", "ref_target", "format", "enum_json", "const_json", "closed", "ungradable",
-    "min_len", "max_len", "pattern", "minimum", "maximum", "above", "below", "multiple_of", "min_items", "max_items",
-    "unique_items",
-)
-_BOUNDS = {
-    "minLength": "min_len", "maxLength": "max_len", "pattern": "pattern", "minimum": "minimum", "maximum": "maximum",
-    "exclusiveMinimum": "above", "exclusiveMaximum": "below", "multipleOf": "multiple_of", "minItems": "min_items",
-    "maxItems": "max_items", "uniqueItems": "unique_items",
+# What a field declares, by its column in the field table, and what a reader calls it.
+_COMPARED = {
+    "above": "exclusive minimum", "any_of": "alternatives", "below": "exclusive maximum", "closed": "closed", "const_json": "constant",
+    "enum_json": "values", "format": "format", "max_items": "most items", "max_len": "most characters", "max_props": "most members",
+    "maximum": "maximum", "min_items": "least items", "min_len": "least characters", "min_props": "least members", "minimum": "minimum",
+    "multiple_of": "divisor", "one_of": "exclusive alternatives", "pattern": "pattern", "ref_target": "reference", "required": "required",
+    "types": "types", "ungradable": "ungraded keywords", "unique_items": "unique items",
 }
+_LISTS = ("any_of", "enum_json", "one_of", "types", "ungradable")
 
 
 def _notes() -> Column:
-    """What changed, in words; `a` is the older side."""
+    """One line a column that differs, in the order of the columns; `a` is the older side."""
 
-    def a(name: str) -> Column:
-        return F.col(f"a.{name}")
+    def shown(side: str, name: str) -> Column:
+        col = F.col(f"{side}.{name}")
+        return F.coalesce(F.array_join(col, ", ") if name in _LISTS else col.cast("string"), F.lit("not set"))
 
-    def b(name: str) -> Column:
-        return F.col(f"b.{name}")
-
-    def text(col: Column) -> Column:
-        return F.coalesce(F.when(col != "", col), F.lit("none"))
-
-    def moved(label: str, old: Column, new: Column) -> Column:
-        return F.when(~old.eqNullSafe(new), F.concat(F.lit(label + " "), text(old), F.lit(" → "), text(new)))
-
-    def type_of(side) -> Column:
-        named = F.array_remove(side("types"), "null")
-        return F.when(F.size(named) == 0, "any").otherwise(F.array_join(named, " | "))
-
-    def bounds(side) -> Column:
-        shown = [
-            F.when(side(c) if c == "unique_items" else side(c).isNotNull(), F.concat(F.lit(k + " "), side(c).cast("string")))
-            for k, c in _BOUNDS.items()
-        ]
-        return F.concat_ws(", ", *shown)
-
-    def flipped(name: str, on: str, off: str) -> Column:
-        return F.when(a(name) != b(name), F.when(b(name), on).otherwise(off))
-
-    nulls_a, nulls_b = F.array_contains(a("types"), "null"), F.array_contains(b("types"), "null")
     return F.array_compact(
         F.array(
-            moved("type", type_of(a), type_of(b)),
-            flipped("required", "became required", "became optional"),
-            F.when(nulls_a != nulls_b, F.when(nulls_b, "now accepts null").otherwise("no longer accepts null")),
-            moved("type ref", a("ref_target"), b("ref_target")),
-            moved("format", a("format"), b("format")),
-            moved("constraints", bounds(a), bounds(b)),
-            moved("composition", F.array_join(a("ungradable"), ", "), F.array_join(b("ungradable"), ", ")),
-            moved("fixed value", a("const_json"), b("const_json")),
-            flipped("closed", "no longer allows extra fields", "now allows extra fields"),
-            F.when(~a("enum_json").eqNullSafe(b("enum_json")), "allowed values changed"),
+            *[
+                F.when(
+                    ~F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}")),
+                    F.concat(F.lit(f"{said} was "), shown("a", name), F.lit(", is "), shown("b", name)),
+                )
+                for name, said in _COMPARED.items()
+            ]
         )
     )
 

@@ -139,10 +139,10 @@ def test_version_diff_words_and_ledger(spark):
     docs, _ = parse_contracts(spark.createDataFrame([("n", 9, v1), ("n", 10, v2), ("n", 11, v3)], "name string, version int, content string"))
     ledger = ver.change_ledger(ct.contract_fields(docs))
     rows = {(r["version"], r["path"]): (r["change"], r["detail"]) for r in ledger.collect()}
-    assert rows[10, "a"] == ("changed", ["now accepts null", "constraints minLength 2 → minLength 3"])
-    assert rows[10, "b"] == ("changed", ["type integer → number", "became required"])
+    assert rows[10, "a"] == ("changed", ["least characters was 2, is 3", "types was string, is string, null"])
+    assert rows[10, "b"] == ("changed", ["required was false, is true", "types was integer, is number"])
     assert rows[10, "c"][0] == "removed" and rows[10, "d"][0] == "added" and rows[11, "c"][0] == "added"
-    assert rows[11, "d"] == ("changed", ["allowed values changed"])
+    assert rows[11, "d"] == ("changed", ['values was not set, is "x"'])
     assert [r["path"] for r in ver.recurring_fields(ledger).collect()] == ["b", "c", "d"]
 
 
@@ -252,3 +252,25 @@ def test_search_pages_do_not_overlap(make_events):
     assert not first[0]["complete"] and first[0]["searched_from"] == first[-1]["ts"]
     second = ev.search_events(events, F.lit(True), 20, before=(first[-1]["ts"], first[-1]["event_id"])).collect()
     assert len(second) == 15 and second[0]["complete"] and not {r["event_id"] for r in first} & {r["event_id"] for r in second}
+
+
+@pytest.mark.parametrize(
+    ("old", "new", "said"),
+    [
+        ({"anyOf": [{"type": "string"}, {"type": "integer"}]}, {"anyOf": [{"type": "string"}]}, "alternatives was string, integer, is string"),
+        ({"oneOf": [{"type": "string"}]}, {}, "exclusive alternatives was string, is not set"),
+        ({"minProperties": 1}, {"minProperties": 5}, "least members was 1, is 5"), ({}, {"maxProperties": 2}, "most members was not set, is 2"),
+        ({"allOf": [{}]}, {}, "ungraded keywords was allOf, is "), ({"enum": ["a"]}, {"enum": ["a", 1]}, 'values was "a", is "a", 1'),
+        ({"const": 1}, {"const": 2}, "constant was 1, is 2"), ({"format": "date"}, {}, "format was date, is not set"),
+        ({"additionalProperties": False}, {}, "closed was true, is false"), ({"uniqueItems": True}, {}, "unique items was true, is false"),
+        ({"pattern": "a"}, {"pattern": "b"}, "pattern was a, is b"), ({"multipleOf": 2}, {}, "divisor was 2.0, is not set"),
+        ({"exclusiveMinimum": 1}, {}, "exclusive minimum was 1.0, is not set"), ({"exclusiveMaximum": 1}, {}, "exclusive maximum was 1.0, is not set"),
+        ({"maxLength": 1}, {}, "most characters was 1, is not set"), ({"minItems": 1}, {}, "least items was 1, is not set"),
+        ({"maxItems": 1}, {}, "most items was 1, is not set"), ({"minimum": 1}, {}, "minimum was 1.0, is not set"), ({"maximum": 1}, {}, "maximum was 1.0, is not set"),
+    ],
+)
+def test_every_keyword_of_a_field_is_compared(make_contracts, old, new, said):
+    from pactline.operators.versions import contract_diff
+
+    both = [ct.contract_fields(make_contracts({"n": {"Payload": {"type": "object", "properties": {"v": x}}}}), ("name",)) for x in (old, new)]
+    assert [(r["change"], r["detail"]) for r in contract_diff(*both).collect()] == [("changed", [said])]
