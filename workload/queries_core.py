@@ -417,21 +417,20 @@ def field_profile(spark, sf):
 
 @query(
     "field_examples",
-    sql("occ", "SELECT src AS source, t AS event_type, path, type, arg_min(v, (ts, e)) AS example FROM occ WHERE type NOT IN ('object', 'array') AND path NOT LIKE '%[]%' GROUP BY ALL"),
+    sql("occ", "SELECT src AS source, t AS event_type, path, type, arg_min(v, (ts, e, v)) AS example FROM occ WHERE type NOT IN ('object', 'array') GROUP BY ALL"),
 )
 def field_examples(spark, sf):
     obs = ob.observe(bus(spark, sf), ("event_id", "ts", "source", "event_type"))
-    rows = obs.where("type NOT IN ('object', 'array') AND path NOT LIKE '%[]%'")
+    rows = obs.where("type NOT IN ('object', 'array')")
     return ob.field_examples(rows, ["source", "event_type"]).drop("approx_values")
 
 
 @query(
     "field_values",
-    sql("occ", "SELECT path, v AS value_json, count(DISTINCT e) AS events FROM occ WHERE type NOT IN ('object', 'array') AND path IN ('status', 'k', 'beta', 'items[].qty', 'items[].sku') GROUP BY ALL"),
+    sql("occ", "SELECT path, CASE WHEN path = 'amount' AND type = 'number' THEN regexp_replace(v, '[.]0$', '') ELSE v END AS value_json, count(DISTINCT e) AS events FROM occ WHERE type NOT IN ('object', 'array') GROUP BY ALL"),
 )
 def field_values(spark, sf):
-    obs = ob.observe(bus(spark, sf)).where("path IN ('status', 'k', 'beta', 'items[].qty', 'items[].sku')")
-    return ob.value_counts(obs, [])
+    return ob.value_counts(ob.observe(bus(spark, sf)), [])
 
 
 @query(
@@ -616,17 +615,34 @@ def issue_ranking(spark, sf):
 _SHARE = "CASE WHEN {n} = 0 OR sampled = 0 THEN '0%' ELSE CAST(greatest(CAST(round({n} * 100.0 / sampled) AS BIGINT), 1) AS VARCHAR) || '%' END"
 
 
+_SAID = """wt AS (SELECT name, path, any_value(array_to_string(declared, ' | ')) AS dec, string_agg(DISTINCT type, ' | ' ORDER BY type) AS obs FROM wrong GROUP BY ALL),
+oe AS (SELECT name, path, string_agg(DISTINCT '`' || v || '`', ', ' ORDER BY '`' || v || '`') AS vals FROM outside WHERE v <> 'null' GROUP BY ALL),
+told AS (SELECT i.*, wt.dec, wt.obs, oe.vals, array_to_string(u.types, ' | ') AS seen, '`' || i.path || '`' AS p FROM issues i
+  LEFT JOIN wt ON wt.name = i.name AND wt.path = i.path LEFT JOIN oe ON oe.name = i.name AND oe.path = i.path
+  LEFT JOIN undeclared u ON u.name = i.name AND u.path = i.path)"""
+
+
 @query(
     "issue_text",
-    sql("issues", f"""SELECT name, key, CASE kind WHEN 'undeclared' THEN 'unknown field `' || path || '`: ' || {_SHARE.format(n='stat')}
-    WHEN 'missingRequired' THEN 'mandatory `' || path || '` left out: ' || {_SHARE.format(n='affected')}
-    WHEN 'emptyRequired' THEN 'mandatory `' || path || '` empty: ' || {_SHARE.format(n='stat')}
-    WHEN 'neverSeen' THEN 'no traffic for `' || path || '`' END AS summary
-    FROM issues WHERE kind IN ('undeclared', 'missingRequired', 'emptyRequired', 'neverSeen')"""),
+    sql("issues", f"""SELECT name, key, CASE kind WHEN 'undeclared' THEN 'unknown field ' || p || ': ' || {_SHARE.format(n='stat')}
+    WHEN 'wrongType' THEN 'type of ' || p || ': contract ' || dec || ', traffic ' || obs || ' in ' || {_SHARE.format(n='stat')}
+    WHEN 'outsideEnum' THEN 'values of ' || p || ' beyond its list: ' || vals
+    WHEN 'missingRequired' THEN 'mandatory ' || p || ' left out: ' || {_SHARE.format(n='affected')}
+    WHEN 'emptyRequired' THEN 'mandatory ' || p || ' empty: ' || {_SHARE.format(n='stat')}
+    WHEN 'neverSeen' THEN 'no traffic for ' || p END AS summary,
+    CASE WHEN kind = 'wrongType' THEN 'Agree on one type: ' || dec || ' in the producer, or ' || obs || ' in the contract.'
+    WHEN kind = 'outsideEnum' THEN 'Extend the list, or stop sending these values.'
+    WHEN kind = 'missingRequired' THEN 'Send ' || p || ' always, or drop it from the mandatory fields.'
+    WHEN kind = 'emptyRequired' THEN 'Fill ' || p || ' at the source, or set a least length.'
+    WHEN kind = 'undeclared' AND rejects THEN 'Closed object: add ' || p || ' to it, or its events stay invalid.'
+    WHEN kind = 'undeclared' THEN 'Describe ' || p || ' (' || seen || ') so that it is checked.'
+    WHEN kind = 'neverSeen' THEN 'Look at a longer span; then retire the field.'
+    ELSE 'Loosen the constraint, or correct the source.' END AS action FROM told""", _SAID),
 )
 def issue_text(spark, sf):
-    kinds = ("undeclared", "missingRequired", "emptyRequired", "neverSeen")
-    return run(spark, sf).issues.where(F.col("kind").isin(*kinds)).select("name", "key", "summary")
+    """The words of every issue; a rejection quotes an event, so only its advice is compared."""
+    said = F.when(F.col("kind") != "rejected", F.col("summary"))
+    return run(spark, sf).issues.select("name", "key", said.alias("summary"), "action")
 
 
 _READS = """r AS (SELECT * FROM (VALUES ('harbour-desk@view','a.ts','cargo.manifestId.part'),('harbour-desk@view','a.ts','status'),('harbour-desk@view','b.ts','cargo'),
@@ -753,10 +769,9 @@ def unregistered_example(spark, sf):
     c = run(spark, sf)
     types = c.keys.join(c.matches, ["source", "event_type"], "left_anti").select("source", "event_type")
     shown = iss.with_example(c.events, types)
-    key = F.get_json_object("example", "$.k")
     # The example is found again by its payload: the newest event of the type carries it.
     back = c.events.select("source", "event_type", "event_id", "ts", F.to_json("detail").alias("example"))
-    return shown.where(key.isNotNull()).join(back, ["source", "event_type", "example"]).groupBy("source", "event_type").agg(
+    return shown.join(back, ["source", "event_type", "example"]).groupBy("source", "event_type").agg(
         F.max_by("event_id", F.struct("ts", -F.col("event_id"))).alias("newest")
     )
 
@@ -808,14 +823,14 @@ def sibling_groups(spark, sf):
     sql("issues", """SELECT name, key, row_number() OVER (PARTITION BY name, key ORDER BY priority, value_json) AS pos, value_json FROM (
     SELECT i.name, i.key, v.priority, v.v AS value_json, row_number() OVER (PARTITION BY i.name, i.key ORDER BY v.priority, v.v) AS rn FROM issues i JOIN vals v USING (name, path)) WHERE rn <= 10""",
     """vals AS (SELECT DISTINCT name, path, 0 AS priority, v FROM outside WHERE v <> 'null' UNION ALL
-    SELECT name, path, 1, v FROM (SELECT DISTINCT name, path, v FROM g WHERE type NOT IN ('object', 'array', 'null') AND path IN ('k', 'status', 'beta', 'items[].qty')))"""),
+    SELECT name, path, 1, v FROM (SELECT DISTINCT name, path, v FROM g WHERE type NOT IN ('object', 'array', 'null')))"""),
 )
 def issue_examples(spark, sf):
     c = run(spark, sf)
     obs = ob.observe(c.graded, ("name", "event_id"))
     zero = F.lit(0)
     first = d.enum_values(d.enum_hits(obs, c.fields)).select("name", "path", "value_json", F.lit(0).alias("priority"), zero.alias("pos"))
-    rest = obs.where("type NOT IN ('object', 'array', 'null') AND path IN ('k', 'status', 'beta', 'items[].qty')").select(
+    rest = obs.where("type NOT IN ('object', 'array', 'null')").select(
         "name", "path", "value_json"
     ).distinct().select("name", "path", "value_json", F.lit(1).alias("priority"), zero.alias("pos"))
     shown = iss.issue_examples(c.issues, first.unionByName(rest))
@@ -869,7 +884,7 @@ def health_headline(spark, sf):
 
 @query(
     "redacted_only",
-    sql("bus", "SELECT 'billing-ledger@signup' AS name, 'noTraffic' AS status, count(*) AS observed, CAST(0 AS BIGINT) AS sampled, 'Seen ' || count(*) || ' time(s) only as redacted copies, so there is nothing to grade' AS headline FROM b WHERE ext"),
+    sql("bus", "SELECT 'billing-ledger@signup' AS name, 'noTraffic' AS status, count(*) AS observed, CAST(0 AS BIGINT) AS sampled, 'redacted copies only: ' || count(*) AS headline FROM b WHERE ext"),
 )
 def redacted_only(spark, sf):
     return _report(spark, sf).where("name = 'billing-ledger@signup'").select("name", "status", "observed", "sampled", "headline")

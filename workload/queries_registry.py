@@ -146,36 +146,38 @@ def contract_lint(spark, sf):
     return lint(registry(spark, sf)).withColumn("shown", F.array_join("shown", ","))
 
 
-_D = f"""{_R}, {_F}, cols AS (SELECT *, CASE WHEN path = 'size' AND k % 4 = 0 THEN 'minimum 1.0' ELSE 'none' END AS bounds FROM f),
+_D = f"""{_R}, {_F}, cols AS (SELECT *, CASE WHEN path IN ('meta', 'meta.next') AND k % 10 = 0 THEN version END AS least FROM f),
 d AS (SELECT coalesce(a.name, b.name) AS name, coalesce(a.path, b.path) AS path, coalesce(b.version, a.version + 1) AS version,
   CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change,
-  CASE WHEN a.path IS NULL OR b.path IS NULL THEN '' ELSE concat_ws('; ', CASE WHEN a.path = 'size' AND a.types <> b.types THEN 'type integer → number' END,
-    CASE WHEN a.required <> b.required THEN 'became optional' END, CASE WHEN a.nullable <> b.nullable THEN 'now accepts null' END) END AS detail
+  CASE WHEN a.path IS NULL OR b.path IS NULL THEN '' ELSE concat_ws('; ', CASE WHEN a.least <> b.least THEN 'least members was ' || a.least || ', is ' || b.least END,
+    CASE WHEN a.required <> b.required THEN 'required was true, is false' END,
+    CASE WHEN a.path = 'size' AND a.types <> b.types THEN 'types was integer, is number' WHEN a.nullable <> b.nullable THEN 'types was string, is string, null' END) END AS detail
   FROM cols a FULL JOIN cols b ON a.name = b.name AND a.path = b.path AND a.version + 1 = b.version
   WHERE coalesce(b.version, 2) > 1 AND (b.version IS NOT NULL OR NOT a.latest)),
 ch AS (SELECT * FROM d WHERE change <> 'changed' OR detail <> '')"""
 
 
+def _diffs(spark, sf):
+    """Every version of every contract against the one before."""
+    rows = fields(spark, sf)
+    older = rows.withColumn("version", F.col("version") + 1).join(rows.select("name", "version").distinct(), ["name", "version"], "left_semi")
+    return ver.contract_diff(older, rows.where("version > 1"), ("name", "version"))
+
+
 @query(
     "contract_diff",
-    f"WITH {_D} SELECT name, path, change, detail FROM ch WHERE version = 2",
+    f"WITH {_D} SELECT name, CAST(version AS INTEGER) AS version, path, change, detail FROM ch",
 )
 def contract_diff(spark, sf):
-    rows = fields(spark, sf)
-    both = rows.where("version = 2").select("name").distinct()
-    old, new = rows.where("version = 1").join(both, "name", "left_semi"), rows.where("version = 2")
-    return ver.contract_diff(old, new).withColumn("detail", F.array_join("detail", "; "))
+    return _diffs(spark, sf).withColumn("detail", F.array_join("detail", "; "))
 
 
 @query(
     "diff_counts",
-    f"WITH {_D} SELECT name, count_if(change = 'added') AS added, count_if(change = 'removed') AS removed, count_if(change = 'changed') AS changed FROM ch WHERE version = 2 GROUP BY ALL",
+    f"WITH {_D} SELECT name, CAST(version AS INTEGER) AS version, count_if(change = 'added') AS added, count_if(change = 'removed') AS removed, count_if(change = 'changed') AS changed FROM ch GROUP BY ALL",
 )
 def diff_counts(spark, sf):
-    rows = fields(spark, sf)
-    both = rows.where("version = 2").select("name").distinct()
-    old, new = rows.where("version = 1").join(both, "name", "left_semi"), rows.where("version = 2")
-    return ver.diff_counts(ver.contract_diff(old, new))
+    return ver.diff_counts(_diffs(spark, sf), ("name", "version"))
 
 
 @query("change_ledger", f"WITH {_D} SELECT name, path, CAST(version AS INTEGER) AS version, change, detail FROM ch")
