@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pactline.functions.globs import glob_regex_col, path_glob_regex_col
 from pactline.operators.containment import contained_in
 from pactline.operators.glob_join import join_globs
+from pactline.operators.intervals import union_intervals
+from pactline.operators.issues import group_siblings
 from pactline.operators.readers import apply_ignores, owners_for
 from pactline.operators.routing import match_tickets, route
 
@@ -66,3 +68,31 @@ def test_newest_ticket_wins_by_either_way(spark):
     found = match_tickets(findings, spark.createDataFrame(tickets, "ticket string, created long, done boolean, labels array<string>"))
     assert sorted((r["n"], r["ticket"]) for r in found.collect()) == [(1, "T2"), (2, "T6"), (3, None)]
     assert found.columns == ["n", "fingerprint", "identity", "ticket"]
+
+
+def test_islands_of_a_hot_key_merge_across_buckets(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "cold", None]), s, s + rng.choice([0, 3, 20, 400])) for s in (rng.randint(0, 20_000) for _ in range(900))]
+    rows += [("hot", 5_000, 9_000), ("hot", 9_000, 9_005), ("edge", 10, 20), ("edge", 20, 30), ("edge", 31, 40)]
+    want = []
+    for key in {r[0] for r in rows}:
+        spans = sorted((s, e) for k, s, e in rows if k == key)
+        merged = [list(spans[0])]
+        for s, e in spans[1:]:
+            if s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        want += [(key, s, e) for s, e in merged]
+    df = spark.createDataFrame(rows, "k string, start_ms long, end_ms long")
+    for bucket in (50, 1000, 10**9):
+        got = [tuple(r) for r in union_intervals(df, ["k"], bucket).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_sibling_lists_are_bounded_and_counts_exact(spark):
+    rows = [("n", "undeclared", f"undeclared:m.f{i:03d}", f"m.f{i:03d}", "warning") for i in range(100)] + [("n", "undeclared", "undeclared:top", "top", "error")]
+    df = spark.createDataFrame(rows, "name string, kind string, key string, path string, severity string")
+    found = {r["parent"]: r for r in group_siblings(df, listed=5).collect()}
+    assert (found["m"]["fields"], found["m"]["paths"], found["m"]["severity"]) == (100, [f"m.f{i:03d}" for i in range(5)], "warning")
+    assert (found[None]["fields"], found[None]["paths"], found[None]["severity"]) == (1, ["top"], "error")
