@@ -36,15 +36,17 @@ def log_counts(lines: DataFrame, by: str) -> DataFrame:
     return lines.groupBy(F.coalesce(by, F.lit(NONE)).alias(by)).agg(F.count("*").alias("lines"))
 
 
-def filter_log(lines: DataFrame, categories=(), min_level: str | None = None, text: str = "") -> DataFrame:
-    """Keep lines of a category set (empty = all), at least `min_level`, containing `text`."""
+def filter_log(
+    lines: DataFrame, categories=(), min_level: str | None = None, text: str = "", text_col: str = "raw"
+) -> DataFrame:
+    """Keep lines of a category set (empty = all), at least `min_level`, containing `text` in `text_col`."""
     cond = F.lit(True)
     if categories:
         cond = cond & F.coalesce("category", F.lit(NONE)).isin(*categories)
     if min_level is not None:
         cond = cond & F.col("level").isin(*LEVELS[: LEVELS.index(min_level) + 1])
     if text.strip():
-        cond = cond & F.lower("raw").contains(text.strip().lower())
+        cond = cond & F.lower(text_col).contains(text.strip().lower())
     return lines.where(F.coalesce(cond, F.lit(False)))
 
 

@@ -366,10 +366,11 @@ def log_counts(spark, sf):
 
 @query(
     "log_filter",
-    f"""WITH {_LOG} SELECT e AS event_id FROM lg WHERE category IN ('view', 'error') AND level IN ('error', 'warn') AND contains(props, '": 7')""",
+    f"""WITH {_LOG} SELECT e AS event_id FROM lg WHERE category IN ('view', 'error') AND level IN ('error', 'warn') AND contains(props, '7')""",
 )
 def log_filter(spark, sf):
-    return applog.filter_log(applog.parse_log(_log_lines(spark, sf)), ("view", "error"), "warn", '": 7').select("event_id")
+    lines = applog.parse_log(_log_lines(spark, sf))
+    return applog.filter_log(lines, ("view", "error"), "warn", "7", text_col="message").select("event_id")
 
 
 @query(
