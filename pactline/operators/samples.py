@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pactline.operators.intervals import join_points, union_intervals
+from pactline.operators.intervals import reach_at, union_intervals
 from pactline.operators.ranking import top_n_per_group
 from pactline.session import broadcast_checked
 
@@ -102,7 +102,8 @@ def coverage(fetches: DataFrame, keys: list[str]) -> DataFrame:
 
 def is_covered(cov: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
     """Whether each asked window lies inside one island. Windows carry `window_id`, `from_ms`, `to_ms`."""
-    held = join_points(windows, cov, keys, "from_ms").where(F.col("to_ms") <= F.col("end_ms"))
+    asked = windows.select("window_id", *keys, "from_ms", "to_ms")
+    held = reach_at(asked, cov, keys, "from_ms").where(F.col("reach") >= F.greatest("from_ms", "to_ms"))
     return windows.join(held.select("window_id", F.lit(True).alias("covered")), "window_id", "left").fillna(
         False, ["covered"]
     )

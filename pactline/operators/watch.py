@@ -12,9 +12,9 @@ from pactline.functions.conditions import Watch, lookup, watch_expr
 from pactline.functions.names import event_key
 from pactline.operators.clauses import Clauses, with_wildcards
 from pactline.operators.glob_join import join_globs
-from pactline.operators.intervals import DAY_MS, join_points
+from pactline.operators.intervals import DAY_MS, count_inside
 from pactline.operators.ranking import top_n_per_group
-from pactline.session import broadcast_checked
+from pactline.session import broadcast_checked, cut
 
 # Re-read overlap, look-back on arming, catch-up limit, retention, digest size.
 OVERLAP = "90 seconds"
@@ -178,15 +178,16 @@ def _spans(marks: DataFrame, end) -> DataFrame:
     rows = marks.withColumn("_day", day)
     mark = F.struct("at", "mark_id", "kind")
     days = rows.groupBy("env", "_day").agg(F.min(mark).alias("_first"), F.min(stop).alias("_stop"))
-    ahead = W.partitionBy("env").orderBy("_day").rowsBetween(1, W.unboundedFollowing)
+    # What lies ahead is looked up from the end: a frame that ends at the last row is computed anew for every row.
+    ahead = W.partitionBy("env").orderBy(F.desc("_day")).rowsBetween(W.unboundedPreceding, -1)
     days = days.select(
-        "env", "_day", F.first("_first").over(ahead).alias("_later"), F.min("_stop").over(ahead).alias("_later_stop")
+        "env", "_day", F.last("_first").over(ahead).alias("_later"), F.min("_stop").over(ahead).alias("_later_stop")
     )
-    order = W.partitionBy("env", "_day").orderBy("at", "mark_id")
+    back = W.partitionBy("env", "_day").orderBy(F.desc("at"), F.desc("mark_id"))
     inside = rows.withColumns(
         {
-            "_next": F.lead(mark).over(order),
-            "_next_stop": F.min(stop).over(order.rowsBetween(1, W.unboundedFollowing)),
+            "_next": F.lag(mark).over(back),
+            "_next_stop": F.min(stop).over(back.rowsBetween(W.unboundedPreceding, -1)),
         }
     ).where("kind = 'start'")
     nxt = F.coalesce("_next", "_later")
@@ -203,8 +204,11 @@ def _spans(marks: DataFrame, end) -> DataFrame:
     )
 
 
-def _last_hit(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("env").agg(F.max("at").alias("_last"))
+def _hits_in(spans: DataFrame, hits: DataFrame) -> DataFrame:
+    """`env, mark_id, hits` of the spans; an open end runs to the last hit there is."""
+    # Hits are often the outcome of a search over the bus: what is counted is found once.
+    at = cut(hits.groupBy("env", "at").agg(F.count("*").alias("n")))
+    return count_inside(spans, at, ["env"], ["mark_id"], "at").withColumnRenamed("n", "hits")
 
 
 def watch_sessions(hits: DataFrame, marks: DataFrame, live_since: int | None = None) -> DataFrame:
@@ -212,11 +216,8 @@ def watch_sessions(hits: DataFrame, marks: DataFrame, live_since: int | None = N
 
     Hits and marks have `env, at` (epoch ms). Sessions without hits are dropped unless live.
     """
-    spans = _spans(marks, F.col("next_at")).join(broadcast_checked(_last_hit(hits)), "env", "left")
-    # An open end runs to the last hit there is.
-    spans = spans.withColumn("end_ms", F.greatest(F.coalesce("next_at", "_last", "at"), F.col("at")))
-    found = join_points(hits.select("env", "at"), spans.select("env", "start_ms", "end_ms", "mark_id"), ["env"], "at")
-    counts = found.groupBy("env", "mark_id").agg(F.count("*").alias("hits"))
+    spans = _spans(marks, F.col("next_at"))
+    counts = _hits_in(spans, hits)
     live = F.coalesce(F.col("at") == F.lit(live_since), F.lit(False)) if live_since is not None else F.lit(False)
     return (
         spans.join(counts, ["env", "mark_id"], "left")
@@ -232,10 +233,8 @@ def watch_sessions(hits: DataFrame, marks: DataFrame, live_since: int | None = N
 
 def surviving_marks(marks: DataFrame, hits: DataFrame, live_since: int | None = None) -> DataFrame:
     """Marks worth keeping after hits were cleared: a start with a hit up to its next stop, and that stop."""
-    spans = _spans(marks, F.col("stop_at")).join(broadcast_checked(_last_hit(hits)), "env", "left")
-    spans = spans.withColumn("end_ms", F.greatest(F.coalesce("stop_at", "_last", "at"), F.col("at")))
-    found = join_points(hits.select("env", "at"), spans.select("env", "start_ms", "end_ms", "mark_id"), ["env"], "at")
-    used = found.select("env", "mark_id").distinct()
+    spans = _spans(marks, F.col("stop_at"))
+    used = _hits_in(spans, hits).where("hits > 0").select("env", "mark_id")
     live = F.col("at") == F.lit(live_since) if live_since is not None else F.lit(False)
     kept = spans.join(used.withColumn("_hit", F.lit(True)), ["env", "mark_id"], "left").where(F.col("_hit") | live)
     starts = kept.select("env", "mark_id")
