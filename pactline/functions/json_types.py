@@ -18,10 +18,13 @@ def type_sql(v: str) -> str:
     """SQL text naming the JSON type of VARIANT expression `v`.
 
     Integers are values an i64 or a u64 holds; the latter parse as DECIMAL(19..20,0).
+    Containers are told by a cast: their schema merges those of all elements, which is quadratic in the members.
     """
     return (
+        f"CASE WHEN try_variant_get({v}, '$', 'map<string,variant>') IS NOT NULL THEN 'object'"
+        f" WHEN try_variant_get({v}, '$', 'array<variant>') IS NOT NULL THEN 'array' ELSE "
         f"coalesce(element_at({_BY_PREFIX}, left(schema_of_variant({v}), 3)),"
-        f" if(schema_of_variant({v}) RLIKE '^DECIMAL[(](19|20),0[)]$', 'integer', 'number'))"
+        f" if(schema_of_variant({v}) RLIKE '^DECIMAL[(](19|20),0[)]$', 'integer', 'number')) END"
     )
 
 

@@ -30,15 +30,25 @@ def _step_sql(name: str, parent: str, wild: str | None) -> str:
     return step if wild is None else f"if(coalesce(NOT array_contains(element_at({wild}, {parent}), {name}), false), '*', {step})"
 
 
+def _depth_sql(text: str) -> str:
+    """How deep the brackets of JSON text are nested, those inside strings left out; one pass that carries two numbers."""
+    bare = f"replace(replace({text}, '\\\\\\\\', ''), '\\\\\"', '')"
+    brackets = f"regexp_replace(regexp_replace({bare}, '\"[^\"]*+\"', ''), '[^\\\\[\\\\]{{}}]', '')"
+    now = "a.now + CASE WHEN c IN ('{', '[') THEN 1 WHEN c IN ('}', ']') THEN -1 ELSE 0 END"
+    return (
+        f"aggregate(split({brackets}, ''), named_struct('now', 0, 'most', 0),"
+        f" (a, c) -> named_struct('now', {now}, 'most', greatest(a.most, {now})), a -> a.most)"
+    )
+
+
 def _subtree_sql(v: str, path: str, type_name: str, container_json: bool, wild: str | None = None) -> str:
     """Every node below a container, any depth, inside one expression.
 
-    Each step turns the frontier into its children; the number of steps is bounded by the brackets
-    in the text, and a step over an empty frontier does nothing.
+    Each step turns the frontier into its children. There are as many steps as the container is deep, and no more: each one
+    copies what was found so far.
     """
     frontier = "array<struct<path:string,parent_path:string,v:variant,type:string>>"
-    text = f"to_json({v})"
-    brackets = f"1 + size(split({text}, '[{{\\\\[]'))"
+    steps = f"2 + {_depth_sql(f'to_json({v})')}"
     members = (
         "transform(map_entries(try_variant_get(n.v, '$', 'map<string,variant>')), e -> named_struct("
         f"'path', concat(if(n.path = '', '', concat(n.path, '.')), {_step_sql('e.key', 'n.path', wild)}), 'parent_path', n.path,"
@@ -50,7 +60,7 @@ def _subtree_sql(v: str, path: str, type_name: str, container_json: bool, wild:
     )
     node = _node_sql("n.v", "n.path", "n.parent_path", "n.type", container_json)
     return (
-        f"aggregate(sequence(1, {brackets}),"
+        f"aggregate(sequence(1, {steps}),"
         f" named_struct('f', cast(array(named_struct('path', {path}, 'parent_path', '', 'v', {v}, 'type',"
         f" {type_name})) AS {frontier}), 'o', cast(array() AS array<{_NODE}>)),"
         f" (a, i) -> if(size(a.f) = 0, a, named_struct("
@@ -151,7 +161,7 @@ def event_paths(
     marked = below.selectExpr(
         *keys,
         "concat(_pend, array(_self)) AS _once",
-        f"array_sort(array_distinct(transform(_sub, n -> {mark}))) AS _marks",
+        f"sort_array(array_distinct(transform(_sub, n -> {mark}))) AS _marks",
     )
     path_of = "substring_index({0}, '{1}', 1)"
     changes = f"{path_of.format('get(_marks, i - 1)', sep)} <> {path_of.format('get(_marks, i - 2)', sep)}"
@@ -169,7 +179,7 @@ def event_paths(
     folded = (
         "transform(transform(_starts, (s, j) -> slice(_marks, s, coalesce(get(_starts, j + 1), size(_marks) + 1) - s)),"
         f" g -> named_struct('path', {part.format('g[0]', 0)}, 'parent_path', {part.format('g[0]', 1)},"
-        f" 'types', array_join(array_sort(array_distinct(transform(g, m -> {part.format('m', 2)}))), ','),"
+        f" 'types', array_join(sort_array(array_distinct(transform(g, m -> {part.format('m', 2)}))), ','),"
         f" 'is_blank', exists(g, m -> endswith(m, '{sep}true'))))"
     )
     return starts.selectExpr(*keys, f"inline(concat({single}, {folded}))")

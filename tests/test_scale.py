@@ -99,3 +99,50 @@ def test_long_islands_and_long_sessions_are_not_listed_day_by_day(spark):
     assert {r["mark_id"] for r in kept.collect()} == {"m1", "m2", "m3"}
     for df in (held, sessions, kept):
         assert "sequence(" not in plan(df)
+
+
+def test_depth_of_brackets_outside_strings(spark):
+    from pactline.operators.observe import _depth_sql
+
+    texts = ['{}', '[]', '[{"m":1}]', '{"a]":"}]}","b":[[1,"\\"}"]]}', '["\\\\",[[[]]]]', '["\\\\\\"]",[1]]', '["' + 'x[' * 20000 + '"]']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r[0] for r in df.orderBy("i").selectExpr(_depth_sql("t")).collect()]
+    assert got == [1, 1, 2, 3, 4, 2, 1]
+
+
+def test_wide_and_deep_payloads_are_walked_to_the_end(spark, make_events):
+    from pactline.operators.observe import event_paths
+
+    wide = {"rows": [{f"m{i % 700}": i, "s": "]}\\\""} for i in range(3000)]}
+    deep = {"a": [[[[[[{"b}": [{"c": [1]}]}]]]]]]}
+    found = event_paths(make_events({"s@wide": [wide], "s@deep": [deep]})).collect()
+    paths = {r["event_type"]: {x["path"] for x in found if x["event_type"] == r["event_type"]} for r in found}
+    assert {f"rows[].m{i}" for i in range(700)} | {"rows[].s", "rows[]", "rows", ""} == paths["wide"]
+    assert "a[][][][][][].b}[].c[]" in paths["deep"]
+
+
+def test_types_of_containers_need_no_schema_of_their_elements(spark):
+    from pactline.functions.json_types import type_sql
+
+    texts = ["{}", "[]", '{"a":[1]}', "null", "1", "1.5", '"x"', "true", "18446744073709551615"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").selectExpr("i", "parse_json(t) AS v").orderBy("i")
+    got = [r[0] for r in df.selectExpr(type_sql("v")).collect()]
+    assert got == ["object", "array", "object", "null", "integer", "number", "string", "boolean", "integer"]
+
+
+def test_examples_without_the_sketch_are_not_sorted(spark):
+    from pactline.operators.observe import field_examples
+
+    rows = [("n", "p", "string", '"b"', 2, 1), ("n", "p", "string", '"a"', 1, 5), ("n", "p", "string", '"c"', 1, 5)]
+    obs = spark.createDataFrame(rows, "name string, path string, type string, value_json string, ts long, event_id long")
+    found = field_examples(obs, ["name"]).drop("approx_values")
+    assert [r["example"] for r in found.collect()] == ['"a"'] and "SortAggregate" not in plan(found)
+
+
+def test_events_of_one_row_group_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    from workload import bus
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(bus, "ROWS_A_TASK", 50)
+    dealt = bus.spread_rows(bus.table(spark, str(tmp_path), "events"))
+    assert dealt.rdd.getNumPartitions() == 20 and dealt.count() == 1000
