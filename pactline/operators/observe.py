@@ -221,11 +221,15 @@ def field_examples(obs: DataFrame, keys: list[str]) -> DataFrame:
 
     Of several in one event, the one whose text comes first.
     """
-    return obs.groupBy(*keys, "path", "type").agg(
-        F.min_by("value_json", F.struct("ts", "event_id", "value_json")).alias("example"),
+    found = obs.groupBy(*keys, "path", "type").agg(
+        F.min_by("value_json", F.struct("ts", "event_id", "value_json")).alias("_first"),
         # A sketch of the distinct values; it also keeps the aggregate hash-based.
         F.hll_sketch_estimate(F.hll_sketch_agg(F.coalesce("value_json", F.lit("")), 8)).alias("approx_values"),
     )
+    # The example leans on the sketch, so that who drops the sketch does not get an aggregate that sorts all observations.
+    return found.select(
+        *keys, "path", "type", F.when(F.col("approx_values") >= 0, F.col("_first")).alias("example"), "approx_values"
+    )
 
 
 def value_counts(obs: DataFrame, keys: list[str]) -> DataFrame:
