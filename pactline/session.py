@@ -16,6 +16,10 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Shuffles start in many small parts, whatever the session's number, and small ones are put together again: what one
+    # task holds does not grow with the table until parts are large.
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "384",
     # JSON objects with a repeated member keep the last one instead of failing to parse.
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Example-carrying aggregates keep string buffers; hash them instead of sorting the input.

@@ -49,15 +49,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# A task's share of rows whose work is far larger than their bytes.
+ROWS_A_TASK = 100_000
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core on an input of fewer splits than cores; a large table is left as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Deal short rows evenly, `ROWS_A_TASK` a task at most: every row becomes a document, so splits by bytes are too large,
+    and those of a file of few row groups are empty but for some."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // ROWS_A_TASK)))
+
+
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`event_id, ts, channel, message`: the main channel, and redacted copies of every tenth event."""
-    ev = spread(table(spark, sf_dir, "events")).withColumns(
+    ev = spread_rows(table(spark, sf_dir, "events")).withColumns(
         {"ts": F.col("ts").cast("timestamp"), "_src": F.expr(SOURCE_SQL), "_typ": F.expr(TYPE_SQL), "_ext": F.expr(EXTERNAL_ONLY_SQL)}
     )
     client = "get_json_object(_full, '$.shipperId')"
@@ -281,7 +292,7 @@ _PART_DOC = """concat('{', if(p_partkey % 29 = 0, '', '"openapi":"3.0.0",'), '"c
 
 def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registry out of `part`: one contract per part, one to three versions, as text in `content`."""
-    versions = spread(table(spark, sf_dir, "part")).selectExpr("*", "explode(sequence(1, cast(1 + p_partkey % 3 AS int))) AS version")
+    versions = spread_rows(table(spark, sf_dir, "part")).selectExpr("*", "explode(sequence(1, cast(1 + p_partkey % 3 AS int))) AS version")
     return versions.selectExpr(
         "p_partkey AS part",
         "concat('svc-', cast(p_partkey % 7 AS string), '@type-', cast(p_partkey AS string)) AS name",

@@ -45,7 +45,7 @@ _PAYLOADS = {
 
 
 def _events(spark, sf):
-    rows = w.table(spark, sf, "events").withColumn("text", F.expr(_DETAIL))
+    rows = w.spread_rows(w.table(spark, sf, "events")).withColumn("text", F.expr(_DETAIL))
     return rows.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("dock").alias("source"), "event_type", F.parse_json("text").alias("detail")
     )
