@@ -16,7 +16,7 @@ from pactline.operators import observe as ob
 from pactline.operators import violations as vi
 from pactline.plans import check as ck
 from pactline.plans import health as he
-from pactline.session import scratch_dir
+from pactline.session import cut, scratch_dir
 from pactline.sources import events as ev
 from pactline.sources.contracts_io import parse_contracts
 from workload import bus as w
@@ -898,7 +898,8 @@ rows_ AS (SELECT name, status, observed, failed, undeclared + type_mismatches +
 
 def _rows(spark, sf):
     events, contracts = w.all_channels(spark, sf), w.bus_contracts(spark)
-    return he.with_missing(he.health_report(events, contracts), he.unregistered_types(events, contracts))
+    # One row a type; the views below read it several times.
+    return cut(he.with_missing(he.health_report(events, contracts), he.unregistered_types(events, contracts)))
 
 
 @query("unregistered_types", sql("issues", "SELECT name AS event_key, observed FROM miss", _MISS))
