@@ -238,16 +238,19 @@ def composed_violations(obs: DataFrame, clauses: Clauses, keys: tuple[str, ...]
         ).withColumn("lead", F.col("clause") == F.col("_first"))
         parts = parts.join(wild, [*keys, "clause"], "left")
         walked = observe(parts, tuple(of), container_json=True, include_root=True, wild="wild")
-        rows = walked.join(rules, [*keys, "clause", "path"], "left")
-        breaks = (F.size(F.concat(*v.value_checks())) > 0).alias("breaks")
+        rows = v.with_facts(walked.join(rules, [*keys, "clause", "path"], "left"))
+        breaks = (F.size(v.in_one(*v.value_checks())) > 0).alias("breaks")
         itself = ((F.col("path") == "") & F.coalesce("main", F.lit(True))).alias("itself")
-        rows = rows.select(*of, "path", "value_json", breaks, itself)
         nested = depth < clauses.nesting
         if nested:
             rows = rows.join(inside, [*keys, "clause", "path"], "left")
-            rows = cut(rows.where("itself OR breaks OR inner IS NOT NULL").withColumn("value_json", F.when(F.col("inner").isNotNull(), F.col("value_json"))))
-        else:
-            rows = rows.where("itself OR breaks")
+        # The test sits in a generator: a filter would be pushed below the checks and do them twice.
+        kept = F.filter(
+            F.array(F.struct(breaks, itself)), lambda r: r["itself"] | r["breaks"] | (F.col("inner").isNotNull() if nested else F.lit(False))
+        )
+        rows = rows.select(*of, "path", "value_json", *(["inner"] if nested else []), F.inline(kept))
+        if nested:
+            rows = cut(rows.withColumn("value_json", F.when(F.col("inner").isNotNull(), F.col("value_json"))))
         marks = rows.select(
             "value", "keyword", "n", "held", F.when(F.col("breaks"), F.col("clause")).alias("failed"),
             (F.col("itself") & F.col("lead")).cast("long").alias("once"),

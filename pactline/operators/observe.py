@@ -127,11 +127,11 @@ def observe(
     walked = _walk(events, keys, levels, "'object', 'array'", container_json, wild)
     rest = _subtree_sql("_v", "_path", "_type", container_json, "_wild" if wild else None)
     node = _node_sql("_v", "_path", "_parent", "_type", container_json)
-    out = walked.selectExpr(
-        *keys,
-        f"inline(concat(_pend, array({node}), if(_type IN ('object', 'array'), {rest},"
-        f" cast(array() AS array<{_NODE}>))))",
+    # `inline` interprets what it is given, so the node is made before it; and `concat` builds a lazy list there.
+    nodes = walked.selectExpr(
+        *keys, "_pend", f"{node} AS _self", f"if(_type IN ('object', 'array'), {rest}, cast(array() AS array<{_NODE}>)) AS _sub"
     )
+    out = nodes.selectExpr(*keys, "inline(flatten(array(_pend, array(_self), _sub)))")
     return out if include_root else out.where("path <> ''")
 
 

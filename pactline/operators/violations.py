@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,16 +47,43 @@ def pointer_of(fields: DataFrame) -> Column:
     return F.col("pointer") if "pointer" in fields.columns else F.lit(None).cast("string").alias("pointer")
 
 
+def in_one(*arrays: Column) -> Column:
+    """The arrays one after the other. Where expressions are interpreted, as below `inline`, `concat` builds a lazy list a row."""
+    return F.flatten(F.array(*arrays))
+
+
+def _any_set(*constraints: str) -> Column:
+    return reduce(Column.__or__, [F.col(c).isNotNull() for c in constraints])
+
+
+def with_facts(joined: DataFrame) -> DataFrame:
+    """Observations joined with `CONSTRAINED`, with what several checks read of the JSON text: `_text`, `_members`, `_length`.
+
+    Each is read once, and only where the rule of the path asks for it.
+    """
+    value, kind = F.col("value_json"), F.col("type")
+    asks = F.coalesce(F.size("required_names") > 0, F.lit(False)) | F.coalesce("closed", F.lit(False)) | _any_set("min_props", "max_props")
+    return joined.withColumns(
+        {
+            "_text": F.when((kind == "string") & _any_set("min_len", "max_len", "pattern", "format"), json_text(value)),
+            "_members": F.when((kind == "object") & asks, F.json_object_keys(value)),
+            "_length": F.when((kind == "array") & _any_set("min_items", "max_items"), F.json_array_length(value)),
+        }
+    )
+
+
 def value_checks(members_too: bool = True) -> list[Column]:
-    """One array of violation structs per check; empty where the value passes.
+    """Arrays of violation structs; empty where the value passes.
 
-    Columns: those of an observation, `CONSTRAINED` and `pointer`. `members_too` adds absent required members; per-event grading decides on those itself.
+    Columns: those of an observation, `CONSTRAINED`, `pointer` and those of `with_facts`. `members_too` adds absent required members; per-event grading decides on those itself.
+    These expressions are interpreted row by row, so every check asks first whether the rule has the constraint, and checks
+    for one kind of value are asked for together.
     """
     c = F.col
     value, kind = c("value_json"), c("type")
-    is_string, is_number = kind == "string", kind.isin("integer", "number")
+    is_number = kind.isin("integer", "number")
     is_container = kind.isin("object", "array")
-    text = F.when(is_string, json_text(value))
+    text, members, length = c("_text"), c("_members"), c("_length")
     number = F.when(is_number, value.cast("double"))
     shape = "array<struct<class:string,path:string,constraint:string,expected:string,message:string>>"
 
@@ -92,8 +121,6 @@ def value_checks(members_too: bool = True) -> list[Column]:
             says(quoted, " is none of ", F.array_join(types, ", ")),
         )
 
-    members = F.when(kind == "object", F.json_object_keys(value))
-    length = F.json_array_length(F.when(kind == "array", value))
     items = F.expr("transform(try_variant_get(try_parse_json(if(type = 'array', value_json, NULL)), '$', 'array<variant>'), x -> to_json(x))")
     ratio = number / c("multiple_of")
     missing = F.transform(
@@ -111,34 +138,55 @@ def value_checks(members_too: bool = True) -> list[Column]:
         ),
     )
     empty = F.array().cast(shape)
+
+    def limit(keyword: str, name: str, broken: Column, message: Column) -> Column:
+        return one(c(name).isNotNull() & broken, "other", keyword, message)
+
+    def together(cond: Column, *checks: Column) -> Column:
+        return F.when(F.coalesce(cond, F.lit(False)), in_one(*checks)).otherwise(empty)
+
     return [
         one(
             c("typed") & ~admitted("types"), "wrongType", "type",
             says(quoted, " is not of type ", F.array_join("types", ", ")),
         ),
-        one(
-            (c("enum_json").isNotNull() & ~F.array_contains("enum_json", value)), "outsideEnum", "enum",
-            says(quoted, " is not one of [", F.array_join("enum_json", ", "), "]"),
+        together(
+            _any_set("enum_json", "const_json"),
+            one(
+                (c("enum_json").isNotNull() & ~F.array_contains("enum_json", value)), "outsideEnum", "enum",
+                says(quoted, " is not one of [", F.array_join("enum_json", ", "), "]"),
+            ),
+            one(c("const_json").isNotNull() & (value != c("const_json")), "outsideEnum", "const", says(c("const_json"), " was expected")),
+        ),
+        together(
+            members.isNotNull(),
+            *([F.coalesce(missing.cast(shape), empty)] if members_too else []),
+            F.coalesce(extra.cast(shape), empty),
+            limit("minProperties", "min_props", F.size(members) < c("min_props"), says(quoted, " has less than ", c("min_props").cast("string"), " members")),
+            limit("maxProperties", "max_props", F.size(members) > c("max_props"), says(quoted, " has more than ", c("max_props").cast("string"), " members")),
+        ),
+        together(
+            text.isNotNull() & _any_set("min_len", "max_len", "pattern"),
+            limit("minLength", "min_len", F.length(text) < c("min_len"), says(quoted, " is shorter than ", c("min_len").cast("string"), " characters")),
+            limit("maxLength", "max_len", F.length(text) > c("max_len"), says(quoted, " is longer than ", c("max_len").cast("string"), " characters")),
+            limit("pattern", "pattern", ~F.rlike(text, F.regexp_replace("pattern", r"(?<!\\)\$$", r"\\z")), says(quoted, ' does not match "', c("pattern"), '"')),
+        ),
+        limit("format", "format", ~format_ok(c("format"), text), says(quoted, ' is not a "', c("format"), '"')),
+        together(
+            is_number & _any_set("minimum", "maximum", "above", "below", "multiple_of"),
+            limit("minimum", "minimum", number < c("minimum"), says(quoted, " is less than the minimum of ", c("minimum").cast("string"))),
+            limit("maximum", "maximum", number > c("maximum"), says(quoted, " is greater than the maximum of ", c("maximum").cast("string"))),
+            limit("exclusiveMinimum", "above", number <= c("above"), says(quoted, " is not above ", c("above").cast("string"))),
+            limit("exclusiveMaximum", "below", number >= c("below"), says(quoted, " is not below ", c("below").cast("string"))),
+            limit("multipleOf", "multiple_of", F.abs(ratio - F.round(ratio)) > 1e-9, says(quoted, " is not a multiple of ", c("multiple_of").cast("string"))),
+        ),
+        together(
+            (kind == "array") & (_any_set("min_items", "max_items") | c("unique_items")),
+            limit("minItems", "min_items", length < c("min_items"), says(quoted, " has less than ", c("min_items").cast("string"), " items")),
+            limit("maxItems", "max_items", length > c("max_items"), says(quoted, " has more than ", c("max_items").cast("string"), " items")),
+            one(c("unique_items") & (F.size(items) != F.size(F.array_distinct(items))), "other", "uniqueItems", says(quoted, " has non-unique elements")),
         ),
-        one(c("const_json").isNotNull() & (value != c("const_json")), "outsideEnum", "const", says(c("const_json"), " was expected")),
-        *([F.coalesce(missing.cast(shape), empty)] if members_too else []),
-        F.coalesce(extra.cast(shape), empty),
-        one(F.length(text) < c("min_len"), "other", "minLength", says(quoted, " is shorter than ", c("min_len").cast("string"), " characters")),
-        one(F.length(text) > c("max_len"), "other", "maxLength", says(quoted, " is longer than ", c("max_len").cast("string"), " characters")),
-        one(~F.rlike(text, F.regexp_replace("pattern", r"(?<!\\)\$$", r"\\z")), "other", "pattern", says(quoted, ' does not match "', c("pattern"), '"')),
-        one(~format_ok(c("format"), text), "other", "format", says(quoted, ' is not a "', c("format"), '"')),
-        one(number < c("minimum"), "other", "minimum", says(quoted, " is less than the minimum of ", c("minimum").cast("string"))),
-        one(number > c("maximum"), "other", "maximum", says(quoted, " is greater than the maximum of ", c("maximum").cast("string"))),
-        one(number <= c("above"), "other", "exclusiveMinimum", says(quoted, " is not above ", c("above").cast("string"))),
-        one(number >= c("below"), "other", "exclusiveMaximum", says(quoted, " is not below ", c("below").cast("string"))),
-        one(F.abs(ratio - F.round(ratio)) > 1e-9, "other", "multipleOf", says(quoted, " is not a multiple of ", c("multiple_of").cast("string"))),
-        one(length < c("min_items"), "other", "minItems", says(quoted, " has less than ", c("min_items").cast("string"), " items")),
-        one(length > c("max_items"), "other", "maxItems", says(quoted, " has more than ", c("max_items").cast("string"), " items")),
-        one(F.size(members) < c("min_props"), "other", "minProperties", says(quoted, " has less than ", c("min_props").cast("string"), " members")),
-        one(F.size(members) > c("max_props"), "other", "maxProperties", says(quoted, " has more than ", c("max_props").cast("string"), " members")),
-        alternatives("any_of", "anyOf"),
-        alternatives("one_of", "oneOf"),
-        one(c("unique_items") & (F.size(items) != F.size(F.array_distinct(items))), "other", "uniqueItems", says(quoted, " has non-unique elements")),
+        together(_any_set("any_of", "one_of"), alternatives("any_of", "anyOf"), alternatives("one_of", "oneOf")),
     ]
 
 
@@ -164,12 +212,12 @@ def violations(
     """
     keys = list(keys)
     rules = broadcast_checked(constrained_fields(fields).select(*keys, "path", pointer_of(fields), *CONSTRAINED))
-    joined = obs.join(rules, [*keys, "path"])
+    joined = with_facts(obs.join(rules, [*keys, "path"]))
     # A container is not carried as evidence: it can be the whole payload.
     evidence = F.when(~F.col("type").isin("object", "array"), F.col("value_json")).alias("value_json")
     carried = [c for c in obs.columns if c not in ("path", "parent_path", "is_blank", "value_json")]
     checks = value_checks() + ([_ungraded_mark()] if mark_ungraded else [])
-    return joined.select(*carried, evidence, F.col("path").alias("at_path"), F.inline(F.concat(*checks)))
+    return joined.select(*carried, evidence, F.col("path").alias("at_path"), F.inline(in_one(*checks)))
 
 
 def format_violations(obs: DataFrame, fields: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:

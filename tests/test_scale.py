@@ -146,3 +146,19 @@ def test_events_of_one_row_group_are_dealt_to_many_tasks(spark, tmp_path, monkey
     monkeypatch.setattr(bus, "ROWS_A_TASK", 50)
     dealt = bus.spread_rows(bus.table(spark, str(tmp_path), "events"))
     assert dealt.rdd.getNumPartitions() == 20 and dealt.count() == 1000
+
+
+def test_checks_read_the_text_of_a_value_once(make_events, make_contracts):
+    from pactline.operators import violations as v
+    from pactline.plans.check import Check
+
+    schema = {"type": "object", "required": ["a"], "minProperties": 1, "properties": {"a": {"type": "string", "minLength": 2, "maxLength": 3}}}
+    c = Check(make_events({"s@t": [{"a": "x"}, {"a": "xx"}, {"b": 1}, {}]}), make_contracts({"s@t": {"Payload": schema}}))
+    # Whatever a check reads of the JSON text is a column before the checks, which are interpreted.
+    checks = " ".join(map(str, v.value_checks()))
+    assert "minProperties" in checks
+    assert not [f for f in ("json_object_keys", "json_array_length", "get_json_object") if f in checks]
+    got = {(r["event_id"], r["constraint"]) for r in c.violations.collect()}
+    assert got == {
+        (0, "/properties/a/minLength"), (2, "missingRequired"), (3, "missingRequired"), (3, "/minProperties"),
+    }
