@@ -2,7 +2,8 @@
 
 Each stage is one of the operators of `pactline.llm`, works on all rows that the stage before kept, and reads them from
 the Parquet table in which they were written. All but the last return the columns of `documents`. The near-dedup stage
-links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, tested exactly.
+links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, tested exactly: candidates come from
+the fingerprints of operator 2, and from a prefix filter for what these miss.
 
 Defined results: a null or empty text falls to the quality rules; of repeated rows one stays; rows of null id are kept
 or dropped by their texts; an empty table gives an empty result.
@@ -35,7 +36,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies (operator 2, then exactly): five-word shingles, similarity 0.8 or more."""
     return shingles.keep_one(docs)
 
 

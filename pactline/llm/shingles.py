@@ -6,7 +6,9 @@ Two texts are linked if the sets of their five-word shingles have a Jaccard simi
 2. Prefix filter: in any one order of all shingles, two sets that reach the threshold share one among the first fifth of
    each. The order has the shingles that a sample of the texts finds often last. The sample steers the order, so the work,
    and not the result.
-3. Nodes that share a shingle of their prefixes are candidates, unless their sizes or their places in the order exclude the
+3. The fingerprints of operator 2 and its bit-sliced comparison bring the first candidates: nodes of equal fingerprints, and
+   of fingerprints within four bits. They find the closest copies only, so the prefix filter adds what they miss.
+   Nodes that share a shingle of their prefixes are candidates, unless their sizes or their places in the order exclude the
    threshold. First neighbours by size are compared, then each member with its group's centre, and components are formed
    after each; last come the pairs that are not in one component yet. So a large group of near copies costs about its size
    and not its square. Large groups are cut into parts, and no task holds more than two parts.
@@ -28,13 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactline.llm.common import stored, tune
-from pactline.llm.simhash import _joined, components, labelled, one_of_each
+from pactline.llm.simhash import _joined, components, fingerprint_column, labelled, links, one_of_each
 
 N_WORDS = 5
 #: Jaccard similarity of 4/5 or more, in whole numbers so that the threshold itself is met.
 OVER, UNDER = 4, 5
 #: One text in so many tells which shingles are frequent, if it finds them in `OFTEN` texts or more; at most `MAX_FREQUENT` of them.
 SAMPLE, OFTEN, MAX_FREQUENT = 32, 3, 200_000
+#: Bits in which the fingerprints of candidates may differ, as operator 2 has it.
+RADIUS = 4
 #: Bits of the map that spares most texts without candidates from being read into sets again.
 MAP_BITS = 24
 BATCH_ROWS = 50_000
@@ -256,6 +260,22 @@ def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return rows.where(F.pandas_udf(test, "boolean", F.PandasUDFType.SCALAR)("n", "x", "m", "y")).select("a", "b")
 
 
+def by_fingerprint(rows: DataFrame) -> DataFrame:
+    """Candidates `a, b` by operator 2: nodes `fp` whose fingerprints `print` are equal or within its radius.
+
+    The first node of a fingerprint stands for it, and the comparison gives forests, so there are about as many pairs as
+    nodes; pairs of one group that its forest leaves out come from the prefix filter.
+    """
+    rows = stored(rows.select("print", "fp").distinct(), "printed")
+    prints = stored(rows.groupBy("print").agg(F.min("fp").alias("first"), F.count("*").alias("carried")), "prints")
+    own = _joined(rows, prints, "print", rows.count()).select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    near = stored(links(prints.select(F.col("print").alias("fp")), RADIUS), "near")
+    first = prints.select("print", "first")
+    right = near.groupBy("b").agg(F.count("*").alias("carried")).join(first.toDF("b", "right"), "b")
+    near = _joined(near, right, "b", near.count()).join(first.toDF("a", "left"), "a")
+    return own.unionByName(near.select(F.col("left").alias("a"), F.col("right").alias("b"))).where("a != b")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, n_words: int) -> DataFrame:
     """Those of the pairs `a, b` whose sets reach the threshold. `nodes` has `text_hash` for each `fp`."""
     spark = pairs.sparkSession
@@ -296,9 +316,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
     spark = tune(docs.sparkSession)
     often = frequent(docs, text_col, n_words)
     made = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), _sets(F.col(text_col), often, n_words, spark).alias("s")
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), fingerprint_column(F.col(text_col)).alias("print"),
+        _sets(F.col(text_col), often, n_words, spark).alias("s"),
     )
-    rows = stored(made.select("id", "text_hash", "s.*"), "shingled")
+    rows = stored(made.select("id", "text_hash", "print", "s.*"), "shingled")
     nodes = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = nodes.select("fp", "n", F.posexplode("prefix").alias("pos", "g")).select("g", "fp", "n", "pos")
     ranged = postings.repartitionByRange("g", "n", "fp").sortWithinPartitions("g", "n", "fp")
@@ -318,7 +339,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
         return stored(texts.select("fp").join(found, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "labels")
 
     maps = texts.select("fp", "n", "bits")
-    pairs = groups.where("next IS NOT NULL").select(F.col("fp").alias("a"), F.col("next").alias("b")).distinct()
+    pairs = groups.where("next IS NOT NULL").select(F.col("fp").alias("a"), F.col("next").alias("b"))
+    pairs = by_fingerprint(rows).unionByName(pairs).distinct()
     known, edges = checked(_possible(pairs, maps), None)
     known, more = checked(_possible(_to_centres(groups.drop("next"), labels()), maps), known)
     edges = edges.union(more)

@@ -352,6 +352,19 @@ def test_near_dedup_of_given_documents(spark):
     assert sorted(r["doc_id"] for r in shingles.keep_one(docs).collect()) == sorted(set(want.values()))
 
 
+def test_near_dedup_takes_candidates_of_operator_2(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(1, 0), (2, 0), (2, 0), (3, 0b1111), (4, 0b111111), (5, 1 << 40 | 0xFFFF0000), (6, -1)], "fp long, print long")
+    pairs = {tuple(sorted(r)) for r in shingles.by_fingerprint(rows).collect()}
+    assert len(pairs) == 3 and (1, 2) in pairs and {n for p in pairs for n in p} == {1, 2, 3, 4}
+    assert shingles.by_fingerprint(rows.limit(0)).collect() == []
+    asked, found = [], shingles.by_fingerprint
+    monkeypatch.setattr(shingles, "by_fingerprint", lambda rows: asked.append(1) or found(rows))
+    words = [f"w{i}" for i in range(90)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:89])), (3, "other"), (4, None)], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()} == {1, 3, 4}
+    assert asked
+
+
 def test_bit_maps_exclude_no_similar_sets():
     rng = np.random.default_rng(4)
     excluded = 0
