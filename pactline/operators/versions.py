@@ -105,13 +105,14 @@ def reconcile(candidate: DataFrame, live: DataFrame) -> DataFrame:
     Documents are compared as canonical JSON, so member order and spacing are no change. Both sides
     have `name, doc`; an unreadable candidate has a NULL `doc`.
     """
-    held = live.select("name", F.to_json("doc").alias("_live"))
-    text = F.to_json("doc")
-    return candidate.join(held, "name", "left").select(
+    # What is shuffled is a digest of either text, not the documents.
+    digest = F.sha2(F.to_json("doc"), 256)
+    held = live.select("name", digest.alias("_live"))
+    return candidate.select("name", digest.alias("_text")).join(held, "name", "left").select(
         "name",
-        F.when(F.col("doc").isNull(), "error")
+        F.when(F.col("_text").isNull(), "error")
         .when(F.col("_live").isNull(), "create")
-        .when(F.col("_live") == text, "unchanged")
+        .when(F.col("_live") == F.col("_text"), "unchanged")
         .otherwise("update")
         .alias("action"),
     )

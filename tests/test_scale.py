@@ -162,3 +162,18 @@ def test_checks_read_the_text_of_a_value_once(make_events, make_contracts):
     assert got == {
         (0, "/properties/a/minLength"), (2, "missingRequired"), (3, "missingRequired"), (3, "/minProperties"),
     }
+
+
+def test_documents_are_compared_by_what_is_small(spark):
+    from pactline.operators.versions import reconcile
+
+    rows = [("a", '{"x": 1, "y": [2]}'), ("b", '{"x": 1}'), ("c", '{"x": 1}'), ("d", None), ("e", "null"), (None, "1")]
+    candidate = spark.createDataFrame(rows, "name string, text string").select("name", F.parse_json("text").alias("doc"))
+    rows = [("a", '{"y":[2],"x":1}'), ("b", '{"x": 2}'), ("d", "1"), ("e", "null"), ("f", "1"), (None, "1")]
+    live = spark.createDataFrame(rows, "name string, text string").select("name", F.parse_json("text").alias("doc"))
+    found = reconcile(candidate, live)
+    got = {(r["name"], r["action"]) for r in found.collect()}
+    assert got == {("a", "unchanged"), ("b", "update"), ("c", "create"), ("d", "error"), ("e", "unchanged"), (None, "create")}
+    # Above the join nothing reads a document.
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "doc" not in above
