@@ -105,7 +105,8 @@ def _nodes(contracts: DataFrame, keys: list[str]) -> DataFrame:
             "*", "try_variant_get(s, '$.patternProperties', 'variant') IS NOT NULL AS patterned",
             "try_variant_get(s, '$.properties', 'variant') IS NOT NULL AS named",
         )
-        level = cut(level.selectExpr("*", *[f"{ct._branches(k).replace('_s,', 's,')} AS _{k}" for k in ct.ALTERNATIVES]))
+        branches = [f"{ct._branches(k, 's', f'$.{k}')} AS _{k}" for k in ct.ALTERNATIVES]
+        level = cut(level.selectExpr("*", *branches))
         levels.append(level)
         kids = level.where("NOT cyclic").selectExpr("*", f"explode({_kids()}) AS kid")
         if kids.isEmpty():

@@ -20,16 +20,28 @@ ALTERNATIVES = ("anyOf", "oneOf")
 _PLAIN_BRANCH = "array('type', 'nullable', 'title', 'description')"
 
 
+# What a field row takes of a schema, read at once: a read for each would look the members up anew, row by row. Kinds are
+# asked of variants; only the names of `properties` are wanted, so their values are not read.
+_MEMBERS = (
+    "struct<type:variant,nullable:boolean,enum:array<variant>,const:variant,format:string,pattern:string,minLength:bigint,"
+    "maxLength:bigint,minimum:double,maximum:double,exclusiveMinimum:variant,exclusiveMaximum:variant,multipleOf:double,"
+    "minItems:bigint,maxItems:bigint,uniqueItems:boolean,minProperties:bigint,maxProperties:bigint,"
+    "additionalProperties:variant,required:array<string>,properties:map<string,boolean>,items:struct<items:variant>,"
+    + ",".join(f"`{k}`:variant" for k in (*UNGRADABLE_KEYWORDS, *ALTERNATIVES))
+    + ">"
+)
+
+
 def _kind(v: str, path: str) -> str:
     return f"schema_of_variant(try_variant_get({v}, '{path}', 'variant'))"
 
 
-def _branches(keyword: str) -> str:
-    """Types admitted by the branches of `anyOf` or `oneOf`; NULL where a branch holds more than types.
+def _branches(keyword: str, value: str, path: str = "$") -> str:
+    """Types admitted by the branches of `anyOf` or `oneOf`, at `path` of `value`; NULL where a branch holds more than types.
 
     `oneOf` wants exactly one branch to match, so its types must not overlap.
     """
-    of = f"try_variant_get(_s, '$.{keyword}', 'array<variant>')"
+    of = f"try_variant_get({value}, '{path}', 'array<variant>')"
     plain = (
         f"forall({of}, b -> {_kind('b', '$.type')} RLIKE '^(STRING|ARRAY<STRING>)$'"
         f" AND size(array_except(map_keys(try_variant_get(b, '$', 'map<string,variant>')), {_PLAIN_BRANCH})) = 0)"
@@ -46,47 +58,52 @@ def _branches(keyword: str) -> str:
 
 
 def _bound(member: str) -> str:
-    return f"CASE WHEN {_kind('_s', '$.' + member)} RLIKE '^(BIGINT|DEC|DOUBLE|FLOAT)' THEN try_variant_get(_s, '$.{member}', 'double') END"
+    return f"CASE WHEN schema_of_variant(_m.{member}) RLIKE '^(BIGINT|DEC|DOUBLE|FLOAT)' THEN try_variant_get(_m.{member}, '$', 'double') END"
 
 
 def _keywords(nodes: DataFrame, keep: list[str]) -> DataFrame:
-    """Read the keywords of each node's schema `_s`, in two steps so nothing is read twice."""
+    """Read the keywords of each node's schema `_s`, in steps so nothing is read twice."""
     none = "cast(array() AS array<string>)"
-    nodes = nodes.selectExpr("*", *[f"{_branches(k)} AS _{k}" for k in ALTERNATIVES])
-    marks = [f"if(try_variant_get(_s, '$.{k}', 'variant') IS NULL, NULL, '{k}')" for k in UNGRADABLE_KEYWORDS]
-    marks += [f"if(try_variant_get(_s, '$.{k}', 'variant') IS NULL OR _{k} IS NOT NULL, NULL, '{k}')" for k in ALTERNATIVES]
-    marks.append(f"if({_kind('_s', '$.additionalProperties')} LIKE 'OBJECT%', 'additionalProperties', NULL)")
-    marks.append("if(try_variant_get(_s, '$.items.items', 'variant') IS NULL, NULL, 'items of items')")
-    marks += [f"if(try_variant_get(_s, '$.format', 'string') = '{f}', 'format {f}', NULL)" for f in UNGRADABLE_FORMATS]
+    nodes = nodes.selectExpr(*keep, f"try_variant_get(_s, '$', '{_MEMBERS}') AS _m")
+    nodes = nodes.selectExpr(
+        "*",
+        "schema_of_variant(_m.type) AS _type_kind",
+        "schema_of_variant(_m.additionalProperties) AS _more_kind",
+        *[f"{_branches(k, f'_m.{k}')} AS _{k}" for k in ALTERNATIVES],
+    )
+    marks = [f"if(_m.`{k}` IS NULL, NULL, '{k}')" for k in UNGRADABLE_KEYWORDS]
+    marks += [f"if(_m.{k} IS NULL OR _{k} IS NOT NULL, NULL, '{k}')" for k in ALTERNATIVES]
+    marks.append("if(_more_kind LIKE 'OBJECT%', 'additionalProperties', NULL)")
+    marks.append("if(_m.items.items IS NULL, NULL, 'items of items')")
+    marks += [f"if(_m.format = '{f}', 'format {f}', NULL)" for f in UNGRADABLE_FORMATS]
     read = nodes.selectExpr(
         *keep,
-        f"CASE WHEN {_kind('_s', '$.type')} = 'STRING' THEN array(try_variant_get(_s, '$.type', 'string'))"
-        f" WHEN {_kind('_s', '$.type')} LIKE 'ARRAY%' THEN try_variant_get(_s, '$.type', 'array<string>')"
-        f" WHEN {_kind('_s', '$.properties')} LIKE 'OBJECT%' THEN array('object') ELSE {none} END AS _types",
-        "try_variant_get(_s, '$.type', 'variant') IS NOT NULL AS typed",
-        "coalesce(try_variant_get(_s, '$.nullable', 'boolean'), false) AS nullable",
-        "transform(try_variant_get(_s, '$.enum', 'array<variant>'), x -> to_json(x)) AS _enum",
-        "to_json(try_variant_get(_s, '$.const', 'variant')) AS const_json",
-        "try_variant_get(_s, '$.format', 'string') AS format",
-        "try_variant_get(_s, '$.pattern', 'string') AS pattern",
-        "try_variant_get(_s, '$.minLength', 'bigint') AS min_len",
-        "try_variant_get(_s, '$.maxLength', 'bigint') AS max_len",
-        "try_variant_get(_s, '$.minimum', 'double') AS minimum",
-        "try_variant_get(_s, '$.maximum', 'double') AS maximum",
+        "CASE WHEN _type_kind = 'STRING' THEN array(try_variant_get(_m.type, '$', 'string'))"
+        " WHEN _type_kind LIKE 'ARRAY%' THEN try_variant_get(_m.type, '$', 'array<string>')"
+        f" WHEN _m.properties IS NOT NULL THEN array('object') ELSE {none} END AS _types",
+        "_m.type IS NOT NULL AS typed",
+        "coalesce(_m.nullable, false) AS nullable",
+        "transform(_m.enum, x -> to_json(x)) AS _enum",
+        "to_json(_m.const) AS const_json",
+        "_m.format AS format",
+        "_m.pattern AS pattern",
+        "_m.minLength AS min_len",
+        "_m.maxLength AS max_len",
+        "_m.minimum AS minimum",
+        "_m.maximum AS maximum",
         f"{_bound('exclusiveMinimum')} AS above",
         f"{_bound('exclusiveMaximum')} AS below",
-        "try_variant_get(_s, '$.multipleOf', 'double') AS multiple_of",
-        "try_variant_get(_s, '$.minItems', 'bigint') AS min_items",
-        "try_variant_get(_s, '$.maxItems', 'bigint') AS max_items",
-        "coalesce(try_variant_get(_s, '$.uniqueItems', 'boolean'), false) AS unique_items",
-        "try_variant_get(_s, '$.minProperties', 'bigint') AS min_props",
-        "try_variant_get(_s, '$.maxProperties', 'bigint') AS max_props",
+        "_m.multipleOf AS multiple_of",
+        "_m.minItems AS min_items",
+        "_m.maxItems AS max_items",
+        "coalesce(_m.uniqueItems, false) AS unique_items",
+        "_m.minProperties AS min_props",
+        "_m.maxProperties AS max_props",
         "_anyOf AS any_of",
         "_oneOf AS one_of",
-        f"coalesce({_kind('_s', '$.additionalProperties')} = 'BOOLEAN'"
-        " AND NOT try_variant_get(_s, '$.additionalProperties', 'boolean'), false) AS closed",
-        f"coalesce(try_variant_get(_s, '$.required', 'array<string>'), {none}) AS required_names",
-        f"coalesce(map_keys(try_variant_get(_s, '$.properties', 'map<string,variant>')), {none}) AS declared_names",
+        "coalesce(_more_kind = 'BOOLEAN' AND NOT try_variant_get(_m.additionalProperties, '$', 'boolean'), false) AS closed",
+        f"coalesce(_m.required, {none}) AS required_names",
+        f"coalesce(map_keys(_m.properties), {none}) AS declared_names",
         f"filter(array({', '.join(marks)}), x -> x IS NOT NULL) AS ungradable",
     )
     return read.selectExpr(
@@ -102,22 +119,24 @@ def payload_type(doc: str = "doc") -> Column:
     return F.when(ref.startswith(REF_PREFIX), F.substr(ref, F.lit(len(REF_PREFIX) + 1)))
 
 
-def _resolve(raw: str) -> tuple[str, str]:
-    """Reference target and effective schema of a raw node, as SQL."""
-    ref = f"try_variant_get({raw}, '$[\"$ref\"]', 'string')"
+def _resolve(raw: str, link: str | None = None) -> tuple[str, str]:
+    """Reference target and effective schema of a raw node, as SQL; `link` is its `$ref` where that is read already."""
+    ref = link or f"try_variant_get({raw}, '$[\"$ref\"]', 'string')"
     name = f"CASE WHEN {ref} LIKE '{REF_PREFIX}%' THEN substr({ref}, {len(REF_PREFIX) + 1}) END"
     target = f"element_at(_schemas, {name})"
     return f"if({target} IS NULL, NULL, {name})", f"coalesce({target}, {raw})"
 
 
 _PLACE = ("path", "parent_path", "leaf", "required", "ref_target", "via_ref", "owner_type", "depth", "cyclic")
+# What the walk reads of a schema, at once.
+_BELOW = "struct<properties:map<string,variant>,items:variant,required:array<string>>"
 
 
 def _expand(contracts: DataFrame, keys: list[str], levels: int) -> DataFrame:
     """Walk the schema tree, one generator step per level; a node leaves with its first child."""
+    schemas = F.try_variant_get("doc", "$.components.schemas", "map<string,variant>")
     base = (
-        contracts.withColumn("_type", payload_type())
-        .withColumn("_schemas", F.try_variant_get("doc", "$.components.schemas", "map<string,variant>"))
+        contracts.select(*keys, payload_type().alias("_type"), F.explode(F.array(schemas)).alias("_schemas"))
         .withColumn("_s", F.expr("element_at(_schemas, _type)"))
         .where("_s IS NOT NULL")
     )
@@ -135,24 +154,25 @@ def _expand(contracts: DataFrame, keys: list[str], levels: int) -> DataFrame:
         f"slice(array({root}), 1, 0) AS _pend", "false AS _done",
     )
     for _ in range(levels):
-        props = "try_variant_get(_node._s, '$.properties', 'map<string,variant>')"
-        items = "try_variant_get(_node._s, '$.items', 'variant')"
-        df = df.selectExpr("*", f"if(_done OR _node.cyclic, NULL, {props}) AS _props")
+        df = df.selectExpr("*", f"if(_done OR _node.cyclic, NULL, try_variant_get(_node._s, '$', '{_BELOW}')) AS _below")
         df = df.selectExpr(
-            "*",
-            "posexplode_outer(CASE WHEN _props IS NOT NULL THEN map_entries(_props)"
-            f" WHEN NOT (_done OR _node.cyclic) AND _kind = 'prop' AND _node.depth > 0 AND _node.ref_target IS NULL"
-            f" AND {items} IS NOT NULL THEN array(named_struct('key', '[]', 'value', {items})) END) AS (_pos, _kid)",
+            "* EXCEPT (_below)",
+            "_below.required AS _required",
+            "_below.properties IS NULL AS _is_item",
+            "CASE WHEN _below.properties IS NOT NULL THEN map_entries(_below.properties)"
+            " WHEN _kind = 'prop' AND _node.depth > 0 AND _node.ref_target IS NULL AND _below.items IS NOT NULL"
+            " THEN array(named_struct('key', '[]', 'value', _below.items)) END AS _kids",
         )
-        ref, schema = _resolve("_kid.value")
-        df = df.selectExpr("*", "_props IS NULL AS _is_item", f"{ref} AS _ref", f"{schema} AS _next")
+        df = df.selectExpr("* EXCEPT (_kids)", "posexplode_outer(_kids) AS (_pos, _kid)")
+        df = df.selectExpr("*", "try_variant_get(_kid.value, '$[\"$ref\"]', 'string') AS _link")
+        ref, schema = _resolve("_kid.value", "_link")
+        df = df.selectExpr("*", f"{ref} AS _ref", f"{schema} AS _next")
         child = node.format(
             path="CASE WHEN _is_item THEN concat(_node.path, '[]')"
             f" ELSE concat(if(_node.path = '', '', concat(_node.path, '.')), {path_step_sql('_kid.key')}) END",
             parent="_node.path",
             leaf="_kid.key",
-            required="NOT _is_item AND coalesce(array_contains(try_variant_get(_node._s, '$.required', 'array<string>'),"
-            " _kid.key), false)",
+            required="NOT _is_item AND coalesce(array_contains(_required, _kid.key), false)",
             ref="_ref",
             via="_node.via_ref OR _node.ref_target IS NOT NULL",
             owner="coalesce(_node.ref_target, _node.owner_type)",

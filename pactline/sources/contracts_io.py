@@ -15,10 +15,10 @@ def parse_contracts(df: DataFrame, content_col: str = "content") -> tuple[DataFr
 
     The content may be a JSON object, or a JSON string that holds one.
     """
-    raw = F.try_parse_json(content_col)
-    inner = F.try_parse_json(F.try_variant_get(raw, "$", "string"))
-    doc = F.when(F.schema_of_variant(raw) == "STRING", inner).otherwise(raw)
-    out = df.withColumn("doc", doc)
+    quoted = F.col(content_col).rlike(r'^[^{\[]*"')
+    text = F.when(quoted, F.try_variant_get(F.try_parse_json(content_col), "$", "string")).otherwise(F.col(content_col))
+    # Filters on `doc` stay above an explode; below it, each mention of `doc` in them would parse the text once more.
+    out = df.withColumn("doc", F.explode(F.array(F.try_parse_json(text))))
     source, event_type = split_identity(F.col("name"))
     ok = F.col("doc").isNotNull() & F.col("name").isNotNull()
     good = out.where(ok).drop(content_col).withColumns({"source": source, "event_type": event_type})

@@ -177,3 +177,32 @@ def test_documents_are_compared_by_what_is_small(spark):
     # Above the join nothing reads a document.
     above = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
     assert "doc" not in above
+
+
+def test_a_document_is_parsed_once_whatever_asks_for_it(spark, make_contracts):
+    from pactline.operators import contracts as ct
+
+    docs = make_contracts({"n": {"Payload": {"type": "object", "properties": {"v": {"type": "string"}}}}})
+    # Once, and the content of a JSON string once more; filters on the document must not hold a parse of their own.
+    assert plan(docs).count("parseJson") == 2
+    walk = ct._expand(docs, ["name"], 1)
+    assert plan(walk).count("parseJson") == 2
+    # Two reads of a node below a level: what the walk needs of it, and the reference of a member.
+    assert plan(ct._expand(docs, ["name"], 2)).count("try_variant_get") - plan(walk).count("try_variant_get") == 2
+
+
+def test_members_of_a_schema_are_read_by_kind(make_contracts):
+    from pactline.operators import contracts as ct
+
+    props = {
+        "a": {"type": ["string", 3], "nullable": "true", "minLength": "x", "enum": "e", "const": None, "items": [{"items": {}}]},
+        "b": {"exclusiveMinimum": True, "exclusiveMaximum": 2, "additionalProperties": "false", "not": None, "format": "regex"},
+        "c": {"properties": {}, "required": "a", "additionalProperties": False, "anyOf": 1, "oneOf": [{"type": "null"}]},
+        "d": True,
+    }
+    rows = ct.contract_fields(make_contracts({"n": {"Payload": {"properties": props}}}), ("name",)).where("depth = 1")
+    a, b, c, d = rows.orderBy("path").collect()
+    assert (a["types"], a["typed"], a["nullable"], a["min_len"], a["enum_json"], a["const_json"]) == (["string", "3", "null"], True, True, None, None, "null")
+    assert (b["types"], b["above"], b["below"], b["closed"], b["ungradable"]) == ([], None, 2.0, False, ["not", "format regex"])
+    assert (c["types"], c["closed"], c["required_names"], c["any_of"], c["one_of"]) == (["object"], True, [], None, ["null"])
+    assert (c["ungradable"], d["types"], d["typed"], d["declared_names"]) == (["anyOf"], [], False, [])
